@@ -132,10 +132,9 @@ def counted_text(values: Column, top: int = 10) -> Column:
 def normalise_domain(c: Column) -> Column:
     """Known aliases to their label, everything else capitalised."""
     d = normalise(c)
-    out = F.concat(F.upper(F.substring(d, 1, 1)), F.substring(d, 2, 1_000_000))
-    for alias, label in reversed(C.DOMAIN_ALIASES.items()):
-        out = F.when(d == alias, label).otherwise(out)
-    return out
+    aliases = F.create_map(*[F.lit(v) for pair in C.DOMAIN_ALIASES.items() for v in pair])
+    capitalised = F.concat(F.upper(F.substring(d, 1, 1)), F.substring(d, 2, 1_000_000))
+    return F.coalesce(F.try_element_at(aliases, d), capitalised)
 
 
 def domain_axis(c: Column, x_names=("x", "art", "entertainment"), y_names=("y", "office", "education")) -> Column:

@@ -2,7 +2,7 @@
 
 import importlib
 
-FAMILIES = ("q_sequences",)
+FAMILIES = ("q_sequences", "q_evaluation")
 
 
 def load_all() -> None:
