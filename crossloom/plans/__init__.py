@@ -2,7 +2,7 @@
 
 import importlib
 
-FAMILIES = ("q_sequences", "q_evaluation")
+FAMILIES = ("q_sequences", "q_evaluation", "q_similarity", "q_grounding")
 
 
 def load_all() -> None:
