@@ -2,7 +2,7 @@
 
 import importlib
 
-FAMILIES = ("q_sequences", "q_evaluation", "q_similarity", "q_grounding")
+FAMILIES = ("q_sequences", "q_evaluation", "q_similarity", "q_grounding", "q_profiles", "q_graph", "q_reporting")
 
 
 def load_all() -> None:
