@@ -2,7 +2,7 @@
 
 import importlib
 
-FAMILIES = ("q_sequences", "q_evaluation", "q_similarity", "q_grounding", "q_profiles", "q_graph", "q_reporting")
+FAMILIES = ("q_sequences", "q_evaluation", "q_similarity", "q_grounding", "q_profiles", "q_graph", "q_reporting", "q_features")
 
 
 def load_all() -> None:
