@@ -80,7 +80,13 @@ def _numbers(n: int) -> Column:
     return F.explode(F.sequence(F.lit(0).cast("long"), F.lit(n - 1).cast("long")))
 
 
+def _fresh(df: DataFrame) -> DataFrame:
+    """New column identities, so that both sides of a join may come from one table."""
+    return df.select(*[F.col(c).alias(c) for c in df.columns])
+
+
 def _pair_blocks(queries: DataFrame, library: DataFrame, block_rows: int):
+    library = _fresh(library)
     wanted = queries.sparkSession.sparkContext.defaultParallelism
     nq, nl = _blocks(queries.count(), block_rows, wanted), _blocks(library.count(), block_rows, 1)
     q = queries.withColumn("_qb", F.pmod(F.xxhash64("id"), F.lit(nq))).withColumn(
@@ -378,6 +384,7 @@ def _by_token_blocks(left, right, k, kind, exclude_self, left_rows=1024, right_r
     right = right.join(left.select("token").distinct(), "token", "left_semi").select("r_id", "token", "w", "r_size")
     size = lambda df, c, rows: max(1, *[math.ceil(x / y) for x, y in zip(
         df.agg(F.count(F.lit(1)), F.approx_count_distinct(c)).first(), (block_terms, rows))])
+    right = _fresh(right)
     nl, nr = size(left, "l_id", left_rows), size(right, "r_id", right_rows)
     lb = left.withColumn("_lb", F.pmod(F.xxhash64("l_id"), F.lit(nl))).withColumn(
         "_rb", _numbers(nr))

@@ -2,7 +2,10 @@
 
 import importlib
 
-FAMILIES = ("q_sequences", "q_evaluation", "q_similarity", "q_grounding", "q_profiles", "q_graph", "q_reporting", "q_features")
+FAMILIES = (
+    "q_sequences", "q_evaluation", "q_similarity", "q_grounding", "q_profiles",
+    "q_graph", "q_reporting", "q_features", "q_instructions", "q_sources",
+)
 
 
 def load_all() -> None:

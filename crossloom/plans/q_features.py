@@ -38,8 +38,8 @@ def _(t):
     return texts(X.evaluation_features(t.hist, t.target, 50, 50))
 
 
-@query("training_features", "L2 L4 W3 W4 W5 D15", f"""
-@ h AS (SELECT *, row_number() OVER (PARTITION BY user_id ORDER BY ts DESC, event_id DESC) AS b FROM (SELECT * FROM ev_short)),
+TRAINING = f"""
+@ h AS (SELECT *, row_number() OVER (PARTITION BY user_id ORDER BY ts DESC, event_id DESC) AS b FROM SOURCE),
  s0 AS (SELECT *, row_number() OVER w AS pos, lead(item_id) OVER w AS ground, lead(domain) OVER w AS gd,
    lead(item_id) OVER (PARTITION BY user_id, domain ORDER BY ts, event_id) AS label, row_number() OVER (PARTITION BY user_id, domain ORDER BY ts, event_id) AS dp
    FROM h WHERE b <= 16 WINDOW w AS (PARTITION BY user_id ORDER BY ts, event_id)),
@@ -55,7 +55,15 @@ SELECT user_id, {padded('item_id', 100)} AS seq, {padded('pos', 0)} AS position,
  {padded('CASE WHEN lx THEN 1 ELSE 0 END', 0)} AS x_mask, {padded('CASE WHEN ly THEN 1 ELSE 0 END', 0)} AS y_mask,
  {padded("CASE WHEN domain = 'X' THEN item_id ELSE 50 + " + draw_sql('user_id', 'pos', 2040, '50') + " END", 100)} AS corrupt_x,
  {padded("CASE WHEN domain = 'X' THEN " + draw_sql('user_id', 'pos', 2041, '50') + " ELSE item_id END", 100)} AS corrupt_y
-FROM s GROUP BY user_id""")
+FROM s GROUP BY user_id"""
+
+
+@query("training_features", "L2 L4 W3 W4 W5 D15", TRAINING.replace("SOURCE", "ev"))
+def _(t):
+    return texts(X.training_features(t.ev, 50, 50))
+
+
+@query("training_features_first_day", "L2 L4", TRAINING.replace("SOURCE", "ev_short"))
 def _(t):
     return texts(X.training_features(t.ev_short, 50, 50))
 
