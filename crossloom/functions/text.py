@@ -10,9 +10,16 @@ from pyspark.sql import functions as F
 from crossloom import constants as C
 
 
+# fixed values: the white space characters that are stripped and split at
+WHITE_SPACE = (
+    "\t\n\x0b\x0c\r\x1c\x1d\x1e\x1f \x85\xa0\u1680\u2000\u2001\u2002\u2003\u2004\u2005\u2006\u2007"
+    "\u2008\u2009\u200a\u2028\u2029\u202f\u205f\u3000"
+)
+
+
 def strip(c: Column) -> Column:
-    """Remove white space of any kind at both ends (``trim`` only knows blanks)."""
-    return F.regexp_replace(c, r"^\s+|\s+$", "")
+    """Remove white space of any kind at both ends (plain ``trim`` only knows blanks)."""
+    return F.btrim(c, F.lit(WHITE_SPACE))
 
 
 def normalise(c: Column) -> Column:
@@ -36,7 +43,7 @@ def normalise_answer(c: Column) -> Column:
 
 def words(c: Column) -> Column:
     """White-space separated words; a blank text has none."""
-    return F.filter(F.split(strip(c), r"\s+"), lambda w: w != "")
+    return F.filter(F.split(c, f"[{WHITE_SPACE}]+"), lambda w: w != "")
 
 
 def word_set(c: Column) -> Column:

@@ -9,7 +9,7 @@ from pyspark.sql import functions as F
 
 from crossloom import constants as C
 from crossloom.functions import text as T
-from crossloom.operators.ordering import HOT_ROWS, dense_index
+from crossloom.operators.ordering import HOT_ROWS, dense_index, exploded
 from crossloom.operators.sequences import ORDER, transitions
 from crossloom.session import materialize
 
@@ -28,7 +28,7 @@ def normalise_rows(edges: DataFrame) -> DataFrame:
 
 def answer_tokens(answers: DataFrame, key: str, text: str) -> DataFrame:
     """Distinct tokens of normalised answers: ``(key, token)``."""
-    return answers.select(key, F.explode(T.word_set(T.normalise_answer(F.col(text)))).alias("token"))
+    return exploded(answers, T.word_set(T.normalise_answer(F.col(text))), "token", key)
 
 
 def default_tokens(users: DataFrame, tokens: DataFrame, defaults: Sequence[str] = tuple(C.DEFAULT_USER_TOKENS)) -> DataFrame:

@@ -7,21 +7,22 @@ from pyspark.sql import functions as F
 
 from crossloom import constants as C
 from crossloom.functions import text as T
-from crossloom.operators.ordering import top_per_key
+from crossloom.operators.ordering import bounded, exploded, top_per_key
 from crossloom.operators.similarity import PAIR_BUDGET, sparse_topk
 from crossloom.session import materialize
 
 
-def postings(docs: DataFrame, doc: str = "doc_id", text: str = "text") -> DataFrame:
-    """Inverted index of non-blank texts: ``(doc, token, tf, doc_len)``."""
-    tokens = T.alnum_tokens(F.col(text))
-    return (
-        docs.filter(T.strip(F.col(text)) != "")
-        .select(doc, tokens.alias("_t"))
-        .select(doc, F.size("_t").alias("doc_len"), F.explode("_t").alias("token"))
-        .groupBy(doc, "token")
-        .agg(F.count(F.lit(1)).alias("tf"), F.max("doc_len").alias("doc_len"))
-    )
+def postings(docs: DataFrame, doc: str = "doc_id", text: str = "text", only: DataFrame | None = None) -> DataFrame:
+    """Inverted index of non-blank texts: ``(doc, token, tf, doc_len)``, on request for the tokens of ``only``.
+
+    Texts move once, by id. Counting their tokens then needs no shuffle of the much wider token rows.
+    """
+    tokens = docs.select(doc, text).filter(T.strip(F.col(text)) != "").repartition(doc).select(
+        doc, T.alnum_tokens(F.col(text)).alias("_t"))
+    rows = exploded(tokens.withColumn("doc_len", F.size("_t")), F.col("_t"), "token", doc, "doc_len")
+    if only is not None:
+        rows = rows.join(only, "token", "left_semi")
+    return rows.groupBy(doc, "token").agg(F.count(F.lit(1)).alias("tf"), F.max("doc_len").alias("doc_len"))
 
 
 def distinct_queries(queries: DataFrame, key: str, text: str) -> tuple[DataFrame, DataFrame]:
@@ -37,7 +38,8 @@ def distinct_queries(queries: DataFrame, key: str, text: str) -> tuple[DataFrame
 
 def bm25(queries: DataFrame, docs: DataFrame, top_m: int, *, query: str = "q_id", query_text: str = "q_text",
          doc: str = "doc_id", doc_text: str = "text", k1: float = C.BM25_K1, b: float = C.BM25_B,
-         epsilon: float = C.BM25_EPSILON, pair_budget: int = PAIR_BUDGET) -> DataFrame:
+         epsilon: float = C.BM25_EPSILON, pair_budget: int = PAIR_BUDGET,
+         strategy: str = "auto") -> DataFrame:
     """Okapi ranking: ``(query, doc, score, rank)``; only texts that share a token with the query.
 
     A repeated query token counts repeatedly; a negative idf is replaced by
@@ -57,26 +59,30 @@ def bm25(queries: DataFrame, docs: DataFrame, top_m: int, *, query: str = "q_id"
     left = materialize(terms.join(idf, "token").select(
         F.col("rep").alias("l_id"), "token", (F.col("qtf") * F.col("idf")).alias("w"), F.lit(1).alias("l_size")))
     length = F.col("doc_len") / F.lit(mean_len or 1.0)
-    right = index.join(left.select("token").distinct(), "token", "left_semi").select(
+    vocabulary = bounded(left.select("token").distinct())
+    right = postings(docs, doc, doc_text, only=vocabulary).select(
         F.col(doc).alias("r_id"), "token",
         (F.col("tf") * (k1 + 1) / (F.col("tf") + k1 * (1 - b + b * length))).alias("w"), F.lit(1).alias("r_size"))
     known = frequency.select("token", F.col("df").alias("n"), F.lit(k1 + 1.0).alias("w_max"))
-    best = sparse_topk(left, right, top_m, kind="dot", right_tokens=known, pair_budget=pair_budget)
+    best = sparse_topk(left, right, top_m, kind="dot", right_tokens=known, right_ids=n, pair_budget=pair_budget, strategy=strategy)
     return members.join(best.withColumnRenamed("l_id", "rep"), "rep").select(
         query, F.col("r_id").alias(doc), "score", "rank")
 
 
 def token_overlap(queries: DataFrame, docs: DataFrame, top_m: int, *, query: str = "q_id", query_text: str = "q_text",
-                  doc: str = "doc_id", doc_text: str = "text", pair_budget: int = PAIR_BUDGET) -> DataFrame:
+                  doc: str = "doc_id", doc_text: str = "text", pair_budget: int = PAIR_BUDGET, strategy: str = "auto") -> DataFrame:
     """Ranking by the share of distinct query tokens found in the text."""
     reps, members = distinct_queries(queries, query, query_text)
     sets = reps.select("rep", F.array_distinct("tokens").alias("t"))
-    left = sets.select(F.col("rep").alias("l_id"), F.explode("t").alias("token"), F.lit(1.0).alias("w"), F.size("t").alias("l_size"))
-    tokens = docs.filter(T.strip(F.col(doc_text)) != "").select(
+    left = materialize(sets.select(
+        F.col("rep").alias("l_id"), F.explode("t").alias("token"), F.lit(1.0).alias("w"), F.size("t").alias("l_size")))
+    vocabulary = bounded(left.select("token").distinct())
+    sets = docs.select(doc, doc_text).filter(T.strip(F.col(doc_text)) != "").repartition(doc).select(
         F.col(doc).alias("r_id"), F.array_distinct(T.alnum_tokens(F.col(doc_text))).alias("t"))
-    right = tokens.select("r_id", F.explode("t").alias("token"), F.lit(1.0).alias("w"), F.size("t").alias("r_size"))
-    right = right.join(left.select("token").distinct(), "token", "left_semi")
-    best = sparse_topk(left, right, top_m, kind="overlap", pair_budget=pair_budget)
+    right = exploded(sets.withColumn("r_size", F.size("t")), F.col("t"), "token", "r_id", "r_size").join(
+        vocabulary, "token", "left_semi").select("r_id", "token", F.lit(1.0).alias("w"), "r_size")
+    known = right.groupBy("token").agg(F.count(F.lit(1)).alias("n"), F.lit(1.0).alias("w_max"))
+    best = sparse_topk(left, right, top_m, kind="overlap", right_tokens=known, right_ids=docs.count(), pair_budget=pair_budget, strategy=strategy)
     return members.join(best.withColumnRenamed("l_id", "rep"), "rep").select(
         query, F.col("r_id").alias(doc), "score", "rank")
 

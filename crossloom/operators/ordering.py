@@ -22,6 +22,22 @@ GROUP_LIMIT = 1000  # Spark's default spark.sql.optimizer.windowGroupLimitThresh
 BROADCAST_KEYS = 100_000
 
 
+def exploded(df: DataFrame, values: Column, out: str, *keep: str) -> DataFrame:
+    """One row per array entry; entries must not be NULL.
+
+    The outer form with a filter behind it: for the plain form the optimizer
+    adds a size check below, which computes an expensive array twice more.
+    """
+    return df.select(*keep, F.explode_outer(values).alias(out)).filter(F.col(out).isNotNull())
+
+
+def bounded(df: DataFrame, max_bytes: int = 64 << 20) -> DataFrame:
+    """``df`` marked for broadcast if its text size is measured to be small, else unchanged."""
+    width = sum((F.coalesce(F.octet_length(F.col(f.name).cast("string")), F.lit(0)) + 16 for f in df.schema.fields), F.lit(0))
+    size = df.agg(F.sum(width)).first()[0] or 0
+    return F.broadcast(df) if size <= max_bytes else df
+
+
 def top_per_key(df: DataFrame, keys: Sequence[str], order: Sequence[Column], k: int, rank: str = "rank") -> DataFrame:
     """The first ``k`` rows per key in the given order, with their rank."""
     w = Window.partitionBy(*keys).orderBy(*order)

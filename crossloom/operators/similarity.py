@@ -17,11 +17,12 @@ from pyspark.sql import types as T
 
 from crossloom import constants as C
 from crossloom.functions import vectors as V
-from crossloom.operators.ordering import top_per_key
+from crossloom.operators.ordering import bounded, top_per_key
 from crossloom.session import materialize
 
 BLOCK_ROWS = 2048
 PAIR_BUDGET = 1_000_000
+BLOCK_TERMS = 500_000
 SCORE_DIGITS = 6
 
 
@@ -68,6 +69,32 @@ def _score_blocks(a, b, metric):
     return -np.sqrt(np.maximum(squared, 0.0))
 
 
+def _token_products(l_token, li, lw, n_left, r_token, ri, rw, n_right, step=4_000_000):
+    """Summed weight products and the "shares a token" mask of two blocks, in steps of bounded memory."""
+    import numpy as np
+    import pandas as pd
+
+    codes, _ = pd.factorize(pd.concat([l_token, r_token], ignore_index=True))
+    lc, rc = codes[: len(l_token)], codes[len(l_token) :]
+    order = np.argsort(lc, kind="stable")
+    lc, li, lw = lc[order], li[order], lw[order]
+    first, last = np.searchsorted(lc, rc, side="left"), np.searchsorted(lc, rc, side="right")
+    counts = last - first  # left rows that meet each right row
+    total, shared = np.zeros(n_left * n_right), np.zeros(n_left * n_right, dtype=bool)
+    ends = np.cumsum(counts)
+    start = 0
+    while start < len(counts):
+        stop = max(start + 1, int(np.searchsorted(ends, (ends[start - 1] if start else 0) + step, side="right")))
+        c = counts[start:stop]
+        right_row = np.repeat(np.arange(start, stop), c)
+        left_row = np.arange(c.sum()) - np.repeat(np.cumsum(c) - c, c) + first[right_row]
+        cell = li[left_row] * n_right + ri[right_row]
+        total += np.bincount(cell, weights=lw[left_row] * rw[right_row], minlength=n_left * n_right)
+        shared[cell] = True
+        start = stop
+    return total.reshape(n_left, n_right), shared.reshape(n_left, n_right)
+
+
 # ---------------------------------------------------------------- dense vectors
 
 def _blocks(rows: int, block_rows: int, wanted: int) -> int:
@@ -313,27 +340,41 @@ def _finish(total: Column, left_size: Column, right_size: Column, kind: str) ->
 
 
 def sparse_topk(left: DataFrame, right: DataFrame, k: int, *, kind: str = "dot", exclude_self: bool = False,
-                right_tokens: DataFrame | None = None, pair_budget: int = PAIR_BUDGET) -> DataFrame:
+                right_tokens: DataFrame | None = None, right_ids: int | None = None, pair_budget: int = PAIR_BUDGET,
+                strategy: str = "auto") -> DataFrame:
     """Best ``k`` right rows per left row that share a token: ``(l_id, r_id, score, rank)``, exact.
 
     ``left(l_id, token, w, l_size)``, ``right(r_id, token, w, r_size)``, one row per id and token.
     The score adds ``w * w`` over shared tokens (kinds dot, overlap, jaccard).
-    ``right_tokens(token, n, w_max)`` may give row counts and weight bounds that are known already.
-
-    Tokens whose pairs stay within ``pair_budget`` are joined. Hotter tokens
-    are not: their part is added only to pairs found that way. A left row is
-    settled when its k-th score beats everything its hot tokens alone could
-    give. All others are scored completely by blocks.
+    ``right_tokens(token, n, w_max)`` and ``right_ids`` may give row counts and
+    weight bounds that are known already.
+
+    Token counts tell how many pairs a join would make and how many rows the
+    blocks would ship; the cheaper way is taken. In the join, tokens whose
+    pairs exceed ``pair_budget`` are left out and added only to pairs that
+    other tokens found. A left row is settled when its k-th score beats
+    everything its hot tokens alone could give; all others go through the
+    blocks. ``strategy`` (auto, join, blocks) can fix the choice.
     """
-    nl = left.groupBy("token").agg(F.count(F.lit(1)).alias("_nl"))
     if right_tokens is None:
         right_tokens = right.groupBy("token").agg(F.count(F.lit(1)).alias("n"), F.max("w").alias("w_max"))
-    nr = right_tokens.select("token", F.col("n").alias("_nr"), F.col("w_max").alias("_wr"))
-    hot = nl.join(nr, "token").filter(F.col("_nl") * F.col("_nr") > pair_budget).select("token", "_wr")
-    if hot.isEmpty():
+    nl = left.groupBy("token").agg(F.count(F.lit(1)).alias("_nl"))
+    both = nl.join(right_tokens.select("token", F.col("n").alias("_nr"), F.col("w_max").alias("_wr")), "token")
+    made = F.col("_nl") * F.col("_nr")
+    cost = both.agg(F.sum(made).alias("pairs"), F.max(made).alias("hottest"), F.sum("_nl").alias("l"), F.sum("_nr").alias("r")).first()
+    if cost["pairs"] is None:
+        cost = {"pairs": 0, "hottest": 0, "l": 0, "r": 0}
+    if strategy == "auto":
+        l_blocks, r_blocks = math.ceil(cost["l"] / BLOCK_TERMS), math.ceil(cost["r"] / BLOCK_TERMS)
+        shipped = cost["l"] * max(r_blocks, 1) + cost["r"] * max(l_blocks, 1)
+        strategy = "blocks" if cost["pairs"] > max(4 * shipped, pair_budget) else "join"
+    if strategy == "blocks":
+        return _by_token_blocks(left, right, k, kind, exclude_self, cost["r"], right_ids)
+    if cost["hottest"] <= pair_budget:
         return _by_pairs(left, right, k, kind, exclude_self)
 
-    left, right, hot = materialize(left), materialize(right), materialize(hot)
+    left, right = materialize(left), materialize(right)
+    hot = materialize(both.filter(made > pair_budget).select("token", "_wr"))
     l_hot, r_hot = left.join(hot, "token"), right.join(hot.select("token"), "token", "left_semi")
     l_rare, r_rare = left.join(hot, "token", "left_anti"), right.join(hot, "token", "left_anti")
 
@@ -360,7 +401,7 @@ def sparse_topk(left: DataFrame, right: DataFrame, k: int, *, kind: str = "dot",
         return found
     settled = found.join(unsettled, "l_id", "left_anti")
     return settled.unionByName(
-        _by_token_blocks(left.join(unsettled, "l_id", "left_semi"), right, k, kind, exclude_self).select(*settled.columns))
+        _by_token_blocks(left.join(unsettled, "l_id", "left_semi"), right, k, kind, exclude_self, cost["r"], right_ids).select(*settled.columns))
 
 
 def _joined(left: DataFrame, right: DataFrame, exclude_self: bool) -> DataFrame:
@@ -378,18 +419,21 @@ def _by_pairs(left, right, k, kind, exclude_self) -> DataFrame:
     return top_per_key(scored, ["l_id"], [F.desc("score"), F.asc("r_id")], k)
 
 
-def _by_token_blocks(left, right, k, kind, exclude_self, left_rows=1024, right_rows=2048, block_terms=500_000) -> DataFrame:
-    """Complete scores of the given left rows, block by block."""
+def _by_token_blocks(left, right, k, kind, exclude_self, right_terms=None, right_ids=None, left_rows=1024, right_rows=2048) -> DataFrame:
+    """Complete scores of the given left rows, block by block. Known right sizes (upper bounds) save a pass."""
     left = left.select("l_id", "token", "w", "l_size")
-    right = right.join(left.select("token").distinct(), "token", "left_semi").select("r_id", "token", "w", "r_size")
-    size = lambda df, c, rows: max(1, *[math.ceil(x / y) for x, y in zip(
-        df.agg(F.count(F.lit(1)), F.approx_count_distinct(c)).first(), (block_terms, rows))])
-    right = _fresh(right)
-    nl, nr = size(left, "l_id", left_rows), size(right, "r_id", right_rows)
-    lb = left.withColumn("_lb", F.pmod(F.xxhash64("l_id"), F.lit(nl))).withColumn(
-        "_rb", _numbers(nr))
-    rb = right.withColumn("_rb", F.pmod(F.xxhash64("r_id"), F.lit(nr))).withColumn(
-        "_lb", _numbers(nl))
+    right = _fresh(right.join(bounded(left.select("token").distinct()), "token", "left_semi").select("r_id", "token", "w", "r_size"))
+    cpus = left.sparkSession.sparkContext.defaultParallelism
+    if right_terms is None or right_ids is None:
+        right_terms, right_ids = right.agg(F.count(F.lit(1)), F.approx_count_distinct("r_id") * 1.1).first()
+    left_terms, left_ids = left.agg(F.count(F.lit(1)), F.approx_count_distinct("l_id") * 1.1).first()
+
+    def blocks(terms, ids, rows, wanted):
+        return max(1, math.ceil(terms / BLOCK_TERMS), math.ceil(ids / rows), min(wanted, math.ceil(ids / 256)))
+
+    nl, nr = blocks(left_terms, left_ids, left_rows, 1), blocks(right_terms, right_ids, right_rows, cpus)
+    lb = left.withColumn("_lb", F.pmod(F.xxhash64("l_id"), F.lit(nl))).withColumn("_rb", _numbers(nr))
+    rb = right.withColumn("_rb", F.pmod(F.xxhash64("r_id"), F.lit(nr))).withColumn("_lb", _numbers(nl))
     schema = T.StructType([
         T.StructField("l_id", left.schema["l_id"].dataType), T.StructField("r_id", right.schema["r_id"].dataType),
         T.StructField("score", T.DoubleType()),
@@ -397,31 +441,18 @@ def _by_token_blocks(left, right, k, kind, exclude_self, left_rows=1024, right_r
 
     def search(key, a, b):
         import numpy as np
-        import pandas as pd
-
-        a, b = a.to_pandas(), b.to_pandas()
         import pyarrow as pa
 
-        if a.empty or b.empty:
-            return pa.table([pa.array([], pa.from_numpy_dtype(a["l_id"].dtype) if a["l_id"].dtype != object else pa.string()),
-                             pa.array([], pa.from_numpy_dtype(b["r_id"].dtype) if b["r_id"].dtype != object else pa.string()),
-                             pa.array([], pa.float64())], names=["l_id", "r_id", "score"])
+        l_type, r_type = a.schema.field("l_id").type, b.schema.field("r_id").type
+        if a.num_rows == 0 or b.num_rows == 0:
+            return pa.table([pa.array([], l_type), pa.array([], r_type), pa.array([], pa.float64())], names=["l_id", "r_id", "score"])
+        a, b = a.to_pandas(), b.to_pandas()
         lid, li = np.unique(a["l_id"].to_numpy(), return_inverse=True)
         rid, ri = np.unique(b["r_id"].to_numpy(), return_inverse=True)
         lsize, rsize = np.zeros(len(lid)), np.zeros(len(rid))
         lsize[li], rsize[ri] = a["l_size"], b["r_size"]
-        total = np.zeros((len(lid), len(rid)))
-        shared = np.zeros(total.shape, dtype=bool)
-        left_at, right_at = pd.Series(li).groupby(a["token"].to_numpy()), pd.Series(ri).groupby(b["token"].to_numpy())
-        wl, wr = a["w"].to_numpy(dtype=float), b["w"].to_numpy(dtype=float)
-        right_rows_of = right_at.indices
-        for token, rows in left_at.indices.items():
-            cols = right_rows_of.get(token)
-            if cols is None:
-                continue
-            cell = np.ix_(li[rows], ri[cols])
-            total[cell] += wl[rows][:, None] * wr[cols][None, :]
-            shared[cell] = True
+        total, shared = _token_products(a["token"], li, a["w"].to_numpy(dtype=float), len(lid),
+                                        b["token"], ri, b["w"].to_numpy(dtype=float), len(rid))
         if kind == "overlap":
             total = total / np.maximum(lsize, 1)[:, None]
         elif kind == "jaccard":
@@ -430,13 +461,15 @@ def _by_token_blocks(left, right, k, kind, exclude_self, left_rows=1024, right_r
             shared &= lid[:, None] != rid[None, :]
         total = np.round(total, SCORE_DIGITS) + 0.0
         rows, cols = _best(total, shared, k)
-        return pa.table([pa.array(lid[rows]), pa.array(rid[cols]), pa.array(total[rows, cols])], names=["l_id", "r_id", "score"])
+        return pa.table([pa.array(lid[rows], l_type), pa.array(rid[cols], r_type), pa.array(total[rows, cols])],
+                        names=["l_id", "r_id", "score"])
 
     parts = lb.groupBy("_lb", "_rb").cogroup(rb.groupBy("_lb", "_rb")).applyInArrow(search, schema)
     return top_per_key(parts, ["l_id"], [F.desc("score"), F.asc("r_id")], k)
 
 
-def set_topk(sets: DataFrame, k: int, others: DataFrame | None = None, pair_budget: int = PAIR_BUDGET) -> DataFrame:
+def set_topk(sets: DataFrame, k: int, others: DataFrame | None = None, pair_budget: int = PAIR_BUDGET,
+             strategy: str = "auto") -> DataFrame:
     """Most similar sets by Jaccard, only above 0: ``(id, neighbor_id, score, rank)`` from ``sets(id, token)``."""
 
     def sized(df: DataFrame, name: str) -> DataFrame:
@@ -445,5 +478,5 @@ def set_topk(sets: DataFrame, k: int, others: DataFrame | None = None, pair_budg
         return d.join(sizes, "id").select(F.col("id").alias(f"{name}_id"), "token", F.lit(1.0).alias("w"), f"{name}_size")
 
     found = sparse_topk(sized(sets, "l"), sized(sets if others is None else others, "r"), k, kind="jaccard",
-                        exclude_self=True, pair_budget=pair_budget)
+                        exclude_self=True, pair_budget=pair_budget, strategy=strategy)
     return found.select(F.col("l_id").alias("id"), F.col("r_id").alias("neighbor_id"), "score", "rank")

@@ -9,6 +9,7 @@ from pyspark.sql import functions as F
 
 from crossloom.operators import sequences as S
 from crossloom.operators.ordering import top_per_key
+from crossloom.session import materialize
 
 FIRST_Y = 50
 ITEMS = 100
@@ -63,7 +64,10 @@ class Tables:
     @cached_property
     def preds(self) -> DataFrame:
         """The 20 most frequent history items per user, ranked."""
-        counts = self.hist.groupBy("user_id", "item_id").agg(F.count(F.lit(1)).alias("cnt"))
+        # counting all events and taking the newest one off again avoids a join of the events by user
+        seen = self.ev.select("user_id", "item_id", F.lit(1).cast("long").alias("w"))
+        newest = self.target.select("user_id", "item_id", F.lit(-1).cast("long").alias("w"))
+        counts = seen.unionByName(newest).groupBy("user_id", "item_id").agg(F.sum("w").alias("cnt")).filter("cnt > 0")
         return top_per_key(counts, ["user_id"], [F.desc("cnt"), F.asc("item_id")], 20)
 
     @cached_property
@@ -85,7 +89,7 @@ class Tables:
 
     @cached_property
     def text_preds(self) -> DataFrame:
-        """One text answer per user, in five kinds."""
+        """One text answer per user, in five kinds. Written once, as the answers of a model would be."""
         t = self.target.select("user_id", F.col("item_id").alias("target_item_id"), F.col("domain").alias("target_domain"))
         i = self.items.select(F.col("item_id").alias("target_item_id"), F.col("title").alias("ground_truth"), "short_title")
         first = self.preds.filter("rank = 1").join(self.items.select("item_id", "title"), "item_id").select(
@@ -96,9 +100,9 @@ class Tables:
             .when(kind == 1, F.col("short_title")).when(kind == 2, F.col("_first"))
             .when(kind == 3, "").otherwise("zzz unknown thing")
         )
-        return t.join(i, "target_item_id").join(first, "user_id", "left").select(
+        return materialize(t.join(i, "target_item_id").join(first, "user_id", "left").select(
             "user_id", "target_item_id", "target_domain", "ground_truth", answer.alias("prediction")
-        )
+        ))
 
     @cached_property
     def vectors(self) -> DataFrame:

@@ -120,7 +120,7 @@ def parse_responses(texts: DataFrame, value: str = "value") -> DataFrame:
     """``(…, pos, qqid, content)`` of texts that hold a JSON array of chat completions."""
     rows = F.from_json(F.col(value), f"array<struct<{_struct(RESPONSE)}>>")
     keep = [c for c in texts.columns if c != value]
-    return texts.select(*keep, F.posexplode(rows).alias("pos", "_r")).select(
+    return texts.select(*keep, F.posexplode_outer(rows).alias("pos", "_r")).filter(F.col("pos").isNotNull()).select(
         *keep, "pos", F.col("_r.qqid").alias("qqid"), F.try_element_at("_r.choices", F.lit(1))["message"]["content"].alias("content"))
 
 
@@ -149,8 +149,8 @@ def read_responses(spark: SparkSession, path: str, name_filter: str = "GM_exat*.
 
 def parse_keyed(texts: DataFrame, record: str, key: str = "id", value: str = "value") -> DataFrame:
     """Rows of texts that hold a JSON object keyed by id: ``(key, record fields…)``. ``record`` is a struct type."""
-    entries = F.explode(F.from_json(F.col(value), f"map<string,{record}>")).alias(key, "_v")
-    rows = texts.select(entries)
+    entries = F.explode_outer(F.from_json(F.col(value), f"map<string,{record}>")).alias(key, "_v")
+    rows = texts.select(entries).filter(F.col(key).isNotNull())
     return rows.select(key, "_v.*") if record.startswith("struct") else rows.select(key, F.col("_v").alias("value"))
 
 

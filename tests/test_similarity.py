@@ -93,14 +93,17 @@ def sets(spark):
     return spark.createDataFrame([(i, t) for i, s in data.items() for t in s], "id long, token int"), data
 
 
-@pytest.mark.parametrize("budget", [10**9, 200, 1])
-def test_set_topk(sets, rows, budget):
+WAYS = [("join", 10**9), ("join", 200), ("join", 1), ("blocks", 1), ("auto", 1)]
+
+
+@pytest.mark.parametrize("strategy,budget", WAYS)
+def test_set_topk(sets, rows, strategy, budget):
     df, data = sets
     want = []
     for a, sa in data.items():
         sims = sorted((-round(len(sa & sb) / len(sa | sb), 6), b) for b, sb in data.items() if a != b and sa & sb)[:5]
         want += [(a, b, r + 1, -s) for r, (s, b) in enumerate(sims)]
-    assert rows(M.set_topk(df, 5, pair_budget=budget), "id", "neighbor_id", "rank", "score") == sorted(want)
+    assert rows(M.set_topk(df, 5, pair_budget=budget, strategy=strategy), "id", "neighbor_id", "rank", "score") == sorted(want)
 
 
 def okapi(docs, queries, m):
@@ -124,8 +127,8 @@ def okapi(docs, queries, m):
     return sorted(out)
 
 
-@pytest.mark.parametrize("budget", [10**9, 300, 1])
-def test_bm25_is_exact_on_every_path(spark, rows, budget):
+@pytest.mark.parametrize("strategy,budget", WAYS)
+def test_bm25_is_exact_on_every_path(spark, rows, strategy, budget):
     rnd = random.Random(2)
     vocabulary = [f"w{i}" for i in range(60)]
     docs = {i: " ".join(["the"] * rnd.randrange(0, 3) + rnd.choices(vocabulary, k=rnd.randrange(0, 8))) for i in range(150)}
@@ -134,10 +137,25 @@ def test_bm25_is_exact_on_every_path(spark, rows, budget):
     queries |= {i: "The the" for i in range(60, 90)}  # a very common answer made of a hot token
     q = spark.createDataFrame(list(queries.items()), "q_id long, q_text string")
     d = spark.createDataFrame(list(docs.items()), "doc_id long, text string")
-    assert rows(G.bm25(q, d, 6, pair_budget=budget), "q_id", "doc_id", "rank") == okapi(docs, queries, 6)
+    assert rows(G.bm25(q, d, 6, pair_budget=budget, strategy=strategy), "q_id", "doc_id", "rank") == okapi(docs, queries, 6)
+
+
+def test_blocks_add_up_in_small_steps():
+    rng = np.random.default_rng(1)
+    import pandas as pd
+
+    lt, li, lw = rng.integers(0, 9, 40), rng.integers(0, 6, 40), rng.normal(size=40)
+    rt, ri, rw = rng.integers(0, 12, 50), rng.integers(0, 7, 50), rng.normal(size=50)
+    want = np.zeros((6, 7))
+    for a, i, x in zip(lt, li, lw):
+        for b, j, y in zip(rt, ri, rw):
+            want[i, j] += x * y if a == b else 0
+    for step in (1, 17, 10**6):
+        total, shared = M._token_products(pd.Series(lt), li, lw, 6, pd.Series(rt), ri, rw, 7, step=step)
+        assert np.allclose(total, want) and (shared == (want != 0)).all()
 
 
-@pytest.mark.parametrize("budget", [10**9, 5])
+@pytest.mark.parametrize("budget", [10**9, 1])
 def test_overlap_ranking(spark, rows, budget):
     q = spark.createDataFrame([(1, "red red ball"), (2, "!!"), (3, "ball")], "q_id int, q_text string")
     d = spark.createDataFrame([(1, "a red ball"), (2, "blue ball"), (3, "red"), (4, "")], "doc_id int, text string")
