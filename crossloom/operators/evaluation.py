@@ -10,6 +10,7 @@ from pyspark.sql import functions as F
 from crossloom import constants as C
 from crossloom.functions import ranking as R
 from crossloom.functions import text as T
+from crossloom.operators.ordering import HOT_ROWS, keyed_join
 
 
 def metric_columns(rank: Column, cutoffs: Sequence[int] = C.CUTOFFS, digits: int = 6) -> list[Column]:
@@ -92,13 +93,13 @@ def truth_scores(scores: DataFrame, truth: DataFrame) -> DataFrame:
     return t.join(own, ["user_id", "truth_item"])
 
 
-def rank_by_score(scores: DataFrame, truth: DataFrame, tolerance: float | None = None) -> DataFrame:
+def rank_by_score(scores: DataFrame, truth: DataFrame, tolerance: float | None = None, hot_rows: int = HOT_ROWS) -> DataFrame:
     """Rank of the target among a user's scores by counting better ones, without sorting.
 
     With a tolerance only clearly larger scores count; without, equal scores
     are ordered by the smaller item id.
     """
-    both = scores.join(truth_scores(scores, truth), "user_id")
+    both = keyed_join(scores, truth_scores(scores, truth), ["user_id"], "inner", hot_rows)
     s, t = F.col("score"), F.col("truth_score")
     better = s > t + tolerance if tolerance is not None else (s > t) | ((s == t) & (F.col("item_id") < F.col("truth_item")))
     return both.groupBy("user_id").agg((F.count(F.when(better, 1)) + 1).alias("rank"))

@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 
 from crossloom import constants as C
 from crossloom.functions import text as T
-from crossloom.operators.ordering import bounded, exploded, top_per_key
+from crossloom.operators.ordering import bounded, exploded, fits_broadcast, top_per_key
 from crossloom.operators.similarity import PAIR_BUDGET, sparse_topk
 from crossloom.session import materialize
 
@@ -20,9 +20,12 @@ def postings(docs: DataFrame, doc: str = "doc_id", text: str = "text", only: Dat
     tokens = docs.select(doc, text).filter(T.strip(F.col(text)) != "").repartition(doc).select(
         doc, T.alnum_tokens(F.col(text)).alias("_t"))
     rows = exploded(tokens.withColumn("doc_len", F.size("_t")), F.col("_t"), "token", doc, "doc_len")
-    if only is not None:
-        rows = rows.join(only, "token", "left_semi")
-    return rows.groupBy(doc, "token").agg(F.count(F.lit(1)).alias("tf"), F.max("doc_len").alias("doc_len"))
+    early = only is not None and fits_broadcast(only)
+    if early:
+        rows = rows.join(F.broadcast(only), "token", "left_semi")
+    counted = rows.groupBy(doc, "token").agg(F.count(F.lit(1)).alias("tf"), F.max("doc_len").alias("doc_len"))
+    # a shuffled filter comes after the count: before it, a hot token would gather in one task
+    return counted if only is None or early else counted.join(only, "token", "left_semi")
 
 
 def distinct_queries(queries: DataFrame, key: str, text: str) -> tuple[DataFrame, DataFrame]:
@@ -59,8 +62,7 @@ def bm25(queries: DataFrame, docs: DataFrame, top_m: int, *, query: str = "q_id"
     left = materialize(terms.join(idf, "token").select(
         F.col("rep").alias("l_id"), "token", (F.col("qtf") * F.col("idf")).alias("w"), F.lit(1).alias("l_size")))
     length = F.col("doc_len") / F.lit(mean_len or 1.0)
-    vocabulary = bounded(left.select("token").distinct())
-    right = postings(docs, doc, doc_text, only=vocabulary).select(
+    right = postings(docs, doc, doc_text, only=left.select("token").distinct()).select(
         F.col(doc).alias("r_id"), "token",
         (F.col("tf") * (k1 + 1) / (F.col("tf") + k1 * (1 - b + b * length))).alias("w"), F.lit(1).alias("r_size"))
     known = frequency.select("token", F.col("df").alias("n"), F.lit(k1 + 1.0).alias("w_max"))

@@ -23,7 +23,8 @@ def few_shot_texts(retrieval: DataFrame, events: DataFrame, items: DataFrame, n:
     """
     meta = items.select("item_id", "title", F.col("domain").alias("_d"))
     wanted = retrieval.select(F.col("neighbor_id").alias("user_id")).distinct()
-    shown = recent_events(events.join(wanted, "user_id", "left_semi"), n, order).join(meta, "item_id", "left")
+    # cut first, then filter: the other way round all events of a hot user would move into one task
+    shown = recent_events(events, n, order).join(wanted, "user_id", "left_semi").join(meta, "item_id", "left")
     label = X.domain_label(F.coalesce("_d", F.lit("")), "Item")
     entry = F.concat(label, F.lit(": "), F.coalesce("title", F.col("item_id").cast("string")))
     packed = F.sort_array(F.collect_list(F.struct((-F.col("back")).alias("o"), entry.alias("e"))))
@@ -145,7 +146,7 @@ def budgeted_neighbour_text(pairs: DataFrame, events: DataFrame, items: DataFram
     from pyspark.sql import Window
 
     wanted = pairs.select(F.col("neighbor_id").alias("user_id")).distinct()
-    first = top_per_key(events.join(wanted, "user_id", "left_semi"), ["user_id"], [F.asc(c) for c in order], budget, "pos")
+    first = top_per_key(events, ["user_id"], [F.asc(c) for c in order], budget, "pos").join(wanted, "user_id", "left_semi")
     meta = items.select("item_id", "title")
     name = F.when(F.col("domain") == "X", "art:").otherwise("office:")
     piece = F.concat(F.lit(" "), name, F.coalesce("title", F.col("item_id").cast("string")), F.lit(" |"))
@@ -177,10 +178,10 @@ def response_attributes(responses: DataFrame, id_map: DataFrame) -> DataFrame:
 
 
 def call_model(rows: DataFrame, model: Callable[[list[str]], list[str]], prompt: str = "prompt", out: str = "prediction",
-               batch_size: int = C.GENERATION_BATCH) -> DataFrame:
+               batch_size: int = C.GENERATION_BATCH, partitions: int | None = None) -> DataFrame:
     """Run ``model(prompts) -> answers`` over all rows in small batches.
 
-    Partitions work independently. When a batch fails its prompts are tried
+    Partitions work independently; ``partitions`` spreads the rows evenly over that many. When a batch fails its prompts are tried
     one by one, so a failure stays with its row: NULL answer and the message in ``error``.
     """
     schema = T.StructType([*rows.schema.fields, T.StructField(out, T.StringType()), T.StructField("error", T.StringType())])
@@ -208,7 +209,7 @@ def call_model(rows: DataFrame, model: Callable[[list[str]], list[str]], prompt:
                             errors.append(f"{type(e).__name__}: {e}")
             yield frame.assign(**{out: answers, "error": errors})
 
-    return rows.mapInPandas(run, schema)
+    return (rows.repartition(partitions) if partitions else rows).mapInPandas(run, schema)
 
 
 def resumable_answers(todo: DataFrame, path: str, model: Callable[[list[str]], list[str]], key: str, prompt: str = "prompt") -> None:

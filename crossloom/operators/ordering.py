@@ -18,7 +18,8 @@ from pyspark.sql import functions as F
 from crossloom.session import materialize
 
 HOT_ROWS = 2_000_000
-GROUP_LIMIT = 1000  # Spark's default spark.sql.optimizer.windowGroupLimitThreshold
+GROUP_LIMIT = "spark.sql.optimizer.windowGroupLimitThreshold"
+SALTS = 1024
 BROADCAST_KEYS = 100_000
 
 
@@ -31,22 +32,26 @@ def exploded(df: DataFrame, values: Column, out: str, *keep: str) -> DataFrame:
     return df.select(*keep, F.explode_outer(values).alias(out)).filter(F.col(out).isNotNull())
 
 
-def bounded(df: DataFrame, max_bytes: int = 64 << 20) -> DataFrame:
-    """``df`` marked for broadcast if its text size is measured to be small, else unchanged."""
+def fits_broadcast(df: DataFrame, max_bytes: int = 64 << 20) -> bool:
+    """Is the measured text size of ``df`` small enough to send it to every executor?"""
     width = sum((F.coalesce(F.octet_length(F.col(f.name).cast("string")), F.lit(0)) + 16 for f in df.schema.fields), F.lit(0))
-    size = df.agg(F.sum(width)).first()[0] or 0
-    return F.broadcast(df) if size <= max_bytes else df
+    return (df.agg(F.sum(width)).first()[0] or 0) <= max_bytes
+
+
+def bounded(df: DataFrame) -> DataFrame:
+    """``df`` marked for broadcast if it is measured to be small, else unchanged."""
+    return F.broadcast(df) if fits_broadcast(df) else df
 
 
 def top_per_key(df: DataFrame, keys: Sequence[str], order: Sequence[Column], k: int, rank: str = "rank") -> DataFrame:
     """The first ``k`` rows per key in the given order, with their rank."""
     w = Window.partitionBy(*keys).orderBy(*order)
-    if k > GROUP_LIMIT:
-        # beyond the planner's group limit: cut within salted sub-groups first
+    if k > int(df.sparkSession.conf.get(GROUP_LIMIT, "1000")):
+        # beyond the planner's limit nothing is cut before the shuffle, so cut within salted sub-groups first
         salted = Window.partitionBy(*keys, "_salt").orderBy(*order)
         rows = F.xxhash64(*[F.col(c) for c in df.columns if c not in keys])
         df = (
-            df.withColumn("_salt", F.pmod(rows, F.lit(64)))
+            df.withColumn("_salt", F.pmod(rows, F.lit(SALTS)))
             .withColumn("_r", F.row_number().over(salted))
             .filter(F.col("_r") <= k)
             .drop("_salt", "_r")
@@ -66,6 +71,22 @@ def hot_keys(df: DataFrame, keys: Sequence[str], hot_rows: int) -> tuple[DataFra
     return (materialize(counts), n) if n else None
 
 
+def keyed_join(big: DataFrame, small: DataFrame, keys: Sequence[str], how: str = "inner", hot_rows: int = HOT_ROWS) -> DataFrame:
+    """Join with a side that has at most one row per key, safe for hot keys even when the same keys are grouped next.
+
+    (The adaptive skew join stays away in that case, because splitting would
+    break the partitioning the grouping relies on.) Rows of hot keys do not
+    move: the few matching rows of the small side are sent to them.
+    """
+    hot = hot_keys(big, keys, hot_rows)
+    if hot is None or hot[1] > BROADCAST_KEYS:
+        return big.join(small, list(keys), how)
+    side = F.broadcast(hot[0])
+    few = F.broadcast(small.join(side, list(keys), "left_semi"))
+    cold = big.join(side, list(keys), "left_anti").join(small, list(keys), how)
+    return cold.unionByName(big.join(side, list(keys), "left_semi").join(few, list(keys), how))
+
+
 def ordered_columns(
     df: DataFrame,
     keys: Sequence[str],
@@ -136,8 +157,7 @@ def _by_ranges(df, keys, order, previous, following, position) -> DataFrame:
 
 def dense_index(df: DataFrame, order: Sequence[str], out: str = "idx") -> DataFrame:
     """0-based place of each row in the sort order. Ranges are numbered in parallel, then shifted."""
-    n = max(1, int(df.sparkSession.conf.get("spark.sql.shuffle.partitions")))
-    fixed = materialize(df.repartitionByRange(n, *order).withColumn("_range", F.spark_partition_id()))
+    fixed = materialize(df.repartitionByRange(*order).withColumn("_range", F.spark_partition_id()))
     # one row per range, so this window is as small as the number of ranges
     sizes = fixed.groupBy("_range").agg(F.count(F.lit(1)).alias("_size"))
     w_all = Window.partitionBy(F.lit(0)).orderBy("_range").rowsBetween(Window.unboundedPreceding, -1)

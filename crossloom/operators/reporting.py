@@ -16,8 +16,8 @@ def dataset_statistics(events: DataFrame) -> DataFrame:
     """Items and interactions per domain with the overall number of users and mean sequence length."""
     per = events.groupBy("domain").agg(F.count_distinct("item_id").alias("num_items"), F.count(F.lit(1)).alias("num_interactions"))
     lengths = events.groupBy("user_id").agg(F.count(F.lit(1)).alias("n"))
-    overall = lengths.agg(F.count(F.lit(1)).alias("num_users"), F.round(F.avg("n"), 1).alias("avg_sequence_length"))
-    return per.join(F.broadcast(overall))  # one row
+    overall = lengths.agg(F.count(F.lit(1)), F.round(F.avg("n"), 1)).first()
+    return per.withColumns({"num_users": F.lit(overall[0]).cast("long"), "avg_sequence_length": F.lit(overall[1])})
 
 
 def feature_statistics(vectors: DataFrame, keys: Sequence[str]) -> DataFrame:

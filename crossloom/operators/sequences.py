@@ -8,7 +8,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from crossloom import constants as C
-from crossloom.operators.ordering import HOT_ROWS, dense_index, draw, last_per_key, ordered_columns, top_per_key
+from crossloom.operators.ordering import HOT_ROWS, dense_index, draw, keyed_join, last_per_key, ordered_columns, top_per_key
 
 ORDER = ("ts", "event_id")
 
@@ -18,10 +18,11 @@ def recent_events(events: DataFrame, n: int = C.MAX_SEQ_LEN, order: Sequence[str
     return top_per_key(events, ["user_id"], [F.desc(c) for c in order], n, "back")
 
 
-def min_activity(events: DataFrame, least: int = C.MIN_INTERACTIONS, keys: Sequence[str] = ("user_id",)) -> DataFrame:
+def min_activity(events: DataFrame, least: int = C.MIN_INTERACTIONS, keys: Sequence[str] = ("user_id",),
+                 hot_rows: int = HOT_ROWS) -> DataFrame:
     """Events of users with at least ``least`` events. The counts are combined before they are shuffled."""
     enough = events.groupBy(*keys).agg(F.count(F.lit(1)).alias("_n")).filter(F.col("_n") >= least).select(*keys)
-    return events.join(enough, list(keys), "left_semi")
+    return keyed_join(events, enough, keys, "left_semi", hot_rows)
 
 
 def collect_ordered(df: DataFrame, keys: Sequence[str], order: Sequence[str], fields: Sequence[str], out: str) -> DataFrame:
@@ -94,10 +95,10 @@ def last_event(events: DataFrame, order: Sequence[str] = ORDER) -> DataFrame:
     return last_per_key(events, ["user_id"], order)
 
 
-def without_last(events: DataFrame, order: Sequence[str] = ORDER) -> DataFrame:
-    """All events but the newest of each user. A hot user is a skewed join side, which Spark splits at run time."""
+def without_last(events: DataFrame, order: Sequence[str] = ORDER, hot_rows: int = HOT_ROWS) -> DataFrame:
+    """All events but the newest of each user."""
     newest = events.groupBy("user_id").agg(F.max(F.struct(*order)).alias("_newest"))
-    return events.join(newest, "user_id").filter(F.struct(*order) < F.col("_newest")).drop("_newest")
+    return keyed_join(events, newest, ["user_id"], "inner", hot_rows).filter(F.struct(*order) < F.col("_newest")).drop("_newest")
 
 
 def transitions(events: DataFrame, within_domain: bool = False, order: Sequence[str] = ORDER, hot_rows: int = HOT_ROWS) -> DataFrame:
@@ -140,7 +141,7 @@ def next_in_domain(events: DataFrame, targets: DataFrame, order: Sequence[str] =
     """
     out = ordered_columns(events, ["user_id", "domain"], order, following={"_next": "item_id"}, hot_rows=hot_rows)
     final = targets.select("user_id", F.col("item_id").alias("_t_item"), F.col("domain").alias("_t_domain"))
-    out = out.join(final, "user_id", "left").withColumn(
+    out = keyed_join(out, final, ["user_id"], "left", hot_rows).withColumn(
         "label", F.coalesce("_next", F.when(F.col("domain") == F.col("_t_domain"), F.col("_t_item")))
     )
     both = (
@@ -151,7 +152,7 @@ def next_in_domain(events: DataFrame, targets: DataFrame, order: Sequence[str] =
         )
         .filter((F.col("_x") > 0) & (F.col("_y") > 0))
     )
-    return out.join(both, "user_id", "left_semi").drop("_next", "_t_item", "_t_domain")
+    return keyed_join(out, both, ["user_id"], "left_semi", hot_rows).drop("_next", "_t_item", "_t_domain")
 
 
 def last_positions(events: DataFrame, order: Sequence[str] = ORDER, hot_rows: int = HOT_ROWS) -> DataFrame:

@@ -472,11 +472,15 @@ def set_topk(sets: DataFrame, k: int, others: DataFrame | None = None, pair_budg
              strategy: str = "auto") -> DataFrame:
     """Most similar sets by Jaccard, only above 0: ``(id, neighbor_id, score, rank)`` from ``sets(id, token)``."""
 
-    def sized(df: DataFrame, name: str) -> DataFrame:
+    def sized(df: DataFrame) -> DataFrame:
         d = df.select("id", "token").distinct()
-        sizes = d.groupBy("id").agg(F.count(F.lit(1)).alias(f"{name}_size"))
-        return d.join(sizes, "id").select(F.col("id").alias(f"{name}_id"), "token", F.lit(1.0).alias("w"), f"{name}_size")
+        return materialize(d.join(d.groupBy("id").agg(F.count(F.lit(1)).alias("size")), "id"))
 
-    found = sparse_topk(sized(sets, "l"), sized(sets if others is None else others, "r"), k, kind="jaccard",
+    def side(df: DataFrame, name: str) -> DataFrame:
+        return df.select(F.col("id").alias(f"{name}_id"), "token", F.lit(1.0).alias("w"), F.col("size").alias(f"{name}_size"))
+
+    own = sized(sets)
+    other = own if others is None else sized(others)
+    found = sparse_topk(side(own, "l"), side(other, "r"), k, kind="jaccard",
                         exclude_self=True, pair_budget=pair_budget, strategy=strategy)
     return found.select(F.col("l_id").alias("id"), F.col("r_id").alias("neighbor_id"), "score", "rank")

@@ -6,7 +6,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from crossloom.operators import sequences as S
-from crossloom.operators.ordering import dense_index, draw, hot_keys, ordered_columns, top_per_key
+from crossloom.operators.ordering import dense_index, draw, hot_keys, keyed_join, ordered_columns, top_per_key
 
 
 @pytest.fixture(scope="module")
@@ -58,7 +58,7 @@ def test_domain_positions_and_transitions(events, rows, hot_rows):
 
 @pytest.mark.parametrize("hot_rows", [10**9, 40])
 def test_labels_in_domain(events, hot_rows):
-    history, truth = S.without_last(events), S.last_event(events)
+    history, truth = S.without_last(events, hot_rows=hot_rows), S.last_event(events)
     got = {r.event_id: r.label for r in S.next_in_domain(history, truth, hot_rows=hot_rows).collect()}
     final = {r.user_id: r for r in truth.collect()}
     labels = {}
@@ -79,8 +79,19 @@ def test_last_positions(events):
         assert got[user] == want
 
 
-def test_top_per_key_beyond_group_limit(events):
+@pytest.mark.parametrize("how", ["inner", "left", "left_semi"])
+def test_keyed_join_with_hot_keys(spark, events, rows, how):
+    small = spark.createDataFrame([(1, "a"), (2, "b"), (3, "c")], "user_id long, v string")
+    want = rows(events.join(small, "user_id", how).select("event_id", *(["v"] if how == "inner" else [])))
+    got = keyed_join(events, small, ["user_id"], how, hot_rows=40)
+    assert rows(got.select("event_id", *(["v"] if how == "inner" else []))) == want
+    assert S.min_activity(events, 60, hot_rows=40).count() == S.min_activity(events, 60).count() > 0
+
+
+def test_top_per_key_beyond_group_limit(spark, events):
+    spark.conf.set("spark.sql.optimizer.windowGroupLimitThreshold", "100")
     got = top_per_key(events, ["user_id"], [F.desc("ts"), F.desc("event_id")], 1500)
+    spark.conf.set("spark.sql.optimizer.windowGroupLimitThreshold", "10000")
     assert got.count() == events.count()
     ranks = {r.event_id: r["rank"] for r in got.collect()}
     for seq in by_user(events, "user_id").values():
