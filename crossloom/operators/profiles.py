@@ -33,20 +33,23 @@ def behaviour(events: DataFrame, users: DataFrame | None = None, recent: int = C
         F.coalesce("cross_ratio", F.lit(0.0)).alias("cross_ratio"), F.coalesce("recent_items", empty).alias("recent_items"))
 
 
-def value_counts(events: DataFrame, values: DataFrame, order: Sequence[str] = ORDER) -> DataFrame:
-    """``(user_id, value, n, first)`` of ``values(item_id, pos, value)`` over the events; ``first`` is the first occurrence."""
-    return events.select("user_id", "item_id", *order).join(values.select("item_id", "pos", "value"), "item_id").groupBy(
-        "user_id", "value").agg(F.count(F.lit(1)).alias("n"), F.min(F.struct(*order, "pos")).alias("first"))
+def value_counts(events: DataFrame, values: DataFrame, keys: Sequence[str] = (), order: Sequence[str] = ORDER) -> DataFrame:
+    """``(user_id, *keys, value, n, first)`` of ``values(item_id, pos, value, *keys)``; ``first`` is the first occurrence."""
+    return events.select("user_id", "item_id", *order).join(values.select("item_id", "pos", "value", *keys), "item_id").groupBy(
+        "user_id", *keys, "value").agg(F.count(F.lit(1)).alias("n"), F.min(F.struct(*order, "pos")).alias("first"))
 
 
-def preferences(events: DataFrame, values: DataFrame, top: int, order: Sequence[str] = ORDER) -> DataFrame:
-    """``(user_id, preferred, diversity)``: the most common values with counts (equal counts: first seen), and how many there are."""
-    counts = value_counts(events, values, order)
-    best = top_per_key(counts, ["user_id"], [F.desc("n"), F.asc("first")], top)
-    lists = best.groupBy("user_id").agg(F.sort_array(F.collect_list(F.struct("rank", "value", "n"))).alias("_l"))
-    diversity = counts.groupBy("user_id").agg(F.count(F.lit(1)).alias("diversity"))
-    return lists.join(diversity, "user_id").select(
-        "user_id", F.transform("_l", lambda e: F.struct(e["value"].alias("value"), e["n"].alias("n"))).alias("preferred"), "diversity")
+def preferences(events: DataFrame, values: DataFrame, top: int, keys: Sequence[str] = (), order: Sequence[str] = ORDER) -> DataFrame:
+    """``(user_id, *keys, preferred, diversity)``: the most common values with counts (equal counts: first seen), and how many there are."""
+    counts = value_counts(events, values, keys, order)
+    group = ["user_id", *keys]
+    best = top_per_key(counts, group, [F.desc("n"), F.asc("first")], top)
+    lists = best.groupBy(*group).agg(F.sort_array(F.collect_list(F.struct("rank", "value", "n"))).alias("_l"))
+    # counted through both columns, so that this branch needs the same shuffle as the lists and reuses it
+    one = F.when(F.col("first").isNotNull(), F.least(F.col("n"), F.lit(1)))
+    diversity = counts.groupBy(*group).agg(F.sum(one).alias("diversity"))
+    return lists.join(diversity, group).select(
+        *group, F.transform("_l", lambda e: F.struct(e["value"].alias("value"), e["n"].alias("n"))).alias("preferred"), "diversity")
 
 
 def user_means(events: DataFrame, vectors: DataFrame) -> DataFrame:
@@ -111,11 +114,17 @@ def profiles(events: DataFrame, items: DataFrame, attributes: DataFrame, categor
     ``near`` comes from ``neighbour_items``.
     """
     out = behaviour(events)
-    attrs = preferences(events, attributes, C.TOP_ATTRIBUTES).select(
-        "user_id", F.col("preferred").alias("preferred_attributes"), F.col("diversity").alias("attribute_diversity"))
-    cats = preferences(events, categories, C.TOP_CATEGORIES).select(
-        "user_id", F.col("preferred").alias("preferred_categories"), F.col("diversity").alias("category_diversity"))
-    out = out.join(attrs, "user_id", "left").join(cats, "user_id", "left")
+    # attributes and categories are counted in one pass over the events
+    values = attributes.select("item_id", "pos", "value", F.lit("attribute").alias("kind")).unionByName(
+        categories.select("item_id", "pos", "value", F.lit("category").alias("kind")))
+    liked = preferences(events, values, max(C.TOP_ATTRIBUTES, C.TOP_CATEGORIES), ["kind"])
+    of = lambda kind, c: F.max(F.when(F.col("kind") == kind, F.col(c)))
+    liked = liked.groupBy("user_id").agg(
+        F.slice(of("attribute", "preferred"), 1, C.TOP_ATTRIBUTES).alias("preferred_attributes"),
+        of("attribute", "diversity").alias("attribute_diversity"),
+        F.slice(of("category", "preferred"), 1, C.TOP_CATEGORIES).alias("preferred_categories"),
+        of("category", "diversity").alias("category_diversity"))
+    out = out.join(liked, "user_id", "left")
     out = out.join(history_lines(events, items, C.PROFILE_LINES, labelled=False), "user_id", "left")
     if near is None:
         out = out.withColumn("similar_items", F.lit(None).cast("string"))

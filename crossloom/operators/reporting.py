@@ -66,8 +66,10 @@ def pool_with_fill(demo: DataFrame, pool: DataFrame, titles: DataFrame, size: in
     places = pool.select(F.col("user_id").alias("similar_id"), "line")
     hits = near.select(F.col("id").alias("user_id"), F.col("neighbor_id").alias("similar_id"), "score").join(places, "similar_id")
     # the first pool users, enough to fill any gap: size rows besides the user and size hits
-    offer = places.orderBy("line").limit(2 * size + 1)
-    rest = demo.select("user_id").join(F.broadcast(offer), F.col("user_id") != F.col("similar_id")).join(
+    offer = [F.struct(F.lit(r["similar_id"]).cast(places.schema["similar_id"].dataType).alias("similar_id"), F.lit(r["line"]).cast("long").alias("line"))
+             for r in places.orderBy("line").limit(2 * size + 1).collect()]
+    rest = demo.select("user_id", F.explode(F.array(*offer)).alias("_o")).select("user_id", "_o.*").filter(
+        F.col("user_id") != F.col("similar_id")).join(
         hits.select("user_id", "similar_id"), ["user_id", "similar_id"], "left_anti").withColumn("score", F.lit(0.0))
     both = hits.unionByName(rest.select(*hits.columns))
     out = top_per_key(both, ["user_id"], [F.desc("score"), F.asc("line")], size, "place")
