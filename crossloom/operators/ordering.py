@@ -11,6 +11,7 @@
 from __future__ import annotations
 
 from collections.abc import Mapping, Sequence
+from itertools import accumulate
 
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
@@ -158,10 +159,10 @@ def _by_ranges(df, keys, order, previous, following, position) -> DataFrame:
 def dense_index(df: DataFrame, order: Sequence[str], out: str = "idx") -> DataFrame:
     """0-based place of each row in the sort order. Ranges are numbered in parallel, then shifted."""
     fixed = materialize(df.repartitionByRange(*order).withColumn("_range", F.spark_partition_id()))
-    # one row per range, so this window is as small as the number of ranges
-    sizes = fixed.groupBy("_range").agg(F.count(F.lit(1)).alias("_size"))
-    w_all = Window.partitionBy(F.lit(0)).orderBy("_range").rowsBetween(Window.unboundedPreceding, -1)
-    offsets = sizes.select("_range", F.coalesce(F.sum("_size").over(w_all), F.lit(0)).alias("_skip"))
+    # one count per range, so there are no more rows here than partitions
+    sizes = sorted(fixed.groupBy("_range").count().collect())
+    skips = [0, *accumulate(n for _, n in sizes)]
+    offsets = df.sparkSession.createDataFrame([(r, skip) for (r, _), skip in zip(sizes, skips)], "_range int, _skip long")
     w = Window.partitionBy("_range").orderBy(*order)
     return (
         fixed.withColumn("_rn", F.row_number().over(w))

@@ -135,9 +135,9 @@ def _(t):
     return E.ranking_metrics(ranks.join(t.target.select("user_id", "domain"), "user_id"), by="domain")
 
 
-@query("baseline_metrics", "M8", CANDS + f"SELECT count(*) AS n, {METRICS} FROM cranks WHERE item_id < 80")
+@query("baseline_metrics", "M8", CANDS + f"SELECT count(*) AS n, {METRICS} FROM cranks WHERE item_id IN (SELECT item_id FROM items WHERE category <> 'ECONOMY')")
 def _(t):
-    return E.baseline_metrics(E.shifted_candidates(local_candidates(t), 50), t.target, t.items.filter("item_id < 80"))
+    return E.baseline_metrics(E.shifted_candidates(local_candidates(t), 50), t.target, t.items.filter("category <> 'ECONOMY'"))
 
 
 @query("set_precision", "M14 U4 U5 U6", """

@@ -93,26 +93,23 @@ def _(t):
 
 
 @query("packed_tokens", "L16", """
-@ s AS (SELECT user_id, list(item_id ORDER BY ts, event_id) AS k FROM ev_short GROUP BY user_id) @
+@ s AS (SELECT user_id, list(item_id ORDER BY ts, event_id) AS k FROM ranked WHERE back <= 15 GROUP BY user_id) @
 SELECT user_id, array_to_string(list_resize(k[1:12], 12, 0), ',') AS input_ids, array_to_string(list_resize(list_transform(k[1:12], lambda x: 1), 12, 0), ',') AS attention,
- array_to_string(list_resize(k[1:12], 12, -100), ',') AS labels FROM s""")
+ array_to_string(list_resize(k, 20, -100), ',') AS labels FROM s""")
 def _(t):
-    first = _tokens(t)
-    return texts(first.select("user_id", X.pack_tokens(F.col("k"), 12).alias("p")).select("user_id", "p.*"))
+    k = _tokens(t).select("user_id", X.pack_tokens(F.col("k"), 12).alias("p"), X.pack_tokens(F.col("k"), 20).alias("q"))
+    return texts(k.select("user_id", "p.input_ids", "p.attention", "q.labels"))
 
 
 def _tokens(t):
-    from crossloom.operators.ordering import top_per_key
-
-    first = top_per_key(t.ev_short, ["user_id"], [F.asc("ts"), F.asc("event_id")], 40)
-    return S.collect_ordered(first, ["user_id"], ["rank"], ["item_id"], "l").select("user_id", F.col("l.item_id").alias("k"))
+    return S.user_sequences(t.ev, least=1).select("user_id", F.col("seq.item_id").alias("k"))
 
 
 @query("prompt_masked_tokens", "L16", """
-@ s AS (SELECT user_id, list(item_id ORDER BY ts, event_id) AS k FROM ev_short GROUP BY user_id),
- e AS (SELECT user_id, CASE WHEN len(k) < 12 AND k[len(k)] <> 7 THEN list_append(k, 7) ELSE k[1:12] END AS ids, k[1:4] AS p FROM s),
+@ s AS (SELECT user_id, list(item_id ORDER BY ts, event_id) AS k FROM ranked WHERE back <= 15 GROUP BY user_id),
+ e AS (SELECT user_id, CASE WHEN len(k) < 20 AND k[len(k)] <> 7 THEN list_append(k, 7) ELSE k[1:20] END AS ids, k[1:4] AS p FROM s),
  m AS (SELECT user_id, ids, CASE WHEN p[len(p)] = 7 THEN len(p) - 1 ELSE len(p) END AS n FROM e) @
 SELECT user_id, array_to_string(ids, ',') AS input_ids, array_to_string(list_concat(list_resize([]::INT[], n, -100), ids[n+1:len(ids)]), ',') AS labels FROM m""")
 def _(t):
-    s = _tokens(t).select("user_id", X.pack_with_prompt(F.slice("k", 1, 4), F.col("k"), 7, 12).alias("p"))
+    s = _tokens(t).select("user_id", X.pack_with_prompt(F.slice("k", 1, 4), F.col("k"), 7, 20).alias("p"))
     return texts(s.select("user_id", "p.*"))

@@ -28,19 +28,19 @@ def _(t):
     return G.normalise_rows(G.transition_graph(t.ev)).withColumn("weight", F.round("weight", 6))
 
 
-TOKENS = """@ ut0 AS (SELECT DISTINCT t.user_id, a.attribute AS token FROM target t JOIN item_attributes a USING (item_id) WHERE t.user_id % 7 <> 0),
+TOKENS = """@ ut0 AS (SELECT DISTINCT t.user_id, a.attribute AS token FROM target t JOIN item_attributes a USING (item_id) WHERE t.event_type <> 'error'),
  ut AS (SELECT * FROM ut0 UNION ALL SELECT user_id, unnest(['Game', 'Movie']) FROM (SELECT DISTINCT user_id FROM ev WHERE user_id NOT IN (SELECT user_id FROM ut0))),
  it AS (SELECT DISTINCT i.item_id, i.domain, attribute AS token FROM item_attributes JOIN items i USING (item_id)),
  fq AS (SELECT token, count(CASE WHEN k = 'U' THEN 1 END) AS users, count(CASE WHEN k = 'X' THEN 1 END) AS x_items, count(CASE WHEN k = 'Y' THEN 1 END) AS y_items
   FROM (SELECT token, 'U' AS k FROM ut UNION ALL SELECT token, domain FROM it) GROUP BY token),
  kept AS (SELECT * FROM fq WHERE x_items > 1 OR y_items > 1),
- nodes AS (SELECT *, row_number() OVER (ORDER BY token) - 1 + 100 + (SELECT count(DISTINCT user_id) FROM ev) AS node FROM kept),
+ nodes AS (SELECT *, row_number() OVER (ORDER BY token) - 1 + (SELECT count(*) FROM items) + (SELECT count(DISTINCT user_id) FROM ev) AS node FROM kept),
  g AS (SELECT it.item_id, it.domain, nodes.* FROM it JOIN nodes USING (token)) @
 """
 
 
 def user_tokens(t):
-    own = t.target.filter("user_id % 7 <> 0").join(t.item_attributes, "item_id").select("user_id", F.col("attribute").alias("token")).distinct()
+    own = t.target.filter("event_type <> 'error'").join(t.item_attributes, "item_id").select("user_id", F.col("attribute").alias("token")).distinct()
     return G.default_tokens(t.ev.select("user_id"), own)
 
 
@@ -69,7 +69,7 @@ UNION ALL SELECT 'source', node, item_id FROM g WHERE domain = 'X' AND x_items >
 def _(t):
     kept = G.kept_tokens(G.token_frequency(user_tokens(t), item_tokens(t)))
     n_users = t.ev.select("user_id").distinct().count()
-    return G.attribute_graph(item_tokens(t), G.attribute_nodes(kept, 100, n_users))
+    return G.attribute_graph(item_tokens(t), G.attribute_nodes(kept, t.items.count(), n_users))
 
 
 @query("answer_tokens", "A11 F3 F4", r"""

@@ -27,14 +27,14 @@ def categories(t):
 
 
 @query("behaviour_profile", "A4 F12 D11", """
-@ u AS (SELECT DISTINCT user_id FROM ev) @
+@ u AS (SELECT c_custkey AS user_id FROM customer) @
 SELECT u.user_id, coalesce(total, 0) AS total, coalesce(x_count, 0) AS x_count, coalesce(y_count, 0) AS y_count, coalesce(ratio, 0.0) AS cross_ratio, coalesce(recent, '') AS recent FROM u LEFT JOIN (
 SELECT user_id, count(*) AS total, count(CASE WHEN domain = 'X' THEN 1 END) AS x_count, count(CASE WHEN domain = 'Y' THEN 1 END) AS y_count,
  round(1.0::DOUBLE - abs(count(CASE WHEN domain = 'X' THEN 1 END) - count(CASE WHEN domain = 'Y' THEN 1 END)) / count(*), 6) AS ratio,
  string_agg(CAST(item_id AS VARCHAR), ',' ORDER BY pos) FILTER (b <= 5) AS recent
-FROM (SELECT *, row_number() OVER (PARTITION BY user_id ORDER BY ts DESC, event_id DESC) AS b, row_number() OVER (PARTITION BY user_id ORDER BY ts, event_id) AS pos FROM ev_short) GROUP BY user_id) USING (user_id)""")
+FROM (SELECT *, row_number() OVER (PARTITION BY user_id ORDER BY ts DESC, event_id DESC) AS b, row_number() OVER (PARTITION BY user_id ORDER BY ts, event_id) AS pos FROM ev) GROUP BY user_id) USING (user_id)""")
 def _(t):
-    out = P.behaviour(t.ev_short, t.ev.select("user_id").distinct())
+    out = P.behaviour(t.ev, t.table("customer").select(F.col("c_custkey").alias("user_id")))
     return out.select("user_id", "total", "x_count", "y_count", F.round("cross_ratio", 6).alias("cross_ratio"),
                       F.concat_ws(",", F.col("recent_items").cast("array<string>")).alias("recent"))
 
@@ -52,13 +52,13 @@ def _(t):
 
 
 @query("mean_item_vectors", "A6", """
-@ v AS (SELECT e.user_id, e.domain, unnest(i.embedding) AS v, generate_subscripts(i.embedding, 1) AS pos FROM ev_short e JOIN (SELECT * FROM item_vec WHERE item_id % 9 <> 2) i USING (item_id)),
+@ v AS (SELECT e.user_id, e.domain, unnest(i.embedding) AS v, generate_subscripts(i.embedding, 1) AS pos FROM ev e JOIN item_vec i USING (item_id)),
  m AS (SELECT user_id, domain, pos, avg(v) AS v FROM v GROUP BY ALL),
- u AS (SELECT DISTINCT user_id FROM ev_short) @
+ u AS (SELECT DISTINCT user_id FROM ev) @
 SELECT u.user_id, coalesce(round(sum(CASE WHEN domain = 'X' THEN v * pos END), 6), 0.0) + 0.0 AS x_sum, coalesce(round(sum(CASE WHEN domain = 'Y' THEN v * pos END), 6), 0.0) + 0.0 AS y_sum
 FROM u LEFT JOIN m USING (user_id) GROUP BY u.user_id""")
 def _(t):
-    means = P.user_mean_pairs(t.ev_short, t.item_vec.filter("item_id % 9 <> 2"), 64)
+    means = P.user_mean_pairs(t.ev, t.item_vec, 64)
     weights = F.transform(F.sequence(F.lit(1), F.lit(64)), lambda i: i.cast("double"))
     return means.select("user_id", *[(F.round(V.dot(F.col(f"{d}_vec"), weights), 6) + 0.0).alias(f"{d}_sum") for d in "xy"])
 
@@ -74,7 +74,7 @@ def _(t):
 NEAR_TITLES = """ nl AS (SELECT user_id, 'X' AS domain, x_vec AS v FROM user_vec UNION ALL SELECT user_id, 'Y', y_vec FROM user_vec),
  nr AS (SELECT *, row_number() OVER (PARTITION BY user_id, domain ORDER BY score DESC, item_id) AS rank FROM
  (SELECT nl.user_id, nl.domain, i.item_id, round(list_dot_product(nl.v, i.embedding) / ((sqrt(list_dot_product(nl.v, nl.v)) + 1e-8) * (sqrt(list_dot_product(i.embedding, i.embedding)) + 1e-8)), 6) AS score FROM nl JOIN item_vec i ON i.domain = nl.domain)),
- near AS (SELECT user_id, string_agg(title, ', ' ORDER BY nr.domain, rank) AS near_titles FROM nr JOIN items USING (item_id) WHERE rank <= 3 GROUP BY 1)"""
+ near AS (SELECT user_id, string_agg(title, ', ' ORDER BY nr.domain, rank) AS near_titles FROM (SELECT nr.*, coalesce(i.title, CAST(nr.item_id AS VARCHAR)) AS title FROM nr LEFT JOIN items i USING (item_id)) nr WHERE rank <= 3 GROUP BY 1)"""
 
 
 @query("detailed_profile_text", "L8 D11 F10 F11 J1 V7", "@" + PREF + "," + NEAR_TITLES + """,

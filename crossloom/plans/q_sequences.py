@@ -34,10 +34,9 @@ def _(t):
 
 
 @query("min_activity", "P1", """
-SELECT user_id, count(*) AS n, min(event_id) AS first_event FROM ev_short GROUP BY user_id HAVING count(*) >= 3""")
+SELECT event_id FROM ev WHERE (user_id, item_id) IN (SELECT (user_id, item_id) FROM ev GROUP BY user_id, item_id HAVING count(*) >= 3)""")
 def _(t):
-    return S.min_activity(t.ev_short).groupBy("user_id").agg(
-        F.count(F.lit(1)).alias("n"), F.min("event_id").alias("first_event"))
+    return S.min_activity(t.ev, keys=("user_id", "item_id")).select("event_id")
 
 
 @query("recent_events", "W1 F12 W9", """
@@ -148,11 +147,11 @@ def _(t):
 
 
 @query("mapped_events", "P4", """
-SELECT event_id, item_id, CAST(item_id AS BIGINT) AS idx FROM ev WHERE item_id < 80 AND user_id IN
- (SELECT user_id FROM ev WHERE item_id < 80 GROUP BY user_id HAVING count(*) >= 3)""")
+SELECT event_id, item_id, CAST(item_id AS BIGINT) AS idx FROM ev WHERE item_id IN (SELECT p_partkey FROM part) AND user_id IN
+ (SELECT user_id FROM ev WHERE item_id IN (SELECT p_partkey FROM part) AND item_id < (SELECT count(*) FROM embeddings) GROUP BY user_id HAVING count(*) >= 3)""")
 def _(t):
     id_map = dense_index(t.items.select("item_id"), ["item_id"])
-    return S.mapped_only(t.ev, id_map, feature_rows=80).select("event_id", "item_id", "idx")
+    return S.mapped_only(t.ev, id_map, feature_rows=t.table("embeddings").count()).select("event_id", "item_id", "idx")
 
 
 @query("every_second_row", "P5", """
@@ -198,12 +197,12 @@ def _(t):
 
 
 @query("union_override", "U2", """
-SELECT p_partkey AS item_id, CASE WHEN p_partkey >= 40 THEN 'y:' || p_name ELSE 'x:' || p_name END AS title FROM part WHERE p_partkey < 60 OR p_partkey >= 40""")
+SELECT p_partkey AS item_id, CASE WHEN p_size > 25 THEN 'y:' || p_name ELSE 'x:' || p_name END AS title FROM part""")
 def _(t):
     part = t.table("part")
     key = F.col("p_partkey").alias("item_id")
-    x = part.filter("p_partkey < 60").select(key, F.concat(F.lit("x:"), "p_name").alias("title"))
-    y = part.filter("p_partkey >= 40").select(key, F.concat(F.lit("y:"), "p_name").alias("title"))
+    x = part.select(key, F.concat(F.lit("x:"), "p_name").alias("title"))
+    y = part.filter("p_size > 25").select(key, F.concat(F.lit("y:"), "p_name").alias("title"))
     return S.union_override(x, y, key=["item_id"])
 
 
@@ -214,9 +213,9 @@ def _(t):
 
 
 @query("id_mapping", "T5 D5", """
-SELECT item_id, domain, row_number() OVER (ORDER BY item_id) - 1 AS idx FROM (SELECT DISTINCT item_id, domain FROM ev_short)""")
+SELECT item_id, domain, row_number() OVER (ORDER BY item_id) - 1 AS idx FROM (SELECT DISTINCT item_id, domain FROM items)""")
 def _(t):
-    return K.id_mapping(t.ev_short)
+    return K.id_mapping(t.items)
 
 
 @query("distinct_items", "A2 U6", "SELECT DISTINCT domain, item_id FROM ev")
@@ -232,21 +231,21 @@ def _(t):
 
 @query("titled_events", "J1", """
 SELECT e.event_id, coalesce(i.title, CAST(e.item_id AS VARCHAR)) AS title, coalesce(i.domain, 'Unknown') AS domain
-FROM ev e LEFT JOIN (SELECT * FROM items WHERE item_id % 10 <> 3) i USING (item_id)""")
+FROM ev e LEFT JOIN items i USING (item_id)""")
 def _(t):
-    return K.with_titles(t.ev, t.items.filter("item_id % 10 <> 3")).select("event_id", "title", "domain")
+    return K.with_titles(t.ev, t.items).select("event_id", "title", "domain")
 
 
 @query("event_attributes", "J2", """
-SELECT e.event_id, a.attribute FROM ev e LEFT JOIN (SELECT * FROM item_attributes WHERE item_id % 10 <> 3) a USING (item_id)""")
+SELECT e.event_id, a.attribute FROM ev e LEFT JOIN item_attributes a USING (item_id)""")
 def _(t):
-    return K.with_attributes(t.ev, t.item_attributes.filter("item_id % 10 <> 3")).select("event_id", "attribute")
+    return K.with_attributes(t.ev, t.item_attributes).select("event_id", "attribute")
 
 
 @query("index_to_item", "J3", """
-SELECT user_id, rank, CASE WHEN item_id < 60 THEN 'item-' || item_id ELSE CAST(item_id AS VARCHAR) END AS item_key FROM preds""")
+SELECT user_id, rank, CASE WHEN item_id IN (SELECT item_id FROM items WHERE category <> 'ECONOMY') THEN 'item-' || item_id ELSE CAST(item_id AS VARCHAR) END AS item_key FROM preds""")
 def _(t):
-    id_map = t.items.filter("item_id < 60").select(F.col("item_id").alias("idx"), F.concat(F.lit("item-"), "item_id").alias("item_id"))
+    id_map = t.items.filter("category <> 'ECONOMY'").select(F.col("item_id").alias("idx"), F.concat(F.lit("item-"), "item_id").alias("item_id"))
     out = K.index_to_id(t.preds.withColumnRenamed("item_id", "idx"), id_map)
     return out.select("user_id", F.col("rank").cast("long").alias("rank"), "item_key")
 

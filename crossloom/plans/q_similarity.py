@@ -76,7 +76,7 @@ def _(t):
 @ l AS (SELECT user_id, 'X' AS domain, x_vec AS v FROM user_vec UNION ALL SELECT user_id, 'Y', y_vec FROM user_vec),
  r AS (SELECT *, row_number() OVER (PARTITION BY user_id, domain ORDER BY score DESC, item_id) AS rank FROM
  (SELECT l.user_id, l.domain, i.item_id, round(%s, 6) + 0.0 AS score FROM l JOIN item_vec i ON i.domain = l.domain)) @
-SELECT r.user_id, r.domain, r.rank, r.item_id, i.title, r.score FROM r JOIN items i USING (item_id) WHERE r.rank <= 5""" % cos("l.v", "i.embedding"))
+SELECT r.user_id, r.domain, r.rank, r.item_id, coalesce(i.title, CAST(r.item_id AS VARCHAR)) AS title, r.score FROM r LEFT JOIN items i USING (item_id) WHERE r.rank <= 5""" % cos("l.v", "i.embedding"))
 def _(t):
     out = M.neighbour_items(t.user_vec, t.item_vec, t.items)
     return out.select("user_id", "domain", F.col("rank").cast("long").alias("rank"), "item_id", "title", "score")
@@ -117,12 +117,12 @@ def _(t):
 
 
 @query("given_pair_similarity", "V9 J14 V1", """
-@ p AS (SELECT user_id, rank, item_id * 5 AS similar_id, 0.5 AS old FROM preds) @
+@ p AS (SELECT user_id, rank, item_id * 7 AS similar_id FROM preds) @
 SELECT p.user_id, p.similar_id, CASE WHEN a.id IS NULL OR b.id IS NULL THEN 0.5 ELSE round(%s, 4) + 0.0 END AS similarity
-FROM p LEFT JOIN vectors a ON a.id = p.user_id AND a.id %% 4 <> 1 LEFT JOIN vectors b ON b.id = p.similar_id AND b.id %% 4 <> 1""" % cos("a.embedding", "b.embedding"))
+FROM p LEFT JOIN vectors a ON a.id = p.user_id LEFT JOIN vectors b ON b.id = p.similar_id""" % cos("a.embedding", "b.embedding"))
 def _(t):
-    pairs = t.preds.select("user_id", (F.col("item_id") * 5).cast("long").alias("similar_id"), F.lit(0.5).alias("similarity"))
-    out = M.refresh_pairs(pairs, t.vectors.filter("id % 4 <> 1"))
+    pairs = t.preds.select("user_id", (F.col("item_id") * 7).cast("long").alias("similar_id"), F.lit(0.5).alias("similarity"))
+    out = M.refresh_pairs(pairs, t.vectors)
     return out.select("user_id", "similar_id", (F.col("similarity") + 0.0).alias("similarity"))
 
 

@@ -13,7 +13,7 @@ from crossloom.sources import readers as I
 
 @query("parsed_interactions", "S1 D1", """
 SELECT event_id, CASE WHEN event_id % 7 = 3 THEN '' ELSE CAST(user_id AS VARCHAR) END AS user_id, CAST(item_id AS VARCHAR) AS item_id,
- CASE WHEN event_id % 5 = 2 THEN 0 ELSE event_id END AS ts, domain FROM ev WHERE event_id % 11 NOT IN (0, 1)""")
+ CASE WHEN event_id % 5 = 2 THEN 0 ELSE event_id END AS ts, domain FROM ev WHERE event_type <> 'error' AND value >= 1""")
 def _(t):
     e = F.col("event_id")
     user, item = F.col("user_id").cast("string"), F.col("item_id").cast("string")
@@ -21,20 +21,21 @@ def _(t):
     ts = F.when(e % 5 != 2, e)
     plain = F.to_json(F.struct(user.alias("user_id"), item.alias("item_id"), ts.alias("timestamp")))
     alias = F.to_json(F.struct(user.alias("reviewerID"), item.alias("asin"), ts.alias("unixReviewTime")))
-    line = F.when(e % 11 == 0, "  ").when(e % 11 == 1, '{"user_id": broken').when(e % 2 == 0, plain).otherwise(alias)
+    # some records arrive blank or broken
+    line = F.when(F.col("value") < 1, "  ").when(F.col("event_type") == "error", '{"user_id": broken').when(e % 2 == 0, plain).otherwise(alias)
     return I.parse_interactions(t.ev.select("event_id", F.col("domain").alias("d"), line.alias("value")), F.col("d")).drop("d")
 
 
 @query("parsed_items", "S2 D3", """
-@ l AS (SELECT p_partkey, 0 AS dup FROM part UNION ALL SELECT p_partkey, 1 FROM part WHERE p_partkey % 10 = 0),
+@ l AS (SELECT p_partkey, 0 AS dup FROM part UNION ALL SELECT p_partkey, 1 FROM part WHERE p_size > 40),
  d AS (SELECT p.*, l.dup FROM part p JOIN l USING (p_partkey)) @
 SELECT CAST(p_partkey AS VARCHAR) AS item_id, p_name || CASE WHEN dup = 1 THEN ' again' ELSE '' END AS title, CASE WHEN p_partkey % 3 = 0 THEN p_name || ' ' || p_type ELSE p_name END AS description,
  CASE WHEN p_partkey % 4 = 0 THEN p_type || '|' || p_brand WHEN p_partkey % 4 = 1 THEN p_type || '|' || p_brand ELSE p_type END AS category, p_brand AS brand, 'X' AS domain
-FROM d WHERE dup = 1 OR p_partkey % 10 <> 0""")
+FROM d WHERE dup = 1 OR p_size <= 40""")
 def _(t):
     k = F.col("p_partkey")
     text = lambda c: F.concat(F.lit('"'), c, F.lit('"'))
-    dup = F.explode(F.when(k % 10 == 0, F.array(F.lit(0), F.lit(1))).otherwise(F.array(F.lit(0)))).alias("dup")
+    dup = F.explode(F.when(F.col("p_size") > 40, F.array(F.lit(0), F.lit(1))).otherwise(F.array(F.lit(0)))).alias("dup")
     rows = t.table("part").select("*", dup)
     title = F.concat("p_name", F.when(F.col("dup") == 1, " again").otherwise(""))
     description = F.when(k % 3 == 0, F.concat(F.lit("["), text(F.col("p_name")), F.lit(","), text(F.col("p_type")), F.lit("]"))).otherwise(text(F.col("p_name")))
@@ -47,10 +48,10 @@ def _(t):
 
 
 @query("parsed_catalogue", "S3", """
-SELECT 'A' || p_partkey AS item_id, p_name || ', "' || p_type || '"' AS title, CAST(p_partkey AS INT) AS idx, 'X' AS domain FROM part WHERE p_partkey % 6 <> 5""")
+SELECT 'A' || p_partkey AS item_id, p_name || ', "' || p_type || '"' AS title, CAST(p_partkey AS INT) AS idx, 'X' AS domain FROM part WHERE p_size <= 40""")
 def _(t):
     k = F.col("p_partkey")
-    idx = F.when(k % 6 == 5, "n/a").otherwise(k.cast("string"))
+    idx = F.when(F.col("p_size") > 40, "n/a").otherwise(k.cast("string"))
     line = F.concat(F.lit("A"), k.cast("string"), F.lit(',"'), "p_name", F.lit(', ""'), "p_type", F.lit('""",'), idx)
     return I.parse_catalogue(t.table("part").select(line.alias("value")), "X")
 
@@ -172,10 +173,10 @@ def _(t):
     return R.training_summary(*logs(t))
 
 
-@query("answer_log", "S10", "SELECT doc_id AS idx, md5(trim(text)) AS answer FROM documents WHERE doc_id % 4 <> 1")
+@query("answer_log", "S10", "SELECT doc_id AS idx, md5(trim(text)) AS answer FROM documents WHERE lang <> 'de'")
 def _(t):
     k = F.col("doc_id")
-    record = F.when(k % 4 == 1, F.col("lang")).otherwise(F.concat(F.lit("\n"), k.cast("string"), F.lit("@@"), "text", F.lit("\n")))
+    record = F.when(F.col("lang") == "de", F.col("lang")).otherwise(F.concat(F.lit("\n"), k.cast("string"), F.lit("@@"), "text", F.lit("\n")))
     out = I.parse_answers(t.table("documents").select(record.alias("value")))
     return out.select("idx", F.md5(F.col("answer").cast("binary")).alias("answer"))
 

@@ -11,9 +11,8 @@ from crossloom.operators import sequences as S
 from crossloom.operators.ordering import top_per_key
 from crossloom.session import materialize
 
-FIRST_Y = 50
-ITEMS = 100
-PAD = ITEMS
+FIRST_Y = 50  # items 0-99 occur in the events; the first half belongs to X
+CYCLE = 100  # further catalogue items alternate in the same way
 
 
 class Tables:
@@ -40,11 +39,11 @@ class Tables:
 
     @cached_property
     def items(self) -> DataFrame:
-        return self.table("part").filter(F.col("p_partkey") < ITEMS).select(
+        return self.table("part").select(
             F.col("p_partkey").cast("int").alias("item_id"),
             F.concat_ws(" ", "p_name", "p_brand", "p_type").alias("title"),
             F.col("p_name").alias("short_title"), F.col("p_type").alias("category"), F.col("p_brand").alias("brand"),
-            S.domain_by_threshold(F.col("p_partkey"), FIRST_Y).alias("domain"),
+            S.domain_by_threshold(F.col("p_partkey") % CYCLE, FIRST_Y).alias("domain"),
         )
 
     @cached_property
@@ -119,10 +118,10 @@ class Tables:
 
     @cached_property
     def item_vec(self) -> DataFrame:
-        v = self.table("embeddings").filter(F.col("vec_id") < ITEMS)
-        return v.select(F.col("vec_id").cast("int").alias("item_id"),
-                        S.domain_by_threshold(F.col("vec_id"), FIRST_Y).alias("domain"),
-                        F.when(F.col("vec_id") < FIRST_Y, F.col("embedding")).otherwise(F.reverse("embedding")).alias("embedding"))
+        domain = S.domain_by_threshold(F.col("vec_id") % CYCLE, FIRST_Y)
+        return self.table("embeddings").select(
+            F.col("vec_id").cast("int").alias("item_id"), domain.alias("domain"),
+            F.when(domain == "X", F.col("embedding")).otherwise(F.reverse("embedding")).alias("embedding"))
 
 
 # The same views for the SQL side; unused ones cost nothing.
@@ -132,7 +131,7 @@ ev AS (SELECT event_id, user_id, ts, CAST(regexp_extract(props,'[0-9]+') AS INT)
 ev_short AS (SELECT * FROM ev WHERE ts < TIMESTAMP '2024-01-02'),
 items AS (SELECT CAST(p_partkey AS INT) AS item_id, p_name || ' ' || p_brand || ' ' || p_type AS title,
   p_name AS short_title, p_type AS category, p_brand AS brand,
-  CASE WHEN p_partkey < 50 THEN 'X' ELSE 'Y' END AS domain FROM part WHERE p_partkey < 100),
+  CASE WHEN p_partkey % 100 < 50 THEN 'X' ELSE 'Y' END AS domain FROM part),
 item_attributes AS (SELECT item_id, CAST(u.pos - 1 AS INT) AS pos, u.a AS attribute FROM (
   SELECT item_id, list_append(string_split(short_title,' '), lower(category)) AS l FROM items),
   LATERAL (SELECT unnest(l) AS a, generate_subscripts(l,1) AS pos) u),
@@ -151,6 +150,6 @@ text_preds AS (SELECT t.user_id, t.item_id AS target_item_id, t.domain AS target
 vectors AS (SELECT vec_id AS id, CAST(embedding AS DOUBLE[]) AS embedding, CASE WHEN label < 5 THEN 'X' ELSE 'Y' END AS domain FROM embeddings),
 user_vec AS (SELECT vec_id AS user_id, CAST(embedding AS DOUBLE[]) AS x_vec, list_reverse(CAST(embedding AS DOUBLE[])) AS y_vec
   FROM embeddings WHERE vec_id IN (SELECT user_id FROM events)),
-item_vec AS (SELECT CAST(vec_id AS INT) AS item_id, CASE WHEN vec_id < 50 THEN 'X' ELSE 'Y' END AS domain,
-  CASE WHEN vec_id < 50 THEN CAST(embedding AS DOUBLE[]) ELSE list_reverse(CAST(embedding AS DOUBLE[])) END AS embedding FROM embeddings WHERE vec_id < 100)
+item_vec AS (SELECT CAST(vec_id AS INT) AS item_id, CASE WHEN vec_id % 100 < 50 THEN 'X' ELSE 'Y' END AS domain,
+  CASE WHEN vec_id % 100 < 50 THEN CAST(embedding AS DOUBLE[]) ELSE list_reverse(CAST(embedding AS DOUBLE[])) END AS embedding FROM embeddings)
 """
