@@ -21,6 +21,7 @@ from crossloom.session import materialize
 HOT_ROWS = 2_000_000
 GROUP_LIMIT = "spark.sql.optimizer.windowGroupLimitThreshold"
 SALTS = 1024
+DETECT = object()  # look for hot keys; a caller that has looked already passes its finding (None: there are none)
 BROADCAST_KEYS = 100_000
 
 
@@ -72,14 +73,16 @@ def hot_keys(df: DataFrame, keys: Sequence[str], hot_rows: int) -> tuple[DataFra
     return (materialize(counts), n) if n else None
 
 
-def keyed_join(big: DataFrame, small: DataFrame, keys: Sequence[str], how: str = "inner", hot_rows: int = HOT_ROWS) -> DataFrame:
+def keyed_join(big: DataFrame, small: DataFrame, keys: Sequence[str], how: str = "inner", hot_rows: int = HOT_ROWS,
+               hot=DETECT) -> DataFrame:
     """Join with a side that has at most one row per key, safe for hot keys even when the same keys are grouped next.
 
     (The adaptive skew join stays away in that case, because splitting would
     break the partitioning the grouping relies on.) Rows of hot keys do not
     move: the few matching rows of the small side are sent to them.
     """
-    hot = hot_keys(big, keys, hot_rows)
+    if hot is DETECT:
+        hot = hot_keys(big, keys, hot_rows)
     if hot is None or hot[1] > BROADCAST_KEYS:
         return big.join(small, list(keys), how)
     side = F.broadcast(hot[0])
@@ -97,6 +100,7 @@ def ordered_columns(
     following: Mapping[str, str] | None = None,
     position: str | None = None,
     hot_rows: int = HOT_ROWS,
+    hot=DETECT,
 ) -> DataFrame:
     """Add previous/next values (``{new column: source column}``) and the 1-based position within each key.
 
@@ -112,7 +116,8 @@ def ordered_columns(
             part = part.withColumn(out, F.lead(src).over(w))
         return part.withColumn(position, F.row_number().over(w).cast("long")) if position else part
 
-    hot = hot_keys(df, keys, hot_rows)
+    if hot is DETECT:
+        hot = hot_keys(df, keys, hot_rows)
     if hot is None:
         return plain(df)
     hot_df, n_hot = hot

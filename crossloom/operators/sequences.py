@@ -8,7 +8,8 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from crossloom import constants as C
-from crossloom.operators.ordering import HOT_ROWS, dense_index, draw, keyed_join, last_per_key, ordered_columns, top_per_key
+from crossloom.operators.ordering import HOT_ROWS, dense_index, draw, hot_keys, keyed_join, last_per_key, ordered_columns, top_per_key
+from crossloom.session import materialize
 
 ORDER = ("ts", "event_id")
 
@@ -111,8 +112,10 @@ def transitions(events: DataFrame, within_domain: bool = False, order: Sequence[
 
 def positions(events: DataFrame, order: Sequence[str] = ORDER, hot_rows: int = HOT_ROWS) -> DataFrame:
     """Position in the sequence, and position within X and within Y (0 in slots of the other domain)."""
-    out = ordered_columns(events, ["user_id"], order, position="pos", hot_rows=hot_rows)
-    out = ordered_columns(out, ["user_id", "domain"], order, position="_dpos", hot_rows=hot_rows)
+    hot = hot_keys(events, ["user_id"], hot_rows)
+    hot_domains = hot_keys(events, ["user_id", "domain"], hot_rows) if hot else None
+    out = ordered_columns(events, ["user_id"], order, position="pos", hot=hot)
+    out = ordered_columns(out, ["user_id", "domain"], order, position="_dpos", hot=hot_domains)
     x = F.col("domain") == "X"
     return out.select(
         "*",
@@ -139,11 +142,15 @@ def next_in_domain(events: DataFrame, targets: DataFrame, order: Sequence[str] =
     the same domain, else it has no label. Users without a label in X or
     without one in Y are dropped.
     """
-    out = ordered_columns(events, ["user_id", "domain"], order, following={"_next": "item_id"}, hot_rows=hot_rows)
+    hot = hot_keys(events, ["user_id"], hot_rows)
+    hot_domains = hot_keys(events, ["user_id", "domain"], hot_rows) if hot else None
+    out = ordered_columns(events, ["user_id", "domain"], order, following={"_next": "item_id"}, hot=hot_domains)
     final = targets.select("user_id", F.col("item_id").alias("_t_item"), F.col("domain").alias("_t_domain"))
-    out = keyed_join(out, final, ["user_id"], "left", hot_rows).withColumn(
+    out = keyed_join(out, final, ["user_id"], "left", hot=hot).withColumn(
         "label", F.coalesce("_next", F.when(F.col("domain") == F.col("_t_domain"), F.col("_t_item")))
     )
+    if hot:
+        out = materialize(out)  # read twice below, and expensive when keys are cut into ranges
     both = (
         out.groupBy("user_id")
         .agg(
@@ -152,7 +159,7 @@ def next_in_domain(events: DataFrame, targets: DataFrame, order: Sequence[str] =
         )
         .filter((F.col("_x") > 0) & (F.col("_y") > 0))
     )
-    return keyed_join(out, both, ["user_id"], "left_semi", hot_rows).drop("_next", "_t_item", "_t_domain")
+    return keyed_join(out, both, ["user_id"], "left_semi", hot=hot).drop("_next", "_t_item", "_t_domain")
 
 
 def last_positions(events: DataFrame, order: Sequence[str] = ORDER, hot_rows: int = HOT_ROWS) -> DataFrame:
