@@ -117,7 +117,7 @@ def _(t):
 
 
 @query("given_pair_similarity", "V9 J14 V1", """
-@ p AS (SELECT user_id, rank, item_id * 7 AS similar_id FROM preds) @
+@ p AS (SELECT user_id, rank, CAST(item_id * 7 AS BIGINT) AS similar_id FROM preds) @
 SELECT p.user_id, p.similar_id, CASE WHEN a.id IS NULL OR b.id IS NULL THEN 0.5 ELSE round(%s, 4) + 0.0 END AS similarity
 FROM p LEFT JOIN vectors a ON a.id = p.user_id LEFT JOIN vectors b ON b.id = p.similar_id""" % cos("a.embedding", "b.embedding"))
 def _(t):
