@@ -1,6 +1,8 @@
 """The registered queries as a whole."""
 
 import re
+import subprocess
+import sys
 from pathlib import Path
 
 import __spark_entry__ as entry
@@ -48,3 +50,15 @@ def test_checkpoint_folder_is_kept(spark, tmp_path):
     first = spark.sparkContext.getCheckpointDir()
     ensure_checkpoint_dir(spark)
     assert spark.sparkContext.getCheckpointDir() == first
+
+
+def test_task_functions_do_not_need_the_package(tmp_path):
+    """A function that runs in tasks can be loaded where the package is not importable."""
+    from pyspark import cloudpickle
+
+    from crossloom.operators import similarity
+
+    path = tmp_path / "f.pkl"
+    path.write_bytes(cloudpickle.dumps([similarity._best, similarity._score_blocks, similarity._token_products]))
+    code = "import sys, pickle; pickle.load(open(sys.argv[1], 'rb')); assert 'crossloom' not in sys.modules"
+    subprocess.run([sys.executable, "-c", code, str(path)], check=True, cwd=tmp_path, timeout=120)
