@@ -215,7 +215,7 @@ def call_model(rows: DataFrame, model: Callable[[list[str]], list[str]], prompt:
 def resumable_answers(todo: DataFrame, path: str, model: Callable[[list[str]], list[str]], key: str, prompt: str = "prompt") -> None:
     """Answer what the output folder does not hold yet and append it. A second run only does the rest.
 
-    Failed rows are appended with their error as well; ``retry`` them by removing them from the folder's readers.
+    Failed rows are appended with their error and count as done.
     """
     spark = todo.sparkSession
     try:
