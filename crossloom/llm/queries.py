@@ -2,9 +2,10 @@
 
 from __future__ import annotations
 
-from crossloom.llm import simhash
+from crossloom.llm import simhash, substring
 
 QUERIES = {
     "op7_simhash_near_dedup": simhash.query,
+    "op10_substring_dedup": substring.query,
 }
 ORACLE: dict[str, str] = {}
