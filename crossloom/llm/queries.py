@@ -2,10 +2,11 @@
 
 from __future__ import annotations
 
-from crossloom.llm import mixing, simhash, substring
+from crossloom.llm import mixing, packing, simhash, substring
 
 QUERIES = {
     "op1_mix_to_target_weights": mixing.query,
+    "op5_pack_sum_of_squares": packing.query,
     "op7_simhash_near_dedup": simhash.query,
     "op10_substring_dedup": substring.query,
 }
