@@ -2,12 +2,14 @@
 
 from __future__ import annotations
 
-from crossloom.llm import mixing, packing, simhash, substring
+from crossloom.llm import langid, mixing, packing, simhash, substring, toxicity
 
 QUERIES = {
     "op1_mix_to_target_weights": mixing.query,
+    "op3_toxicity_convolution": toxicity.query,
     "op5_pack_sum_of_squares": packing.query,
     "op7_simhash_near_dedup": simhash.query,
+    "op9_language_by_compression": langid.query,
     "op10_substring_dedup": substring.query,
 }
 ORACLE: dict[str, str] = {"op1_mix_to_target_weights": mixing.SQL}
