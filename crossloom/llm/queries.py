@@ -2,13 +2,14 @@
 
 from __future__ import annotations
 
-from crossloom.llm import langid, mixing, packing, simhash, substring, toxicity
+from crossloom.llm import langid, mixing, packing, quality, simhash, substring, toxicity
 
 QUERIES = {
     "op1_mix_to_target_weights": mixing.query,
     "op3_toxicity_convolution": toxicity.query,
     "op5_pack_sum_of_squares": packing.query,
     "op7_simhash_near_dedup": simhash.query,
+    "op8_distribution_divergence": quality.query,
     "op9_language_by_compression": langid.query,
     "op10_substring_dedup": substring.query,
 }
