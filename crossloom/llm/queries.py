@@ -2,10 +2,11 @@
 
 from __future__ import annotations
 
-from crossloom.llm import langid, mixing, packing, quality, simhash, substring, toxicity
+from crossloom.llm import langid, mixing, packing, quality, simhash, substring, toxicity, warc
 
 QUERIES = {
     "op1_mix_to_target_weights": mixing.query,
+    "op2_warc_zstandard": warc.query,
     "op3_toxicity_convolution": toxicity.query,
     "op5_pack_sum_of_squares": packing.query,
     "op7_simhash_near_dedup": simhash.query,
@@ -13,4 +14,4 @@ QUERIES = {
     "op9_language_by_compression": langid.query,
     "op10_substring_dedup": substring.query,
 }
-ORACLE: dict[str, str] = {"op1_mix_to_target_weights": mixing.SQL}
+ORACLE: dict[str, str] = {"op1_mix_to_target_weights": mixing.SQL, "op2_warc_zstandard": warc.SQL}
