@@ -2,12 +2,13 @@
 
 from __future__ import annotations
 
-from crossloom.llm import langid, mixing, packing, quality, simhash, substring, toxicity, warc
+from crossloom.llm import htmltext, langid, mixing, packing, quality, simhash, substring, toxicity, warc
 
 QUERIES = {
     "op1_mix_to_target_weights": mixing.query,
     "op2_warc_zstandard": warc.query,
     "op3_toxicity_convolution": toxicity.query,
+    "op4_html_text_density": htmltext.query,
     "op5_pack_sum_of_squares": packing.query,
     "op7_simhash_near_dedup": simhash.query,
     "op8_distribution_divergence": quality.query,
