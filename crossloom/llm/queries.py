@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from crossloom.llm import htmltext, langid, mixing, packing, quality, simhash, substring, toxicity, warc
+from crossloom.llm import covertree, htmltext, langid, mixing, packing, quality, simhash, substring, toxicity, warc
 
 QUERIES = {
     "op1_mix_to_target_weights": mixing.query,
@@ -10,6 +10,7 @@ QUERIES = {
     "op3_toxicity_convolution": toxicity.query,
     "op4_html_text_density": htmltext.query,
     "op5_pack_sum_of_squares": packing.query,
+    "op6_cover_tree_near_dedup": covertree.query,
     "op7_simhash_near_dedup": simhash.query,
     "op8_distribution_divergence": quality.query,
     "op9_language_by_compression": langid.query,
