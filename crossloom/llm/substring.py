@@ -6,7 +6,7 @@ dealt into groups by a prefix of theirs, and each group's subtree is built in
 one task:
 
 1. The prefix is the word gram with the smallest hash in a window, so it is
-   fixed by the window's words alone and starts only about every ninth suffix.
+   fixed by the window's words alone and starts only about every seventh suffix.
    Prefixes that occur once in the corpus cannot head a repeat; their suffixes
    are left out before any text moves.
 2. Consecutive windows that share their prefix are kept as one stretch of text.
@@ -26,7 +26,7 @@ from pyspark.sql import functions as F
 from crossloom.llm.common import raw_text, text_batches, written
 
 WINDOW = 20
-GRAM = 5
+GRAM = 8
 LEAVES = 20_000  # leaves of one prefix beyond which it is prolonged
 TASK_WORDS = 1_000_000  # words of the subtrees that a task ranks at once
 CODES = 400_000  # word hashes remembered by a task
