@@ -80,17 +80,21 @@ def _comma_values(inner: Column) -> Column:
     return F.transform(unquoted, lambda v: F.regexp_replace(v, r"^'+|'+$", ""))
 
 
-def loose_list(c: Column) -> Column:
-    """A JSON list, else the first bracketed JSON list in the text, else its comma separated values."""
+def loose_list(c: Column, strip_unquoted: bool = False) -> Column:
+    """A JSON list, else the first bracketed JSON list in the text, else its comma separated values.
+
+    ``strip_unquoted`` also strips the separated values once their quotes are off.
+    """
     text = F.coalesce(c, F.lit(""))
     whole = F.when(F.startswith(strip(text), F.lit("[")) & F.endswith(strip(text), F.lit("]")),
                    F.from_json(text, "array<string>"))
     inner = F.regexp_extract(text, r"(?s)\[(.*?)\]", 1)
     bracketed = F.from_json(F.concat(F.lit("["), inner, F.lit("]")), "array<string>")
     found = F.regexp_like(text, F.lit(r"(?s)\[.*?\]"))
+    separated = _comma_values(inner)
     return F.coalesce(
         _stripped_values(whole),
-        F.when(found, F.coalesce(_stripped_values(bracketed), _comma_values(inner))),
+        F.when(found, F.coalesce(_stripped_values(bracketed), F.transform(separated, strip) if strip_unquoted else separated)),
         F.array().cast("array<string>"),
     )
 
@@ -102,7 +106,7 @@ def attribute_answer(c: Column) -> Column:
     lists = [r"(?s)ATTRIBUTES:\s*(\[.*?\])", r"(?s)属性:\s*(\[.*?\])", r"(?s)(\[[\"'][^]]*[\"']\])"]
     intros = [r"(?s)INTRODUCTION:\s*(.*?)(?=ATTRIBUTES:|$)", r"(?s)介绍:\s*(.*?)(?=属性:|$)"]
     labelled = [F.transform(F.from_json(F.regexp_extract(text, p, 1), "array<string>"), strip) for p in lists]
-    attributes = F.coalesce(*[F.when(F.size(a) > 0, a) for a in labelled], loose_list(text))
+    attributes = F.coalesce(*[F.when(F.size(a) > 0, a) for a in labelled], loose_list(text, strip_unquoted=True))
     intro = F.coalesce(*[F.when(F.regexp_like(text, F.lit(p)), strip(F.regexp_extract(text, p, 1))) for p in intros],
                        F.lit(""))
     return F.struct(intro.alias("intro"), attributes.alias("attributes"))
@@ -140,7 +144,7 @@ def normalise_domain(c: Column) -> Column:
     """Known aliases to their label, everything else capitalised."""
     d = normalise(c)
     aliases = F.create_map(*[F.lit(v) for pair in C.DOMAIN_ALIASES.items() for v in pair])
-    capitalised = F.concat(F.upper(F.substring(d, 1, 1)), F.substring(d, 2, 1_000_000))
+    capitalised = F.concat(F.upper(F.substring(d, 1, 1)), F.substring(d, F.lit(2), F.length(d)))
     return F.coalesce(F.try_element_at(aliases, d), capitalised)
 
 

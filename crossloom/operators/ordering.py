@@ -23,6 +23,7 @@ GROUP_LIMIT = "spark.sql.optimizer.windowGroupLimitThreshold"
 SALTS = 1024
 DETECT = object()  # look for hot keys; a caller that has looked already passes its finding (None: there are none)
 BROADCAST_KEYS = 100_000
+COPIES = 32  # sub-keys of a hot key where its partners are too many to be sent around
 
 
 def exploded(df: DataFrame, values: Column, out: str, *keep: str) -> DataFrame:
@@ -83,14 +84,29 @@ def keyed_join(big: DataFrame, small: DataFrame, keys: Sequence[str], how: str =
     """
     if hot is DETECT:
         hot = hot_keys(big, keys, hot_rows)
-    if hot is None or hot[1] > BROADCAST_KEYS:
+    if hot is None:
         return big.join(small, list(keys), how)
+    if not (hot[1] <= BROADCAST_KEYS and fits_broadcast(hot[0])):
+        return _salted(big, small, keys, how, hot[0])
     side = F.broadcast(hot[0])
-    few = F.broadcast(small.join(side, list(keys), "left_semi"))
+    few = small.join(side, list(keys), "left_semi")
+    if not fits_broadcast(few):
+        return _salted(big, small, keys, how, hot[0])
+    few = F.broadcast(few)
     cold = big.join(side, list(keys), "left_anti").join(small, list(keys), how)
     return cold.unionByName(big.join(side, list(keys), "left_semi").join(few, list(keys), how))
 
 
+def _salted(big: DataFrame, small: DataFrame, keys: Sequence[str], how: str, hot: DataFrame) -> DataFrame:
+    """The same for any number of hot keys: their rows are spread over sub-keys, their partners copied to each of these."""
+    salt = F.pmod(F.xxhash64(*[F.col(c) for c in big.columns]), F.lit(COPIES)).cast("int")
+    marked = hot.withColumn("_hot", F.lit(True))
+    wide = big.join(marked, list(keys), "left").withColumn("_salt", F.when(F.col("_hot"), salt).otherwise(0)).drop("_hot")
+    copies = F.when(F.col("_hot"), F.sequence(F.lit(0), F.lit(COPIES - 1))).otherwise(F.array(F.lit(0)))
+    few = small.join(marked, list(keys), "left").withColumn("_salt", F.explode(copies)).drop("_hot")
+    return wide.join(few, [*keys, "_salt"], how).drop("_salt")
+
+
 def ordered_columns(
     df: DataFrame,
     keys: Sequence[str],

@@ -40,9 +40,10 @@ def user_sequences(
     order: Sequence[str] = ORDER,
 ) -> DataFrame:
     """``(user_id, seq)``: the last ``max_len`` events of every user with at least ``least`` events."""
+    if least > max_len:  # what is left after the cut no longer tells how active a user was
+        kept = recent_events(min_activity(events, least), max_len, order)
+        return collect_ordered(kept, ["user_id"], order, fields, "seq")
     kept = recent_events(events, max_len, order)
-    if least > max_len:
-        return collect_ordered(min_activity(kept.drop("back"), least), ["user_id"], order, fields, "seq")
     # min(count, max_len) rows are left, which decides count >= least without a second pass
     return collect_ordered(kept, ["user_id"], order, fields, "seq").filter(F.size("seq") >= least)
 
@@ -213,8 +214,10 @@ def head_percentage(df: DataFrame, order: Sequence[str], percent: int, out: str
 
 
 def shuffled_cap(df: DataFrame, key: str, cap: int, seed: int = C.SEED) -> DataFrame:
-    """A reproducible random choice of at most ``cap`` rows."""
-    return df.orderBy(draw(F.col(key), F.lit(0), seed, 2**31 - 1), F.col(key)).limit(cap)
+    """A reproducible random choice of at most ``cap`` rows (``key`` is unique), spread over the tasks of the sort."""
+    drawn = df.select(key, draw(F.col(key), F.lit(0), seed, 2**31 - 1).alias("_draw"))
+    chosen = dense_index(drawn, ["_draw", key], "_row").filter(F.col("_row") < cap).select(key)
+    return df.join(chosen, key, "left_semi")
 
 
 def dedupe_sequences(sequences: DataFrame, values: str, line: str) -> DataFrame:

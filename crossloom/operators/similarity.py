@@ -40,6 +40,7 @@ def _best(scores, allowed, k):
     """Row and column numbers of the k best allowed entries per row; equal scores keep column order."""
     import numpy as np
 
+    allowed = allowed & ~np.isnan(scores)
     s = np.where(allowed, scores, -np.inf)
     if s.shape[1] > k:
         cut = -np.partition(-s, k - 1, axis=1)[:, k - 1 : k]
@@ -63,8 +64,8 @@ def _score_blocks(a, b, metric):
     if metric in ("cosine", "dot"):
         return a @ b.T
     if metric == "l2_rows":
-        a = a / np.linalg.norm(a, axis=1, keepdims=True)
-        b = b / np.linalg.norm(b, axis=1, keepdims=True)
+        a = a / np.maximum(np.linalg.norm(a, axis=1, keepdims=True), C.NORM_EPSILON)
+        b = b / np.maximum(np.linalg.norm(b, axis=1, keepdims=True), C.NORM_EPSILON)
     squared = (a * a).sum(1)[:, None] + (b * b).sum(1)[None, :] - 2 * (a @ b.T)
     return -np.sqrt(np.maximum(squared, 0.0))
 
@@ -107,6 +108,10 @@ def _numbers(n: int) -> Column:
     return F.explode(F.sequence(F.lit(0).cast("long"), F.lit(n - 1).cast("long")))
 
 
+def _known(df: DataFrame) -> DataFrame:
+    return df.filter(F.col("embedding").isNotNull() & F.forall("embedding", lambda v: v.isNotNull()))
+
+
 def _fresh(df: DataFrame) -> DataFrame:
     """New column identities, so that both sides of a join may come from one table."""
     return df.select(*[F.col(c).alias(c) for c in df.columns])
@@ -147,6 +152,8 @@ def dense_topk(
 ) -> DataFrame:
     """Best ``k`` library rows per query: ``(*by, id, neighbor_id, score, rank)``, exact.
 
+    Rows without a vector, or with a NULL in it, find nothing and are not found.
+
     Both sides have ``id``, ``embedding`` and the ``by`` columns; rows only
     meet within equal ``by`` values. Metrics: cosine, dot, l2, l2_rows,
     l2_columns. Scores are rounded; equal ones go to the smaller id.
@@ -154,7 +161,7 @@ def dense_topk(
     if metric == "l2_columns":
         queries, library, metric = scale_columns(queries), scale_columns(library), "l2"
     cols = ["id", "embedding", *by]
-    queries, library = queries.select(*cols), library.select(*cols)
+    queries, library = _known(queries.select(*cols)), _known(library.select(*cols))
     q, lib = _pair_blocks(queries, library, block_rows)
     by = list(by)
     fields = [queries.schema[c] for c in by] + [
@@ -179,7 +186,8 @@ def dense_topk(
         qid, lid = left["id"].combine_chunks(), right["id"].combine_chunks()
         allowed = np.ones(scores.shape, dtype=bool)
         if exclude_self:
-            allowed &= np.asarray(qid.to_pylist(), dtype=object)[:, None] != np.asarray(lid.to_pylist(), dtype=object)[None, :]
+            codes = pa.chunked_array([qid, lid]).combine_chunks().dictionary_encode().indices.to_numpy()
+            allowed &= codes[: len(qid), None] != codes[None, len(qid) :]
         if drop_zero:
             allowed &= (np.abs(b).sum(axis=1) > 0)[None, :]
         rows, found = _best(scores, allowed, k)

@@ -10,8 +10,8 @@ from pyspark.sql import functions as F
 from crossloom.functions import text as X
 from crossloom.operators.ordering import last_per_key
 
-REVIEW = "user_id string, reviewerID string, item_id string, asin string, timestamp bigint, unixReviewTime bigint, _bad string"
-META = "asin string, item_id string, title string, description string, categories string, category string, brand string, _bad string"
+REVIEW = "user_id string, reviewerID string, item_id string, asin string, timestamp string, unixReviewTime string"
+META = "asin string, item_id string, title string, description string, categories string, category string, brand string"
 RESPONSE = "qqid bigint, choices array<struct<index:int,message:struct<role:string,content:string>,finish_reason:string>>"
 TRAINING_LOG = ("log_history array<struct<step:bigint,loss:double,eval_loss:double,learning_rate:double,epoch:double>>, "
                 "best_metric double, best_global_step bigint, global_step bigint")
@@ -23,18 +23,32 @@ def read_lines(spark: SparkSession, *paths: str) -> DataFrame:
 
 
 def _parsed(lines: DataFrame, schema: str, value: str) -> DataFrame:
-    options = {"mode": "PERMISSIVE", "columnNameOfCorruptRecord": "_bad"}
-    rows = lines.filter(X.strip(F.col(value)) != "").withColumn("_r", F.from_json(value, schema, options))
-    return rows.filter(F.col("_r").isNotNull() & F.col("_r._bad").isNull())
+    """Lines that are one JSON object and nothing else. Inside brackets anything behind the object breaks the array."""
+    whole = F.from_json(F.concat(F.lit("["), F.col(value), F.lit("]")), f"array<struct<{_typed(schema)}>>", {"allowSingleQuotes": "false"})
+    rows = lines.filter(F.startswith(X.strip(F.col(value)), F.lit("{"))).withColumn("_a", whole)
+    return rows.filter((F.size("_a") == 1) & F.get("_a", F.lit(0)).isNotNull()).withColumn("_r", F.get("_a", F.lit(0))).drop("_a")
+
+
+def _typed(schema: str) -> str:
+    return ", ".join(part.strip().replace(" ", ": ", 1) for part in schema.split(","))
+
+
+def _seconds(c: Column) -> Column:
+    """A whole number from a JSON number or text; decimals are cut off."""
+    return F.coalesce(c.try_cast("long"), c.try_cast("double").try_cast("long"))
 
 
 def parse_interactions(lines: DataFrame, domain: str | Column, value: str = "value") -> DataFrame:
-    """Interaction events from JSON lines; aliases are merged, missing values become empty, broken lines are skipped."""
-    rows = _parsed(lines, REVIEW, value)
+    """Interaction events from JSON lines; aliases are merged, missing values become empty.
+
+    Broken lines are skipped, and so are times that are no number.
+    """
+    rows = _parsed(lines, REVIEW, value).withColumn("_t", F.coalesce("_r.timestamp", "_r.unixReviewTime", F.lit("0")))
+    rows = rows.withColumn("_t", _seconds(F.col("_t"))).filter(F.col("_t").isNotNull())
     first = lambda *names: F.coalesce(*[F.col(f"_r.{n}") for n in names], F.lit(""))
     return rows.select(
         *[c for c in lines.columns if c != value], first("user_id", "reviewerID").alias("user_id"), first("item_id", "asin").alias("item_id"),
-        F.coalesce("_r.timestamp", "_r.unixReviewTime", F.lit(0)).cast("long").alias("ts"),
+        F.col("_t").alias("ts"),
         (F.lit(domain) if isinstance(domain, str) else domain).alias("domain"))
 
 

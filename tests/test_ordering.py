@@ -125,7 +125,8 @@ def test_sequences_and_splits(spark, rows):
     ev = spark.createDataFrame(data, "event_id long, user_id long, ts long, item_id int").withColumn("domain", F.lit("X"))
     seq = S.user_sequences(ev)
     assert rows(seq.select("user_id", F.col("seq.item_id").cast("string"))) == [(1, str(list(range(5, 20)))), (2, "[0, 1, 2]")]
-    assert rows(S.user_sequences(ev, max_len=1, least=3), "user_id") == []
+    short = S.user_sequences(ev, max_len=1, least=3).select("user_id", F.col("seq.item_id").cast("string"))
+    assert rows(short) == [(1, "[19]"), (2, "[2]")]
     assert S.min_activity(ev).select("user_id").distinct().count() == 2
     loo = S.leave_one_out(seq).filter("user_id = 2").select("split", F.col("seq.item_id").alias("s"), F.col("target.item_id").alias("t"))
     assert {r.split: (r.s, r.t) for r in loo.collect()} == {"train": ([0], None), "valid": ([0], 1), "test": ([0, 1], 2)}
@@ -144,3 +145,15 @@ def test_union_override_takes_the_later_table(spark, rows):
     a = spark.createDataFrame([(1, "a"), (2, "a")], "k int, v string")
     b = spark.createDataFrame([(2, "b"), (3, "b")], "k int, v string")
     assert rows(S.union_override(a, b, key=["k"])) == [(1, "a"), (2, "b"), (3, "b")]
+
+
+def test_joins_with_any_number_of_hot_keys(spark, rows, monkeypatch):
+    from crossloom.operators import ordering
+
+    big = spark.range(400).select((F.col("id") % 7).alias("k"), "id").withColumn("k", F.when(F.col("id") > 100, 1).otherwise(F.col("k")))
+    small = spark.createDataFrame([(0, "a"), (1, "b"), (1, "c"), (9, "d")], "k long, v string")
+    for how in ("inner", "left"):
+        want = rows(big.join(small, "k", how))
+        for broadcast_keys in (0, 100):
+            monkeypatch.setattr(ordering, "BROADCAST_KEYS", broadcast_keys)
+            assert rows(ordering.keyed_join(big, small, ["k"], how, hot_rows=20)) == want

@@ -195,3 +195,19 @@ def test_exact_title_keeps_place_or_is_inserted(spark, rows):
     assert rows(out, "q_id", "rank", "item_id", "score") == [(1, 1, 5, 0.4), (1, 2, 7, 1.0), (2, 1, 7, 1.0), (2, 2, 5, 0.4)]
     top = G.exact_title_boost(hits, queries, titles, 2, boost_to_top=True)
     assert rows(top.filter("rank = 1"), "q_id", "item_id") == [(1, 7), (2, 7)]
+
+
+def test_zero_and_missing_vectors_lose_nobody(spark):
+    rows = [(1, [1.0, 0.0]), (2, [0.9, 0.1]), (3, [0.0, 0.0]), (4, [0.0, 0.0]), (5, [0.0, 0.0]), (6, None), (7, [1.0, None])]
+    v = spark.createDataFrame(rows, "id long, embedding array<double>")
+    for k in (2, 3, 4):
+        for metric in ("l2_rows", "cosine", "l2"):
+            got = M.dense_topk(v, v, k, metric=metric, exclude_self=True).collect()
+            assert {r.id for r in got} == {1, 2, 3, 4, 5} and len(got) == 5 * min(k, 4)
+            assert {r.neighbor_id for r in got if r.id == 1 and r["rank"] == 1} == {2}
+
+
+def test_exclude_self_with_text_ids(spark):
+    v = spark.createDataFrame([("a", [1.0, 0.0]), ("b", [0.9, 0.1]), ("c", [0.0, 1.0])], "id string, embedding array<double>")
+    got = M.dense_topk(v, v, 1, exclude_self=True).collect()
+    assert {(r.id, r.neighbor_id) for r in got} == {("a", "b"), ("b", "a"), ("c", "b")}

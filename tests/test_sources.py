@@ -19,6 +19,15 @@ def test_interactions(spark, tmp_path, rows):
         ("u1", "i1", 5, "X"), ("u2", "i2", 7, "X"), ("u3", "", 0, "X")]
 
 
+def test_times_and_strictness(spark, tmp_path, rows):
+    lines = ['{"user_id": "s", "item_id": "i", "timestamp": "1400000000"}', '{"user_id": "f", "item_id": "i", "timestamp": 1400000000.0}',
+             '{"user_id": "h", "item_id": "i", "timestamp": 7.9}', '{"user_id": "n", "item_id": "i", "timestamp": "soon"}',
+             "{'user_id': 'q', 'item_id': 'i'}", '{"user_id": "t", "item_id": "i"} and more', '{"user_id": "u"}, {"user_id": "v"}', "[1]", "{}}", '{"user_id": 5, "asin": 6}']
+    p = tmp_path / "reviews.jsonl"
+    p.write_text("\n".join(lines))
+    assert rows(I.read_interactions(spark, str(p), "X"), "user_id", "ts") == [("5", 0), ("f", 1400000000), ("h", 7), ("s", 1400000000)]
+
+
 def test_items(spark, tmp_path):
     lines = [
         {"asin": "a", "title": "first"}, {"item_id": "b", "description": ["x", "y"], "category": ["k", "l"], "brand": "br"},

@@ -198,3 +198,20 @@ def test_model_calls_isolate_failures_and_resume(spark, tmp_path):
 def test_rectangular_lists(spark, rows):
     df = spark.createDataFrame([(1, [5]), (2, [6, 7, 8])], "k int, v array<int>")
     assert [r.v for r in X.rectangular(df, "v").orderBy("k").collect()] == [[5, 0, 0], [6, 7, 8]]
+
+
+def test_one_answer_at_ninety_percent(spark, rows):
+    """A very frequent answer is counted before it is joined, and hits reach all of its rows."""
+    from crossloom.operators import grounding as G
+
+    old = spark.conf.get("spark.sql.adaptive.skewJoin.enabled")
+    spark.conf.set("spark.sql.adaptive.skewJoin.enabled", "false")
+    try:
+        q = spark.range(1000).select(F.col("id").alias("q_id"), F.when(F.col("id") % 10 == 0, F.concat(F.lit("blue hat "), F.col("id").cast("string"))).otherwise("red shoe").alias("q_text"))
+        docs = spark.createDataFrame([(1, "red shoe"), (2, "blue hat"), (3, "  "), (4, "shoe of blue"), (5, "...")], "doc_id long, text string")
+        got = G.bm25(q, docs, 2)
+        assert {(r.doc_id, r.n) for r in got.filter("rank = 1").groupBy("doc_id").agg(F.count("*").alias("n")).collect()} == {(1, 900), (2, 100)}
+        assert rows(G.postings(docs), "doc_id", "token", "tf", "doc_len") == [
+            (1, "red", 1, 2), (1, "shoe", 1, 2), (2, "blue", 1, 2), (2, "hat", 1, 2), (4, "blue", 1, 3), (4, "of", 1, 3), (4, "shoe", 1, 3)]
+    finally:
+        spark.conf.set("spark.sql.adaptive.skewJoin.enabled", old)
