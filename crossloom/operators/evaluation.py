@@ -73,17 +73,16 @@ def cold_warm_metrics(ranks: DataFrame, events: DataFrame, threshold: int = C.CO
 
 
 def out_of_domain_rate(rows: DataFrame, titles: DataFrame, prediction: str = "prediction", domain: str = "target_domain") -> DataFrame:
-    """A title of another domain counts 1, an unknown title 0.5. ``titles`` comes from ``title_index``."""
+    """A title of another domain counts 1, an unknown title 0.5. ``titles`` comes from ``title_index``.
+
+    Equal answers are counted before the join, so a popular one is a single row there.
+    """
     known = titles.select("title_key", T.normalise_domain(F.col("domain")).alias("_found"))
-    joined = rows.withColumn("title_key", T.normalise(F.col(prediction))).join(known, "title_key", "left")
-    wanted = T.normalise_domain(F.col(domain))
+    answers = rows.groupBy(T.normalise(F.col(prediction)).alias("title_key"), T.normalise_domain(F.col(domain)).alias("_wanted")).agg(F.count(F.lit(1)).alias("_n"))
+    joined, wanted = answers.join(known, "title_key", "left"), F.col("_wanted")
     weight = F.when(F.col("_found").isNull(), 0.5).when(F.col("_found") != wanted, 1.0).otherwise(0.0)
-    total = F.count(F.lit(1))
-    return joined.agg(
-        F.coalesce(F.round(F.sum(weight) / total, 6), F.lit(0.0)).alias("ood_rate"),
-        F.coalesce(F.sum(weight), F.lit(0.0)).alias("ood_count"),
-        total.alias("total"),
-    )
+    total, off = F.coalesce(F.sum("_n"), F.lit(0)), F.coalesce(F.sum(weight * F.col("_n")), F.lit(0.0))
+    return joined.agg(F.coalesce(F.round(off / F.nullif(total, F.lit(0)), 6), F.lit(0.0)).alias("ood_rate"), off.alias("ood_count"), total.alias("total"))
 
 
 def truth_scores(scores: DataFrame, truth: DataFrame) -> DataFrame:
@@ -198,6 +197,12 @@ def comparison_table(parts: dict[str, DataFrame], metrics: Sequence[str] = ("hr_
     return table
 
 
+def query_rows(rows: DataFrame, threshold: int, user: str = "user_id", row: str = "row_idx", truth: str = "gt") -> DataFrame:
+    """Of several query rows per user the last one whose true item lies below the threshold. Combined before the shuffle."""
+    best = rows.filter(F.col(truth) < threshold).groupBy(user).agg(F.max(F.struct(row, truth)).alias("_b"))
+    return best.select(user, f"_b.{row}", f"_b.{truth}")
+
+
 def best_run(runs: DataFrame, run: str, metric: str, by: str | None = None) -> DataFrame:
     """Run with the largest metric; of equal ones the smaller run id."""
     place = F.max(F.struct(F.col(metric).alias("m"), (-F.col(run)).alias("r"))).alias("_b")

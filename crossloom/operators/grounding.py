@@ -7,25 +7,27 @@ from pyspark.sql import functions as F
 
 from crossloom import constants as C
 from crossloom.functions import text as T
-from crossloom.operators.ordering import bounded, exploded, fits_broadcast, top_per_key
+from crossloom.operators.ordering import bounded, exploded, keyed_join, top_per_key
 from crossloom.operators.similarity import PAIR_BUDGET, sparse_topk
 from crossloom.session import materialize
 
 
 def postings(docs: DataFrame, doc: str = "doc_id", text: str = "text", only: DataFrame | None = None) -> DataFrame:
-    """Inverted index of non-blank texts: ``(doc, token, tf, doc_len)``, on request for the tokens of ``only``.
+    """Inverted index of non-blank texts: ``(doc, token, tf, doc_len)``. Ids are unique, so tokens are counted inside the row."""
+    return _counted(docs, doc, text).filter(F.col("token") != "")
 
-    Texts move once, by id. Counting their tokens then needs no shuffle of the much wider token rows.
-    """
-    tokens = docs.select(doc, text).filter(T.strip(F.col(text)) != "").repartition(doc).select(
-        doc, T.alnum_tokens(F.col(text)).alias("_t"))
-    rows = exploded(tokens.withColumn("doc_len", F.size("_t")), F.col("_t"), "token", doc, "doc_len")
-    early = only is not None and fits_broadcast(only)
-    if early:
-        rows = rows.join(F.broadcast(only), "token", "left_semi")
-    counted = rows.groupBy(doc, "token").agg(F.count(F.lit(1)).alias("tf"), F.max("doc_len").alias("doc_len"))
-    # a shuffled filter comes after the count: before it, a hot token would gather in one task
-    return counted if only is None or early else counted.join(only, "token", "left_semi")
+
+def _counted(docs: DataFrame, doc: str, text: str) -> DataFrame:
+    """Postings; a text without a token has one row with the empty token."""
+    rows = docs.select(doc, text).filter(T.strip(F.col(text)) != "").select(doc, F.sort_array(T.alnum_tokens(F.col(text))).alias("_t"))
+    n, at = F.size("_t"), F.sequence(F.lit(0), F.size("_t") - 1)
+    # equal tokens are neighbours: a count is the distance between two places where the token changes
+    starts = F.filter(at, lambda i: (i == 0) | (F.get("_t", i) != F.get("_t", i - 1)))
+    rows = rows.withColumn("_s", F.when(n > 0, starts).otherwise(F.array().cast("array<int>")))
+    found = F.transform("_s", lambda i, j: F.struct(F.get("_t", i).alias("token"), (F.coalesce(F.get("_s", j + 1), n) - i).cast("long").alias("tf")))
+    none = F.array(F.struct(F.lit("").alias("token"), F.lit(0).cast("long").alias("tf")))
+    rows = rows.select(doc, n.alias("doc_len"), F.when(n > 0, found).otherwise(none).alias("_p"))
+    return exploded(rows, F.col("_p"), "_e", doc, "doc_len").select(doc, "_e.token", "_e.tf", "doc_len")
 
 
 def distinct_queries(queries: DataFrame, key: str, text: str) -> tuple[DataFrame, DataFrame]:
@@ -35,7 +37,7 @@ def distinct_queries(queries: DataFrame, key: str, text: str) -> tuple[DataFrame
     """
     bag = queries.select(key, F.sort_array(T.alnum_tokens(F.col(text))).alias("tokens")).filter(F.size("tokens") > 0)
     reps = bag.groupBy("tokens").agg(F.min(key).alias("rep"))
-    members = bag.join(reps, "tokens").select(key, "rep")
+    members = keyed_join(bag, reps, ["tokens"]).select(key, "rep")
     return reps.select("rep", "tokens"), members
 
 
@@ -48,9 +50,10 @@ def bm25(queries: DataFrame, docs: DataFrame, top_m: int, *, query: str = "q_id"
     A repeated query token counts repeatedly; a negative idf is replaced by
     ``epsilon`` times the mean idf of the vocabulary.
     """
-    index = postings(docs, doc, doc_text)
+    index = materialize(_counted(docs, doc, doc_text))  # read once; everything else follows from it
     frequency = materialize(index.groupBy("token").agg(F.count(F.lit(1)).alias("df"), F.sum("tf").alias("cf")))
-    n = docs.filter(T.strip(F.col(doc_text)) != "").count()
+    n = index.groupBy(doc).agg(F.count(F.lit(1))).count()
+    frequency = frequency.filter(F.col("token") != "")
     raw = F.log(F.lit(n) - F.col("df") + 0.5) - F.log(F.col("df") + 0.5)
     stats = frequency.agg(F.sum("cf").alias("cf"), F.avg(raw).alias("idf")).first()
     mean_len = (stats["cf"] or 0) / max(n, 1)
@@ -62,12 +65,12 @@ def bm25(queries: DataFrame, docs: DataFrame, top_m: int, *, query: str = "q_id"
     left = materialize(terms.join(idf, "token").select(
         F.col("rep").alias("l_id"), "token", (F.col("qtf") * F.col("idf")).alias("w"), F.lit(1).alias("l_size")))
     length = F.col("doc_len") / F.lit(mean_len or 1.0)
-    right = postings(docs, doc, doc_text, only=left.select("token").distinct()).select(
+    right = index.join(bounded(left.select("token").distinct()), "token", "left_semi").select(
         F.col(doc).alias("r_id"), "token",
         (F.col("tf") * (k1 + 1) / (F.col("tf") + k1 * (1 - b + b * length))).alias("w"), F.lit(1).alias("r_size"))
     known = frequency.select("token", F.col("df").alias("n"), F.lit(k1 + 1.0).alias("w_max"))
     best = sparse_topk(left, right, top_m, kind="dot", right_tokens=known, right_ids=n, pair_budget=pair_budget, strategy=strategy)
-    return members.join(best.withColumnRenamed("l_id", "rep"), "rep").select(
+    return keyed_join(members, best.withColumnRenamed("l_id", "rep"), ["rep"]).select(
         query, F.col("r_id").alias(doc), "score", "rank")
 
 
@@ -79,13 +82,13 @@ def token_overlap(queries: DataFrame, docs: DataFrame, top_m: int, *, query: str
     left = materialize(sets.select(
         F.col("rep").alias("l_id"), F.explode("t").alias("token"), F.lit(1.0).alias("w"), F.size("t").alias("l_size")))
     vocabulary = bounded(left.select("token").distinct())
-    sets = docs.select(doc, doc_text).filter(T.strip(F.col(doc_text)) != "").repartition(doc).select(
+    sets = docs.select(doc, doc_text).filter(T.strip(F.col(doc_text)) != "").select(
         F.col(doc).alias("r_id"), F.array_distinct(T.alnum_tokens(F.col(doc_text))).alias("t"))
     right = exploded(sets.withColumn("r_size", F.size("t")), F.col("t"), "token", "r_id", "r_size").join(
         vocabulary, "token", "left_semi").select("r_id", "token", F.lit(1.0).alias("w"), "r_size")
     known = right.groupBy("token").agg(F.count(F.lit(1)).alias("n"), F.lit(1.0).alias("w_max"))
     best = sparse_topk(left, right, top_m, kind="overlap", right_tokens=known, right_ids=docs.count(), pair_budget=pair_budget, strategy=strategy)
-    return members.join(best.withColumnRenamed("l_id", "rep"), "rep").select(
+    return keyed_join(members, best.withColumnRenamed("l_id", "rep"), ["rep"]).select(
         query, F.col("r_id").alias(doc), "score", "rank")
 
 
@@ -98,7 +101,7 @@ def exact_title_boost(hits: DataFrame, queries: DataFrame, titles: DataFrame, to
     """
     keyed = queries.filter(F.size(T.alnum_tokens(F.col(query_text))) > 0).select(
         query, T.normalise(F.col(query_text)).alias("title_key"))
-    exact = keyed.join(titles.select("title_key", F.col(doc).alias("_exact")), "title_key").select(query, "_exact")
+    exact = keyed_join(keyed, titles.select("title_key", F.col(doc).alias("_exact")), ["title_key"]).select(query, "_exact")
     both = hits.select(query, doc, "score", F.col("rank").alias("_place")).unionByName(
         exact.select(query, F.col("_exact").alias(doc), F.lit(1.0).alias("score"), F.lit(0).alias("_place")))
     # an exact title that was found keeps the better score and the place it had
