@@ -9,7 +9,8 @@ from pyspark.sql import functions as F
 
 from crossloom import constants as C
 from crossloom.functions import text as T
-from crossloom.operators.ordering import HOT_ROWS, dense_index, exploded
+from crossloom.functions import vectors as V
+from crossloom.operators.ordering import HOT_ROWS, dense_index, exploded, keyed_join
 from crossloom.operators.sequences import ORDER, transitions
 from crossloom.session import materialize
 
@@ -19,10 +20,11 @@ def transition_graph(events: DataFrame, within_domain: bool = False, order: Sequ
     return transitions(events, within_domain, order, hot_rows).groupBy("src", "dst").agg(F.count(F.lit(1)).alias("weight"))
 
 
-def normalise_rows(edges: DataFrame) -> DataFrame:
-    """Weights divided by the out-weight of the source. The sums are joined back, so a hub is only a skewed join side."""
-    out = edges.groupBy("src").agg(F.sum("weight").alias("_out"))
-    return edges.join(out, "src").withColumn(
+def normalise_rows(edges: DataFrame, by: Sequence[str] = ()) -> DataFrame:
+    """Weights divided by the out-weight of the source, per graph where ``by`` names some. The sums are joined back, so a hub is only a skewed join side."""
+    keys = [*by, "src"]
+    out = edges.groupBy(*keys).agg(F.sum("weight").alias("_out"))
+    return edges.join(out, keys).withColumn(
         "weight", F.when(F.col("_out") == 0, 0.0).otherwise(F.col("weight") / F.col("_out"))).drop("_out")
 
 
@@ -62,7 +64,9 @@ def attribute_nodes(kept: DataFrame, n_items: int, n_users: int) -> DataFrame:
 
 
 def attribute_graph(item_tokens: DataFrame, nodes: DataFrame) -> DataFrame:
-    """``(graph, src, dst)``: both directions in ``full``; attribute → X item in ``source``; Y item → attribute in ``target``.
+    """``(graph, src, dst, weight)``: both directions in ``full``; attribute → X item in ``source``; Y item → attribute in ``target``.
+
+    Every edge weighs 1 until ``normalise_rows``.
 
     ``item_tokens(item_id, domain, token)`` with node numbers as item ids; ``nodes`` from ``attribute_nodes``.
     """
@@ -73,27 +77,39 @@ def attribute_graph(item_tokens: DataFrame, nodes: DataFrame) -> DataFrame:
     target = (F.col("domain") == "Y") & (F.col("y_items") > 1)
     edges = F.array(edge("full", item, attr), edge("full", attr, item),
                     F.when(source, edge("source", attr, item)), F.when(target, edge("target", item, attr)))
-    return e.select(F.explode(edges).alias("_e")).filter(F.col("_e").isNotNull()).select("_e.*")
+    return e.select(F.explode(edges).alias("_e")).filter(F.col("_e").isNotNull()).select("_e.*", F.lit(1.0).alias("weight"))
+
+
+def numbered_items(items: DataFrame) -> tuple[DataFrame, int]:
+    """Items with contiguous numbers in id order, and how many node numbers they take: one more, for the blank item behind them."""
+    numbered = dense_index(items, ["item_id"], "number")
+    return numbered, numbered.count() + 1
 
 
 def propagate(edges: DataFrame, features: DataFrame, layers: int = 2) -> DataFrame:
     """Mean over the layers 0…n of the features summed along weighted edges: ``(node, embedding)``.
 
-    Layer 0 is the node's own vector. The state is kept as ``(node, pos, v)``
-    rows: sums are combined before the shuffle, and every layer is written to
-    the checkpoint folder before the next one reads it.
+    Layer 0 is the node's own vector. An edge meets one row with its node's
+    whole vector, which is taken apart only behind the join; the sums per
+    dimension are combined before the shuffle. Edges and every layer are
+    written to the checkpoint folder once.
     """
-    now = features.select("node", F.posexplode("embedding").alias("pos", "v")).withColumn("v", F.col("v").cast("double"))
-    nodes = features.select("node")
-    total = now
+    edges = materialize(edges.select("src", "dst", "weight"))
+    now = features.select("node", V.doubles(F.col("embedding")).alias("embedding"))
+    nodes, total = features.select("node"), now
     for _ in range(layers):
-        step = edges.join(now.withColumnRenamed("node", "dst"), "dst").groupBy(F.col("src").alias("node"), "pos").agg(
-            F.sum(F.col("weight") * F.col("v")).alias("v"))
-        now = materialize(step)
+        met = keyed_join(edges, now.withColumnRenamed("node", "dst"), ["dst"])
+        parts = met.select(F.col("src").alias("node"), "weight", F.posexplode("embedding").alias("pos", "v"))
+        now = materialize(_packed(parts.groupBy("node", "pos").agg(F.sum(F.col("weight") * F.col("v")).alias("v"))))
         total = total.unionByName(now)
-    mean = total.groupBy("node", "pos").agg((F.sum("v") / (layers + 1)).alias("v")).join(nodes, "node", "left_semi")
-    packed = F.sort_array(F.collect_list(F.struct("pos", "v")))
-    return mean.groupBy("node").agg(F.transform(packed, lambda e: e["v"]).alias("embedding"))
+    parts = total.join(nodes, "node", "left_semi").select("node", F.posexplode("embedding").alias("pos", "v"))
+    return _packed(parts.groupBy("node", "pos").agg((F.sum("v") / (layers + 1)).alias("v")))
+
+
+def _packed(rows: DataFrame) -> DataFrame:
+    """One vector per node from a row per dimension."""
+    ordered = F.sort_array(F.collect_list(F.struct("pos", "v")))  # as long as one vector
+    return rows.groupBy("node").agg(F.transform(ordered, lambda e: e["v"]).alias("embedding"))
 
 
 def parse_edge_lists(lines: DataFrame, value: str = "value") -> DataFrame:

@@ -8,6 +8,7 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from crossloom import constants as C
+from crossloom.functions import text as X
 from crossloom.operators.ordering import draw, top_per_key
 from crossloom.operators.similarity import set_topk
 
@@ -47,6 +48,35 @@ def histogram(rows: DataFrame, key: str) -> DataFrame:
     return rows.groupBy(key).agg(F.count(F.lit(1)).alias("n"))
 
 
+def eligible_users(instructions: DataFrame, predictions: DataFrame, least: int = 2, scanned: int = 160) -> DataFrame:
+    """Of the first ``scanned`` instructions by ``line`` those with an answer and at least ``least`` history items in the prompt.
+
+    ``instructions(user_id, domain, line, input)``, ``predictions(user_id, prediction, ...)``, one row per user.
+    """
+    first = instructions.orderBy("line").limit(scanned)
+    both = first.join(predictions.withColumn("prediction", X.strip_special_tokens(F.col("prediction"))), "user_id")
+    return both.withColumn("history", X.history_events(F.col("input"))).filter(F.size("history") >= least).drop("input")
+
+
+def truncated_titles(history: DataFrame, keys: Sequence[str] = ("user_id",), order: str = "rank", shown: int = 8, recent: int = 3, letters: int = 12) -> DataFrame:
+    """``(keys, history, recent)``: the first titles cut to a few letters, and the very first in full. Rows: (keys, order, title)."""
+    first = history.filter(F.col(order) <= shown)
+    packed = F.sort_array(F.collect_list(F.struct(order, "title")))
+    lists = first.groupBy(*keys).agg(packed.getField("title").alias("_t"))
+    cut = F.transform("_t", lambda v: F.left(v, F.lit(letters)))
+    return lists.select(*keys, cut.alias("history"), F.slice("_t", 1, recent).alias("recent"))
+
+
+def dashboard_metrics(snapshot: DataFrame, **extra: DataFrame) -> DataFrame:
+    """``(part, metric, value)`` of one-row tables: the snapshot and whatever else the dashboard shows, rounded."""
+    out = None
+    for part, df in {"snapshot": snapshot, **extra}.items():
+        pairs = F.array(*[F.struct(F.lit(c).alias("metric"), F.round(F.col(c).cast("double"), 4).alias("value")) for c in df.columns])
+        rows = df.select(F.lit(part).alias("part"), F.explode(pairs).alias("_p")).select("part", "_p.*")
+        out = rows if out is None else out.unionByName(rows)
+    return out
+
+
 def display_pool(users: DataFrame, pool: int = 120, per_domain: int = 12) -> tuple[DataFrame, DataFrame]:
     """First ``pool`` users by ``line`` and, of these, the first ones per domain."""
     first = users.orderBy("line").limit(pool)

@@ -77,10 +77,11 @@ def _(t):
     return E.fuzzy_metrics(t.text_preds)
 
 
-@query("cold_warm_metrics", "M7 A14", LIST_RANKS.replace("m AS (", "sl AS (SELECT r.rank, CASE WHEN coalesce(h.n, 0) < 3 THEN 'cold' ELSE 'warm' END AS slice FROM list_ranks r LEFT JOIN (SELECT user_id, count(*) AS n FROM ev_short GROUP BY 1) h USING (user_id)), m AS (") + f"""
+@query("cold_warm_metrics", "M7 A14", LIST_RANKS.replace("m AS (", "sl AS (SELECT r.rank, CASE WHEN coalesce(h.n, 0) < 3 THEN 'cold' ELSE 'warm' END AS slice FROM customer c LEFT JOIN list_ranks r ON r.user_id = c.c_custkey LEFT JOIN (SELECT user_id, count(*) AS n FROM hist GROUP BY 1) h ON h.user_id = c.c_custkey), m AS (") + f"""
 SELECT coalesce(slice, 'all') AS slice, count(*) AS n, {METRICS} FROM sl GROUP BY ROLLUP (slice)""")
 def _(t):
-    return E.cold_warm_metrics(lists(t), t.ev_short)
+    """Customers without events are the cold ones; nothing is recommended to them."""
+    return E.cold_warm_metrics(t.customers.join(lists(t), "user_id", "left"), t.hist)
 
 
 @query("out_of_domain_rate", "M9 J10", f"""
@@ -135,21 +136,21 @@ def _(t):
     return E.ranking_metrics(ranks.join(t.target.select("user_id", "domain"), "user_id"), by="domain")
 
 
-@query("baseline_metrics", "M8", CANDS + f"SELECT count(*) AS n, {METRICS} FROM cranks WHERE item_id IN (SELECT item_id FROM items WHERE category <> 'ECONOMY')")
+@query("baseline_metrics", "M8", CANDS + f"SELECT count(*) AS n, {METRICS} FROM cranks WHERE item_id IN (SELECT s_suppkey FROM supplier)")
 def _(t):
-    return E.baseline_metrics(E.shifted_candidates(local_candidates(t), 50), t.target, t.items.filter("category <> 'ECONOMY'"))
+    return E.baseline_metrics(E.shifted_candidates(local_candidates(t), 50), t.target, t.table("supplier").select(F.col("s_suppkey").cast("int").alias("item_id")))
 
 
 @query("set_precision", "M14 U4 U5 U6", """
-@ p AS (SELECT user_id, list_distinct(list(item_id)) AS g FROM preds WHERE rank <= 10 GROUP BY 1),
- f AS (SELECT user_id, list_distinct(list(item_id)) AS t FROM ranked WHERE back <= 10 GROUP BY 1),
+@ p AS (SELECT user_id, list_distinct(list(item_id)) AS g FROM preds GROUP BY 1),
+ f AS (SELECT user_id, list_distinct(list(item_id)) AS t FROM ev GROUP BY 1),
  c AS (SELECT user_id, len(list_intersect(g, t))::DOUBLE AS tp, len(g) AS ng, len(t) AS nt FROM p JOIN f USING (user_id)) @
 SELECT user_id, CASE WHEN tp > 0 THEN round(tp / ng, 6) ELSE 0.0 END AS "precision", CASE WHEN tp > 0 THEN round(tp / nt, 6) ELSE 0.0 END AS recall,
  CASE WHEN tp > 0 THEN round(2 * tp / (ng + nt), 6) ELSE 0.0 END AS f1 FROM c""")
 def _(t):
-    guess = S.collect_ordered(t.preds.filter("rank <= 10"), ["user_id"], ["rank"], ["item_id"], "g")
-    truth = S.collect_ordered(S.recent_events(t.ev, 10), ["user_id"], ["ts", "event_id"], ["item_id"], "t")
-    p = guess.join(truth, "user_id").select("user_id", R.set_precision(F.col("t.item_id"), F.col("g.item_id")).alias("s"))
+    guess = S.collect_ordered(t.preds, ["user_id"], ["rank"], ["item_id"], "g")
+    truth = t.ev.groupBy("user_id").agg(F.collect_set("item_id").alias("t"))  # no longer than the list of items
+    p = guess.join(truth, "user_id").select("user_id", R.set_precision(F.col("t"), F.col("g.item_id")).alias("s"))
     return p.select("user_id", *[F.round(f"s.{c}", 6).alias(c) for c in ("precision", "recall", "f1")])
 
 
@@ -169,11 +170,12 @@ def _(t):
 
 
 @query("next_token_accuracy", "M17", """
-@ p AS (SELECT user_id, item_id, lag(item_id) OVER (PARTITION BY user_id ORDER BY ts, event_id) AS prev FROM ranked WHERE back <= 15) @
-SELECT round(avg(CASE WHEN item_id // 10 = prev // 10 THEN 1.0::DOUBLE ELSE 0.0 END), 6) AS accuracy, count(*) AS places FROM p WHERE prev IS NOT NULL""")
+@ p AS (SELECT user_id, item_id, lag(item_id) OVER (PARTITION BY user_id ORDER BY ts, event_id) AS prev FROM ev_daily) @
+SELECT round(avg(CASE WHEN item_id // 10 = (prev + 5) // 10 THEN 1.0::DOUBLE ELSE 0.0 END), 6) AS accuracy, count(*) AS places FROM p WHERE prev IS NOT NULL""")
 def _(t):
-    seq = S.user_sequences(t.ev, least=1).select(F.transform("seq", lambda e: F.floor(e["item_id"] / 10)).alias("tokens"))
-    return E.next_token_accuracy(seq, "tokens", "tokens")
+    seq = t.daily_sequences.select(F.transform("seq", lambda e: F.floor(e["item_id"] / 10)).alias("tokens"),
+                                   F.transform("seq", lambda e: F.floor((e["item_id"] + 5) / 10)).alias("guess"))
+    return E.next_token_accuracy(seq, "guess", "tokens")
 
 
 @query("perplexity", "M17 F13", """

@@ -63,9 +63,9 @@ def _(t):
     return texts(X.training_features(t.ev, 50, 50))
 
 
-@query("training_features_first_day", "L2 L4", TRAINING.replace("SOURCE", "ev_short"))
+@query("training_features_by_day", "L2 L4", TRAINING.replace("SOURCE", "ev_daily"))
 def _(t):
-    return texts(X.training_features(t.ev_short, 50, 50))
+    return texts(X.training_features(t.ev_daily, 50, 50))
 
 
 @query("negative_samples", "L3", f"""
@@ -85,15 +85,15 @@ def _(t):
 
 
 @query("rectangular_candidates", "T8", """
-@ l AS (SELECT user_id, list(item_id ORDER BY rank) AS c FROM preds WHERE cnt > 1 GROUP BY user_id), m AS (SELECT max(len(c)) AS m FROM l) @
+@ l AS (SELECT user_id, list(item_id ORDER BY rank) AS c FROM preds GROUP BY user_id), m AS (SELECT max(len(c)) AS m FROM l) @
 SELECT user_id, array_to_string(list_resize(c, m, 0), ',') AS items FROM l, m""")
 def _(t):
-    lists = S.collect_ordered(t.preds.filter("cnt > 1"), ["user_id"], ["rank"], ["item_id"], "l").select("user_id", F.col("l.item_id").alias("items"))
+    lists = S.collect_ordered(t.preds, ["user_id"], ["rank"], ["item_id"], "l").select("user_id", F.col("l.item_id").alias("items"))
     return texts(X.rectangular(lists, "items"))
 
 
 @query("packed_tokens", "L16", """
-@ s AS (SELECT user_id, list(item_id ORDER BY ts, event_id) AS k FROM ranked WHERE back <= 15 GROUP BY user_id) @
+@ s AS (SELECT user_id, list(item_id ORDER BY ts, event_id) AS k FROM ranked_daily GROUP BY user_id) @
 SELECT user_id, array_to_string(list_resize(k[1:12], 12, 0), ',') AS input_ids, array_to_string(list_resize(list_transform(k[1:12], lambda x: 1), 12, 0), ',') AS attention,
  array_to_string(list_resize(k, 20, -100), ',') AS labels FROM s""")
 def _(t):
@@ -102,11 +102,11 @@ def _(t):
 
 
 def _tokens(t):
-    return S.user_sequences(t.ev, least=1).select("user_id", F.col("seq.item_id").alias("k"))
+    return t.daily_sequences.select("user_id", F.col("seq.item_id").alias("k"))
 
 
 @query("prompt_masked_tokens", "L16", """
-@ s AS (SELECT user_id, list(item_id ORDER BY ts, event_id) AS k FROM ranked WHERE back <= 15 GROUP BY user_id),
+@ s AS (SELECT user_id, list(item_id ORDER BY ts, event_id) AS k FROM ranked_daily GROUP BY user_id),
  e AS (SELECT user_id, CASE WHEN len(k) < 20 AND k[len(k)] <> 7 THEN list_append(k, 7) ELSE k[1:20] END AS ids, k[1:4] AS p FROM s),
  m AS (SELECT user_id, ids, CASE WHEN p[len(p)] = 7 THEN len(p) - 1 ELSE len(p) END AS n FROM e) @
 SELECT user_id, array_to_string(ids, ',') AS input_ids, array_to_string(list_concat(list_resize([]::INT[], n, -100), ids[n+1:len(ids)]), ',') AS labels FROM m""")

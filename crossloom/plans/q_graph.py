@@ -4,6 +4,7 @@ from pyspark.sql import functions as F
 
 from crossloom.functions import vectors as V
 from crossloom.operators import graph as G
+from crossloom.operators import sequences as S
 from crossloom.plans.registry import query
 
 EDGES = """@ tr AS (SELECT lag(item_id) OVER (PARTITION BY user_id ORDER BY ts, event_id) AS src, item_id AS dst FROM ev),
@@ -28,20 +29,21 @@ def _(t):
     return G.normalise_rows(G.transition_graph(t.ev)).withColumn("weight", F.round("weight", 6))
 
 
-TOKENS = """@ ut0 AS (SELECT DISTINCT t.user_id, a.attribute AS token FROM target t JOIN item_attributes a USING (item_id) WHERE t.event_type <> 'error'),
- ut AS (SELECT * FROM ut0 UNION ALL SELECT user_id, unnest(['Game', 'Movie']) FROM (SELECT DISTINCT user_id FROM ev WHERE user_id NOT IN (SELECT user_id FROM ut0))),
+TOKENS = """@ ut0 AS (SELECT DISTINCT t.user_id, a.attribute AS token FROM ev t JOIN item_attributes a USING (item_id)),
+ ut AS (SELECT * FROM ut0 UNION ALL SELECT user_id, unnest(['Game', 'Movie']) FROM (SELECT c_custkey AS user_id FROM customer WHERE c_custkey NOT IN (SELECT user_id FROM ut0))),
  it AS (SELECT DISTINCT i.item_id, i.domain, attribute AS token FROM item_attributes JOIN items i USING (item_id)),
  fq AS (SELECT token, count(CASE WHEN k = 'U' THEN 1 END) AS users, count(CASE WHEN k = 'X' THEN 1 END) AS x_items, count(CASE WHEN k = 'Y' THEN 1 END) AS y_items
   FROM (SELECT token, 'U' AS k FROM ut UNION ALL SELECT token, domain FROM it) GROUP BY token),
  kept AS (SELECT * FROM fq WHERE x_items > 1 OR y_items > 1),
- nodes AS (SELECT *, row_number() OVER (ORDER BY token) - 1 + (SELECT count(*) FROM items) + (SELECT count(DISTINCT user_id) FROM ev) AS node FROM kept),
+ nodes AS (SELECT *, row_number() OVER (ORDER BY token) - 1 + (SELECT count(*) FROM items) + (SELECT count(*) FROM customer) AS node FROM kept),
  g AS (SELECT it.item_id, it.domain, nodes.* FROM it JOIN nodes USING (token)) @
 """
 
 
 def user_tokens(t):
-    own = t.target.filter("event_type <> 'error'").join(t.item_attributes, "item_id").select("user_id", F.col("attribute").alias("token")).distinct()
-    return G.default_tokens(t.ev.select("user_id"), own)
+    seen = t.ev.select("user_id", "item_id").distinct()
+    own = seen.join(t.item_attributes, "item_id").select("user_id", F.col("attribute").alias("token")).distinct()
+    return G.default_tokens(t.customers, own)
 
 
 def item_tokens(t):
@@ -64,12 +66,26 @@ def _(t):
 
 
 @query("attribute_graph", "G3 T5", TOKENS + """
-SELECT 'full' AS graph, CAST(item_id AS BIGINT) AS src, node AS dst FROM g UNION ALL SELECT 'full', node, item_id FROM g
-UNION ALL SELECT 'source', node, item_id FROM g WHERE domain = 'X' AND x_items > 1 UNION ALL SELECT 'target', item_id, node FROM g WHERE domain = 'Y' AND y_items > 1""")
+SELECT 'full' AS graph, CAST(item_id AS BIGINT) AS src, node AS dst, 1.0::DOUBLE AS weight FROM g UNION ALL SELECT 'full', node, item_id, 1.0 FROM g
+UNION ALL SELECT 'source', node, item_id, 1.0 FROM g WHERE domain = 'X' AND x_items > 1 UNION ALL SELECT 'target', item_id, node, 1.0 FROM g WHERE domain = 'Y' AND y_items > 1""")
 def _(t):
     kept = G.kept_tokens(G.token_frequency(user_tokens(t), item_tokens(t)))
-    n_users = t.ev.select("user_id").distinct().count()
-    return G.attribute_graph(item_tokens(t), G.attribute_nodes(kept, t.items.count(), n_users))
+    return G.attribute_graph(item_tokens(t), G.attribute_nodes(kept, t.items.count(), t.customers.count()))
+
+
+@query("attribute_graph_normalised", "G3 G4 T5", TOKENS.replace("SELECT count(*) FROM items", "SELECT count(*) + 1 FROM items").rstrip().rstrip("@").rstrip() + """,
+ num AS (SELECT item_id AS id, row_number() OVER (ORDER BY item_id) - 1 AS item_id FROM items),
+ gg AS (SELECT num.item_id AS item, g.* EXCLUDE (item_id) FROM g JOIN num ON num.id = g.item_id),
+ e AS (SELECT 'full' AS graph, item AS src, node AS dst FROM gg UNION ALL SELECT 'full', node, item FROM gg
+  UNION ALL SELECT 'source', node, item FROM gg WHERE domain = 'X' AND x_items > 1 UNION ALL SELECT 'target', item, node FROM gg WHERE domain = 'Y' AND y_items > 1) @
+SELECT graph, src, dst, round(1.0::DOUBLE / count(*) OVER (PARTITION BY graph, src), 6) AS weight FROM e""")
+def _(t):
+    """Node numbers without a gap: items, a blank item, users, attributes; weights per source node of each graph."""
+    kept = G.kept_tokens(G.token_frequency(user_tokens(t), item_tokens(t)))
+    numbers, n_items = G.numbered_items(t.items.select("item_id"))
+    tokens = item_tokens(t).join(numbers, "item_id").select(F.col("number").alias("item_id"), "domain", "token")
+    edges = G.attribute_graph(tokens, G.attribute_nodes(kept, n_items, t.customers.count()))
+    return G.normalise_rows(edges, by=("graph",)).withColumn("weight", F.round("weight", 6))
 
 
 @query("answer_tokens", "A11 F3 F4", r"""
@@ -93,8 +109,12 @@ def _(t):
     return out.select("node", F.size("embedding").alias("dim"), (F.round(V.dot(F.col("embedding"), weights), 6) + 0.0).alias("total"))
 
 
-@query("edge_list_import", "G6", EDGES + """
-SELECT CAST(max(greatest(src, dst)) + 1 AS BIGINT) AS nodes, count(*) AS edges FROM edges""")
+@query("edge_list_import", "G6", EDGES.replace("FROM ev)", "FROM ev_daily)") + """
+SELECT src, dst, count(*) AS n, (SELECT CAST(max(greatest(src, dst)) + 1 AS BIGINT) FROM edges) AS nodes FROM tr WHERE src IS NOT NULL GROUP BY src, dst""")
 def _(t):
-    lines = G.transition_graph(t.ev).select(F.to_json(F.array(F.array("src", "dst"))).alias("value"))
-    return G.node_count(G.parse_edge_lists(lines))
+    """One list of all pairs per user; pairs recur, and every recurrence counts."""
+    pairs = S.transitions(t.ev_daily)
+    lines = pairs.groupBy("user_id").agg(F.to_json(F.collect_list(F.array("src", "dst"))).alias("value"))
+    edges = G.parse_edge_lists(lines.select("value"))
+    nodes = G.node_count(edges).first()["nodes"]
+    return edges.groupBy("src", "dst").agg(F.count(F.lit(1)).alias("n")).withColumn("nodes", F.lit(nodes).cast("long"))

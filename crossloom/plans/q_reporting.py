@@ -2,10 +2,13 @@
 
 from pyspark.sql import functions as F
 
+from crossloom.operators import catalogue as K
 from crossloom.operators import evaluation as E
+from crossloom.operators import instructions as N
 from crossloom.operators import reporting as R
 from crossloom.operators import sequences as S
-from crossloom.plans.q_evaluation import LIST_RANKS, lists
+from crossloom.operators.ordering import top_per_key
+from crossloom.plans.q_evaluation import FUZZY, LIST_RANKS, METRICS, OOD, lists
 from crossloom.plans.registry import query
 
 
@@ -26,10 +29,10 @@ def _(t):
 
 @query("sequence_statistics", "A10", """
 SELECT CASE WHEN user_id % 3 = 0 THEN 'valid' ELSE 'train' END AS split, count(*) AS lines, max(mi) AS max_item, max(user_id) AS max_user, min(b) AS min_border, max(b) AS max_border, CAST(max(n) AS INT) AS max_length
-FROM (SELECT user_id, max(item_id) AS mi, max(CASE WHEN back = 1 THEN item_id END) AS b, count(*) AS n FROM ranked WHERE back <= 15 GROUP BY user_id) GROUP BY 1""")
+FROM (SELECT user_id, max(item_id) AS mi, max(CASE WHEN back = 1 THEN item_id END) AS b, count(*) AS n FROM ranked_daily GROUP BY user_id) GROUP BY 1""")
 def _(t):
     split = F.when(F.col("user_id") % 3 == 0, "valid").otherwise("train").alias("split")
-    seq = S.user_sequences(t.ev, least=1).select("user_id", F.col("seq.item_id").alias("items"), split)
+    seq = t.daily_sequences.select("user_id", F.col("seq.item_id").alias("items"), split)
     return R.sequence_statistics(seq, ["split"])
 
 
@@ -38,7 +41,9 @@ def _(t):
     return R.histogram(t.ev, "event_type")
 
 
-POOL = """@ first AS (SELECT user_id, domain, user_id AS line FROM target ORDER BY user_id LIMIT 120),
+POOL = """@ shown AS (SELECT c_custkey AS user_id FROM customer ORDER BY c_custkey LIMIT 160),
+ first AS (SELECT user_id, domain, user_id AS line FROM target JOIN shown USING (user_id) JOIN text_preds USING (user_id)
+  WHERE user_id IN (SELECT user_id FROM ranked WHERE back BETWEEN 2 AND 15 GROUP BY user_id HAVING count(*) >= 2) ORDER BY user_id LIMIT 120),
  demo AS (SELECT * FROM (SELECT *, row_number() OVER (PARTITION BY domain ORDER BY line) AS r FROM first) WHERE r <= 12),
  s AS (SELECT DISTINCT user_id, lower(title) AS title FROM ranked JOIN items USING (item_id) JOIN (SELECT user_id FROM first) USING (user_id) WHERE back <= 15),
  n AS (SELECT user_id, count(*) AS n FROM s GROUP BY 1),
@@ -50,7 +55,13 @@ POOL = """@ first AS (SELECT user_id, domain, user_id AS line FROM target ORDER
 
 
 def demo(t):
-    return R.display_pool(t.target.select("user_id", "domain", F.col("user_id").alias("line")))
+    """Prompts for all customers, answers only for those with events, and the display rules on both."""
+    test = S.leave_one_out(S.user_sequences(t.ev)).filter("split = 'test'")
+    texts = N.history_texts(test, t.items)
+    prompt = F.concat(F.lit("intro\n=== Interaction History ===\n"), F.coalesce("history", F.lit("")), F.lit("\n\n=== Preference Summary ===\n"))
+    rows = t.customers.join(texts, "user_id", "left").join(t.target.select("user_id", "domain"), "user_id", "left")
+    rows = rows.select("user_id", "domain", F.col("user_id").alias("line"), prompt.alias("input"))
+    return R.display_pool(R.eligible_users(rows, t.text_preds.select("user_id", "prediction")))
 
 
 @query("display_users", "P11 J5", POOL + "SELECT user_id, domain FROM demo")
@@ -70,12 +81,8 @@ def _(t):
 SELECT user_id, string_agg(left(title, 12), '|' ORDER BY pos) FILTER (pos <= 8) AS history, string_agg(title, '|' ORDER BY pos) FILTER (pos <= 3) AS recent
 FROM ranked JOIN items USING (item_id) GROUP BY user_id""")
 def _(t):
-    from crossloom.operators.ordering import top_per_key
-
     first = top_per_key(t.ev, ["user_id"], [F.asc("ts"), F.asc("event_id")], 8).join(t.items.select("item_id", "title"), "item_id")
-    lists_ = S.collect_ordered(first, ["user_id"], ["rank"], ["title"], "l")
-    return lists_.select("user_id", F.concat_ws("|", F.transform("l", lambda e: F.left(e["title"], F.lit(12)))).alias("history"),
-                         F.concat_ws("|", F.slice("l.title", 1, 3)).alias("recent"))
+    return R.truncated_titles(first).select("user_id", F.concat_ws("|", "history").alias("history"), F.concat_ws("|", "recent").alias("recent"))
 
 
 _DRAW = "(((((user_id * 16807 + 0 * 69621 + 2040) % 2147483647 + 1) * 48271) % 2147483647 + 1) * 39373) % 2147483647 % 2147483647"
@@ -90,3 +97,28 @@ def _(t):
 @query("metric_snapshot", "S13", LIST_RANKS + "SELECT round(COLUMNS(* EXCLUDE n), 4) FROM m")
 def _(t):
     return R.metric_snapshot(E.ranking_metrics(lists(t)))
+
+
+_WIDE = "SELECT '{part}' AS part, metric, round(value::DOUBLE, 4) AS value FROM (UNPIVOT (SELECT {cols} FROM {rows}) ON COLUMNS(*) INTO NAME metric VALUE value)"
+
+
+@query("dashboard_metrics", "S13 M19", POOL.strip().rstrip("@").rstrip() + f""",
+ ex AS (SELECT {METRICS} FROM (SELECT list_position(CASE WHEN user_id % 4 <> 0 THEN list_transform(candidates, lambda x: lower(trim(x)))
+  ELSE [lower(trim(prediction))] END, lower(trim(ground_truth))) AS rank FROM text_preds JOIN title_lists USING (user_id))),
+ fz AS (SELECT round(avg(CASE WHEN s >= 0.5 THEN 1.0::DOUBLE ELSE 0.0 END), 6) AS fuzzy_hr_1, round(avg(s::DOUBLE), 6) AS partial_hr_1,
+  round(avg(CASE WHEN lower(trim(p)) = lower(trim(t)) THEN 1.0::DOUBLE ELSE 0.0 END), 6) AS exact_hr_1
+  FROM (SELECT *, {FUZZY} AS s FROM (SELECT user_id, prediction AS p, ground_truth AS t FROM text_preds))),
+ od AS (SELECT round(sum(w::DOUBLE) / count(*), 6) AS ood_rate, sum(w::DOUBLE) AS ood_count, count(*)::DOUBLE AS total FROM {OOD}),
+ si AS (SELECT avg(n) AS mean_similar_users FROM (SELECT user_id, count(*)::DOUBLE AS n FROM pool WHERE score > 0 AND place <= 5 GROUP BY 1)) @
+""" + " UNION ALL ".join(_WIDE.format(part=p, cols="*", rows=r) for p, r in (("snapshot", "ex"), ("fuzzy", "fz"), ("out_of_domain", "od"), ("similar", "si"))))
+def _(t):
+    """Expanded metrics win over exact ones; with the figures shown beside them."""
+    c = t.title_lists.select("user_id", F.when(F.col("user_id") % 4 != 0, F.col("candidates")).alias("top_k"))
+    wide = E.single_answer_lists(t.text_preds.join(c, "user_id"), candidates="top_k")
+    expanded = E.ranking_metrics(E.list_ranks(wide, target="ground_truth"))
+    exact = E.ranking_metrics(E.list_ranks(E.single_answer_lists(t.text_preds), target="ground_truth"))
+    pool, users = demo(t)
+    titles = S.recent_events(t.ev).join(t.items.select("item_id", F.lower("title").alias("title")), "item_id").select("user_id", "title")
+    near = R.pool_with_fill(users, pool, titles).filter("selected AND similarity > 0")
+    similar = near.groupBy("user_id").agg(F.count(F.lit(1)).alias("n")).agg(F.avg("n").alias("mean_similar_users"))
+    return R.dashboard_metrics(R.metric_snapshot(exact, expanded), fuzzy=E.fuzzy_metrics(t.text_preds), out_of_domain=E.out_of_domain_rate(t.text_preds, K.title_index(t.items)), similar=similar)

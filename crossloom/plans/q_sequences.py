@@ -25,12 +25,12 @@ def _(t):
         F.size(F.filter(seq, lambda e: e["domain"] == "X")).cast("long").alias("n_x"))
 
 
-@query("user_sequences_first_day", "A1 P1", """
+@query("user_sequences_by_day", "A1 P1", """
 SELECT user_id, string_agg(CAST(item_id AS VARCHAR), ',' ORDER BY ts, event_id) AS items
-FROM (SELECT *, row_number() OVER (PARTITION BY user_id ORDER BY ts DESC, event_id DESC) AS b FROM ev_short) WHERE b <= 15
+FROM (SELECT *, row_number() OVER (PARTITION BY user_id ORDER BY ts DESC, event_id DESC) AS b FROM ev_daily) WHERE b <= 15
 GROUP BY user_id HAVING count(*) >= 3""")
 def _(t):
-    return S.user_sequences(t.ev_short).select("user_id", ids(F.col("seq")).alias("items"))
+    return S.user_sequences(t.ev_daily).select("user_id", ids(F.col("seq")).alias("items"))
 
 
 @query("min_activity", "P1", """
@@ -162,10 +162,10 @@ def _(t):
 
 @query("vector_override", "P6", """
 SELECT u.user_id, CAST(64 AS INT) AS dim, coalesce(round(list_sum(CAST(e.embedding AS DOUBLE[])), 4), 0.0) AS total
-FROM (SELECT DISTINCT user_id FROM ev) u LEFT JOIN (SELECT * FROM embeddings WHERE label < 7) e ON e.vec_id = u.user_id""")
+FROM (SELECT c_custkey AS user_id FROM customer) u LEFT JOIN embeddings e ON e.vec_id = u.user_id""")
 def _(t):
-    given = t.table("embeddings").filter("label < 7").select(F.col("vec_id").alias("user_id"), "embedding")
-    out = S.override_vectors(t.ev.select("user_id").distinct(), given, 64)
+    given = t.table("embeddings").select(F.col("vec_id").alias("user_id"), "embedding")
+    out = S.override_vectors(t.customers, given, 64)
     total = F.aggregate(F.col("embedding").cast("array<double>"), F.lit(0.0), lambda a, v: a + v)
     return out.select("user_id", F.size("embedding").alias("dim"), F.round(total, 4).alias("total"))
 
@@ -188,12 +188,10 @@ def _(t):
 
 
 @query("identical_sequences", "U3", """
-SELECT min(user_id) AS user_id, kinds FROM (SELECT user_id, string_agg(event_type, ',' ORDER BY ts, event_id) AS kinds
- FROM ranked WHERE back <= 3 GROUP BY user_id) GROUP BY kinds""")
+SELECT min(user_id) AS user_id, items FROM (SELECT user_id, string_agg(CAST(item_id AS VARCHAR), ',' ORDER BY ts, event_id) AS items
+ FROM ev_daily GROUP BY user_id) GROUP BY items""")
 def _(t):
-    seq = S.user_sequences(t.ev, max_len=3, least=1, fields=("event_type",))
-    kinds = seq.select("user_id", F.concat_ws(",", "seq.event_type").alias("kinds"))
-    return S.dedupe_sequences(kinds, "kinds", "user_id")
+    return S.dedupe_sequences(t.daily_sequences.select("user_id", ids(F.col("seq")).alias("items")), "items", "user_id")
 
 
 @query("union_override", "U2", """
@@ -243,9 +241,10 @@ def _(t):
 
 
 @query("index_to_item", "J3", """
-SELECT user_id, rank, CASE WHEN item_id IN (SELECT item_id FROM items WHERE category <> 'ECONOMY') THEN 'item-' || item_id ELSE CAST(item_id AS VARCHAR) END AS item_key FROM preds""")
+SELECT user_id, rank, CASE WHEN item_id IN (SELECT s_suppkey FROM supplier) THEN 'item-' || item_id ELSE CAST(item_id AS VARCHAR) END AS item_key FROM preds""")
 def _(t):
-    id_map = t.items.filter("category <> 'ECONOMY'").select(F.col("item_id").alias("idx"), F.concat(F.lit("item-"), "item_id").alias("item_id"))
+    number = F.col("s_suppkey").cast("int")  # fewer numbers than items, so some stay as they are
+    id_map = t.table("supplier").select(number.alias("idx"), F.concat(F.lit("item-"), number).alias("item_id"))
     out = K.index_to_id(t.preds.withColumnRenamed("item_id", "idx"), id_map)
     return out.select("user_id", F.col("rank").cast("long").alias("rank"), "item_key")
 

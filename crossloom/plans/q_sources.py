@@ -3,6 +3,7 @@
 from pyspark.sql import functions as F
 
 from crossloom.functions import text as T
+from crossloom.operators import evaluation as E
 from crossloom.operators import instructions as N
 from crossloom.operators import reporting as R
 from crossloom.operators import sequences as S
@@ -13,16 +14,20 @@ from crossloom.sources import readers as I
 
 @query("parsed_interactions", "S1 D1", """
 SELECT event_id, CASE WHEN event_id % 7 = 3 THEN '' ELSE CAST(user_id AS VARCHAR) END AS user_id, CAST(item_id AS VARCHAR) AS item_id,
- CASE WHEN event_id % 5 = 2 THEN 0 ELSE event_id END AS ts, domain FROM ev WHERE event_type <> 'error' AND value >= 1""")
+ CASE WHEN event_id % 5 = 2 THEN 0 ELSE event_id END AS ts, domain FROM ev WHERE event_type <> 'error' AND value >= 1 AND event_id % 11 NOT IN (4, 7)""")
 def _(t):
     e = F.col("event_id")
     user, item = F.col("user_id").cast("string"), F.col("item_id").cast("string")
     user = F.when(e % 7 != 3, user)
     ts = F.when(e % 5 != 2, e)
-    plain = F.to_json(F.struct(user.alias("user_id"), item.alias("item_id"), ts.alias("timestamp")))
+    plain = F.to_json(F.struct(user.alias("user_id"), item.alias("item_id"), F.concat(ts.cast("string"), F.lit("")).alias("timestamp")))
     alias = F.to_json(F.struct(user.alias("reviewerID"), item.alias("asin"), ts.alias("unixReviewTime")))
+    alias = F.when(e % 3 == 0, F.regexp_replace(alias, r'(Time":\d+)', "$1.0")).otherwise(alias)  # times come as numbers, decimals and texts
     # some records arrive blank or broken
+    plain = F.when(e % 11 == 4, F.translate(plain, '"', "'")).otherwise(plain)
+    alias = F.when(e % 11 == 4, F.translate(alias, '"', "'")).otherwise(alias)
     line = F.when(F.col("value") < 1, "  ").when(F.col("event_type") == "error", '{"user_id": broken').when(e % 2 == 0, plain).otherwise(alias)
+    line = F.when(e % 11 == 7, F.concat(line, F.lit(" trailing"))).otherwise(line)
     return I.parse_interactions(t.ev.select("event_id", F.col("domain").alias("d"), line.alias("value")), F.col("d")).drop("d")
 
 
@@ -56,13 +61,13 @@ def _(t):
     return I.parse_catalogue(t.table("part").select(line.alias("value")), "X")
 
 
-PACKED = """@ p AS (SELECT user_id, item_id, event_id, row_number() OVER (PARTITION BY user_id ORDER BY ts, event_id) AS pos, count(*) OVER (PARTITION BY user_id) AS n FROM ranked WHERE back <= 15) @
+PACKED = """@ p AS (SELECT user_id, item_id, event_id, row_number() OVER (PARTITION BY user_id ORDER BY ts, event_id) AS pos, count(*) OVER (PARTITION BY user_id) AS n FROM ev_daily) @
 """
 
 
 def packed_lines(t):
-    """The last 15 events per user as packed lines; one cell per line is too short and every line ends with a tab."""
-    seq = S.user_sequences(t.ev, least=1, fields=("item_id",))
+    """All events of a user and day as packed lines; one cell per line is too short and every line ends with a tab."""
+    seq = t.daily_sequences
     cells = F.transform("seq", lambda e, i: F.concat_ws("|", e["item_id"].cast("string"), (i + 1).cast("string"), e["event_id"].cast("string")))
     line = F.concat_ws("\t", F.col("user_id").cast("string"), F.size("seq").cast("string"), F.lit("5|6"), F.concat_ws("\t", cells), F.lit(""))
     return seq.select(line.alias("value"))
@@ -145,12 +150,12 @@ def _(t):
 
 
 LOGS = """@ e AS (SELECT user_id AS run, event_id AS step, back, row_number() OVER (PARTITION BY user_id ORDER BY ts, event_id) - 1 AS pos,
-  CASE WHEN event_type <> 'view' THEN value END AS loss, CASE WHEN event_type = 'view' THEN value / 3 END AS eval_loss FROM ranked WHERE back <= 15) @
+  CASE WHEN event_type <> 'view' THEN value END AS loss, CASE WHEN event_type = 'view' THEN value / 3 END AS eval_loss FROM ranked_daily) @
 """
 
 
 def logs(t):
-    seq = S.user_sequences(t.ev, least=1, fields=("event_type", "value"))
+    seq = t.daily_sequences
     entry = F.transform("seq", lambda e: F.struct(
         e["event_id"].alias("step"), F.when(e["event_type"] != "view", e["value"]).alias("loss"),
         F.when(e["event_type"] == "view", e["value"] / 3).alias("eval_loss"), F.lit(0.00001).alias("learning_rate"), F.lit(1.0).alias("epoch")))
@@ -186,9 +191,7 @@ def _(t):
 SELECT user_id, max(row_idx) AS row_idx, arg_max(gt, row_idx) AS gt FROM q GROUP BY user_id""")
 def _(t):
     """Of several query rows per user the last one whose truth lies in X."""
-    rows = t.ev.filter("item_id < 50").select(F.col("event_id").alias("row_idx"), "user_id", F.col("item_id").alias("gt"))
-    best = rows.groupBy("user_id").agg(F.max(F.struct("row_idx", "gt")).alias("b"))
-    return best.select("user_id", "b.row_idx", "b.gt")
+    return E.query_rows(t.ev.select(F.col("event_id").alias("row_idx"), "user_id", F.col("item_id").alias("gt")), 50)
 
 
 @query("row_index", "T5", "SELECT doc_id, row_number() OVER (ORDER BY n_chars, doc_id) - 1 AS idx FROM documents")

@@ -34,8 +34,20 @@ class Tables:
         )
 
     @cached_property
-    def ev_short(self) -> DataFrame:
-        return self.ev.filter(F.col("ts") < F.lit("2024-01-02").cast("timestamp_ntz"))
+    def ev_daily(self) -> DataFrame:
+        """The same events with a user for every pair of user and day: short and many sequences over the whole table."""
+        day = F.datediff(F.col("ts").cast("date"), F.lit("2024-01-01").cast("date")).cast("long")
+        return self.ev.withColumn("user_id", F.col("user_id") * 1000 + day)
+
+    @cached_property
+    def daily_sequences(self) -> DataFrame:
+        """``(user_id, seq)``: all events of a user and day, whatever their number."""
+        return S.collect_ordered(self.ev_daily, ["user_id"], S.ORDER, ("item_id", "domain", "event_type", "value"), "seq")
+
+    @cached_property
+    def customers(self) -> DataFrame:
+        """All customers; many have no event, no vector and no answer."""
+        return self.table("customer").select(F.col("c_custkey").alias("user_id"))
 
     @cached_property
     def items(self) -> DataFrame:
@@ -128,7 +140,9 @@ class Tables:
 SQL_VIEWS = r"""
 ev AS (SELECT event_id, user_id, ts, CAST(regexp_extract(props,'[0-9]+') AS INT) AS item_id,
   CASE WHEN CAST(regexp_extract(props,'[0-9]+') AS INT) < 50 THEN 'X' ELSE 'Y' END AS domain, event_type, value FROM events),
-ev_short AS (SELECT * FROM ev WHERE ts < TIMESTAMP '2024-01-02'),
+ev_daily AS (SELECT * REPLACE (user_id * 1000 + (CAST(ts AS DATE) - DATE '2024-01-01') AS user_id) FROM ev),
+ranked_daily AS (SELECT *, row_number() OVER (PARTITION BY user_id ORDER BY ts DESC, event_id DESC) AS back,
+  row_number() OVER (PARTITION BY user_id ORDER BY ts, event_id) AS pos FROM ev_daily),
 items AS (SELECT CAST(p_partkey AS INT) AS item_id, p_name || ' ' || p_brand || ' ' || p_type AS title,
   p_name AS short_title, p_type AS category, p_brand AS brand,
   CASE WHEN p_partkey % 100 < 50 THEN 'X' ELSE 'Y' END AS domain FROM part),
