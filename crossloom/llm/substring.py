@@ -12,10 +12,10 @@ one task:
 2. Consecutive windows that share their prefix are kept as one stretch of text.
    Equal stretches are one leaf with its earliest place, so a passage with
    very many copies is a single leaf.
-3. A task ranks the suffixes of its leaves by prefix doubling. Runs of equal
-   rank at depth ``window`` are the subtree's internal nodes of that depth:
-   their first suffix is kept, the others are repeats. Prefixes with too many
-   leaves are prolonged to the full window.
+3. A task sorts the suffixes of its groups, which gives their subtrees from
+   left to right. Suffixes that agree to the depth of the window hang below
+   one internal node: the earliest is kept, the others are repeats. Prefixes
+   with too many leaves are prolonged to the full window.
 """
 
 from __future__ import annotations
@@ -28,35 +28,54 @@ from crossloom.llm.common import raw_text, text_batches, written
 WINDOW = 20
 GRAM = 8
 LEAVES = 20_000  # leaves of one prefix beyond which it is prolonged
-TASK_WORDS = 1_000_000  # words of the subtrees that a task ranks at once
-CODES = 400_000  # word hashes remembered by a task
+TASK_WORDS = 1_000_000  # words of the subtrees that a task sorts at once
+WORDS_AT_ONCE = 1 << 17  # words hashed at once
 
 
-class _Codes(dict):
-    """64-bit hash of a word."""
+class _Hasher:
+    """Word and gram hashes of a text in UTF-8. They only choose prefixes; texts are compared by their words."""
 
-    def __missing__(self, word):
-        import xxhash
+    def __init__(self, window, gram):
+        import numpy as np
 
-        if len(self) >= CODES:
-            self.clear()
-        code = self[word] = xxhash.xxh3_64_intdigest(word)
-        return code
+        r = np.random.default_rng(20)
+        self.window, self.gram = window, gram
+        self.byte = r.integers(0, 1 << 64, 256, np.uint64)
+        self.blank = np.zeros(256, bool)
+        self.blank[[9, 10, 11, 12, 13, 32]] = True
+        self.byte[self.blank] = 0
+        self.power = r.integers(0, 1 << 63, 64, np.uint64) * np.uint64(2) + np.uint64(1)
 
+    def words(self, raw):
+        """(starts, ends, hashes) of the words."""
+        import numpy as np
 
-def _anchors(words, codes, window, gram):
-    """Hash of every word gram, and for each window the place of its smallest one (the first, if equal)."""
-    import numpy as np
+        b = np.frombuffer(raw, np.uint8)
+        edge = np.diff(np.concatenate([[0], (~self.blank[b]).view(np.int8), [0]]).astype(np.int8))
+        start, end = np.flatnonzero(edge == 1), np.flatnonzero(edge == -1)
+        out = np.empty(len(start), np.uint64)
+        for at in range(0, len(start), WORDS_AT_ONCE):
+            s, hi = start[at : at + WORDS_AT_ONCE], end[min(at + WORDS_AT_ONCE, len(end)) - 1]
+            lo = s[0]
+            inside = np.arange(hi - lo) - np.repeat(s - lo, np.diff(np.append(s, hi)))
+            out[at : at + WORDS_AT_ONCE] = np.add.reduceat(self.byte[b[lo:hi]] * self.power[inside & 63], s - lo)
+        return start, end, out
+
+    def anchors(self, x):
+        """From word hashes: the hash of every word gram, and for each window the place of its smallest one (the first, if equal)."""
+        import numpy as np
 
-    x = np.array([codes[w] for w in words], np.uint64)
-    n = len(x) - gram + 1
-    h = np.zeros(n, np.uint64)
-    for j in range(gram):
-        h = (h ^ x[j : n + j]) * np.uint64(0x9E3779B97F4A7C15)
-        h ^= h >> np.uint64(29)
-    wide = window - gram + 1
-    at = np.lib.stride_tricks.sliding_window_view(h, wide).argmin(axis=1)
-    return h, at + np.arange(len(at))
+        n = len(x) - self.gram + 1
+        h = np.zeros(n, np.uint64)
+        for j in range(self.gram):
+            h = (h ^ x[j : n + j]) * np.uint64(0x9E3779B97F4A7C15)
+            h ^= h >> np.uint64(29)
+        low, at, wide, have = h, np.arange(n), self.window - self.gram + 1, 1
+        while have < wide:  # minima over twice as many grams, until a window's are covered
+            by = min(have, wide - have)
+            less = low[by:] < low[:-by]
+            low, at, have = np.where(less, low[by:], low[:-by]), np.where(less, at[by:], at[:-by]), have + by
+        return h, at
 
 
 def _prefixes(docs: DataFrame, window: int, gram: int) -> DataFrame:
@@ -66,15 +85,15 @@ def _prefixes(docs: DataFrame, window: int, gram: int) -> DataFrame:
         import numpy as np
         import pyarrow as pa
 
-        codes = _Codes()
+        hasher = _Hasher(window, gram)
         for b in text_batches(batches):
             gs, ds, ns = [], [], []
             for d, raw in zip(b.column(0).to_pylist(), b.column(1).to_pylist()):
-                words = raw.split()
-                if len(words) < window:
+                x = hasher.words(raw)[2]
+                if len(x) < window:
                     continue
-                h, at = _anchors(words, codes, window, gram)
-                g, n = np.unique(h[np.unique(at)], return_counts=True)
+                h, at = hasher.anchors(x)
+                g, n = np.unique(h[at[np.concatenate([[True], at[1:] != at[:-1]])]], return_counts=True)
                 gs.append(g)
                 ns.append(np.minimum(n, 2))
                 ds.append(np.full(len(g), d, np.int64))
@@ -93,78 +112,63 @@ def _stretches(flagged: DataFrame, window: int, gram: int) -> DataFrame:
         import pyarrow as pa
         import xxhash
 
-        codes = _Codes()
-        for b in text_batches(batches):
-            rows = []
+        hasher = _Hasher(window, gram)
+        for b in text_batches(batches, 64):
+            numbers, hs, bodies = [], [], []
             for k, d, raw, gs in zip(*(b.column(i).to_pylist() for i in range(4))):
-                words = raw.split()
-                h, at = _anchors(words, codes, window, gram)
-                cut = np.flatnonzero(np.diff(at)) + 1
-                first, last = np.concatenate([[0], cut]), np.concatenate([cut, [len(at)]])
+                start, end, x = hasher.words(raw)
+                h, at = hasher.anchors(x)
+                first = np.flatnonzero(np.concatenate([[True], at[1:] != at[:-1]]))
+                n = np.diff(np.append(first, len(at)))
                 g = h[at[first]].view(np.int64)
+                own = np.isin(g, np.array(gs, np.int64))
+                g, first, n = g[own], first[own], n[own]
+                numbers.append(np.stack([g, np.full(len(g), k), np.full(len(g), d), first, n]))
                 seen = set()
-                for i in np.flatnonzero(np.isin(g, np.array(gs, np.int64))):
-                    text = b" ".join(words[first[i] : last[i] + window - 1])
+                for i, j in zip(start[first].tolist(), end[first + n + window - 2].tolist()):
+                    text = b" ".join(raw[i:j].split())
                     x = xxhash.xxh3_64_intdigest(text) - (1 << 63)
-                    rows.append((int(g[i]), x, k, d, int(first[i]), int(last[i] - first[i]), None if x in seen else text))
+                    hs.append(x)
+                    bodies.append(None if x in seen else text)
                     seen.add(x)
-            if rows:
-                kinds = [pa.int64()] * 4 + [pa.int32()] * 2 + [pa.binary()]
-                yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(zip(*rows), kinds)], ["g", "h", "k", "d", "at", "n", "body"])
+            if hs:
+                g, k, d, at, n = np.concatenate(numbers, axis=1)
+                cols = [pa.array(g), pa.array(hs, pa.int64()), pa.array(k), pa.array(d), pa.array(at.astype(np.int32)), pa.array(n.astype(np.int32)), pa.array(bodies, pa.binary())]
+                yield pa.RecordBatch.from_arrays(cols, ["g", "h", "k", "d", "at", "n", "body"])
 
     return flagged.select("k", "d", "_raw", "gs").mapInArrow(task, "g bigint, h bigint, k bigint, d bigint, at int, n int, body binary")
 
 
-def _ranks(words, window):
-    """Rank of the suffix at every place by its first ``window`` words; equal ranks are equal words."""
-    import numpy as np
-
-    def pair(a, b):
-        return np.unique(a * (int(b.max()) + 1) + b, return_inverse=True)[1] + 1
-
-    def shifted(a, by):
-        return np.concatenate([a[by:], np.zeros(min(by, len(a)), np.int64)])[: len(a)]
-
-    known: dict = {}
-    codes = np.fromiter((known.setdefault(w, len(known) + 1) for w in words), np.int64, len(words))
-    rank, depth, have = codes, 1, {1: codes}
-    while depth * 2 <= window:
-        rank = pair(rank, shifted(rank, depth))
-        depth *= 2
-        have[depth] = rank
-    for step in sorted(have, reverse=True):
-        if depth + step <= window:
-            rank = pair(rank, shifted(have[step], depth))
-            depth += step
-    return rank
-
-
 def _subtree(leaves, window):
-    """For each leaf (k, d, at, n, body): [from, to, ...] of the places whose window has an earlier equal one."""
-    import numpy as np
-
-    words, base, owner, offset = [], 0, [], []
-    for i, (_, _, _, n, body) in enumerate(leaves):
-        own = body.split()
-        words += own
-        owner.append(np.full(n, i))
-        offset.append(np.arange(n))
-    owner, offset = np.concatenate(owner), np.concatenate(offset)
-    lengths = np.array([x[3] + window - 1 for x in leaves])
-    base = np.concatenate([[0], np.cumsum(lengths)[:-1]])
-    node = _ranks(words, window)[base[owner] + offset]
-    k, d, at = (np.array([x[j] for x in leaves], np.int64) for j in range(3))
-    place = at[owner] + offset
-    order = np.lexsort((place, d[owner], k[owner], node))
-    later = np.zeros(len(node), bool)
-    later[order[1:]] = node[order[1:]] == node[order[:-1]]
-    out = [[] for _ in leaves]
-    hits = np.flatnonzero(later)
-    if len(hits):
-        new = np.concatenate([[True], (owner[hits[1:]] != owner[hits[:-1]]) | (place[hits[1:]] != place[hits[:-1]] + 1)])
-        ends = np.concatenate([np.flatnonzero(new)[1:], [len(hits)]])
-        for a, b in zip(np.flatnonzero(new), ends):
-            out[owner[hits[a]]] += [int(place[hits[a]]), int(place[hits[b - 1]])]
+    """For each leaf (k, d, at, n, body): [from, to, ...] of the places whose window has an earlier equal one.
+
+    The suffixes are sorted by their words to the depth of the window, which
+    lists the subtree's leaves from left to right; neighbours that agree to
+    that depth hang below one deep node, whose earliest suffix stays.
+    """
+    suffixes, places = [], []
+    for i, (k, d, at, n, body) in enumerate(leaves):
+        ends = [0]
+        for word in body.split(b" "):
+            ends.append(ends[-1] + len(word) + 1)
+        suffixes += [body[ends[j] : ends[j + window] - 1] for j in range(n)]
+        places += [(k, d, at + j, i) for j in range(n)]
+    order = sorted(range(len(suffixes)), key=suffixes.__getitem__)
+    out: list[list[int]] = [[] for _ in leaves]
+    later, at = [], 0
+    while at < len(order):
+        end = at + 1
+        while end < len(order) and suffixes[order[end]] == suffixes[order[at]]:
+            end += 1
+        if end > at + 1:
+            later += sorted(places[x] for x in order[at:end])[1:]
+        at = end
+    for _, _, place, i in sorted(later):
+        own = out[i]
+        if own and own[-1] == place - 1:
+            own[-1] = place
+        else:
+            own += [place, place]
     return out
 
 
