@@ -14,19 +14,13 @@ def forest(a, b, n):
 
     root = np.arange(n)
     while len(a):
-        low = np.minimum(root[a], root[b])
-        before = root.copy()
-        np.minimum.at(root, root[a], low)
-        np.minimum.at(root, root[b], low)
-        np.minimum.at(root, a, low)
-        np.minimum.at(root, b, low)
-        while True:  # halve the paths
+        x, y = root[a], root[b]  # heads of their trees, which point to themselves
+        np.minimum.at(root, np.maximum(x, y), np.minimum(x, y))
+        while True:  # until every row points to a head again
             up = root[root]
             if (up == root).all():
                 break
             root = up
-        if (root == before).all():
-            break
         open_ = root[a] != root[b]
         a, b = a[open_], b[open_]
     return root
