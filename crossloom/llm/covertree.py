@@ -87,6 +87,8 @@ def pairs(a: Tree, b: Tree, threshold: float = THRESHOLD):
             i, j = rows[i], q[2][j]
             if same and p is q:
                 i, j = i[i < j], j[i < j]
+            elif same:
+                i, j = np.minimum(i, j), np.maximum(i, j)
             left.append(i)
             right.append(j)
     return np.concatenate(left), np.concatenate(right)
