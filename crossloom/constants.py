@@ -77,20 +77,6 @@ ATTRIBUTE_ZH = """请根据以下物品的标题和描述，提取该物品的
 属性: ["属性1", "属性2", "属性3", ...]
 """
 
-ATTRIBUTE_BATCH = """You are an item attribute extraction assistant.
-For each item below, provide a brief introduction and extract key attributes as a JSON list.
-
-{items_block}
-
-Respond in JSON format:
-{{
-  "results": [
-    {{"id": "item_001", "intro": "...", "attributes": ["attr1", "attr2"]}},
-    ...
-  ]
-}}
-"""
-
 RECOMMEND_BASE = """Instruction: Based on the user's interaction history and profile information, recommend a new {target_domain} item that the user would likely enjoy.
 
 Input:
@@ -185,15 +171,3 @@ ALPACA_WITHOUT_INPUT = (
     "### Instruction:\n{instruction}\n\n### Response:\n"
 )
 PLAIN_PROMPT = "### Instruction:\n{instruction}\n\n### Input:\n{input}\n\n### Response:\n"
-
-TEMPLATES = {
-    "attribute_en": ATTRIBUTE_EN,
-    "attribute_zh": ATTRIBUTE_ZH,
-    "attribute_batch": ATTRIBUTE_BATCH,
-    "recommend_base": RECOMMEND_BASE,
-    "recommend_profile": RECOMMEND_PROFILE,
-    "recommend_cot": RECOMMEND_COT,
-    "recommend_retrieval": RECOMMEND_RETRIEVAL,
-    "profile_compact": PROFILE_COMPACT,
-    "profile_detailed": PROFILE_DETAILED,
-}

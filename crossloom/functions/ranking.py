@@ -53,8 +53,3 @@ def set_precision(truth: Column, guess: Column) -> Column:
         F.when(tp > 0, r).otherwise(zero).alias("recall"),
         F.when(tp > 0, 2 * p * r / (p + r)).otherwise(zero).alias("f1"),
     )
-
-
-def jaccard(a: Column, b: Column) -> Column:
-    union = F.size(F.array_union(a, b))
-    return F.when(union > 0, F.size(F.array_intersect(a, b)) / union).otherwise(0.0)

@@ -76,12 +76,3 @@ def vector_stats(a: Column) -> Column:
         F.array_min(d).alias("min"),
         norm(a).alias("l2_norm"),
     )
-
-
-def zeros(dim: int) -> Column:
-    return F.array_repeat(F.lit(0.0).cast("float"), dim)
-
-
-def vector_text(a: Column, digits: int = 4) -> Column:
-    """Fixed-point text of a vector, for exports and comparisons."""
-    return F.concat_ws(",", F.transform(doubles(a), lambda x: F.format_string(f"%.{digits}f", F.round(x, digits) + 0.0)))

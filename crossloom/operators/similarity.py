@@ -20,7 +20,8 @@ from crossloom.functions import vectors as V
 from crossloom.operators.ordering import bounded, top_per_key
 from crossloom.session import materialize
 
-BLOCK_ROWS = 2048
+BLOCK_BYTES = 8 << 20  # of vectors in one block; larger blocks are shipped less often
+CELLS = 1 << 22  # scores computed at once inside a task
 PAIR_BUDGET = 1_000_000
 BLOCK_TERMS = 500_000
 SCORE_DIGITS = 6
@@ -98,8 +99,16 @@ def _token_products(l_token, li, lw, n_left, r_token, ri, rw, n_right, step=4_00
 
 # ---------------------------------------------------------------- dense vectors
 
-def _blocks(rows: int, block_rows: int, wanted: int) -> int:
-    """Enough blocks to bound their size; more while they stay worth a task."""
+def _slices(n_left: int, n_right: int):
+    """Ranges of left rows whose scores against the right rows stay within the bound."""
+    step = max(1, CELLS // max(1, n_right))
+    return ((at, min(n_left, at + step)) for at in range(0, n_left, step))
+
+
+def _blocks(df: DataFrame, block_rows: int | None, wanted: int) -> int:
+    """Enough blocks to bound their bytes (or rows, where given); more while they stay worth a task."""
+    rows, width = df.agg(F.count(F.lit(1)), F.max(F.size("embedding"))).first()
+    block_rows = block_rows or max(256, BLOCK_BYTES // (8 * max(1, width or 1)))
     return max(1, math.ceil(rows / block_rows), min(wanted, math.ceil(rows / 256)))
 
 
@@ -117,10 +126,10 @@ def _fresh(df: DataFrame) -> DataFrame:
     return df.select(*[F.col(c).alias(c) for c in df.columns])
 
 
-def _pair_blocks(queries: DataFrame, library: DataFrame, block_rows: int):
+def _pair_blocks(queries: DataFrame, library: DataFrame, block_rows: int | None):
     library = _fresh(library)
     wanted = queries.sparkSession.sparkContext.defaultParallelism
-    nq, nl = _blocks(queries.count(), block_rows, wanted), _blocks(library.count(), block_rows, 1)
+    nq, nl = _blocks(queries, block_rows, wanted), _blocks(library, block_rows, 1)
     q = queries.withColumn("_qb", F.pmod(F.xxhash64("id"), F.lit(nq))).withColumn(
         "_lb", _numbers(nl))
     lib = library.withColumn("_lb", F.pmod(F.xxhash64("id"), F.lit(nl))).withColumn(
@@ -148,7 +157,7 @@ def dense_topk(
     exclude_self: bool = False,
     drop_zero: bool = False,
     by: Sequence[str] = (),
-    block_rows: int = BLOCK_ROWS,
+    block_rows: int | None = None,
 ) -> DataFrame:
     """Best ``k`` library rows per query: ``(*by, id, neighbor_id, score, rank)``, exact.
 
@@ -182,17 +191,22 @@ def dense_topk(
             types = [*empty, left.schema.field("id").type, right.schema.field("id").type, pa.float64()]
             return pa.table([pa.array([], t) for t in types], names=names)
         a, b = _matrix(left["embedding"]), _matrix(right["embedding"])
-        scores = np.round(_score_blocks(a, b, metric), SCORE_DIGITS) + 0.0
         qid, lid = left["id"].combine_chunks(), right["id"].combine_chunks()
-        allowed = np.ones(scores.shape, dtype=bool)
-        if exclude_self:
-            codes = pa.chunked_array([qid, lid]).combine_chunks().dictionary_encode().indices.to_numpy()
-            allowed &= codes[: len(qid), None] != codes[None, len(qid) :]
-        if drop_zero:
-            allowed &= (np.abs(b).sum(axis=1) > 0)[None, :]
-        rows, found = _best(scores, allowed, k)
+        codes = pa.chunked_array([qid, lid]).combine_chunks().dictionary_encode().indices.to_numpy() if exclude_self else None
+        some = (np.abs(b).sum(axis=1) > 0)[None, :]
+        parts = []
+        for at, end in _slices(len(a), len(b)):
+            scores = np.round(_score_blocks(a[at:end], b, metric), SCORE_DIGITS) + 0.0
+            allowed = np.ones(scores.shape, dtype=bool)
+            if exclude_self:
+                allowed &= codes[at:end, None] != codes[None, len(qid) :]
+            if drop_zero:
+                allowed &= some
+            rows, found = _best(scores, allowed, k)
+            parts.append((rows + at, found, scores[rows, found]))
+        rows, found, scores = (np.concatenate(x) for x in zip(*parts))
         groups = [pa.array([key[i].as_py()] * len(rows), right.schema.field(c).type) for i, c in enumerate(by)]
-        return pa.table([*groups, qid.take(pa.array(rows)), lid.take(pa.array(found)), pa.array(scores[rows, found])], names=names)
+        return pa.table([*groups, qid.take(pa.array(rows)), lid.take(pa.array(found)), pa.array(scores)], names=names)
 
     keys = [*by, "_qb", "_lb"]
     assert n_by == len(keys) - 2
@@ -201,7 +215,7 @@ def dense_topk(
 
 
 def dense_target_rank(queries: DataFrame, library: DataFrame, tolerance: float = C.RANK_TOLERANCE,
-                      by: Sequence[str] = (), block_rows: int = BLOCK_ROWS) -> DataFrame:
+                      by: Sequence[str] = (), block_rows: int | None = None) -> DataFrame:
     """``(id, rank)``: 1 + library rows whose dot product beats the query's ``truth`` item by more than the tolerance.
 
     ``queries(id, embedding, truth, *by)``. Only counts leave a group of blocks.
@@ -212,13 +226,14 @@ def dense_target_rank(queries: DataFrame, library: DataFrame, tolerance: float =
     id_type = queries.schema["id"].dataType
 
     def count_better(key, left, right):
+        import numpy as np
         import pyarrow as pa
 
         better = pa.array([], pa.int64())
         if left.num_rows and right.num_rows:
-            scores = _matrix(left["embedding"]) @ _matrix(right["embedding"]).T
+            a, b = _matrix(left["embedding"]), _matrix(right["embedding"])
             limit = left["truth_score"].to_numpy()[:, None] + tolerance
-            better = pa.array((scores > limit).sum(axis=1))
+            better = pa.array(np.concatenate([(a[at:end] @ b.T > limit[at:end]).sum(axis=1) for at, end in _slices(len(a), len(b))]))
         ids = left["id"].combine_chunks() if len(better) else pa.array([], left.schema.field("id").type)
         return pa.table([ids, better], names=["id", "better"])
 
@@ -292,12 +307,13 @@ def linear_shift(vectors: DataFrame) -> DataFrame:
     return means.select(F.round(V.squared_distance(F.col("x"), F.col("y")), SCORE_DIGITS).alias("shift"))
 
 
-def kernel_shift(vectors: DataFrame, kernels: int = 5, ratio: float = 2.0, block_rows: int = BLOCK_ROWS) -> DataFrame:
+def kernel_shift(vectors: DataFrame, kernels: int = 5, ratio: float = 2.0, block_rows: int | None = None) -> DataFrame:
     """Kernel distance of X and Y over all pairs of the pooled rows.
 
     The bandwidth is the mean pair distance. It follows from the sum of squared
     norms and the summed vector, so it needs no pairs. Kernel sums are taken
-    block by block and only sums leave a group.
+    block by block and only sums leave a group. A pair of different blocks is
+    computed once and counts for both orders.
     """
     sums = vectors.select(F.posexplode("embedding").alias("pos", "v")).groupBy("pos").agg(
         F.sum(F.col("v").cast("double")).alias("s"), F.sum(F.col("v").cast("double") * F.col("v")).alias("q"))
@@ -309,7 +325,10 @@ def kernel_shift(vectors: DataFrame, kernels: int = 5, ratio: float = 2.0, block
     widths = [width * ratio**i for i in range(kernels)]
 
     slim = vectors.select("id", "embedding", "domain")
-    a, b = _pair_blocks(slim, slim, block_rows)
+    blocks = _blocks(slim, block_rows, slim.sparkSession.sparkContext.defaultParallelism)
+    own = F.pmod(F.xxhash64("id"), F.lit(blocks))
+    a = slim.withColumn("_qb", own).withColumn("_lb", F.explode(F.sequence(F.col("_qb"), F.lit(blocks - 1).cast("long"))))
+    b = _fresh(slim.withColumn("_lb", own).withColumn("_qb", F.explode(F.sequence(F.lit(0).cast("long"), F.col("_lb")))))
 
     def kernel_sums(key, left, right):
         import numpy as np
@@ -318,13 +337,17 @@ def kernel_shift(vectors: DataFrame, kernels: int = 5, ratio: float = 2.0, block
         kinds, out = [], []
         if left.num_rows and right.num_rows:
             x, y = _matrix(left["embedding"]), _matrix(right["embedding"])
-            d2 = np.maximum((x * x).sum(1)[:, None] + (y * y).sum(1)[None, :] - 2 * (x @ y.T), 0.0)
-            value = sum(np.exp(-d2 / w) for w in widths)
             lx = np.asarray(left["domain"].to_pylist()) == "X"
             rx = np.asarray(right["domain"].to_pylist()) == "X"
-            for kind, rows, cols in (("XX", lx, rx), ("YY", ~lx, ~rx), ("XY", lx, ~rx), ("YX", ~lx, rx)):
-                kinds.append(kind)
-                out.append(float(value[np.ix_(rows, cols)].sum()))
+            twice = key[0].as_py() != key[1].as_py()
+            for at, end in _slices(len(x), len(y)):
+                part, pl = x[at:end], lx[at:end]
+                d2 = np.maximum((part * part).sum(1)[:, None] + (y * y).sum(1)[None, :] - 2 * (part @ y.T), 0.0)
+                value = sum(np.exp(-d2 / w) for w in widths)
+                for kind, rows, cols in (("XX", pl, rx), ("YY", ~pl, ~rx), ("XY", pl, ~rx), ("YX", ~pl, rx)):
+                    total = float(value[np.ix_(rows, cols)].sum())
+                    kinds += [kind, kind[::-1]] if twice else [kind]
+                    out += [total, total] if twice else [total]
         return pa.table([pa.array(kinds, pa.string()), pa.array(out, pa.float64())], names=["kind", "value"])
 
     parts = a.groupBy("_qb", "_lb").cogroup(b.groupBy("_qb", "_lb")).applyInArrow(kernel_sums, "kind string, value double")

@@ -64,7 +64,6 @@ def test_templates_fill_every_place(spark):
     assert one(spark, T.percent(F.lit(0.1234))) == "12.3%"
     empty = F.array().cast("array<struct<value:string,n:int>>")
     assert one(spark, T.counted_text(empty)) == "None"
-    assert len(C.TEMPLATES) == 9
 
 
 @pytest.mark.parametrize("p,t,want", [
