@@ -215,7 +215,10 @@ def fit(encoded, seed: int = 3):
     for _, lang, words in fitted:
         if lang is not None:
             counts.setdefault(lang, Counter()).update(words)
-    share = {g: Counter({w: n / c.total() for w, n in c.items()}) for g, c in counts.items() if c}
+    share = {}
+    for g, c in counts.items():
+        total = c.total()
+        share[g] = Counter({w: n / total for w, n in c.items()})
     guesses = []
     for g in sorted(share):
         rest = Counter()
