@@ -15,6 +15,7 @@ from crossloom.plans.q_profiles import NEAR_TITLES, PREF, attributes, categories
 from crossloom.plans.q_sequences import _SEQ
 from crossloom.plans.q_similarity import RETRIEVAL, retrieved
 from crossloom.plans.registry import query
+from crossloom.session import materialize
 
 
 def fill_sql(template, **parts):
@@ -57,12 +58,14 @@ FROM ins JOIN hl USING (split, user_id) JOIN items ti ON ti.item_id = ins.tgt JO
 
 
 def splits(t):
-    return S.leave_one_out(S.user_sequences(t.ev))
+    return S.leave_one_out(S.user_sequences(t.recent))
 
 
-def profile_table(t):
+def profile_table(t, once=True):
+    """Profiles of all users; written once, unless the caller's plan drops them unused."""
     near = M.neighbour_items(t.user_vec, t.item_vec, t.items)
-    return P.profiles(t.ev, t.items, attributes(t), categories(t), near)
+    out = P.profiles(t.ev, t.items, attributes(t), categories(t), near)
+    return materialize(out) if once else out
 
 
 def test_retrieval(t):
@@ -70,7 +73,7 @@ def test_retrieval(t):
 
 
 def few_shot(t):
-    return N.few_shot_texts(test_retrieval(t), t.ev, t.items)
+    return materialize(N.few_shot_texts(test_retrieval(t), t.recent, t.items))
 
 
 @query("few_shot_texts", "L6", f"@ {FEW} @ SELECT user_id, few_shot FROM few")
@@ -85,7 +88,7 @@ def _(t):
 
 @query("instructions_base", "L9 D12 J4", instruction_sql(C.RECOMMEND_BASE, known=False))
 def _(t):
-    return N.instruction_rows(splits(t), profile_table(t), t.items, template="base")
+    return N.instruction_rows(splits(t), profile_table(t, once=False), t.items, template="base")
 
 
 @query("instructions_profile", "L9 D12 J4", instruction_sql(C.RECOMMEND_PROFILE))

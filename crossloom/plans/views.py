@@ -39,6 +39,11 @@ class Tables:
         day = F.datediff(F.col("ts").cast("date"), F.lit("2024-01-01").cast("date")).cast("long")
         return self.ev.withColumn("user_id", F.col("user_id") * 1000 + day)
 
+    @cached_property
+    def recent(self) -> DataFrame:
+        """The last 15 events per user, written once for the queries that cut several shorter histories from them."""
+        return materialize(S.recent_events(self.ev, 15).drop("back"))
+
     @cached_property
     def daily_sequences(self) -> DataFrame:
         """``(user_id, seq)``: all events of a user and day, whatever their number."""

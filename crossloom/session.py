@@ -7,9 +7,9 @@ import tempfile
 from pyspark.sql import DataFrame, SparkSession
 
 
-def local_session(cpus: int | str = 8, shuffle_partitions: int = 8, memory: str = "8g") -> SparkSession:
+def local_session(cpus: int | str = 8, shuffle_partitions: int = 8, memory: str = "8g", checkpoint_dir: str | None = None) -> SparkSession:
     """A local session for tests and the benchmark. A cluster brings its own session."""
-    spark = (
+    builder = (
         SparkSession.builder.master(f"local[{cpus}]")
         .appName("crossloom")
         .config("spark.driver.memory", memory)
@@ -21,8 +21,11 @@ def local_session(cpus: int | str = 8, shuffle_partitions: int = 8, memory: str
         .config("spark.sql.optimizer.windowGroupLimitThreshold", "10000")
         .config("spark.sql.session.timeZone", "UTC")
         .config("spark.sql.execution.arrow.pyspark.enabled", "true")
-        .getOrCreate()
+        .config("spark.cleaner.referenceTracking.cleanCheckpoints", "true")
     )
+    if checkpoint_dir is not None:
+        builder = builder.config("spark.checkpoint.dir", checkpoint_dir)
+    spark = builder.getOrCreate()
     spark.sparkContext.setLogLevel("ERROR")
     return spark
 

@@ -9,8 +9,8 @@ from crossloom.session import local_session  # noqa: E402
 
 
 @pytest.fixture(scope="session")
-def spark():
-    session = local_session(4, 4, "4g")
+def spark(tmp_path_factory):
+    session = local_session(4, 4, "4g", str(tmp_path_factory.mktemp("checkpoint")))
     yield session
     session.stop()
 
