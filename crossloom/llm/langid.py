@@ -71,7 +71,7 @@ class Model:
     def predict(self, text: str) -> tuple[str, float]:
         """(language, margin as a share of the second size); no letter or nothing learned: unknown, 0."""
         raw = normalised(text)
-        if not raw or not self.by:
+        if not raw or not self.by or not any(map(str.isalpha, text)):
             return UNKNOWN, 0.0
         if len(raw) < SHORT:
             raw = (raw + b" ") * (SHORT // (len(raw) + 1) + 1)

@@ -16,4 +16,9 @@ QUERIES = {
     "op9_language_by_compression": langid.query,
     "op10_substring_dedup": substring.query,
 }
-ORACLE: dict[str, str] = {"op1_mix_to_target_weights": mixing.SQL, "op2_warc_zstandard": warc.SQL}
+ORACLE: dict[str, str] = {
+    "op1_mix_to_target_weights": mixing.SQL,
+    "op2_warc_zstandard": warc.SQL,
+    "op6_cover_tree_near_dedup": covertree.SQL,
+    "op10_substring_dedup": substring.SQL,
+}

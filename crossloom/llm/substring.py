@@ -317,3 +317,15 @@ def digests(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", **o
 def query(spark, sf_dir):
     docs = spark.read.parquet(f"{sf_dir}/documents.parquet")
     return digests(docs).withColumnRenamed("id", "doc_id")
+
+
+SQL = r"""
+WITH d AS (SELECT doc_id, coalesce(regexp_extract_all(text, '[^\x20\x09-\x0D]+'), []) AS w FROM documents),
+k AS (SELECT doc_id, i, array_to_string(w[i:i + 19], ' ') AS words FROM (SELECT doc_id, w, unnest(range(1, len(w) - 18)) AS i FROM d WHERE len(w) >= 20)),
+f AS (SELECT doc_id, i, row_number() OVER (PARTITION BY words ORDER BY doc_id, i) AS place FROM k),
+c AS (SELECT DISTINCT doc_id, i + j AS p FROM f, (SELECT unnest(range(20)) AS j) WHERE place > 1),
+g AS (SELECT doc_id, list(p) AS gone FROM c GROUP BY doc_id)
+SELECT d.doc_id, len(w)::BIGINT AS n_words, coalesce(len(gone), 0)::BIGINT AS n_removed,
+       sha256(array_to_string(CASE WHEN gone IS NULL THEN w ELSE list_where(w, list_transform(range(1, len(w) + 1), lambda p: NOT list_contains(gone, p))) END, ' ')) AS kept_sha256
+FROM d LEFT JOIN g USING (doc_id)
+"""
