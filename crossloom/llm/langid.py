@@ -20,7 +20,7 @@ DICTIONARY_BYTES = 1 << 16
 LANGUAGES = 100  # the most frequent languages that are learned
 PIECE = 4096  # bytes encoded at once, so that a long text does not become its own dictionary
 SHORT = 256  # shorter texts are repeated up to this size, as zstandard does not encode a few bytes
-MIN_MARGIN = 0.01
+MIN_MARGIN = 0.004
 UNKNOWN = "und"
 
 
