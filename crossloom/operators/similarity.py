@@ -25,6 +25,7 @@ CELLS = 1 << 22  # scores computed at once inside a task
 PAIR_BUDGET = 1_000_000
 BLOCK_TERMS = 500_000
 SCORE_DIGITS = 6
+FIXED = 2.0**40  # weight products are summed as multiples of 1 / FIXED, so a sum does not depend on its order
 
 
 # ---------------------------------------------------------------- helpers inside tasks
@@ -82,7 +83,7 @@ def _token_products(l_token, li, lw, n_left, r_token, ri, rw, n_right, step=4_00
     lc, li, lw = lc[order], li[order], lw[order]
     first, last = np.searchsorted(lc, rc, side="left"), np.searchsorted(lc, rc, side="right")
     counts = last - first  # left rows that meet each right row
-    total, shared = np.zeros(n_left * n_right), np.zeros(n_left * n_right, dtype=bool)
+    high, low, shared = np.zeros(n_left * n_right), np.zeros(n_left * n_right), np.zeros(n_left * n_right, dtype=bool)
     ends = np.cumsum(counts)
     start = 0
     while start < len(counts):
@@ -91,9 +92,13 @@ def _token_products(l_token, li, lw, n_left, r_token, ri, rw, n_right, step=4_00
         right_row = np.repeat(np.arange(start, stop), c)
         left_row = np.arange(c.sum()) - np.repeat(np.cumsum(c) - c, c) + first[right_row]
         cell = li[left_row] * n_right + ri[right_row]
-        total += np.bincount(cell, weights=lw[left_row] * rw[right_row], minlength=n_left * n_right)
+        product = np.floor(lw[left_row] * rw[right_row] * FIXED + 0.5)
+        upper = np.floor(product / 2.0**26)  # both halves stay whole numbers below 2**53
+        high += np.bincount(cell, weights=upper, minlength=n_left * n_right)
+        low += np.bincount(cell, weights=product - upper * 2.0**26, minlength=n_left * n_right)
         shared[cell] = True
         start = stop
+    total = (high.astype(np.int64) * 2**26 + low.astype(np.int64)) / FIXED
     return total.reshape(n_left, n_right), shared.reshape(n_left, n_right)
 
 
@@ -358,7 +363,14 @@ def kernel_shift(vectors: DataFrame, kernels: int = 5, ratio: float = 2.0, block
 
 # ---------------------------------------------------------------- sparse token vectors
 
+def _products(a: Column, b: Column) -> Column:
+    """Sum of products in multiples of ``1 / FIXED``."""
+    return F.sum(F.floor(a * b * F.lit(FIXED) + 0.5))
+
+
 def _finish(total: Column, left_size: Column, right_size: Column, kind: str) -> Column:
+    """Score from a sum of ``_products``, rounded as the blocks round theirs."""
+    total = total / F.lit(FIXED)
     if kind == "dot":
         score = total
     elif kind == "overlap":
@@ -367,7 +379,7 @@ def _finish(total: Column, left_size: Column, right_size: Column, kind: str) ->
         score = total / (left_size + right_size - total)
     else:
         raise ValueError(f"unknown kind {kind}")
-    return F.round(score, SCORE_DIGITS)
+    return F.floor(score * F.lit(10.0**SCORE_DIGITS) + 0.5) / F.lit(10.0**SCORE_DIGITS)
 
 
 def sparse_topk(left: DataFrame, right: DataFrame, k: int, *, kind: str = "dot", exclude_self: bool = False,
@@ -385,7 +397,7 @@ def sparse_topk(left: DataFrame, right: DataFrame, k: int, *, kind: str = "dot",
     pairs exceed ``pair_budget`` are left out and added only to pairs that
     other tokens found. A left row is settled when its k-th score beats
     everything its hot tokens alone could give; all others go through the
-    blocks. ``strategy`` (auto, join, blocks) can fix the choice.
+    blocks. Products are summed in fixed point and rounded alike, so all ways give the same rows. ``strategy`` (auto, join, blocks) can fix the choice.
     """
     if right_tokens is None:
         right_tokens = right.groupBy("token").agg(F.count(F.lit(1)).alias("n"), F.max("w").alias("w_max"))
@@ -414,11 +426,11 @@ def sparse_topk(left: DataFrame, right: DataFrame, k: int, *, kind: str = "dot",
         pairs.select("l_id", "r_id")
         .join(l_hot.select("l_id", "token", F.col("w").alias("_wl")), "l_id")
         .join(r_hot.select("r_id", "token", F.col("w").alias("_wr2")), ["r_id", "token"])
-        .groupBy("l_id", "r_id").agg(F.sum(F.col("_wl") * F.col("_wr2")).alias("_hot"))
+        .groupBy("l_id", "r_id").agg(_products(F.col("_wl"), F.col("_wr2")).alias("_hot"))
     )
     scored = pairs.join(extra, ["l_id", "r_id"], "left").select(
         "l_id", "r_id",
-        _finish(F.col("_rare") + F.coalesce("_hot", F.lit(0.0)), F.col("l_size"), F.col("r_size"), kind).alias("score"))
+        _finish(F.col("_rare") + F.coalesce("_hot", F.lit(0)), F.col("l_size"), F.col("r_size"), kind).alias("score"))
     found = materialize(top_per_key(scored, ["l_id"], [F.desc("score"), F.asc("r_id")], k))
 
     reach = l_hot.groupBy("l_id").agg(
@@ -441,7 +453,7 @@ def _joined(left: DataFrame, right: DataFrame, exclude_self: bool) -> DataFrame:
     if exclude_self:
         pairs = pairs.filter(F.col("l_id") != F.col("r_id"))
     return pairs.groupBy("l_id", "r_id").agg(
-        F.sum(F.col("w") * F.col("_w2")).alias("_s"), F.max("l_size").alias("l_size"), F.max("r_size").alias("r_size"))
+        _products(F.col("w"), F.col("_w2")).alias("_s"), F.max("l_size").alias("l_size"), F.max("r_size").alias("r_size"))
 
 
 def _by_pairs(left, right, k, kind, exclude_self) -> DataFrame:
@@ -490,7 +502,7 @@ def _by_token_blocks(left, right, k, kind, exclude_self, right_terms=None, right
             total = total / np.where(shared, lsize[:, None] + rsize[None, :] - total, 1.0)
         if exclude_self:
             shared &= lid[:, None] != rid[None, :]
-        total = np.round(total, SCORE_DIGITS) + 0.0
+        total = np.floor(total * 10.0**SCORE_DIGITS + 0.5) / 10.0**SCORE_DIGITS
         rows, cols = _best(total, shared, k)
         return pa.table([pa.array(lid[rows], l_type), pa.array(rid[cols], r_type), pa.array(total[rows, cols])],
                         names=["l_id", "r_id", "score"])

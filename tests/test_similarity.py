@@ -211,3 +211,16 @@ def test_exclude_self_with_text_ids(spark):
     v = spark.createDataFrame([("a", [1.0, 0.0]), ("b", [0.9, 0.1]), ("c", [0.0, 1.0])], "id string, embedding array<double>")
     got = M.dense_topk(v, v, 1, exclude_self=True).collect()
     assert {(r.id, r.neighbor_id) for r in got} == {("a", "b"), ("b", "a"), ("c", "b")}
+
+
+def test_all_ways_agree_at_the_rounding_border(spark, rows):
+    """Sums that lie on a border of the rounding, added in different orders on every way."""
+    rng = random.Random(4)
+    weights = [0.1, 0.2, 0.3, 0.0000005, 0.0000015, 1 / 3, 0.7]
+    data = [(i, t, rng.choice(weights)) for i in range(60) for t in rng.sample(range(12), 7)]
+    left = spark.createDataFrame(data, "l_id int, token int, w double").withColumn("l_size", F.lit(7))
+    right = left.toDF("r_id", "token", "w", "r_size")
+    results = {(strategy, budget, n): rows(M.sparse_topk(left.repartition(n), right.repartition(n), 5, strategy=strategy, pair_budget=budget))
+               for strategy, budget in (("blocks", 10**9), ("join", 10**9), ("join", 40)) for n in (1, 3)}
+    first = next(iter(results.values()))
+    assert all(r == first for r in results.values()) and len(first) == 300
