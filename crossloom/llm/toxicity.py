@@ -65,7 +65,7 @@ class Network:
         """One Adagrad step on documents given as arrays of table rows (words x features)."""
         import numpy as np
 
-        pad = np.zeros((max(WIDTHS) - 1, 1 + len(BEGINNINGS)), np.int64)
+        pad = np.zeros((max(WIDTHS) - 1, 1 + len(BEGINNINGS)), np.int32)
         grads = {"out": np.zeros_like(self.out), "bias": np.zeros_like(self.bias), "shift": np.zeros(1, np.float32)}
         by_filter = [np.zeros_like(f) for f in self.filters]
         rows, values = [], []
@@ -229,7 +229,8 @@ def fit(encoded, seed: int = 3):
         guesses.append({w for w in lead if share[g][w] > rest[w]})
 
     network, memory = Network(seed), {}
-    docs = [np.array([features(w) for w in words], np.int64).reshape(-1, 1 + len(BEGINNINGS)) for _, _, words in fitted]
+    rows = {w: features(w) for w in {w for _, _, words in fitted for w in words}}
+    docs = [np.array([rows[w] for w in words], np.int32).reshape(-1, 1 + len(BEGINNINGS)) for _, _, words in fitted]
     labels = np.array([x[0] for x in fitted], np.float32)
     weights = np.where(labels == 1, len(labels) / (2 * labels.sum()), len(labels) / (2 * (1 - labels).sum())).astype(np.float32)
     for epoch in range(EPOCHS):
@@ -284,7 +285,8 @@ def train(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col:
     few = docs.sparkSession.createDataFrame([(x,) for x in chosen], f"id {docs.schema[id_col].dataType.simpleString()}")
     held = both.join(F.broadcast(few), "id", "left_semi").select("id", "draw", "label", "lang", "text").collect()
     held = sorted(held, key=lambda x: (x.draw, x.id, x.text or ""))
-    return fit([(x.label, x.lang, words_of(x.text or "")) for x in held])
+    pool: dict[str, str] = {}  # equal words are one object
+    return fit([(x.label, x.lang, [pool.setdefault(w, w) for w in words_of(x.text or "")]) for x in held])
 
 
 def score(docs: DataFrame, model, id_col: str = "doc_id", text_col: str = "text", keep: tuple[str, ...] = ()) -> DataFrame:
