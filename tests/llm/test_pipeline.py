@@ -63,3 +63,11 @@ def test_run_packs_what_the_stages_keep(spark, sf):
     for r in out.collect():
         fill[r.sequence_id] = fill.get(r.sequence_id, 0) + r.length
     assert fill and all(n == 2048 or n & (n - 1) == 0 for n in fill.values())
+
+
+def test_rows_are_judged_by_their_text(spark, documents):
+    """Rows without an id, or with the id of another text, stay unless their texts are linked."""
+    rows = [doc(None, "first text of nobody"), doc(None, "second text of nobody"), doc(None, "second text of nobody"), doc(7, "first text of nobody"),
+            doc(8, "one text"), doc(8, "another one"), doc(9, "another one")]
+    got = pipeline.drop_near_copies(spark, documents(rows), "").collect()
+    assert sorted(((r.doc_id, r.text) for r in got), key=str) == sorted([(None, "second text of nobody"), (7, "first text of nobody"), (8, "one text"), (8, "another one")], key=str)
