@@ -8,16 +8,17 @@ narrow margin means that the text is rejected.
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from crossloom.llm.common import crc_fold, raw_text, text_batches
-from crossloom.operators.ordering import top_per_key
+from crossloom.llm.common import crc_fold, raw_text, text_batches, written
+from crossloom.operators.ordering import bounded, top_per_key
 
 SAMPLE_ROWS = 200  # rows per language that may enter its dictionary
-SAMPLE_BYTES = 8192  # longer texts do not enter a dictionary
+SAMPLE_BYTES = 8192  # of a longer text so many bytes enter a dictionary
 DICTIONARY_BYTES = 1 << 16
-LANGUAGES = 100  # the most frequent languages that are learned
+LANGUAGES = 100  # languages with dictionaries of full size; more languages share the room of these
+LEAST_BYTES = 256  # of a dictionary, however many languages there are
 PIECE = 4096  # bytes encoded at once, so that a long text does not become its own dictionary
 SHORT = 256  # shorter texts are repeated up to this size, as zstandard does not encode a few bytes
 MIN_MARGIN = 0.004
@@ -34,23 +35,36 @@ def normalised(text: str) -> bytes:
 def learn(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", lang_col: str = "lang") -> list[tuple[str, bytes]]:
     """(language, dictionary) from a bounded sample of the labelled rows, most frequent language first.
 
-    The bounds are the constants above: at most ``SAMPLE_ROWS`` whole texts of
-    at most ``SAMPLE_BYTES`` bytes for each of at most ``LANGUAGES`` languages.
+    Every language is learned, from at most ``SAMPLE_ROWS`` rows and the first
+    ``SAMPLE_BYTES`` bytes of each. Beyond ``LANGUAGES`` languages the
+    dictionaries are smaller, so that all together keep to the same size
+    (down to ``LEAST_BYTES`` each).
     """
+
+    def task(batches):
+        import pyarrow as pa
+
+        for b in text_batches(batches):
+            found = [((normalised(x.decode("utf-8", "ignore")) + b" ") * n)[:room] for x, n in zip(b.column(3).to_pylist(), b.column(4).to_pylist())]
+            yield pa.RecordBatch.from_arrays([*(b.column(i) for i in range(3)), pa.array(found, pa.binary())], ["lang", "draw", "h", "raw"])
+
+    text = F.col(text_col).cast("string")
     named = docs.filter(F.col(lang_col).isNotNull() & F.col(text_col).isNotNull()).select(
-        F.col(id_col).alias("id"), F.col(lang_col).cast("string").alias("lang"), F.xxhash64(F.lit(9), F.col(id_col)).alias("draw"), F.octet_length(F.col(text_col)).alias("bytes")
+        F.col(lang_col).cast("string").alias("lang"), F.xxhash64(F.lit(9), F.col(id_col)).alias("draw"), F.xxhash64(text).alias("h"), text.alias("text")
     )
-    top = [r.lang for r in named.groupBy("lang").count().orderBy(F.desc("count"), "lang").limit(LANGUAGES).collect()]
-    small = named.filter((F.col("bytes") <= SAMPLE_BYTES) & F.col("lang").isin(top))
-    drawn = top_per_key(small.select("id", "lang", "draw"), ["lang"], ["draw", "id"], SAMPLE_ROWS).select("id", "draw").distinct()
-    texts = docs.select(F.col(id_col).alias("id"), F.col(lang_col).cast("string").alias("lang"), F.col(text_col).cast("string").alias("text"))
-    held = texts.join(F.broadcast(drawn), "id").filter((F.octet_length("text") <= SAMPLE_BYTES) & F.col("lang").isin(top)).collect()
+    langs = [r.lang for r in named.groupBy("lang").count().orderBy(F.desc("count"), "lang").collect()]
+    room = max(LEAST_BYTES, DICTIONARY_BYTES * LANGUAGES // max(LANGUAGES, len(langs)))
+    key = ["lang", "draw", "h"]
+    # rows are drawn, not ids, so that rows that share an id or have none are bounded too
+    drawn = bounded(written(top_per_key(named.select(*key), ["lang"], ["draw", "h"], SAMPLE_ROWS).groupBy(*key).agg(F.count(F.lit(1)).alias("n")), "drawn"))
+    # the first bytes as they are: a character that the cut splits is left out
+    cut = F.substring(F.col("text").cast("binary"), 1, SAMPLE_BYTES).alias("raw")
+    held = named.select(*key, cut).join(drawn, key).dropDuplicates(key).select(*key, "raw", "n").mapInArrow(task, "lang string, draw bigint, h bigint, raw binary")
+    before = F.sum(F.octet_length("raw")).over(Window.partitionBy("lang").orderBy("draw", "h").rowsBetween(Window.unboundedPreceding, -1))
     out = {}
-    for row in sorted(held, key=lambda r: (r.draw, r.id, r.text)):
-        have = out.setdefault(row.lang, bytearray())
-        if len(have) < DICTIONARY_BYTES:
-            have += normalised(row.text) + b" "
-    return [(lang, bytes(out[lang][:DICTIONARY_BYTES])) for lang in top if len(out.get(lang, b"")) >= 8]
+    for row in sorted(held.withColumn("before", before).filter(F.coalesce("before", F.lit(0)) < room).collect(), key=lambda r: (r.draw, r.h)):
+        out.setdefault(row.lang, bytearray()).extend(row.raw)
+    return [(lang, bytes(out[lang][:room])) for lang in langs if len(out.get(lang, b"")) >= 8]
 
 
 class Model:
@@ -59,8 +73,10 @@ class Model:
     def __init__(self, dictionaries):
         import zstandard as zstd
 
+        # smaller tables for the smaller dictionaries of many languages
+        log = max(8, 16 - (max(0, len(dictionaries) - 1) // LANGUAGES).bit_length())
         how = zstd.ZstdCompressionParameters(
-            strategy=zstd.STRATEGY_GREEDY, min_match=3, window_log=17, hash_log=16, chain_log=16, search_log=3, write_content_size=0, write_checksum=0
+            strategy=zstd.STRATEGY_GREEDY, min_match=3, window_log=17, hash_log=log, chain_log=log, search_log=3, write_content_size=0, write_checksum=0
         )
         self.by = []
         for lang, content in dictionaries:

@@ -1,3 +1,5 @@
+import random
+
 from llm_helpers import ODD, doc
 
 from crossloom.llm import langid
@@ -35,3 +37,29 @@ def test_long_text_is_read_to_its_end(documents):
     model = langid.Model([("en", b"the house and the garden of the king " * 20), ("de", b"das haus und der garten des herrn " * 20)])
     text = "the house and the garden " * 10 + "das haus und der garten des herrn " * 4000
     assert model.predict(text)[0] == "de"
+
+
+def _language(seed, letters):
+    r = random.Random(seed)
+    return ["".join(r.choice(letters) for _ in range(r.randrange(2, 9))) for _ in range(60)]
+
+
+def _text(words, seed, n):
+    r = random.Random(seed)
+    return " ".join(r.choice(words) for _ in range(n))
+
+
+def test_languages_of_long_texts_and_rows_without_ids_are_learned(documents):
+    """All rows of x are longer than the sampled bytes; all rows of y have no id."""
+    x, y, z = _language(1, "abcdefghijk"), _language(2, "lmnopqrstuv"), _language(3, "abcdeqrstuv")
+    rows = [doc(i, _text(x, i, 4000), "x") for i in range(3)] + [doc(None, _text(y, 10 + i, 200), "y") for i in range(3)] + [doc(20 + i, _text(z, 20 + i, 200), "z") for i in range(3)]
+    model = langid.Model(langid.learn(documents(rows)))
+    assert [model.predict(_text(w, 99, 80))[0] for w in (x, y, z)] == ["x", "y", "z"]
+
+
+def test_every_language_is_learned(documents):
+    langs = [_language(i, "abcdefghijklmnopqrstuv") for i in range(130)]
+    found = langid.learn(documents([doc(i, _text(w, i, 300), f"l{i:03d}") for i, w in enumerate(langs)]))
+    assert len(found) == 130 and sum(len(d) for _, d in found) <= langid.DICTIONARY_BYTES * langid.LANGUAGES
+    model = langid.Model(found)
+    assert all(model.predict(_text(w, 500 + i, 80))[0] == f"l{i:03d}" for i, w in enumerate(langs))
