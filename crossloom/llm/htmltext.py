@@ -22,6 +22,7 @@ RAW = frozenset("script style textarea title noscript iframe".split())
 INLINE = frozenset("a abbr acronym b bdi bdo big cite code data del dfn em font i ins kbd label mark q s samp small span strike strong sub sup time tt u var wbr".split())
 # an opening tag of the first kind ends an open one of the second
 ENDS = {"li": ("li",), "dt": ("dt", "dd"), "dd": ("dt", "dd"), "tr": ("tr", "td", "th"), "td": ("td", "th"), "th": ("td", "th"), "option": ("option",)}
+ENDS |= dict.fromkeys(("thead", "tbody", "tfoot"), ("td", "th", "tr", "thead", "tbody", "tfoot"))
 ENDS_PARAGRAPH = frozenset(
     "address article aside blockquote center details div dl fieldset figcaption figure footer form h1 h2 h3 h4 h5 h6 header hr main menu nav ol p pre section table ul".split()
 )
@@ -36,13 +37,14 @@ BIG = frozenset("body html main article".split())  # names on these do not remov
 
 
 class Node:
-    __slots__ = ("tag", "kids", "parent", "chars", "tags", "link_chars", "link_tags", "density", "total", "best")
+    __slots__ = ("tag", "kids", "parent", "chars", "tags", "link_chars", "link_tags", "density", "total", "best", "gone")
 
     def __init__(self, tag, parent):
         self.tag, self.parent, self.kids = tag, parent, []
         self.chars = self.tags = self.link_chars = self.link_tags = 0
         self.density = self.total = 0.0
         self.best = self
+        self.gone = parent is not None and parent.gone  # a removed part or inside one
 
 
 def _pattern():
@@ -72,16 +74,18 @@ def _removed(tag: str, attributes: str, open_tags) -> bool:
 
 
 def tree(page: str):
-    """Root of the page's tree. Children are nodes and strings; removed parts are left out."""
+    """Root of the page's tree. Children are nodes and strings; removed parts are left out.
+
+    Removed parts are read by the same rules as the others, so that they end where a browser ends them.
+    """
     import html
     import re
 
     pattern, root = _pattern(), Node("html", None)
-    here, gone, at = root, 0, 0  # gone: depth inside a removed part
-    gone_stack: list[str] = []
+    here, at = root, 0
 
     def add(text):
-        if text and not gone_stack:
+        if text and not here.gone:
             here.kids.append(html.unescape(text))
 
     n = len(page)
@@ -97,11 +101,6 @@ def tree(page: str):
             continue
         tag = tag.lower()
         if closing:
-            if gone_stack:
-                if tag in gone_stack:
-                    while gone_stack.pop() != tag:
-                        pass
-                continue
             node = here
             while node is not None and node.tag != tag:
                 node = node.parent
@@ -113,24 +112,21 @@ def tree(page: str):
             end = re.compile(rf"</{re.escape(tag)}\b[^>]*>", re.I).search(page, at)
             at = end.end() if end else n
             continue
-        if gone_stack:
-            if not closed:
-                gone_stack.append(tag)
-            continue
         if tag in ENDS_PARAGRAPH or tag in ENDS:
             ends, node = (*ENDS.get(tag, ()), *(("p",) if tag in ENDS_PARAGRAPH else ())), here
             while node is not None and node.tag not in ends and (node.tag in INLINE or node.tag == "p" or node.tag not in SCOPES):
                 node = node.parent
             if node is not None and node.tag in ends and node.parent is not None:
                 here = node.parent
+                while tag[0] == "t" and tag not in ("td", "th") and here.tag in ENDS.get(tag, ()):  # a row ends the cell and its row
+                    here = here.parent
         if tag == "html":
             continue
-        if _removed(tag, attributes, _path(here)):
-            if not closed:
-                gone_stack.append(tag)
-            continue
         node = Node(tag, here)
-        here.kids.append(node)
+        if not node.gone:
+            node.gone = _removed(tag, attributes, _path(here))
+        if not node.gone:
+            here.kids.append(node)
         if not closed:
             here = node
     return root

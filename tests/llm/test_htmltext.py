@@ -49,3 +49,14 @@ def test_odd_rows(spark):
     got = sorted(((r.id, r.url, len(r.text), r.n_chars) for r in extract(table).collect()), key=str)
     assert got == sorted([(1, None, 0, 0), (None, "u", 0, 0), (2, "u", 1, 1), (2, "u", 1, 1), (3, "u", 249999, 249999)], key=str)
     assert extract(table.filter("false")).collect() == []
+
+
+@pytest.mark.parametrize("page, want", [
+    (f"<ul><li class=share>x<li>y</ul><p>{LOREM}</p>", CLEAN),
+    (f"<div><p class=notice>Sale</div><article><p>{LOREM}</p></article>", CLEAN),
+    (f"<body><div><p class=notice>Sale<div><p>{LOREM}</p></div></div></body>", CLEAN),
+    (f"<table><tr class=share><td>x<tr><td>{LOREM}</table>", CLEAN),
+    (f"<div><nav><ul><li>a<li>b</div><article><p>{LOREM}</p></article>", CLEAN),
+])
+def test_removed_parts_end_without_their_end_tags(page, want):
+    assert text_of(page).removeprefix("y ") == want
