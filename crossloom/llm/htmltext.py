@@ -33,11 +33,14 @@ NAMES = frozenset(
     "popup modal overlay newsletter subscribe signup login nav navbar navigation menu breadcrumb breadcrumbs sidebar widget footer masthead "
     "comment comments reply replies discussion disqus respond share sharing social related recommended pagination pager toolbar search complementary contentinfo".split()
 )
-BIG = frozenset("body html main article".split())  # names on these do not remove the page
+# of these the ones that are also topics: as an id inside an article they may have been made from a heading
+TOPICS = frozenset("ads advertisement advertisements sponsor promotion banner cookie cookies consent gdpr notice notices alert login navigation menu discussion share sharing social related recommended search".split())
+STATES = frozenset("has no not with without is hide show".split())  # "has-sidebar" says something about a part, not what it is
+BIG = frozenset("body html main article h1 h2 h3 h4 h5 h6".split())  # names on these remove nothing
 
 
 class Node:
-    __slots__ = ("tag", "kids", "parent", "chars", "tags", "link_chars", "link_tags", "density", "total", "best", "gone")
+    __slots__ = ("tag", "kids", "parent", "chars", "tags", "link_chars", "link_tags", "density", "total", "best", "gone", "named")
 
     def __init__(self, tag, parent):
         self.tag, self.parent, self.kids = tag, parent, []
@@ -45,6 +48,7 @@ class Node:
         self.density = self.total = 0.0
         self.best = self
         self.gone = parent is not None and parent.gone  # a removed part or inside one
+        self.named = ""  # kind of its name, if that is one of a part outside the article
 
 
 def _pattern():
@@ -55,22 +59,48 @@ def _pattern():
     return re.compile(rf"<!--.*?(?:-->|\Z)|<[!?][^>]*>|{name}((?:[^<>\"']|{value})*+)>|{name}([^<>]*)>", re.S)
 
 
-def _removed(tag: str, attributes: str, open_tags) -> bool:
+def _attributes(text: str) -> dict[str, str]:
+    import re
+
+    found = re.findall(r"([^\s\"'<>/=]+)(?:\s*=\s*(?:\"([^\"]*)\"|'([^']*)'|([^\s\"'>]+)))?", text)
+    out: dict[str, str] = {}
+    for name, x, y, z in found:
+        out.setdefault(name.lower(), x or y or z)  # of equal names the first holds
+    return out
+
+
+def _removed(tag: str, attributes: dict[str, str], open_tags) -> bool:
+    """Is this part no text of the page, whatever it holds?"""
     import re
 
     if tag in HIDDEN or tag in FURNITURE:
         return True
     if tag == "header":
         return not {"article", "main"} & set(open_tags)
-    if tag in BIG or not attributes:
+    if tag in ("body", "html", "main", "article") or not attributes:
         return False
-    if re.search(r"\bhidden\b(?!\s*=\s*[\"']?(?:false|until))|aria-hidden\s*=\s*[\"']?true|display\s*:\s*none", re.sub(r"=\s*(\"[^\"]*\"|'[^']*')", lambda m: m[0] if "none" in m[0] or "true" in m[0] else "=x", attributes), re.I):
+    if not attributes.get("hidden", "false").lower().startswith(("false", "until")) or attributes.get("aria-hidden", "").lower() == "true":
         return True
-    for _, a, b, c in re.findall(r"\b(class|id|role)\s*=\s*(?:\"([^\"]*)\"|'([^']*)'|([^\s\"'>]+))", attributes, re.I):
-        words = {w.lower() for w in re.findall(r"[A-Z]?[a-z]+|[A-Z]+(?![a-z])", a or b or c)}
-        if words & NAMES or "header" in words and tag == "div" and not {"article", "main"} & set(open_tags):
-            return True
-    return False
+    return re.search(r"(?:^|;)\s*display\s*:\s*none\b", attributes.get("style", ""), re.I) is not None
+
+
+def _named(tag: str, attributes: dict[str, str], open_tags) -> str:
+    """Kind of the name of a part outside the article: "part", or "topic" if it is only an id that may come from a heading; else empty."""
+    import re
+
+    if tag in BIG:
+        return ""
+    kind = ""
+    for name in ("class", "id", "role"):
+        for token in attributes.get(name, "").split():
+            words = {w.lower() for w in re.findall(r"[A-Z]?[a-z]+|[A-Z]+(?![a-z])", token)}
+            if words & STATES:
+                continue
+            hits = words & NAMES
+            if "header" in words and tag == "div" and not {"article", "main"} & set(open_tags) or hits and (name != "id" or hits - TOPICS):
+                return "part"
+            kind = "topic" if hits else kind
+    return kind
 
 
 def tree(page: str):
@@ -124,7 +154,9 @@ def tree(page: str):
             continue
         node = Node(tag, here)
         if not node.gone:
-            node.gone = _removed(tag, attributes, _path(here))
+            values = _attributes(attributes) if attributes else {}
+            node.gone = _removed(tag, values, _path(here))
+            node.named = _named(tag, values, _path(here)) if values and not node.gone else ""
         if not node.gone:
             here.kids.append(node)
         if not closed:
@@ -146,8 +178,8 @@ def _nodes(root):
     return order
 
 
-def main_nodes(root: Node) -> list[Node]:
-    """Heads of the main text, in no particular order."""
+def _measure(root: Node) -> Node:
+    """Densities of all nodes, sums, and the densest node below each; returns the body."""
     from math import e, log
 
     order = _nodes(root)
@@ -158,6 +190,7 @@ def main_nodes(root: Node) -> list[Node]:
     for node in reversed(order):
         own = sum(len("".join(k.split())) for k in node.kids if isinstance(k, str))
         kids = [k for k in node.kids if isinstance(k, Node)]
+        node.best = node
         node.chars = own + sum(k.chars for k in kids)
         node.tags = sum(k.tags + 1 for k in kids)
         if id(node) in linked:
@@ -174,6 +207,57 @@ def main_nodes(root: Node) -> list[Node]:
         kids = [k for k in node.kids if isinstance(k, Node)]
         node.total = sum(k.density for k in kids)
         node.best = max([node, *(k.best for k in kids)], key=lambda x: x.total)
+    return body
+
+
+def _prune(root: Node) -> None:
+    """Take out the parts whose name says that they are not of the article.
+
+    A name does not outweigh what a part holds: the article or main of the
+    page, its only heading, or, where no such element lies outside named parts,
+    its densest text. An id that may come from a heading counts inside an
+    article only for parts below the density of the rest.
+    """
+    order = _nodes(root)
+    if not any(x.named for x in order):
+        return
+    body = _measure(root)
+    inside, article = set(), set()  # below a name; in an article
+    for node in order:
+        up = node.parent
+        if node.named or up is not None and id(up) in inside:
+            inside.add(id(node))
+        if node.tag in ("article", "main") or up is not None and id(up) in article:
+            article.add(id(node))
+    marked = [x for x in order if x.tag in ("article", "main") and x.chars]
+    titles = [x for x in order if x.tag == "h1" and x.chars]
+    free = [x for x in marked if id(x) not in inside]
+    held = [] if free else marked
+    if not any(id(x) not in inside for x in titles):
+        held = held + titles
+    if not marked:
+        held = held + [body.best]
+    keep = set()
+    for node in held:
+        while node is not None and id(node) not in keep:
+            keep.add(id(node))
+            node = node.parent
+    gone = set()
+    for node in order:
+        if node.named and id(node) not in keep:
+            if node.named == "topic" and id(node) in article:
+                up = next(x for x in _up(node.parent) if x.tag in ("article", "main"))
+                if node.density >= up.density or node.best.total >= up.total / 2:
+                    continue
+            gone.add(id(node))
+    for node in order:
+        if node.kids:
+            node.kids = [k for k in node.kids if id(k) not in gone]
+
+
+def main_nodes(root: Node) -> list[Node]:
+    """Heads of the main text, in no particular order."""
+    body = _measure(root)
     top = body.best
     if not top.chars:
         top = body
@@ -206,6 +290,7 @@ def _up(node):
 def text_of(page: str) -> str:
     """Main text: blocks with single spaces inside, in page order, joined by one space."""
     root = tree(page)
+    _prune(root)
     heads = {id(x) for x in main_nodes(root)}
     out: list[str] = []
     stack = [(root, False)]

@@ -60,3 +60,18 @@ def test_odd_rows(spark):
 ])
 def test_removed_parts_end_without_their_end_tags(page, want):
     assert text_of(page).removeprefix("y ") == want
+
+
+@pytest.mark.parametrize("page, want", [
+    (f"<body><div class='has-sidebar'><p>{LOREM}</p></div></body>", CLEAN),
+    (f"<body><div class='post no-comments'><h1>T</h1><p>{LOREM}</p></div><div class=comments><p>c</p></div></body>", f"T {CLEAN}"),
+    (f"<body><div id='content-with-sidebar'><p>{LOREM}</p></div></body>", CLEAN),
+    (f"<body><div class='banner-layout'><article><p>{LOREM}</p></article></div><div class=sidebar><p>s</p></div></body>", CLEAN),
+    (f"<body><div class='widget'><p>{LOREM}</p><p>{LOREM}</p></div><div class=menu><a href=x>Home</a></div></body>", f"{CLEAN} {CLEAN}"),
+    (f"<article><h2 id=discussion>Discussion</h2><p>{LOREM}</p><h2 id='related-work'>Related</h2><section id=search><p>{LOREM}</p></section></article>", f"Discussion {CLEAN} Related {CLEAN}"),
+    (f"<article><p>{LOREM}</p><section id=related><a href=x>more</a> <a href=y>links</a></section></article>", CLEAN),
+    (f"<body><div style='border:none; overflow:hidden'><p>{LOREM}</p></div></body>", CLEAN),
+    (f"<body><div><p>{LOREM}</p></div><div hidden>x</div><div style='color:red; display: none'>y</div><div aria-hidden=true>z</div></body>", CLEAN),
+])
+def test_names_do_not_outweigh_the_text(page, want):
+    assert text_of(page) == want
