@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from crossloom.llm import covertree, htmltext, langid, mixing, packing, quality, simhash, substring, toxicity, warc
+from crossloom.llm import covertree, htmltext, langid, mixing, packing, periodic, quality, simhash, substring, toxicity, warc
 
 QUERIES = {
     "op1_mix_to_target_weights": mixing.query,
@@ -15,10 +15,12 @@ QUERIES = {
     "op8_distribution_divergence": quality.query,
     "op9_language_by_compression": langid.query,
     "op10_substring_dedup": substring.query,
+    "op13_periodic_runs": periodic.query,
 }
 ORACLE: dict[str, str] = {
     "op1_mix_to_target_weights": mixing.SQL,
     "op2_warc_zstandard": warc.SQL,
     "op6_cover_tree_near_dedup": covertree.SQL,
     "op10_substring_dedup": substring.SQL,
+    "op13_periodic_runs": periodic.SQL,
 }
