@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from crossloom.llm import covertree, decontaminate, htmltext, langid, mixing, packing, periodic, quality, simhash, substring, toxicity, warc
+from crossloom.llm import audit, covertree, decontaminate, htmltext, langid, mixing, packing, periodic, quality, simhash, substring, toxicity, warc
 
 QUERIES = {
     "op1_mix_to_target_weights": mixing.query,
@@ -15,6 +15,7 @@ QUERIES = {
     "op8_distribution_divergence": quality.query,
     "op9_language_by_compression": langid.query,
     "op10_substring_dedup": substring.query,
+    "op11_filter_interactions": audit.query,
     "op12_benchmark_windows": decontaminate.query,
     "op13_periodic_runs": periodic.query,
 }
@@ -23,6 +24,7 @@ ORACLE: dict[str, str] = {
     "op2_warc_zstandard": warc.SQL,
     "op6_cover_tree_near_dedup": covertree.SQL,
     "op10_substring_dedup": substring.SQL,
+    "op11_filter_interactions": audit.SQL,
     "op12_benchmark_windows": decontaminate.SQL,
     "op13_periodic_runs": periodic.SQL,
 }
