@@ -7,38 +7,32 @@ from pyspark.sql import functions as F
 
 from crossloom import constants as C
 from crossloom.functions import text as T
-from crossloom.operators.ordering import bounded, exploded, keyed_join, top_per_key
+from crossloom.operators.ordering import bounded, exploded, keyed_join, spread, top_per_key
 from crossloom.operators.similarity import PAIR_BUDGET, sparse_topk
-from crossloom.session import materialize
+from crossloom.session import materialize, written
 
 
-def postings(docs: DataFrame, doc: str = "doc_id", text: str = "text", only: DataFrame | None = None) -> DataFrame:
-    """Inverted index of non-blank texts: ``(doc, token, tf, doc_len)``. Ids are unique, so tokens are counted inside the row."""
-    return _counted(docs, doc, text).filter(F.col("token") != "")
+def postings(docs: DataFrame, doc: str = "doc_id", text: str = "text") -> DataFrame:
+    """Inverted index of non-blank texts: ``(doc, token, tf, doc_len)``. Tokens of a text are counted where they are read; only counts are shuffled."""
+    return _counted(docs, doc, text).filter(F.col("token") != "").drop("head")
 
 
 def _counted(docs: DataFrame, doc: str, text: str) -> DataFrame:
-    """Postings; a text without a token has one row with the empty token."""
-    rows = docs.select(doc, text).filter(T.strip(F.col(text)) != "").select(doc, F.sort_array(T.alnum_tokens(F.col(text))).alias("_t"))
-    n, at = F.size("_t"), F.sequence(F.lit(0), F.size("_t") - 1)
-    # equal tokens are neighbours: a count is the distance between two places where the token changes
-    starts = F.filter(at, lambda i: (i == 0) | (F.get("_t", i) != F.get("_t", i - 1)))
-    rows = rows.withColumn("_s", F.when(n > 0, starts).otherwise(F.array().cast("array<int>")))
-    found = F.transform("_s", lambda i, j: F.struct(F.get("_t", i).alias("token"), (F.coalesce(F.get("_s", j + 1), n) - i).cast("long").alias("tf")))
-    none = F.array(F.struct(F.lit("").alias("token"), F.lit(0).cast("long").alias("tf")))
-    rows = rows.select(doc, n.alias("doc_len"), F.when(n > 0, found).otherwise(none).alias("_p"))
-    return exploded(rows, F.col("_p"), "_e", doc, "doc_len").select(doc, "_e.token", "_e.tf", "doc_len")
+    """Postings, with a mark (``head``) at one row of each text; a text without a token has one row with the empty token."""
+    rows = spread(docs.select(doc, text), doc).filter(T.strip(F.col(text)) != "").select(doc, T.alnum_tokens(F.col(text)).alias("_t"))
+    rows = rows.select(doc, F.size("_t").alias("doc_len"), F.posexplode_outer("_t").alias("_p", "token"))
+    counts = rows.groupBy(doc, "token", "doc_len").agg(F.count("token").alias("tf"), F.coalesce(F.min("_p"), F.lit(0)).alias("_p"))
+    return counts.select(doc, F.coalesce("token", F.lit("")).alias("token"), "tf", "doc_len", (F.col("_p") == 0).alias("head"))
 
 
 def distinct_queries(queries: DataFrame, key: str, text: str) -> tuple[DataFrame, DataFrame]:
-    """Queries with the same tokens are scored once: ``(rep, tokens)`` and ``(key, rep)``.
+    """Queries with the same tokens are scored once: ``(rep, tokens)`` and ``(key, rep)``; a MD5 digest stands for the tokens.
 
     Equal texts are combined before the shuffle, so one very frequent answer is no hot group.
     """
     bag = queries.select(key, F.sort_array(T.alnum_tokens(F.col(text))).alias("tokens")).filter(F.size("tokens") > 0)
-    reps = bag.groupBy("tokens").agg(F.min(key).alias("rep"))
-    members = keyed_join(bag, reps, ["tokens"]).select(key, "rep")
-    return reps.select("rep", "tokens"), members
+    bag = bag.withColumn("rep", F.md5(F.array_join("tokens", " ").cast("binary")))
+    return bag.select("rep", "tokens").dropDuplicates(["rep"]), bag.select(key, "rep")
 
 
 def bm25(queries: DataFrame, docs: DataFrame, top_m: int, *, query: str = "q_id", query_text: str = "q_text",
@@ -50,26 +44,27 @@ def bm25(queries: DataFrame, docs: DataFrame, top_m: int, *, query: str = "q_id"
     A repeated query token counts repeatedly; a negative idf is replaced by
     ``epsilon`` times the mean idf of the vocabulary.
     """
-    index = materialize(_counted(docs, doc, doc_text))  # read once; everything else follows from it
-    frequency = materialize(index.groupBy("token").agg(F.count(F.lit(1)).alias("df"), F.sum("tf").alias("cf")))
-    n = index.groupBy(doc).agg(F.count(F.lit(1))).count()
+    index = written(_counted(docs, doc, doc_text), "text-index")  # read by column; everything else follows from it
+    frequency = written(index.groupBy("token").agg(F.count(F.lit(1)).alias("df"), F.sum("tf").alias("cf")), "token-counts")
+    n = index.filter("head").count()
     frequency = frequency.filter(F.col("token") != "")
     raw = F.log(F.lit(n) - F.col("df") + 0.5) - F.log(F.col("df") + 0.5)
     stats = frequency.agg(F.sum("cf").alias("cf"), F.avg(raw).alias("idf")).first()
     mean_len = (stats["cf"] or 0) / max(n, 1)
     floor = epsilon * (stats["idf"] or 0.0)
-    idf = frequency.select("token", F.when(raw < 0, F.lit(floor)).otherwise(raw).alias("idf"))
+    idf = frequency.select("token", "df", F.when(raw < 0, F.lit(floor)).otherwise(raw).alias("idf"))
 
     reps, members = distinct_queries(queries, query, query_text)
     terms = reps.select("rep", F.explode("tokens").alias("token")).groupBy("rep", "token").agg(F.count(F.lit(1)).alias("qtf"))
-    left = materialize(terms.join(idf, "token").select(
-        F.col("rep").alias("l_id"), "token", (F.col("qtf") * F.col("idf")).alias("w"), F.lit(1).alias("l_size")))
+    left = written(terms.join(idf, "token").select(
+        F.col("rep").alias("l_id"), "token", (F.col("qtf") * F.col("idf")).alias("w"), F.lit(1).alias("l_size"), "df"), "query-terms")
     length = F.col("doc_len") / F.lit(mean_len or 1.0)
-    right = index.join(bounded(left.select("token").distinct()), "token", "left_semi").select(
+    right = index.filter(F.col("token") != "").select(
         F.col(doc).alias("r_id"), "token",
-        (F.col("tf") * (k1 + 1) / (F.col("tf") + k1 * (1 - b + b * length))).alias("w"), F.lit(1).alias("r_size"))
-    known = frequency.select("token", F.col("df").alias("n"), F.lit(k1 + 1.0).alias("w_max"))
-    best = sparse_topk(left, right, top_m, kind="dot", right_tokens=known, right_ids=n, pair_budget=pair_budget, strategy=strategy)
+        (F.col("tf") * (k1 + 1) / (F.col("tf") + k1 * (1 - b + b * length))).alias("w"), F.col("doc_len").alias("r_size"))
+    pairs = left.agg(F.sum("df")).first()[0] or 0
+    sizes = index.filter("head").select(F.col("doc_len").alias("r_size"))
+    best = sparse_topk(left, right, top_m, kind="dot", pairs=pairs, right_sizes=sizes, pair_budget=pair_budget, strategy=strategy)
     return keyed_join(members, best.withColumnRenamed("l_id", "rep"), ["rep"]).select(
         query, F.col("r_id").alias(doc), "score", "rank")
 
@@ -79,15 +74,15 @@ def token_overlap(queries: DataFrame, docs: DataFrame, top_m: int, *, query: str
     """Ranking by the share of distinct query tokens found in the text."""
     reps, members = distinct_queries(queries, query, query_text)
     sets = reps.select("rep", F.array_distinct("tokens").alias("t"))
-    left = materialize(sets.select(
-        F.col("rep").alias("l_id"), F.explode("t").alias("token"), F.lit(1.0).alias("w"), F.size("t").alias("l_size")))
+    left = written(sets.select(
+        F.col("rep").alias("l_id"), F.explode("t").alias("token"), F.lit(1.0).alias("w"), F.size("t").alias("l_size")), "query-tokens")
     vocabulary = bounded(left.select("token").distinct())
-    sets = docs.select(doc, doc_text).filter(T.strip(F.col(doc_text)) != "").select(
+    sets = spread(docs.select(doc, doc_text), doc).filter(T.strip(F.col(doc_text)) != "").select(
         F.col(doc).alias("r_id"), F.array_distinct(T.alnum_tokens(F.col(doc_text))).alias("t"))
     right = exploded(sets.withColumn("r_size", F.size("t")), F.col("t"), "token", "r_id", "r_size").join(
         vocabulary, "token", "left_semi").select("r_id", "token", F.lit(1.0).alias("w"), "r_size")
-    known = right.groupBy("token").agg(F.count(F.lit(1)).alias("n"), F.lit(1.0).alias("w_max"))
-    best = sparse_topk(left, right, top_m, kind="overlap", right_tokens=known, right_ids=docs.count(), pair_budget=pair_budget, strategy=strategy)
+    right = written(right, "text-tokens")
+    best = sparse_topk(left, right, top_m, kind="overlap", pair_budget=pair_budget, strategy=strategy)
     return keyed_join(members, best.withColumnRenamed("l_id", "rep"), ["rep"]).select(
         query, F.col("r_id").alias(doc), "score", "rank")
 

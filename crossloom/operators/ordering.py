@@ -46,6 +46,12 @@ def bounded(df: DataFrame) -> DataFrame:
     return F.broadcast(df) if fits_broadcast(df) else df
 
 
+def spread(df: DataFrame, *keys: str) -> DataFrame:
+    """``df`` dealt to all cores by ``keys`` if its source has fewer splits than there are cores; what moves is at most that many splits."""
+    cores = df.sparkSession.sparkContext.defaultParallelism
+    return df.repartition(cores, *keys) if df.rdd.getNumPartitions() < cores else df
+
+
 def top_per_key(df: DataFrame, keys: Sequence[str], order: Sequence[Column], k: int, rank: str = "rank") -> DataFrame:
     """The first ``k`` rows per key in the given order, with their rank."""
     w = Window.partitionBy(*keys).orderBy(*order)

@@ -1,15 +1,17 @@
 """Top-k similarity joins, dense and sparse.
 
-Both sides are cut into blocks of bounded size by a hash of the id. Spark
-ships every pair of blocks to one group, numpy scores it there, and only the
-best k of each query leave the group. Pairs are never emitted, and no side has
-to fit anywhere as a whole.
+Both sides are cut into blocks of bounded size. Spark ships pairs of blocks to
+one group, numpy scores them there, and only the best k of each query leave the
+group. Pairs are never emitted, and no side has to fit anywhere as a whole.
+Bounds keep pairs apart that cannot give one of the best k: dense vectors lie in
+cells around pivots, token lists in ranges of size with their largest weights.
 """
 
 from __future__ import annotations
 
 import math
 from collections.abc import Sequence
+from typing import NamedTuple
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
@@ -18,12 +20,20 @@ from pyspark.sql import types as T
 from crossloom import constants as C
 from crossloom.functions import vectors as V
 from crossloom.operators.ordering import bounded, top_per_key
-from crossloom.session import materialize
+from crossloom.session import written
 
 BLOCK_BYTES = 8 << 20  # of vectors in one block; larger blocks are shipped less often
+BLOCK_PAIRS = 64  # pairs of blocks that all meet; beyond them pivots rule pairs out
+MAX_PIVOTS, PIVOT_BYTES = 2048, 32 << 20
+QUERY_ROWS = 8192  # queries that meet a block of a cell at once
 CELLS = 1 << 22  # scores computed at once inside a task
 PAIR_BUDGET = 1_000_000
-BLOCK_TERMS = 500_000
+BLOCK_TERMS = 500_000  # terms of left rows that meet a shard at once
+SHARD_ROWS, MIN_SHARD_ROWS = 4096, 256  # right rows of one shard of the token index
+BLOCK_ROWS = 16  # right rows whose largest weights bound their scores together
+VISIT_TERMS = 8192
+FEW_SHARDS = 64
+MARGIN = 2e-6  # above the rounding of a score
 SCORE_DIGITS = 6
 FIXED = 2.0**40  # weight products are summed as multiples of 1 / FIXED, so a sum does not depend on its order
 
@@ -72,36 +82,6 @@ def _score_blocks(a, b, metric):
     return -np.sqrt(np.maximum(squared, 0.0))
 
 
-def _token_products(l_token, li, lw, n_left, r_token, ri, rw, n_right, step=4_000_000):
-    """Summed weight products and the "shares a token" mask of two blocks, in steps of bounded memory."""
-    import numpy as np
-    import pandas as pd
-
-    codes, _ = pd.factorize(pd.concat([l_token, r_token], ignore_index=True))
-    lc, rc = codes[: len(l_token)], codes[len(l_token) :]
-    order = np.argsort(lc, kind="stable")
-    lc, li, lw = lc[order], li[order], lw[order]
-    first, last = np.searchsorted(lc, rc, side="left"), np.searchsorted(lc, rc, side="right")
-    counts = last - first  # left rows that meet each right row
-    high, low, shared = np.zeros(n_left * n_right), np.zeros(n_left * n_right), np.zeros(n_left * n_right, dtype=bool)
-    ends = np.cumsum(counts)
-    start = 0
-    while start < len(counts):
-        stop = max(start + 1, int(np.searchsorted(ends, (ends[start - 1] if start else 0) + step, side="right")))
-        c = counts[start:stop]
-        right_row = np.repeat(np.arange(start, stop), c)
-        left_row = np.arange(c.sum()) - np.repeat(np.cumsum(c) - c, c) + first[right_row]
-        cell = li[left_row] * n_right + ri[right_row]
-        product = np.floor(lw[left_row] * rw[right_row] * FIXED + 0.5)
-        upper = np.floor(product / 2.0**26)  # both halves stay whole numbers below 2**53
-        high += np.bincount(cell, weights=upper, minlength=n_left * n_right)
-        low += np.bincount(cell, weights=product - upper * 2.0**26, minlength=n_left * n_right)
-        shared[cell] = True
-        start = stop
-    total = (high.astype(np.int64) * 2**26 + low.astype(np.int64)) / FIXED
-    return total.reshape(n_left, n_right), shared.reshape(n_left, n_right)
-
-
 # ---------------------------------------------------------------- dense vectors
 
 def _slices(n_left: int, n_right: int):
@@ -163,6 +143,7 @@ def dense_topk(
     drop_zero: bool = False,
     by: Sequence[str] = (),
     block_rows: int | None = None,
+    strategy: str = "auto",
 ) -> DataFrame:
     """Best ``k`` library rows per query: ``(*by, id, neighbor_id, score, rank)``, exact.
 
@@ -171,19 +152,42 @@ def dense_topk(
     Both sides have ``id``, ``embedding`` and the ``by`` columns; rows only
     meet within equal ``by`` values. Metrics: cosine, dot, l2, l2_rows,
     l2_columns. Scores are rounded; equal ones go to the smaller id.
+
+    Few blocks all meet (``strategy`` blocks). Beyond ``BLOCK_PAIRS`` pairs the library is dealt to pivots, and
+    a query meets only cells whose centre and radius allow a score among its best (pivots).
     """
     if metric == "l2_columns":
         queries, library, metric = scale_columns(queries), scale_columns(library), "l2"
     cols = ["id", "embedding", *by]
     queries, library = _known(queries.select(*cols)), _known(library.select(*cols))
-    q, lib = _pair_blocks(queries, library, block_rows)
     by = list(by)
-    fields = [queries.schema[c] for c in by] + [
+    search = _searcher(by, metric, k, exclude_self, drop_zero)
+    schema = T.StructType([queries.schema[c] for c in by] + [
         T.StructField("id", queries.schema["id"].dataType),
         T.StructField("neighbor_id", library.schema["id"].dataType),
         T.StructField("score", T.DoubleType()),
-    ]
-    n_by = len(by)
+    ])
+    order = [F.desc("score"), F.asc("neighbor_id")]
+    cells = None
+    if strategy == "pivots" or (strategy == "auto" and _block_pairs(queries, library, block_rows) > BLOCK_PAIRS):
+        cells = Cells.of(library, by, metric, block_rows)
+    if cells is None:
+        q, lib = _pair_blocks(queries, library, block_rows)
+        keys = [*by, "_qb", "_lb"]
+        return top_per_key(q.groupBy(*keys).cogroup(lib.groupBy(*keys)).applyInArrow(search, schema), [*by, "id"], order, k)
+
+    queries = queries.withColumn("_floor", F.lit(None).cast("double"))
+    near = written(cells.choose(queries, "nearest", k + exclude_self), "nearest-cells")
+    found = written(_meet(near, cells, by, search, schema), "nearest-found")
+    kth = top_per_key(found, [*by, "id"], order, k).filter(F.col("rank") == k).select(*by, "id", F.col("score").alias("_floor"))
+    rest = near.drop("_floor").withColumnRenamed("_cells", "_seen").join(kth, [*by, "id"], "left")
+    rest = cells.choose(rest, "reaching").withColumn("_cells", F.array_except("_cells", "_seen")).drop("_seen")
+    rest = written(rest.filter(F.size("_cells") > 0), "reaching-cells")
+    return top_per_key(found.unionByName(_meet(rest, cells, by, search, schema)), [*by, "id"], order, k)
+
+
+def _searcher(by, metric, k, exclude_self, drop_zero):
+    """Function for a group of queries and library rows: the k best of each query; the key starts with the ``by`` values."""
 
     def search(key, left, right):
         import numpy as np
@@ -213,22 +217,181 @@ def dense_topk(
         groups = [pa.array([key[i].as_py()] * len(rows), right.schema.field(c).type) for i, c in enumerate(by)]
         return pa.table([*groups, qid.take(pa.array(rows)), lid.take(pa.array(found)), pa.array(scores)], names=names)
 
-    keys = [*by, "_qb", "_lb"]
-    assert n_by == len(keys) - 2
-    partial = q.groupBy(*keys).cogroup(lib.groupBy(*keys)).applyInArrow(search, T.StructType(fields))
-    return top_per_key(partial, [*by, "id"], [F.desc("score"), F.asc("neighbor_id")], k)
+    return search
+
+
+# ---------------------------------------------------------------- pivot cells
+
+def _block_pairs(queries: DataFrame, library: DataFrame, block_rows: int | None) -> int:
+    return _blocks(queries, block_rows, 1) * _blocks(library, block_rows, 1)
+
+
+def _placed(vectors, metric):
+    """Vectors in the space where the metric is a dot product or a distance."""
+    import numpy as np
+
+    if metric == "cosine":
+        return vectors / (np.linalg.norm(vectors, axis=1, keepdims=True) + C.NORM_EPSILON)
+    if metric == "l2_rows":
+        return vectors / np.maximum(np.linalg.norm(vectors, axis=1, keepdims=True), C.NORM_EPSILON)
+    return vectors
+
+
+def _reach(a, centres, radii, metric):
+    """(score of the centres, lowest and highest score in the cells) for placed vectors; widened by the error of the arithmetic."""
+    import numpy as np
+
+    if metric in ("cosine", "dot"):
+        middle = a @ centres.T
+        spread = np.linalg.norm(a, axis=1)[:, None] * radii[None, :]
+    else:
+        middle = -np.sqrt(np.maximum((a * a).sum(1)[:, None] + (centres * centres).sum(1)[None, :] - 2 * (a @ centres.T), 0.0))
+        spread = radii[None, :]
+    slack = MARGIN + 1e-6 * (np.abs(middle) + spread)
+    low, high = middle - spread - slack, middle + spread + slack
+    return middle, low, high if metric in ("cosine", "dot") else np.minimum(high, slack)
+
+
+class Cells:
+    """A library dealt to pivots: ``rows(*by, _cell, _sub, id, embedding)`` and, per cell, centre, radius and size.
+
+    Pivots are library rows drawn by a hash of the id, at most ``MAX_PIVOTS`` and ``PIVOT_BYTES`` of them, so
+    the list of cells is bounded whatever the library. A cell of many rows is cut into sub-blocks by a hash.
+    """
+
+    def __init__(self, rows, groups, n_cells):
+        self.rows, self.groups, self.n_cells = rows, groups, n_cells
+
+    @classmethod
+    def of(cls, library: DataFrame, by: Sequence[str], metric: str, block_rows: int | None = None):
+        """None if there are more values of ``by`` than there can be pivots."""
+        spark, by = library.sparkSession, list(by)
+        width = library.agg(F.max(F.size("embedding"))).first()[0]
+        most = max(1, min(MAX_PIVOTS, PIVOT_BYTES // (8 * max(1, width or 1))))
+        sizes = library.groupBy(*by).agg(F.count(F.lit(1)).alias("_n")).limit(most + 1).collect()
+        total = sum(r["_n"] for r in sizes)
+        if not total or len(sizes) > most:
+            return None
+        block_rows = block_rows or max(256, BLOCK_BYTES // (8 * width))
+        wanted = min(most, max(1, total // max(1, block_rows // 4)))
+        share = {tuple(r[c] for c in by): max(1, wanted * r["_n"] // total) for r in sizes}
+        drawn = top_per_key(library.withColumn("_h", F.xxhash64("id")), by or [F.lit(0).alias("_all")], [F.asc("_h"), F.asc("id")], max(share.values()))
+        quota = spark.createDataFrame([(*g, n) for g, n in share.items()], T.StructType([*[library.schema[c] for c in by], T.StructField("_q", T.IntegerType())]))
+        if by:
+            same = [F.col(f"a.{c}").eqNullSafe(F.col(f"b.{c}")) for c in by]
+            drawn = drawn.alias("a").join(F.broadcast(quota).alias("b"), same).filter(F.col("a.rank") <= F.col("b._q")).select("a.*")
+        import numpy as np
+
+        pivots: dict = {}
+        for r in drawn.select(*by, "embedding").collect():  # bounded by `most`
+            pivots.setdefault(tuple(r[c] for c in by), []).append(list(r["embedding"]))
+        groups, first = {}, 0
+        for g, p in pivots.items():
+            groups[g] = (first, _placed(np.array(p, float), metric))
+            first += len(p)
+        own = cls(None, spark.sparkContext.broadcast((by, metric, {g: (at, p, np.zeros(len(p)), np.zeros(len(p))) for g, (at, p) in groups.items()})), first)
+        dealt = written(own._map(library, "deal", "_cell int, _distance double"), "dealt")
+        radius, size = np.full(first, -1.0), np.zeros(first, np.int64)
+        for r in dealt.groupBy("_cell").agg(F.max("_distance").alias("r"), F.count(F.lit(1)).alias("n")).collect():  # a row per pivot
+            radius[r["_cell"]], size[r["_cell"]] = r["r"], r["n"]
+        table = {g: (at, p, radius[at : at + len(p)], size[at : at + len(p)]) for g, (at, p) in groups.items()}
+        subs = F.element_at(F.array(*[F.lit(max(1, math.ceil(n / block_rows))) for n in size.tolist()]), F.col("_cell") + 1)
+        rows = dealt.withColumn("_sub", F.pmod(F.xxhash64("id"), subs)).drop("_distance")
+        return cls(rows, spark.sparkContext.broadcast((by, metric, table)), first)
+
+    def choose(self, queries: DataFrame, how: str, enough: int = 0) -> DataFrame:
+        """``queries`` with ``_cells``: the nearest ones that hold ``enough`` rows, or all that can reach the score ``_floor``."""
+        return self._map(queries, how, "_cells array<int>", enough)
+
+    def sure(self, queries: DataFrame) -> DataFrame:
+        """``queries`` with ``_cells`` that must be counted row by row, and ``_sure``, the rows of cells that surely beat ``_floor``."""
+        return self._map(queries, "count", "_cells array<int>, _sure bigint")
+
+    def _map(self, df: DataFrame, how: str, new: str, enough: int = 0) -> DataFrame:
+        shared = self.groups
+
+        def task(batches):
+            import numpy as np
+            import pyarrow as pa
+
+            by, metric, groups = shared.value
+            for b in batches:
+                if not b.num_rows:
+                    continue
+                a = _placed(_matrix(pa.chunked_array([b.column("embedding")])), metric)
+                keys = list(zip(*(b.column(c).to_pylist() for c in by))) if by else [()] * b.num_rows
+                floor = b.column("_floor").to_numpy(zero_copy_only=False).astype(float) if "_floor" in b.schema.names else None
+                first, second = [None] * b.num_rows, [0] * b.num_rows
+                for g in set(keys):
+                    rows = np.array([i for i, key in enumerate(keys) if key == g])
+                    if g not in groups:
+                        for i in rows.tolist():
+                            first[i] = []
+                        continue
+                    at, centres, radii, sizes = groups[g]
+                    step = max(1, CELLS // len(centres))
+                    for some in (rows[i : i + step] for i in range(0, len(rows), step)):
+                        if how == "deal":
+                            away = -_reach(a[some], centres, radii, "l2")[0]
+                            cell = away.argmin(axis=1)
+                            exact = np.linalg.norm(a[some] - centres[cell], axis=1)
+                            for i, c, d in zip(some.tolist(), cell.tolist(), exact.tolist()):
+                                first[i], second[i] = at + c, d
+                            continue
+                        middle, low, high = _reach(a[some], centres, radii, metric)
+                        if how == "nearest":
+                            middle = np.where(sizes > 0, middle, -np.inf)
+                            order = np.argsort(-middle, axis=1, kind="stable")
+                            held = np.cumsum(sizes[order], axis=1)
+                            take = np.minimum((held < enough).sum(axis=1) + 1, int((sizes > 0).sum()))
+                            for i, o, n in zip(some.tolist(), order, take.tolist()):
+                                first[i] = (at + o[:n]).tolist()
+                            continue
+                        limit = np.where(np.isnan(floor[some]), -np.inf, floor[some])[:, None]
+                        if how == "count":
+                            wins = low > limit
+                            open_ = ~wins & (high > limit) & (sizes > 0)
+                            for i, n in zip(some.tolist(), (wins * sizes).sum(axis=1).tolist()):
+                                second[i] = n
+                        else:
+                            open_ = (high >= limit) & (sizes > 0)
+                        for i, o in zip(some.tolist(), open_):
+                            first[i] = (at + np.flatnonzero(o)).tolist()
+                if how == "deal":
+                    added = [pa.array(first, pa.int32()), pa.array(second, pa.float64())]
+                else:
+                    added = [pa.array(first, pa.list_(pa.int32()))] + ([pa.array(second, pa.int64())] if how == "count" else [])
+                names = ["_cell", "_distance"] if how == "deal" else ["_cells", "_sure"][: len(added)]
+                yield pa.RecordBatch.from_arrays([*b.columns, *added], [*b.schema.names, *names])
+
+        return df.mapInArrow(task, T.StructType([*df.schema.fields, *T._parse_datatype_string(new).fields]))
+
+
+def _meet(queries: DataFrame, cells: Cells, by: Sequence[str], function, schema: T.StructType) -> DataFrame:
+    """``function`` on every pair of a block of a cell and the queries that chose it, in chunks where these are many."""
+    sent = queries.select(*[c for c in queries.columns if c != "_cells"], F.explode("_cells").alias("_cell"))
+    # both tables have a row per cell or sub-block of one that was chosen
+    chunks = sent.groupBy("_cell").agg(F.ceil(F.count(F.lit(1)) / QUERY_ROWS).cast("long").alias("_chunks"))
+    sent = sent.join(bounded(chunks), "_cell").withColumn("_chunk", F.pmod(F.xxhash64("id"), F.col("_chunks"))).drop("_chunks")
+    subs = cells.rows.groupBy("_cell").agg((F.max("_sub") + 1).alias("_subs"))
+    sent = sent.join(bounded(subs), "_cell").withColumn("_sub", F.explode(F.sequence(F.lit(0).cast("long"), F.col("_subs") - 1))).drop("_subs")
+    lib = cells.rows.join(bounded(chunks), "_cell").withColumn("_chunk", F.explode(F.sequence(F.lit(0).cast("long"), F.col("_chunks") - 1))).drop("_chunks")
+    keys = [*by, "_cell", "_sub", "_chunk"]
+    return sent.groupBy(*keys).cogroup(_fresh(lib).groupBy(*keys)).applyInArrow(function, schema)
 
 
 def dense_target_rank(queries: DataFrame, library: DataFrame, tolerance: float = C.RANK_TOLERANCE,
-                      by: Sequence[str] = (), block_rows: int | None = None) -> DataFrame:
+                      by: Sequence[str] = (), block_rows: int | None = None, strategy: str = "auto") -> DataFrame:
     """``(id, rank)``: 1 + library rows whose dot product beats the query's ``truth`` item by more than the tolerance.
 
-    ``queries(id, embedding, truth, *by)``. Only counts leave a group of blocks.
+    ``queries(id, embedding, truth, *by)``. Only counts leave a group of blocks. With pivots, cells that lie
+    wholly above or below the truth's score are counted by their size.
     """
     truth = library.select(F.col("id").alias("truth"), F.col("embedding").alias("_t"), *by)
     q = queries.join(truth, ["truth", *by]).withColumn("truth_score", V.dot(F.col("embedding"), F.col("_t")))
-    q, lib = _pair_blocks(q.select("id", "embedding", "truth_score", *by), library.select("id", "embedding", *by), block_rows)
-    id_type = queries.schema["id"].dataType
+    q = q.select("id", "embedding", "truth_score", *by)
+    library = library.select("id", "embedding", *by)
+    schema = T.StructType([T.StructField("id", queries.schema["id"].dataType), T.StructField("better", T.LongType())])
 
     def count_better(key, left, right):
         import numpy as np
@@ -242,9 +405,17 @@ def dense_target_rank(queries: DataFrame, library: DataFrame, tolerance: float =
         ids = left["id"].combine_chunks() if len(better) else pa.array([], left.schema.field("id").type)
         return pa.table([ids, better], names=["id", "better"])
 
-    keys = [*by, "_qb", "_lb"]
-    schema = T.StructType([T.StructField("id", id_type), T.StructField("better", T.LongType())])
-    parts = q.groupBy(*keys).cogroup(lib.groupBy(*keys)).applyInArrow(count_better, schema)
+    cells = None
+    if strategy == "pivots" or (strategy == "auto" and _block_pairs(q, library, block_rows) > BLOCK_PAIRS):
+        cells = Cells.of(_known(library), by, "dot", block_rows)
+    if cells is None:
+        q, lib = _pair_blocks(q, library, block_rows)
+        keys = [*by, "_qb", "_lb"]
+        parts = q.groupBy(*keys).cogroup(lib.groupBy(*keys)).applyInArrow(count_better, schema)
+    else:
+        chosen = written(cells.sure(_known(q).withColumn("_floor", F.col("truth_score") + tolerance)), "counted-cells")
+        parts = _meet(chosen.drop("_floor", "_sure"), cells, list(by), count_better, schema)
+        parts = parts.unionByName(chosen.select("id", F.col("_sure").alias("better")))
     return parts.groupBy("id").agg((F.sum("better") + 1).alias("rank"))
 
 
@@ -382,103 +553,133 @@ def _finish(total: Column, left_size: Column, right_size: Column, kind: str) ->
     return F.floor(score * F.lit(10.0**SCORE_DIGITS) + 0.5) / F.lit(10.0**SCORE_DIGITS)
 
 
-def sparse_topk(left: DataFrame, right: DataFrame, k: int, *, kind: str = "dot", exclude_self: bool = False,
-                right_tokens: DataFrame | None = None, right_ids: int | None = None, pair_budget: int = PAIR_BUDGET,
-                strategy: str = "auto") -> DataFrame:
+def sparse_topk(left: DataFrame, right: DataFrame, k: int, *, kind: str = "dot", exclude_self: bool = False, pairs: int | None = None,
+                right_sizes: DataFrame | None = None, pair_budget: int = PAIR_BUDGET, strategy: str = "auto") -> DataFrame:
     """Best ``k`` right rows per left row that share a token: ``(l_id, r_id, score, rank)``, exact.
 
-    ``left(l_id, token, w, l_size)``, ``right(r_id, token, w, r_size)``, one row per id and token.
-    The score adds ``w * w`` over shared tokens (kinds dot, overlap, jaccard).
-    ``right_tokens(token, n, w_max)`` and ``right_ids`` may give row counts and
-    weight bounds that are known already.
-
-    Token counts tell how many pairs a join would make and how many rows the
-    blocks would ship; the cheaper way is taken. In the join, tokens whose
-    pairs exceed ``pair_budget`` are left out and added only to pairs that
-    other tokens found. A left row is settled when its k-th score beats
-    everything its hot tokens alone could give; all others go through the
-    blocks. Products are summed in fixed point and rounded alike, so all ways give the same rows. ``strategy`` (auto, join, blocks) can fix the choice.
+    ``left(l_id, token, w, l_size)``, ``right(r_id, token, w, r_size)``, one row per id and token; right
+    weights are not negative. The score adds ``w * w`` over shared tokens (kinds dot, overlap, jaccard).
+    ``pairs`` (rows a join by token would make) and ``right_sizes(r_size)`` (a row per right id) save a pass where known.
+
+    Up to ``pair_budget`` pairs are joined. Beyond it the index of ``block_index`` is traversed. Products are
+    summed in fixed point and rounded alike, so both ways give the same rows. ``strategy`` (auto, join,
+    blocks) can fix the choice.
     """
-    if right_tokens is None:
-        right_tokens = right.groupBy("token").agg(F.count(F.lit(1)).alias("n"), F.max("w").alias("w_max"))
-    nl = left.groupBy("token").agg(F.count(F.lit(1)).alias("_nl"))
-    both = nl.join(right_tokens.select("token", F.col("n").alias("_nr"), F.col("w_max").alias("_wr")), "token")
-    made = F.col("_nl") * F.col("_nr")
-    cost = both.agg(F.sum(made).alias("pairs"), F.max(made).alias("hottest"), F.sum("_nl").alias("l"), F.sum("_nr").alias("r")).first()
-    if cost["pairs"] is None:
-        cost = {"pairs": 0, "hottest": 0, "l": 0, "r": 0}
     if strategy == "auto":
-        l_blocks, r_blocks = math.ceil(cost["l"] / BLOCK_TERMS), math.ceil(cost["r"] / BLOCK_TERMS)
-        shipped = cost["l"] * max(r_blocks, 1) + cost["r"] * max(l_blocks, 1)
-        strategy = "blocks" if cost["pairs"] > max(4 * shipped, pair_budget) else "join"
-    if strategy == "blocks":
-        return _by_token_blocks(left, right, k, kind, exclude_self, cost["r"], right_ids)
-    if cost["hottest"] <= pair_budget:
+        if pairs is None:
+            n = right.groupBy("token").agg(F.count(F.lit(1)).alias("n"))
+            nl = left.groupBy("token").agg(F.count(F.lit(1)).alias("_nl"))
+            pairs = nl.join(n, "token").agg(F.sum(F.col("_nl") * F.col("n"))).first()[0] or 0
+        strategy = "blocks" if pairs > pair_budget else "join"
+    if strategy == "join":
         return _by_pairs(left, right, k, kind, exclude_self)
+    known = right.join(bounded(left.select("token").distinct()), "token", "left_semi")
+    return block_topk(left, block_index(known, right_sizes), k, kind=kind, exclude_self=exclude_self)
 
-    left, right = materialize(left), materialize(right)
-    hot = materialize(both.filter(made > pair_budget).select("token", "_wr"))
-    l_hot, r_hot = left.join(hot, "token"), right.join(hot.select("token"), "token", "left_semi")
-    l_rare, r_rare = left.join(hot, "token", "left_anti"), right.join(hot, "token", "left_anti")
-
-    pairs = _joined(l_rare, r_rare, exclude_self).withColumnRenamed("_s", "_rare")
-    extra = (
-        pairs.select("l_id", "r_id")
-        .join(l_hot.select("l_id", "token", F.col("w").alias("_wl")), "l_id")
-        .join(r_hot.select("r_id", "token", F.col("w").alias("_wr2")), ["r_id", "token"])
-        .groupBy("l_id", "r_id").agg(_products(F.col("_wl"), F.col("_wr2")).alias("_hot"))
-    )
-    scored = pairs.join(extra, ["l_id", "r_id"], "left").select(
-        "l_id", "r_id",
-        _finish(F.col("_rare") + F.coalesce("_hot", F.lit(0)), F.col("l_size"), F.col("r_size"), kind).alias("score"))
-    found = materialize(top_per_key(scored, ["l_id"], [F.desc("score"), F.asc("r_id")], k))
-
-    reach = l_hot.groupBy("l_id").agg(
-        F.sum(F.greatest(F.col("w") * F.col("_wr"), F.lit(0.0))).alias("_reach"), F.max("l_size").alias("l_size"))
-    reach = reach.select("l_id", (F.col("_reach") if kind == "dot" else F.col("_reach") / F.greatest("l_size", F.lit(1))).alias("_reach"))
-    kth = found.filter(F.col("rank") == k).select("l_id", F.col("score").alias("_kth"))
-    margin = 10.0**-SCORE_DIGITS
-    unsettled = materialize(
-        reach.join(kth, "l_id", "left").filter(F.col("_kth").isNull() | (F.col("_kth") <= F.col("_reach") + margin)).select("l_id"))
-    if unsettled.isEmpty():
-        return found
-    settled = found.join(unsettled, "l_id", "left_anti")
-    return settled.unionByName(
-        _by_token_blocks(left.join(unsettled, "l_id", "left_semi"), right, k, kind, exclude_self, cost["r"], right_ids).select(*settled.columns))
-
-
-def _joined(left: DataFrame, right: DataFrame, exclude_self: bool) -> DataFrame:
+
+def _by_pairs(left, right, k, kind, exclude_self) -> DataFrame:
     r = right.select("r_id", "token", F.col("w").alias("_w2"), "r_size")
     pairs = left.join(r, "token")
     if exclude_self:
         pairs = pairs.filter(F.col("l_id") != F.col("r_id"))
-    return pairs.groupBy("l_id", "r_id").agg(
+    pairs = pairs.groupBy("l_id", "r_id").agg(
         _products(F.col("w"), F.col("_w2")).alias("_s"), F.max("l_size").alias("l_size"), F.max("r_size").alias("r_size"))
+    scored = pairs.select("l_id", "r_id", _finish(F.col("_s"), F.col("l_size"), F.col("r_size"), kind).alias("score"))
+    return top_per_key(scored, ["l_id"], [F.desc("score"), F.asc("r_id")], k)
 
 
-def _by_pairs(left, right, k, kind, exclude_self) -> DataFrame:
-    scored = _joined(left, right, exclude_self).select(
-        "l_id", "r_id", _finish(F.col("_s"), F.col("l_size"), F.col("r_size"), kind).alias("score"))
-    return top_per_key(scored, ["l_id"], [F.desc("score"), F.asc("r_id")], k)
+# ---------------------------------------------------------------- block-max postings
+
+def _size_class(size: Column) -> Column:
+    """Classes of about equal sizes, in rising order."""
+    return F.floor(F.log2(size.cast("double") + 1) * 8).cast("int")
+
+
+class Postings(NamedTuple):
+    """``rows(shard, token, r_id, w, r_size)``: shards are ranges of sizes with about equal numbers of ids."""
+
+    rows: DataFrame
+    shards: int
+
+
+def block_index(right: DataFrame, sizes: DataFrame | None = None, shard_rows: int = SHARD_ROWS) -> Postings:
+    """Postings by shard. Ids of equal size lie together, because weights fall with the size of a text.
+
+    A large class of sizes is dealt over several shards by a hash of the id, small neighbouring classes share a
+    shard. ``sizes(r_size)``, a row per id, saves an estimate. More than a few shards are written once.
+    """
+    size_class = _size_class(F.col("r_size")).alias("_class")
+    # one row per class of sizes, of which there are some hundreds at most; estimates only move the work
+    if sizes is None:
+        counts = right.groupBy(size_class).agg(F.approx_count_distinct("r_id").alias("n")).collect()
+    else:
+        counts = sizes.groupBy(size_class).agg(F.count(F.lit(1)).alias("n")).collect()
+    wanted = max(MIN_SHARD_ROWS, min(shard_rows, sum(n for _, n in counts) // right.sparkSession.sparkContext.defaultParallelism))
+    room, total, shards = 0, 0, []
+    for c, n in sorted(counts):
+        several = math.ceil(n / wanted)
+        if n > room:
+            first, room, total = total, max(n, wanted), total + several
+        shards.append((c, first, several))
+        room = room - n if several == 1 else 0
+    place = F.create_map(*[F.lit(x) for c, at, n in shards for x in (c, (at << 20) + n)]) if shards else F.create_map(F.lit(0), F.lit(1))
+    place = F.try_element_at(place, _size_class(F.col("r_size"))).cast("long")  # first shard and number of shards in one
+    shard = F.shiftright(place, 20) + F.pmod(F.xxhash64("r_id"), place.bitwiseAND((1 << 20) - 1))
+    rows = right.select(shard.alias("shard"), "token", "r_id", "w", "r_size")
+    return Postings(written(rows, "postings") if total > FEW_SHARDS else rows, total)
+
+
+def _bound(total: Column, l_size: Column, r_min: Column, r_max: Column, kind: str) -> Column:
+    """The highest score of a sum of at most ``total`` with a right row of ``r_min`` to ``r_max`` tokens."""
+    if kind == "dot":
+        return total
+    if kind == "overlap":
+        return total / F.greatest(l_size, F.lit(1))
+    shared = F.least(total, r_max)
+    return shared / (l_size + F.greatest(r_min, shared) - shared)
+
+
+def shard_bounds(left: DataFrame, index: Postings, kind: str) -> DataFrame:
+    """``(l_id, shard, bound)``: no right row of the shard scores higher, for all shards that share a token."""
+    largest = index.rows.groupBy("token", "shard").agg(F.max("w").alias("_w"), F.min("r_size").alias("_min"), F.max("r_size").alias("_max"))
+    met = left.join(largest, "token").groupBy("l_id", "shard").agg(
+        F.sum(F.greatest(F.col("w"), F.lit(0.0)) * F.col("_w")).alias("_t"), F.max("l_size").alias("_l"), F.min("_min").alias("_min"), F.max("_max").alias("_max"))
+    return met.select("l_id", "shard", _bound(F.col("_t"), F.col("_l"), F.col("_min"), F.col("_max"), kind).alias("bound"))
 
 
-def _by_token_blocks(left, right, k, kind, exclude_self, right_terms=None, right_ids=None, left_rows=1024, right_rows=2048) -> DataFrame:
-    """Complete scores of the given left rows, block by block. Known right sizes (upper bounds) save a pass."""
+def block_topk(left: DataFrame, index: Postings, k: int, *, kind: str = "dot", exclude_self: bool = False, few: int = FEW_SHARDS) -> DataFrame:
+    """``sparse_topk`` over an index of ``block_index``.
+
+    Inside a shard, blocks of ``BLOCK_ROWS`` ids are visited by falling bound until none can reach the k-th
+    score (``_traverse``). A ``few`` shards are visited by all left rows. Of many, every left row first visits
+    the one of its highest bound; that fixes a score its k best reach, and only shards whose bounds
+    reach it too are visited next.
+    """
     left = left.select("l_id", "token", "w", "l_size")
-    right = _fresh(right.join(bounded(left.select("token").distinct()), "token", "left_semi").select("r_id", "token", "w", "r_size"))
-    cpus = left.sparkSession.sparkContext.defaultParallelism
-    if right_terms is None or right_ids is None:
-        right_terms, right_ids = right.agg(F.count(F.lit(1)), F.approx_count_distinct("r_id") * 1.1).first()
-    left_terms, left_ids = left.agg(F.count(F.lit(1)), F.approx_count_distinct("l_id") * 1.1).first()
-
-    def blocks(terms, ids, rows, wanted):
-        return max(1, math.ceil(terms / BLOCK_TERMS), math.ceil(ids / rows), min(wanted, math.ceil(ids / 256)))
-
-    nl, nr = blocks(left_terms, left_ids, left_rows, 1), blocks(right_terms, right_ids, right_rows, cpus)
-    lb = left.withColumn("_lb", F.pmod(F.xxhash64("l_id"), F.lit(nl))).withColumn("_rb", _numbers(nr))
-    rb = right.withColumn("_rb", F.pmod(F.xxhash64("r_id"), F.lit(nr))).withColumn("_lb", _numbers(nl))
+    order = [F.desc("score"), F.asc("r_id")]
+    if index.shards <= few:
+        chunks = max(1, math.ceil(left.count() / BLOCK_TERMS))
+        everywhere = left.select("*", _numbers(max(1, index.shards)).alias("shard"), F.lit(None).cast("double").alias("floor"))
+        return top_per_key(_visit(everywhere, index.rows, k, kind, exclude_self, chunks), ["l_id"], order, k)
+    left = written(left, "terms")
+    chunks = max(1, math.ceil(left.count() / BLOCK_TERMS))
+    bounds = written(shard_bounds(left, index, kind), "bounds")
+    first = written(top_per_key(bounds, ["l_id"], [F.desc("bound"), F.asc("shard")], 1).select("l_id", "shard", F.lit(None).cast("double").alias("floor")), "first-shards")
+    found = written(_visit(left.join(first, "l_id"), index.rows, k, kind, exclude_self, chunks), "first-found")
+    floors = top_per_key(found, ["l_id"], order, k).filter(F.col("rank") == k).select("l_id", F.col("score").alias("floor"))
+    rest = bounds.join(first, ["l_id", "shard"], "left_anti").join(floors, "l_id", "left")
+    rest = written(rest.filter(F.col("floor").isNull() | (F.col("bound") >= F.col("floor") - MARGIN)).select("l_id", "shard", "floor"), "next-shards")
+    both = found.unionByName(_visit(left.join(rest, "l_id"), index.rows, k, kind, exclude_self, chunks))
+    return top_per_key(both, ["l_id"], order, k)
+
+
+def _visit(terms: DataFrame, postings: DataFrame, k: int, kind: str, exclude_self: bool, chunks: int) -> DataFrame:
+    """The best k of the left rows in the shards they are sent to; a shard meets the left rows in chunks of bounded size."""
+    terms = terms.withColumn("_chunk", F.pmod(F.xxhash64("l_id"), F.lit(chunks)))
+    wanted = terms.select("shard", "_chunk").distinct()
+    postings = _fresh(postings.join(bounded(wanted), "shard") if chunks > 1 else postings.withColumn("_chunk", F.lit(0).cast("long")))
     schema = T.StructType([
-        T.StructField("l_id", left.schema["l_id"].dataType), T.StructField("r_id", right.schema["r_id"].dataType),
+        T.StructField("l_id", terms.schema["l_id"].dataType), T.StructField("r_id", postings.schema["r_id"].dataType),
         T.StructField("score", T.DoubleType()),
     ])
 
@@ -489,26 +690,136 @@ def _by_token_blocks(left, right, k, kind, exclude_self, right_terms=None, right
         l_type, r_type = a.schema.field("l_id").type, b.schema.field("r_id").type
         if a.num_rows == 0 or b.num_rows == 0:
             return pa.table([pa.array([], l_type), pa.array([], r_type), pa.array([], pa.float64())], names=["l_id", "r_id", "score"])
-        a, b = a.to_pandas(), b.to_pandas()
-        lid, li = np.unique(a["l_id"].to_numpy(), return_inverse=True)
-        rid, ri = np.unique(b["r_id"].to_numpy(), return_inverse=True)
-        lsize, rsize = np.zeros(len(lid)), np.zeros(len(rid))
-        lsize[li], rsize[ri] = a["l_size"], b["r_size"]
-        total, shared = _token_products(a["token"], li, a["w"].to_numpy(dtype=float), len(lid),
-                                        b["token"], ri, b["w"].to_numpy(dtype=float), len(rid))
-        if kind == "overlap":
-            total = total / np.maximum(lsize, 1)[:, None]
-        elif kind == "jaccard":
-            total = total / np.where(shared, lsize[:, None] + rsize[None, :] - total, 1.0)
+
+        def codes(*columns):
+            """Values of all columns, and numbers of the values for each column."""
+            encoded = pa.chunked_array([c for column in columns for c in column.chunks]).combine_chunks().dictionary_encode()
+            ends = np.cumsum([len(c) for c in columns])[:-1]
+            return encoded.dictionary, np.split(encoded.indices.to_numpy(), ends)
+
+        def number(table, name):
+            return table[name].to_numpy().astype(float)
+
+        _, (l_token, r_token) = codes(a["token"], b["token"])
+        l_names, (l_row,) = codes(a["l_id"])
+        r_names, (ri,) = codes(b["r_id"])
+        first = np.unique(l_row, return_index=True)[1]
+        size = number(b, "r_size")[np.unique(ri, return_index=True)[1]]
+        by_name = np.empty(len(r_names), np.int64)
+        by_name[pa.compute.array_sort_indices(r_names).to_numpy()] = np.arange(len(r_names))
+        order = np.lexsort((by_name, size))  # neighbours in size share a block
+        place = np.empty(len(order), np.int64)
+        place[order] = np.arange(len(order))
+        own = np.full(len(l_names), -1)
         if exclude_self:
-            shared &= lid[:, None] != rid[None, :]
-        total = np.floor(total * 10.0**SCORE_DIGITS + 0.5) / 10.0**SCORE_DIGITS
-        rows, cols = _best(total, shared, k)
-        return pa.table([pa.array(lid[rows], l_type), pa.array(rid[cols], r_type), pa.array(total[rows, cols])],
-                        names=["l_id", "r_id", "score"])
+            same = pa.compute.index_in(l_names, r_names)
+            own[same.is_valid().to_numpy(zero_copy_only=False)] = place[same.drop_null().to_numpy()]
+        floor = number(a, "floor")[first]
+        rows, cols, scores, _ = _traverse(
+            l_row, l_token, number(a, "w"), number(a, "l_size")[first], np.where(np.isnan(floor), -np.inf, floor), own,
+            r_token, place[ri], number(b, "w"), size[order], by_name[order], k, kind)
+        return pa.table([l_names.take(pa.array(rows)), r_names.take(pa.array(order[cols])), pa.array(scores)], names=["l_id", "r_id", "score"])
+
+    return terms.groupBy("shard", "_chunk").cogroup(postings.groupBy("shard", "_chunk")).applyInArrow(search, schema)
+
+
+def _spread(starts, counts):
+    """(owner, place): the places ``starts[i] … starts[i] + counts[i] - 1`` of all i, one after the other."""
+    import numpy as np
+
+    owner = np.repeat(np.arange(len(counts)), counts)
+    return owner, np.arange(len(owner)) - np.repeat(np.cumsum(counts) - counts, counts) + starts[owner]
+
+
+def _traverse(l_row, l_token, l_weight, l_size, floor, own, r_token, r_row, r_weight, r_size, names, k, kind, block=BLOCK_ROWS):
+    """Best k right rows per left row of one shard: (left rows, right rows, scores, blocks scored).
+
+    Rows are numbered from 0, right rows by rising size; ``names`` gives the order of their ids. ``floor``
+    is a score that the best k reach already, ``own`` the right row that is the left row itself (or -1).
+    """
+    import numpy as np
+
+    n_left, n_right = len(l_size), len(r_size)
+    n_blocks = -(-n_right // block)
+    order = np.argsort(r_token.astype(np.int64) * n_right + r_row, kind="stable")
+    r_token, r_row, r_weight = r_token[order].astype(np.int64), r_row[order], r_weight[order]
+    cell = r_token * n_blocks + r_row // block  # postings of one token in one block
+    start = np.flatnonzero(np.concatenate([[True], cell[1:] != cell[:-1]]))
+    cells, size = cell[start], np.diff(np.append(start, len(cell)))
+    largest = np.maximum.reduceat(r_weight, start)
+    low = r_size[np.minimum(np.arange(n_blocks) * block, n_right - 1)]
+    high = r_size[np.minimum((np.arange(n_blocks) + 1) * block, n_right) - 1]
+
+    order = np.argsort(l_row, kind="stable")
+    l_row, l_token, l_weight = l_row[order], l_token[order].astype(np.int64), l_weight[order]
+    begin = np.searchsorted(l_row, np.arange(n_left + 1))
+    floor, scored, parts, lo = floor.copy(), 0, [], 0
+    while lo < n_left:
+        # left rows whose bounds and terms stay within the limits
+        hi = min(n_left, lo + max(1, CELLS // n_blocks))
+        hi = max(lo + 1, min(hi, int(np.searchsorted(begin, begin[lo] + VISIT_TERMS, "right")) - 1))
+        rows, terms = np.arange(lo, hi), slice(begin[lo], begin[hi])
+        at = np.searchsorted(cells, l_token[terms] * n_blocks)
+        owner, entry = _spread(at, np.searchsorted(cells, (l_token[terms] + 1) * n_blocks) - at)
+        place = (l_row[terms][owner] - lo) * n_blocks + cells[entry] % n_blocks
+        total = np.bincount(place, np.maximum(l_weight[terms][owner], 0.0) * largest[entry], minlength=len(rows) * n_blocks).reshape(len(rows), n_blocks)
+        met = np.bincount(place, minlength=len(rows) * n_blocks).reshape(len(rows), n_blocks) > 0
+        if kind == "jaccard":
+            shared = np.minimum(total, high)
+            total = shared / np.maximum(l_size[rows, None] + np.maximum(low, shared) - shared, 1e-300)
+        elif kind == "overlap":
+            total = total / np.maximum(l_size[rows, None], 1)
+        total = np.where(met, total, -np.inf)
+        by_bound = np.argsort(-total, axis=1, kind="stable")
+        total = np.take_along_axis(total, by_bound, axis=1)
+        best = [np.empty(0, np.int64), np.empty(0, np.int64), np.empty(0)]
+        cut, width = 0, 1
+        while cut < n_blocks:
+            window = total[:, cut : cut + width]
+            i, j = np.nonzero((window >= floor[rows, None] - MARGIN) & (window > -np.inf))
+            if not len(i):
+                break
+            scored += len(i)
+            found = _score_cells(i + lo, by_bound[i, cut + j], begin, l_token, l_weight, cells, start, size, n_blocks, r_row, r_weight, block)
+            pair, right, value = found
+            left = i[pair] + lo
+            if kind == "overlap":
+                value = value / np.maximum(l_size[left], 1)
+            elif kind == "jaccard":
+                value = value / (l_size[left] + r_size[right] - value)
+            value = np.floor(value * 10.0**SCORE_DIGITS + 0.5) / 10.0**SCORE_DIGITS
+            other = own[left] != right
+            best = [np.concatenate([x, y[other]]) for x, y in zip(best, (left, right, value))]
+            by = np.lexsort((names[best[1]], -best[2], best[0]))
+            best = [x[by] for x in best]
+            rank = np.arange(len(by)) - np.searchsorted(best[0], best[0])
+            best = [x[rank < k] for x in best]
+            kth = best[0][rank[rank < k] == k - 1], best[2][rank[rank < k] == k - 1]
+            floor[kth[0]] = np.maximum(floor[kth[0]], kth[1])
+            cut, width = cut + width, min(2 * width, 16)
+        parts.append(best)
+        lo = hi
+    rows, cols, scores = (np.concatenate(x) for x in zip(*parts))
+    return rows, cols, scores, scored
+
+
+def _score_cells(left, blocks, begin, l_token, l_weight, cells, start, size, n_blocks, r_row, r_weight, block):
+    """(pair, right row, sum of products) of all right rows that share a token, for pairs of a left row and a block."""
+    import numpy as np
 
-    parts = lb.groupBy("_lb", "_rb").cogroup(rb.groupBy("_lb", "_rb")).applyInArrow(search, schema)
-    return top_per_key(parts, ["l_id"], [F.desc("score"), F.asc("r_id")], k)
+    pair, term = _spread(begin[left], begin[left + 1] - begin[left])
+    wanted = l_token[term] * n_blocks + blocks[pair]
+    entry = np.minimum(np.searchsorted(cells, wanted), len(cells) - 1)
+    hit = cells[entry] == wanted
+    pair, term, entry = pair[hit], term[hit], entry[hit]
+    owner, at = _spread(start[entry], size[entry])
+    spot = pair[owner] * block + r_row[at] % block
+    product = np.floor(l_weight[term][owner] * r_weight[at] * FIXED + 0.5)
+    upper = np.floor(product / 2.0**26)  # both halves stay whole numbers below 2**53
+    n = len(left) * block
+    sums = np.bincount(spot, upper, minlength=n).astype(np.int64) * 2**26 + np.bincount(spot, product - upper * 2.0**26, minlength=n).astype(np.int64)
+    shared = np.flatnonzero(np.bincount(spot, minlength=n))
+    return shared // block, blocks[shared // block] * block + shared % block, sums[shared] / FIXED
 
 
 def set_topk(sets: DataFrame, k: int, others: DataFrame | None = None, pair_budget: int = PAIR_BUDGET,
@@ -517,7 +828,7 @@ def set_topk(sets: DataFrame, k: int, others: DataFrame | None = None, pair_budg
 
     def sized(df: DataFrame) -> DataFrame:
         d = df.select("id", "token").distinct()
-        return materialize(d.join(d.groupBy("id").agg(F.count(F.lit(1)).alias("size")), "id"))
+        return written(d.join(d.groupBy("id").agg(F.count(F.lit(1)).alias("size")), "id"), "sized-sets")
 
     def side(df: DataFrame, name: str) -> DataFrame:
         return df.select(F.col("id").alias(f"{name}_id"), "token", F.lit(1.0).alias("w"), F.col("size").alias(f"{name}_size"))

@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import tempfile
+import uuid
 
 from pyspark.sql import DataFrame, SparkSession
 
@@ -51,3 +52,27 @@ def materialize(df: DataFrame) -> DataFrame:
     """
     ensure_checkpoint_dir(df.sparkSession)
     return df.checkpoint(eager=True)
+
+
+def shared_folder(spark: SparkSession, name: str) -> str:
+    """A new path in the folder of this application below the checkpoint folder, which the driver and all executors reach."""
+    return f"{_job_folder(spark)}/{name}-{uuid.uuid4().hex}"
+
+
+def _job_folder(spark: SparkSession) -> str:
+    ensure_checkpoint_dir(spark)
+    top = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getCheckpointDir()
+    return f"{top.rstrip('/')}/crossloom-{spark.sparkContext.applicationId}"
+
+
+def written(df: DataFrame, name: str) -> DataFrame:
+    """``df`` as a compressed table in the shared folder: computed once, read by column, there when an executor is lost."""
+    path = shared_folder(df.sparkSession, name)
+    df.write.option("compression", "snappy").parquet(path)  # read a few times and then gone: quick beats small
+    return df.sparkSession.read.schema(df.schema).parquet(path)
+
+
+def clear_written(spark: SparkSession) -> None:
+    """Delete all tables this application has written by ``written``; results that still read them are lost."""
+    path = spark._jvm.org.apache.hadoop.fs.Path(_job_folder(spark))
+    path.getFileSystem(spark._jsc.hadoopConfiguration()).delete(path, True)

@@ -43,10 +43,10 @@ def brute(data, metric, k, same_domain=True):
 
 
 @pytest.mark.parametrize("metric", ["cosine", "dot", "l2", "l2_columns"])
-@pytest.mark.parametrize("block_rows", [16, 2048])
-def test_dense_topk(vectors, rows, metric, block_rows):
+@pytest.mark.parametrize("block_rows, strategy", [(16, "blocks"), (2048, "auto"), (16, "pivots"), (300, "pivots")])
+def test_dense_topk(vectors, rows, metric, block_rows, strategy):
     df, data = vectors
-    got = M.dense_topk(df, df, 4, metric=metric, exclude_self=True, by=("domain",), block_rows=block_rows)
+    got = M.dense_topk(df, df, 4, metric=metric, exclude_self=True, by=("domain",), block_rows=block_rows, strategy=strategy)
     assert rows(got, "id", "neighbor_id", "rank") == brute(data, metric, 4)
 
 
@@ -57,11 +57,12 @@ def test_dense_topk_text_ids_few_neighbours_and_zero_vectors(spark, rows):
     assert rows(M.dense_topk(df, df, 5, exclude_self=True, drop_zero=True), "id", "neighbor_id") == [("a", "b"), ("b", "a"), ("z", "a"), ("z", "b")]
 
 
-def test_target_rank_counts_better_items(vectors, rows):
+@pytest.mark.parametrize("strategy", ["blocks", "pivots"])
+def test_target_rank_counts_better_items(vectors, rows, strategy):
     df, data = vectors
     q = df.filter("id < 20").withColumn("truth", F.when(F.col("domain") == "X", 10).otherwise(9).cast("long"))
     q = q.filter((F.col("domain") == "X") | (F.col("id") % 3 == 0))
-    got = dict(rows(M.dense_target_rank(q, df, by=("domain",), block_rows=16), "id", "rank"))
+    got = dict(rows(M.dense_target_rank(q, df, by=("domain",), block_rows=16, strategy=strategy), "id", "rank"))
     for i, v, d in data[:20]:
         truth = 10 if d == "X" else 9
         if data[truth][2] != d:
@@ -70,6 +71,45 @@ def test_target_rank_counts_better_items(vectors, rows):
         assert got[i] == 1 + sum(np.dot(v, b[1]) > score + 1e-5 for b in data if b[2] == d)
 
 
+@pytest.fixture(scope="module")
+def clustered(spark):
+    """Twelve clusters far apart, ids in no order of theirs."""
+    rng = np.random.default_rng(3)
+    centres = rng.normal(size=(12, 6)) * 10
+    data = [(i, [float(x) for x in centres[i * 7 % 12] + rng.normal(size=6) * 0.1]) for i in range(960)]
+    return spark.createDataFrame(data, "id long, embedding array<double>"), data
+
+
+@pytest.mark.parametrize("metric", ["cosine", "dot", "l2", "l2_rows", "l2_columns"])
+def test_pivots_rule_out_cells(clustered, rows, monkeypatch, metric):
+    df, data = clustered
+    sent, meet = [], M._meet
+    monkeypatch.setattr(M, "_meet", lambda q, cells, *a: sent.append((q.select(F.explode("_cells")).count(), cells.n_cells)) or meet(q, cells, *a))
+    got = M.dense_topk(df, df, 5, metric=metric, exclude_self=True, block_rows=160, strategy="pivots")
+    want = M.dense_topk(df, df, 5, metric=metric, exclude_self=True, strategy="blocks")
+    assert rows(got) == rows(want)
+    visited, cells = sum(n for n, _ in sent), sent[0][1]
+    assert cells == 24 and visited < len(data) * cells / 2
+
+
+def test_target_rank_counts_whole_cells(clustered, rows, monkeypatch):
+    df, data = clustered
+    q = df.withColumn("truth", ((F.col("id") * 31 + 5) % 960).cast("long"))
+    sent, meet = [], M._meet
+    monkeypatch.setattr(M, "_meet", lambda q, cells, *a: sent.append((q.select(F.explode("_cells")).count(), cells.n_cells)) or meet(q, cells, *a))
+    got = rows(M.dense_target_rank(q, df, block_rows=160, strategy="pivots"), "id", "rank")
+    assert got == rows(M.dense_target_rank(q, df, strategy="blocks"), "id", "rank")
+    assert sum(n for n, _ in sent) < len(data) * sent[0][1] / 2
+
+
+def test_pivots_with_groups_that_have_no_partner(spark, rows):
+    q = spark.createDataFrame([(1, [1.0, 0.0], "X"), (2, [0.0, 1.0], None), (3, [1.0, 1.0], "Z")], "id int, embedding array<double>, domain string")
+    lib = spark.createDataFrame([(4, [1.0, 0.0], "X"), (5, [0.0, 1.0], "Y"), (6, None, "Z")], "id int, embedding array<double>, domain string")
+    for strategy in ("blocks", "pivots"):
+        assert rows(M.dense_topk(q, lib, 2, by=("domain",), strategy=strategy), "id", "neighbor_id") == [(1, 4)]
+    assert M.dense_topk(q, lib.limit(0), 2, by=("domain",), strategy="pivots").count() == 0
+
+
 def test_kernel_shift_by_blocks(vectors):
     df, data = vectors
     m = np.array([d[1] for d in data])
@@ -93,7 +133,7 @@ def sets(spark):
     return spark.createDataFrame([(i, t) for i, s in data.items() for t in s], "id long, token int"), data
 
 
-WAYS = [("join", 10**9), ("join", 200), ("join", 1), ("blocks", 1), ("auto", 1)]
+WAYS = [("join", 10**9), ("blocks", 1), ("auto", 1), ("auto", 10**9)]
 
 
 @pytest.mark.parametrize("strategy,budget", WAYS)
@@ -140,19 +180,67 @@ def test_bm25_is_exact_on_every_path(spark, rows, strategy, budget):
     assert rows(G.bm25(q, d, 6, pair_budget=budget, strategy=strategy), "q_id", "doc_id", "rank") == okapi(docs, queries, 6)
 
 
-def test_blocks_add_up_in_small_steps():
-    rng = np.random.default_rng(1)
-    import pandas as pd
+def traverse(left, right, k, kind, block, floor=None):
+    """``_traverse`` on two lists of {token: weight}, right rows sorted by size."""
+    lr, lt, lw = (np.array(x) for x in zip(*[(i, t, w) for i, r in enumerate(left) for t, w in r.items()]))
+    rr, rt, rw = (np.array(x) for x in zip(*[(i, t, w) for i, r in enumerate(right) for t, w in r.items()]))
+    floor = np.full(len(left), -np.inf) if floor is None else np.array(floor, float)
+    return M._traverse(lr, lt, lw, np.array([len(r) for r in left], float), floor, np.full(len(left), -1),
+                       rt, rr, rw, np.array([len(r) for r in right], float), np.arange(len(right)), k, kind, block)
 
-    lt, li, lw = rng.integers(0, 9, 40), rng.integers(0, 6, 40), rng.normal(size=40)
-    rt, ri, rw = rng.integers(0, 12, 50), rng.integers(0, 7, 50), rng.normal(size=50)
-    want = np.zeros((6, 7))
-    for a, i, x in zip(lt, li, lw):
-        for b, j, y in zip(rt, ri, rw):
-            want[i, j] += x * y if a == b else 0
-    for step in (1, 17, 10**6):
-        total, shared = M._token_products(pd.Series(lt), li, lw, 6, pd.Series(rt), ri, rw, 7, step=step)
-        assert np.allclose(total, want) and (shared == (want != 0)).all()
+
+def scored(left, right, k, kind):
+    out = []
+    for i, a in enumerate(left):
+        found = []
+        for j, b in enumerate(right):
+            if a.keys() & b.keys():
+                s = sum(a[t] * b[t] for t in a.keys() & b.keys())
+                s = s / (len(a) + len(b) - s) if kind == "jaccard" else s / len(a) if kind == "overlap" else s
+                found.append((-round(s, 6), j))
+        out += [(i, j, -s) for s, j in sorted(found)[:k]]
+    return out
+
+
+@pytest.mark.parametrize("kind", ["dot", "overlap", "jaccard"])
+@pytest.mark.parametrize("block", [1, 3, 16])
+def test_traversal_matches_all_pairs(kind, block):
+    rng = random.Random(block)
+    weight = (lambda: rng.choice([0.25, 0.5, 1.0, 2.0])) if kind == "dot" else (lambda: 1.0)
+    make = lambda n: [{t: weight() for t in rng.sample(range(30), rng.randrange(1, 9))} for _ in range(n)]
+    left, right = make(40), sorted(make(120), key=len)
+    left[0] = {t: -w for t, w in left[0].items()} if kind == "dot" else left[0]
+    rows, cols, scores, _ = traverse(left, right, 4, kind, block)
+    assert sorted(zip(rows.tolist(), cols.tolist(), scores.tolist())) == sorted((i, j, s) for i, j, s in scored(left, right, 4, kind))
+
+
+def test_traversal_skips_blocks():
+    """Topics: only the blocks of a left row's topic can reach its k-th score; a token of all rows alone never can."""
+    right = [{"all": 0.1, f"t{i // 32}": 1.0, f"u{i % 7}": 0.2} for i in range(640)]
+    left = [{"all": 1.0, f"t{i}": 1.0, "u3": 1.0} for i in range(20)]
+    vocabulary = {t: n for n, t in enumerate(sorted({t for r in right for t in r}))}
+    left, right = ([{vocabulary[t]: w for t, w in r.items()} for r in side] for side in (left, right))
+    rows, cols, scores, visited = traverse(left, right, 4, "dot", 16)
+    assert sorted(zip(rows.tolist(), cols.tolist(), scores.tolist())) == sorted(scored(left, right, 4, "dot"))
+    assert visited == 20 * 2  # of 20 * 40
+    floor = [scored(left, right, 4, "dot")[4 * i + 3][2] for i in range(20)]
+    assert traverse(left, right[:320], 4, "dot", 16, floor)[3] == 10 * 2  # a known score keeps the others from any block
+
+
+def test_shards_that_cannot_win_are_not_visited(spark, monkeypatch):
+    """Half of the left rows have their best partners among short texts, the others among long ones."""
+    right = [(i, t, 1.0 / (1 + i % 2), 2 if i < 600 else 200) for i in range(1200) for t in ("all", f"{'s' if i < 600 else 'l'}{i % 4}")]
+    left = [(i, t, w, 2) for i in range(40) for t, w in (("all", 0.01), (f"{'sl'[i % 2]}{i % 4}", 1.0))]
+    left = spark.createDataFrame(left, "l_id long, token string, w double, l_size int")
+    index = M.block_index(spark.createDataFrame(right, "r_id long, token string, w double, r_size int"), shard_rows=300)
+    shipped, visit = [], M._visit
+    monkeypatch.setattr(M, "_visit", lambda terms, *a: shipped.append(terms.select("l_id", "shard").distinct().count()) or visit(terms, *a))
+    got = M.block_topk(left, index, 3, few=1)
+    bounds = M.shard_bounds(left, index, "dot").count()
+    assert index.shards * 40 == bounds >= 160
+    assert sum(shipped) <= bounds / 2  # no row visits the shards of the other sizes
+    want = M._by_pairs(left, index.rows, 3, "dot", False)
+    assert sorted(got.collect()) == sorted(want.collect())
 
 
 @pytest.mark.parametrize("budget", [10**9, 1])
@@ -220,7 +308,6 @@ def test_all_ways_agree_at_the_rounding_border(spark, rows):
     data = [(i, t, rng.choice(weights)) for i in range(60) for t in rng.sample(range(12), 7)]
     left = spark.createDataFrame(data, "l_id int, token int, w double").withColumn("l_size", F.lit(7))
     right = left.toDF("r_id", "token", "w", "r_size")
-    results = {(strategy, budget, n): rows(M.sparse_topk(left.repartition(n), right.repartition(n), 5, strategy=strategy, pair_budget=budget))
-               for strategy, budget in (("blocks", 10**9), ("join", 10**9), ("join", 40)) for n in (1, 3)}
+    results = {(strategy, n): rows(M.sparse_topk(left.repartition(n), right.repartition(n), 5, strategy=strategy)) for strategy in ("blocks", "join") for n in (1, 3)}
     first = next(iter(results.values()))
     assert all(r == first for r in results.values()) and len(first) == 300
