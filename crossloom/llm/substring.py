@@ -23,7 +23,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from crossloom.llm.common import raw_text, text_batches, written
+from crossloom.llm.common import discarded, raw_text, text_batches, written
 
 WINDOW = 20
 GRAM = 8
@@ -236,6 +236,7 @@ def repeats(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", win
     known = prefixes.groupBy("g").agg(F.sum("n").alias("n")).filter(F.col("n") > 1).select("g")
     wanted = prefixes.select("g", "d").join(known, "g").groupBy("d").agg(F.collect_set("g").alias("gs"))
     flagged = written(rows.join(wanted, "d").select("k", "d", "_raw", "gs"), "flagged")
+    discarded(prefixes)
     places = written(_stretches(flagged, window, gram), "stretches")
     leaves = places.filter(F.col("body").isNotNull()).groupBy("g", "h", "body").agg(F.min(F.struct("k", "d", "at")).alias("p"), F.max("n").alias("n"))
     leaves = written(leaves.select("g", "h", "p.k", "p.d", "p.at", "n", "body"), "leaves")
