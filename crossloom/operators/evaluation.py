@@ -175,7 +175,7 @@ def accuracy(rows: DataFrame, prediction: str, reference: str, weight: str | Non
 
 
 def next_token_accuracy(rows: DataFrame, predicted: str, labels: str) -> DataFrame:
-    """Prediction at a place against the label one place later, over all rows."""
+    """Prediction at a place against the label one place later, over all rows; a part of a longer row has the first label of the next."""
     size = F.greatest(F.size(labels) - 1, F.lit(0))
     same = F.zip_with(F.slice(predicted, 1, size), F.slice(labels, 2, size),
                       lambda p, l: F.when(p == l, 1).otherwise(0))

@@ -34,16 +34,6 @@ def feature_statistics(vectors: DataFrame, keys: Sequence[str]) -> DataFrame:
         F.round(F.sqrt(F.greatest(F.sum("q") / n - mean * mean, F.lit(0.0))), 6).alias("std"))
 
 
-def sequence_statistics(rows: DataFrame, keys: Sequence[str] = ()) -> DataFrame:
-    """Lines, largest item and user, smallest and largest border item, longest sequence of ``(user_id, items)`` rows."""
-    border = F.element_at("items", -1)
-    cols = [
-        F.count(F.lit(1)).alias("lines"), F.max(F.array_max("items")).alias("max_item"), F.max("user_id").alias("max_user"),
-        F.min(border).alias("min_border"), F.max(border).alias("max_border"), F.max(F.size("items")).alias("max_length"),
-    ]
-    return rows.groupBy(*keys).agg(*cols)
-
-
 def histogram(rows: DataFrame, key: str) -> DataFrame:
     return rows.groupBy(key).agg(F.count(F.lit(1)).alias("n"))
 

@@ -220,12 +220,6 @@ def shuffled_cap(df: DataFrame, key: str, cap: int, seed: int = C.SEED) -> DataF
     return df.join(chosen, key, "left_semi")
 
 
-def dedupe_sequences(sequences: DataFrame, values: str, line: str) -> DataFrame:
-    """Of rows with the same item list the first by ``line`` stays. Equal rows are combined before the shuffle."""
-    first = sequences.groupBy(values).agg(F.min(line).alias(line))
-    return sequences.join(first.select(line), line, "left_semi")
-
-
 def union_override(*parts: DataFrame, key: Sequence[str]) -> DataFrame:
     """Union where a later table overrides an earlier one on an equal key."""
     both = None

@@ -3,6 +3,7 @@
 from pyspark.sql import functions as F
 
 from crossloom.functions import ranking as R
+from crossloom.operators import chunks as H
 from crossloom.operators import catalogue as K
 from crossloom.operators import evaluation as E
 from crossloom.operators import sequences as S
@@ -173,8 +174,9 @@ def _(t):
 @ p AS (SELECT user_id, item_id, lag(item_id) OVER (PARTITION BY user_id ORDER BY ts, event_id) AS prev FROM ev_daily) @
 SELECT round(avg(CASE WHEN item_id // 10 = (prev + 5) // 10 THEN 1.0::DOUBLE ELSE 0.0 END), 6) AS accuracy, count(*) AS places FROM p WHERE prev IS NOT NULL""")
 def _(t):
-    seq = t.daily_sequences.select(F.transform("seq", lambda e: F.floor(e["item_id"] / 10)).alias("tokens"),
-                                   F.transform("seq", lambda e: F.floor((e["item_id"] + 5) / 10)).alias("guess"))
+    seq = H.stitched(t.daily_chunks, ["user_id"]).select(
+        F.transform(F.concat("seq", "after"), lambda e: F.floor(e["item_id"] / 10)).alias("tokens"),
+        F.transform("seq", lambda e: F.floor((e["item_id"] + 5) / 10)).alias("guess"))
     return E.next_token_accuracy(seq, "guess", "tokens")
 
 

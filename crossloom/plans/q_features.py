@@ -4,6 +4,7 @@ from pyspark.sql import functions as F
 
 from crossloom.operators import features as X
 from crossloom.operators import sequences as S
+from crossloom.operators.ordering import top_per_key
 from crossloom.plans.registry import query
 
 
@@ -102,7 +103,9 @@ def _(t):
 
 
 def _tokens(t):
-    return t.daily_sequences.select("user_id", F.col("seq.item_id").alias("k"))
+    """The first 20 items, which is all that the packed forms hold."""
+    first = top_per_key(t.ev_daily, ["user_id"], [F.asc(c) for c in S.ORDER], 20, "_r")
+    return S.collect_ordered(first, ["user_id"], S.ORDER, ["item_id"], "seq").select("user_id", F.col("seq.item_id").alias("k"))
 
 
 @query("prompt_masked_tokens", "L16", """

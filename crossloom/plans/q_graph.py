@@ -3,6 +3,7 @@
 from pyspark.sql import functions as F
 
 from crossloom.functions import vectors as V
+from crossloom.operators import chunks as H
 from crossloom.operators import graph as G
 from crossloom.operators import sequences as S
 from crossloom.plans.registry import query
@@ -112,9 +113,8 @@ def _(t):
 @query("edge_list_import", "G6", EDGES.replace("FROM ev)", "FROM ev_daily)") + """
 SELECT src, dst, count(*) AS n, (SELECT CAST(max(greatest(src, dst)) + 1 AS BIGINT) FROM edges) AS nodes FROM tr WHERE src IS NOT NULL GROUP BY src, dst""")
 def _(t):
-    """One list of all pairs per user; pairs recur, and every recurrence counts."""
-    pairs = S.transitions(t.ev_daily)
-    lines = pairs.groupBy("user_id").agg(F.to_json(F.collect_list(F.array("src", "dst"))).alias("value"))
+    """Lists of all pairs of a user, one per chunk; pairs recur, and every recurrence counts."""
+    lines = H.pairs(t.daily_chunks, ["user_id"], "item_id").select(F.to_json("pairs").alias("value"))
     edges = G.parse_edge_lists(lines.select("value"))
     nodes = G.node_count(edges).first()["nodes"]
     return edges.groupBy("src", "dst").agg(F.count(F.lit(1)).alias("n")).withColumn("nodes", F.lit(nodes).cast("long"))

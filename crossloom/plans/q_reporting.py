@@ -3,6 +3,7 @@
 from pyspark.sql import functions as F
 
 from crossloom.operators import catalogue as K
+from crossloom.operators import chunks as H
 from crossloom.operators import evaluation as E
 from crossloom.operators import instructions as N
 from crossloom.operators import reporting as R
@@ -32,8 +33,7 @@ SELECT CASE WHEN user_id % 3 = 0 THEN 'valid' ELSE 'train' END AS split, count(*
 FROM (SELECT user_id, max(item_id) AS mi, max(CASE WHEN back = 1 THEN item_id END) AS b, count(*) AS n FROM ranked_daily GROUP BY user_id) GROUP BY 1""")
 def _(t):
     split = F.when(F.col("user_id") % 3 == 0, "valid").otherwise("train").alias("split")
-    seq = t.daily_sequences.select("user_id", F.col("seq.item_id").alias("items"), split)
-    return R.sequence_statistics(seq, ["split"])
+    return H.statistics(t.daily_chunks.select("*", split), "user_id", "item_id", ["split"])
 
 
 @query("kind_histogram", "A15", "SELECT event_type, count(*) AS n FROM ev GROUP BY event_type")

@@ -5,6 +5,7 @@ from pyspark.sql import functions as F
 from crossloom import constants as C
 from crossloom.functions import text as T
 from crossloom.operators import catalogue as K
+from crossloom.operators import chunks as H
 from crossloom.operators import sequences as S
 from crossloom.operators.ordering import dense_index
 from crossloom.plans.registry import query
@@ -191,7 +192,9 @@ def _(t):
 SELECT min(user_id) AS user_id, items FROM (SELECT user_id, string_agg(CAST(item_id AS VARCHAR), ',' ORDER BY ts, event_id) AS items
  FROM ev_daily GROUP BY user_id) GROUP BY items""")
 def _(t):
-    return S.dedupe_sequences(t.daily_sequences.select("user_id", ids(F.col("seq")).alias("items")), "items", "user_id")
+    first = H.distinct_sequences(t.daily_chunks, "user_id", ids(F.col("seq")))
+    parts = F.sort_array(F.collect_list(F.struct("chunk", ids(F.col("seq")).alias("items"))))  # the text of a line of the result
+    return first.groupBy("user_id").agg(F.array_join(parts["items"], ",").alias("items"))
 
 
 @query("union_override", "U2", """

@@ -3,6 +3,7 @@
 from pyspark.sql import functions as F
 
 from crossloom.functions import text as T
+from crossloom.operators import chunks as H
 from crossloom.operators import evaluation as E
 from crossloom.operators import instructions as N
 from crossloom.operators import reporting as R
@@ -66,10 +67,10 @@ PACKED = """@ p AS (SELECT user_id, item_id, event_id, row_number() OVER (PARTIT
 
 
 def packed_lines(t):
-    """All events of a user and day as packed lines; one cell per line is too short and every line ends with a tab."""
-    seq = t.daily_sequences
-    cells = F.transform("seq", lambda e, i: F.concat_ws("|", e["item_id"].cast("string"), (i + 1).cast("string"), e["event_id"].cast("string")))
-    line = F.concat_ws("\t", F.col("user_id").cast("string"), F.size("seq").cast("string"), F.lit("5|6"), F.concat_ws("\t", cells), F.lit(""))
+    """All events of a user and day as packed lines, one per chunk; one cell per line is too short and every line ends with a tab."""
+    seq = H.with_length(t.daily_chunks, ["user_id"])
+    cells = F.transform("seq", lambda e, i: F.concat_ws("|", e["item_id"].cast("string"), (i + F.col("first")).cast("string"), e["event_id"].cast("string")))
+    line = F.concat_ws("\t", F.col("user_id").cast("string"), F.col("length").cast("string"), F.lit("5|6"), F.concat_ws("\t", cells), F.lit(""))
     return seq.select(line.alias("value"))
 
 
@@ -155,14 +156,14 @@ LOGS = """@ e AS (SELECT user_id AS run, event_id AS step, back, row_number() OV
 
 
 def logs(t):
-    seq = t.daily_sequences
+    seq = t.daily_chunks
     entry = F.transform("seq", lambda e: F.struct(
         e["event_id"].alias("step"), F.when(e["event_type"] != "view", e["value"]).alias("loss"),
         F.when(e["event_type"] == "view", e["value"] / 3).alias("eval_loss"), F.lit(0.00001).alias("learning_rate"), F.lit(1.0).alias("epoch")))
     best = F.when(F.col("user_id") % 2 == 0, F.lit(0.25))
     body = F.to_json(F.struct(entry.alias("log_history"), best.alias("best_metric"),
                               F.when(best.isNotNull(), F.lit(7)).alias("best_global_step"), F.lit(99).alias("global_step")))
-    return I.parse_training_logs(seq.select(F.col("user_id").alias("run"), body.alias("value")))
+    return I.parse_training_logs(seq.select(F.col("user_id").alias("run"), body.alias("value"), "first"), first="first")
 
 
 @query("training_curve", "S9 F13", LOGS + "SELECT run, step, round(loss, 4) AS loss, 0.00001::DOUBLE AS learning_rate, 1.0::DOUBLE AS epoch, CAST(NULL AS DOUBLE) AS eval_loss FROM e WHERE loss IS NOT NULL")

@@ -8,10 +8,12 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from crossloom.operators import sequences as S
+from crossloom.operators.chunks import chunked
 from crossloom.operators.ordering import top_per_key
 from crossloom.session import materialize
 
 FIRST_Y = 50  # items 0-99 occur in the events; the first half belongs to X
+DAYS = 1 << 20  # day numbers of a user; half of them lie before 1970
 CYCLE = 100  # further catalogue items alternate in the same way
 
 
@@ -36,8 +38,8 @@ class Tables:
     @cached_property
     def ev_daily(self) -> DataFrame:
         """The same events with a user for every pair of user and day: short and many sequences over the whole table."""
-        day = F.datediff(F.col("ts").cast("date"), F.lit("2024-01-01").cast("date")).cast("long")
-        return self.ev.withColumn("user_id", F.col("user_id") * 1000 + day)
+        day = F.unix_date(F.col("ts").cast("date")) + DAYS // 2  # no two pairs share a number, whatever the day
+        return self.ev.withColumn("user_id", F.col("user_id") * DAYS + day)
 
     @cached_property
     def recent(self) -> DataFrame:
@@ -45,9 +47,9 @@ class Tables:
         return materialize(S.recent_events(self.ev, 15).drop("back"))
 
     @cached_property
-    def daily_sequences(self) -> DataFrame:
-        """``(user_id, seq)``: all events of a user and day, whatever their number."""
-        return S.collect_ordered(self.ev_daily, ["user_id"], S.ORDER, ("item_id", "domain", "event_type", "value"), "seq")
+    def daily_chunks(self) -> DataFrame:
+        """``(user_id, chunk, first, seq)``: all events of a user and day in chunks, whatever their number."""
+        return chunked(self.ev_daily, ["user_id"], S.ORDER, ("item_id", "domain", "event_type", "value"))
 
     @cached_property
     def customers(self) -> DataFrame:
@@ -145,7 +147,7 @@ class Tables:
 SQL_VIEWS = r"""
 ev AS (SELECT event_id, user_id, ts, CAST(regexp_extract(props,'[0-9]+') AS INT) AS item_id,
   CASE WHEN CAST(regexp_extract(props,'[0-9]+') AS INT) < 50 THEN 'X' ELSE 'Y' END AS domain, event_type, value FROM events),
-ev_daily AS (SELECT * REPLACE (user_id * 1000 + (CAST(ts AS DATE) - DATE '2024-01-01') AS user_id) FROM ev),
+ev_daily AS (SELECT * REPLACE (user_id * 1048576 + (CAST(ts AS DATE) - DATE '1970-01-01') + 524288 AS user_id) FROM ev),
 ranked_daily AS (SELECT *, row_number() OVER (PARTITION BY user_id ORDER BY ts DESC, event_id DESC) AS back,
   row_number() OVER (PARTITION BY user_id ORDER BY ts, event_id) AS pos FROM ev_daily),
 items AS (SELECT CAST(p_partkey AS INT) AS item_id, p_name || ' ' || p_brand || ' ' || p_type AS title,

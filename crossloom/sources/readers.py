@@ -213,11 +213,18 @@ def long_scores(matrix: DataFrame, out: str = "score") -> DataFrame:
     return matrix.select("row", F.posexplode("embedding").alias("idx", out))
 
 
-def parse_training_logs(texts: DataFrame, run: str = "run", value: str = "value") -> tuple[DataFrame, DataFrame]:
-    """``(entries, runs)`` of trainer state objects."""
-    rows = texts.select(run, F.from_json(F.col(value), TRAINING_LOG).alias("_r"))
-    entries = rows.select(run, F.posexplode("_r.log_history").alias("pos", "_e")).select(run, "pos", "_e.*")
-    return entries, rows.select(run, "_r.best_metric", "_r.best_global_step", "_r.global_step")
+def parse_training_logs(texts: DataFrame, run: str = "run", value: str = "value", first: str | None = None) -> tuple[DataFrame, DataFrame]:
+    """``(entries, runs)`` of trainer state objects.
+
+    A long log may come as several objects that each hold a part of the entries; ``first`` is then
+    the column with the place of the part's first entry.
+    """
+    at = F.col(first) if first else F.lit(0)
+    rows = texts.select(run, F.from_json(F.col(value), TRAINING_LOG).alias("_r"), at.cast("long").alias("_first"))
+    entries = rows.select(run, "_first", F.posexplode("_r.log_history").alias("_at", "_e"))
+    entries = entries.select(run, (F.col("_first") + F.col("_at")).alias("pos"), "_e.*")
+    runs = rows.select(run, "_r.best_metric", "_r.best_global_step", "_r.global_step")
+    return entries, runs.distinct() if first else runs
 
 
 def read_training_logs(spark: SparkSession, path: str) -> tuple[DataFrame, DataFrame]:
