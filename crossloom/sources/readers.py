@@ -9,6 +9,7 @@ from pyspark.sql import functions as F
 
 from crossloom.functions import text as X
 from crossloom.operators.ordering import last_per_key
+from crossloom.sources.records import read_records
 
 REVIEW = "user_id string, reviewerID string, item_id string, asin string, timestamp string, unixReviewTime string"
 META = "asin string, item_id string, title string, description string, categories string, category string, brand string"
@@ -95,8 +96,8 @@ def read_catalogue(spark: SparkSession, paths: dict[str, str]) -> DataFrame:
     schema = "id string, title string, idx string"
     out = None
     for domain, path in paths.items():
-        raw = spark.read.schema(schema).option("header", True).option("multiLine", True).option("escape", '"').option(
-            "enforceSchema", True).csv(path)
+        lines = read_records(spark, path, "csv").filter(F.col("pos") > 0)  # the first one has the names
+        raw = lines.select(F.from_csv(F.rtrim(F.col("value")), schema, {"escape": '"', "multiLine": "true"}).alias("_r")).select("_r.*")
         rows = raw.select(F.col("id").alias("item_id"), "title", F.col("idx").try_cast("int").alias("idx"),
                           F.lit(domain).alias("domain")).filter(F.col("idx").isNotNull())
         out = rows if out is None else out.unionByName(rows)
@@ -154,11 +155,9 @@ def _top_level(ddl: str) -> list[str]:
 
 def read_responses(spark: SparkSession, path: str, name_filter: str = "GM_exat*.json") -> DataFrame:
     """Chat completions below a folder, from files whose name matches the filter: ``(file, pos, qqid, content)``."""
-    rows = spark.read.schema(RESPONSE).option("multiLine", True).option("recursiveFileLookup", True).option(
-        "pathGlobFilter", name_filter).json(path)
-    return rows.select(
-        F.col("_metadata.file_path").alias("file"), F.monotonically_increasing_id().alias("pos"), "qqid",
-        F.try_element_at("choices", F.lit(1))["message"]["content"].alias("content"))
+    texts = read_records(spark, path, "array", recursiveFileLookup="true", pathGlobFilter=name_filter)
+    rows = texts.select("file", "pos", F.from_json("value", f"struct<{_struct(RESPONSE)}>").alias("_r"))
+    return rows.select("file", "pos", "_r.qqid", F.try_element_at("_r.choices", F.lit(1))["message"]["content"].alias("content"))
 
 
 def parse_keyed(texts: DataFrame, record: str, key: str = "id", value: str = "value") -> DataFrame:
@@ -169,8 +168,9 @@ def parse_keyed(texts: DataFrame, record: str, key: str = "id", value: str = "va
 
 
 def read_keyed(spark: SparkSession, path: str, record: str, key: str = "id") -> DataFrame:
-    """One JSON object per file. Such a file cannot be split; import it once and keep Parquet."""
-    return parse_keyed(spark.read.text(path, wholetext=True), record, key)
+    """Entries of files that hold one JSON object each; a large file is read by several tasks."""
+    entries = read_records(spark, path, "keyed").select(F.concat(F.lit("{"), "value", F.lit("}")).alias("value"))
+    return parse_keyed(entries, record, key)
 
 
 def to_keyed(rows: DataFrame, key: str = "id") -> DataFrame:
