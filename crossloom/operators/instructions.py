@@ -10,7 +10,6 @@ from pyspark.sql import types as T
 
 from crossloom import constants as C
 from crossloom.functions import text as X
-from crossloom.operators.catalogue import resume
 from crossloom.operators.ordering import last_per_key, top_per_key
 from crossloom.operators.sequences import ORDER, recent_events
 
@@ -210,18 +209,3 @@ def call_model(rows: DataFrame, model: Callable[[list[str]], list[str]], prompt:
             yield frame.assign(**{out: answers, "error": errors})
 
     return (rows.repartition(partitions) if partitions else rows).mapInPandas(run, schema)
-
-
-def resumable_answers(todo: DataFrame, path: str, model: Callable[[list[str]], list[str]], key: str, prompt: str = "prompt") -> None:
-    """Answer what the output folder does not hold yet and append it. A second run only does the rest.
-
-    Failed rows are appended with their error and count as done.
-    """
-    spark = todo.sparkSession
-    try:
-        done = spark.read.parquet(path).select(key)
-        todo = resume(todo, done, key)
-    except Exception as e:  # noqa: BLE001 - the folder does not exist before the first run
-        if "PATH_NOT_FOUND" not in str(e) and "UNABLE_TO_INFER_SCHEMA" not in str(e):
-            raise
-    call_model(todo, model, prompt).write.mode("append").parquet(path)

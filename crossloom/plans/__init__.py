@@ -4,7 +4,7 @@ import importlib
 
 FAMILIES = (
     "q_sequences", "q_evaluation", "q_similarity", "q_grounding", "q_profiles",
-    "q_graph", "q_reporting", "q_features", "q_instructions", "q_sources",
+    "q_graph", "q_reporting", "q_features", "q_instructions", "q_sources", "q_exports",
 )
 
 

@@ -11,7 +11,7 @@ from crossloom.plans.registry import COVERS, ORACLE, QUERIES
 from crossloom.session import ensure_checkpoint_dir
 
 # ids whose work is files or callables; tests/test_sources.py and tests/test_tables.py cover them
-ELSEWHERE = {"S11", "Q"}
+ELSEWHERE = {"Q"}
 
 
 def test_every_query_has_sql():
@@ -59,6 +59,6 @@ def test_task_functions_do_not_need_the_package(tmp_path):
     from crossloom.operators import similarity
 
     path = tmp_path / "f.pkl"
-    path.write_bytes(cloudpickle.dumps([similarity._best, similarity._score_blocks, similarity._token_products]))
+    path.write_bytes(cloudpickle.dumps([similarity._best, similarity._score_blocks, similarity._traverse, similarity._score_cells]))
     code = "import sys, pickle; pickle.load(open(sys.argv[1], 'rb')); assert 'crossloom' not in sys.modules"
     subprocess.run([sys.executable, "-c", code, str(path)], check=True, cwd=tmp_path, timeout=120)
