@@ -2,10 +2,13 @@
 
 from pyspark.sql import functions as F
 
+from crossloom.functions import vectors as V
 from crossloom.operators import jobs as J
+from crossloom.operators.ordering import dense_index
 from crossloom.plans.q_instructions import echo_model
 from crossloom.plans.registry import ORACLE, QUERIES, query
 from crossloom.session import shared_folder
+from crossloom.sources import matrix as M
 from crossloom.sources import sinks as O
 
 EXPORTED = {"splits": "leave_one_out", "profiles": "detailed_profile_text", "instructions": "instructions_profile"}
@@ -34,6 +37,19 @@ def _(t):
     return out
 
 
+@query("matrix_files", "S8", """
+SELECT row_number() OVER (ORDER BY id) - 1 AS row, CAST(len(embedding) AS INT) AS dim, round(list_dot_product(embedding, list_transform(range(1, len(embedding) + 1), lambda x: CAST(x AS DOUBLE))), 4) + 0.0 AS total FROM vectors""")
+def _(t):
+    """The vectors by row number, written as matrices of 300 rows and read back by ranges."""
+    rows = dense_index(t.vectors.select("id", "embedding"), ["id"], "row")
+    path = shared_folder(t.spark, "matrices")
+    M.write_matrix(rows, path, 300)
+    first = F.regexp_extract("file", r"part-0*(\d+)\.npy$", 1).cast("long")
+    back = M.read_matrix(t.spark, path, 1 << 16).withColumn("row", first + F.col("row"))
+    place = F.transform(F.sequence(F.lit(1), F.size("embedding")), lambda i: i.cast("double"))
+    return back.select("row", F.size("embedding").alias("dim"), (F.round(V.dot(V.doubles(F.col("embedding")), place), 4) + 0.0).alias("total"))
+
+
 @query("resumed_answers", "L15 UD1", """
 SELECT item_id, CASE WHEN len(string_split(prompt, ' ')) % 2 = 0 THEN upper(left(prompt, 20)) END AS prediction, CASE WHEN len(string_split(prompt, ' ')) % 2 = 1 THEN 'ValueError: odd prompt' END AS error
 FROM (SELECT p_partkey AS item_id, CASE WHEN p_partkey % 3 = 0 THEN 'Item ' || p_name ELSE 'An item ' || p_name || ' ' || p_type END AS prompt FROM part)""")

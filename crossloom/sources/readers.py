@@ -9,6 +9,7 @@ from pyspark.sql import functions as F
 
 from crossloom.functions import text as X
 from crossloom.operators.ordering import last_per_key
+from crossloom.sources.matrix import read_matrix  # noqa: F401 - one of the readers
 from crossloom.sources.records import read_records
 
 REVIEW = "user_id string, reviewerID string, item_id string, asin string, timestamp string, unixReviewTime string"
@@ -179,35 +180,6 @@ def to_keyed(rows: DataFrame, key: str = "id") -> DataFrame:
     return rows.select(F.to_json(F.create_map(F.col(key).cast("string"), body)).alias("value"))
 
 
-def read_matrix(spark: SparkSession, path: str) -> DataFrame:
-    """``(file, row, embedding)`` of two-dimensional ``.npy`` files; the row number is the key.
-
-    One file is one record of at most 2 GB, so large matrices come as several files.
-    """
-    files = spark.read.format("binaryFile").load(path).select("path", "content")
-    schema = "file string, row bigint, embedding array<float>"
-
-    def rows(batches):
-        import io
-
-        import numpy as np
-        import pyarrow as pa
-
-        for batch in batches:
-            for name, content in zip(batch.column("path").to_pylist(), batch.column("content")):
-                data = np.load(io.BytesIO(content.as_py()), allow_pickle=False)
-                data = np.atleast_2d(data).astype(np.float32)
-                for start in range(0, len(data), 4096):
-                    part = data[start : start + 4096]
-                    offsets = np.arange(0, part.size + 1, part.shape[1], dtype=np.int32)
-                    vectors = pa.ListArray.from_arrays(pa.array(offsets), pa.array(part.ravel()))
-                    yield pa.RecordBatch.from_arrays(
-                        [pa.array([name] * len(part)), pa.array(np.arange(start, start + len(part))), vectors],
-                        names=["file", "row", "embedding"])
-
-    return files.mapInArrow(rows, schema)
-
-
 def long_scores(matrix: DataFrame, out: str = "score") -> DataFrame:
     """Score or candidate matrix rows to ``(row, idx, score)``."""
     return matrix.select("row", F.posexplode("embedding").alias("idx", out))
