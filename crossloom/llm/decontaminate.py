@@ -136,7 +136,8 @@ def _scan(rows: DataFrame, index, with_text: bool) -> DataFrame:
         import numpy as np
         import pyarrow as pa
 
-        own = index.value
+        own = Index.__new__(Index)
+        own.__dict__.update(index.value)
         number = own.vocabulary.get
         span = pa.struct([("start", pa.int64()), ("length", pa.int64())])
 
@@ -238,7 +239,7 @@ def contamination(docs: DataFrame, bench: DataFrame, id_col: str = "doc_id", tex
         found = _joined(rows, windows)
         return found if with_text else found.drop("_raw")
     index = Index([(bytes(r.words), r.item) for r in windows.collect()])  # of measured size
-    return _scan(rows, docs.sparkSession.sparkContext.broadcast(index), with_text)
+    return _scan(rows, docs.sparkSession.sparkContext.broadcast(vars(index)), with_text)
 
 
 def cleaned(docs: DataFrame, bench: DataFrame, remove: str = "spans", max_hit: int = 0, **options) -> DataFrame:
