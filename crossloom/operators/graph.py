@@ -2,17 +2,22 @@
 
 from __future__ import annotations
 
+import math
 from collections.abc import Sequence
 
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql import types as T_
 
 from crossloom import constants as C
 from crossloom.functions import text as T
 from crossloom.functions import vectors as V
-from crossloom.operators.ordering import HOT_ROWS, dense_index, exploded, keyed_join
+from crossloom.operators.ordering import HOT_ROWS, bounded, dense_index, exploded
 from crossloom.operators.sequences import ORDER, transitions
-from crossloom.session import materialize
+from crossloom.session import written
+
+BLOCK_NODES = 8192  # vectors that are multiplied together
+CHUNK_EDGES = 1 << 16
 
 
 def transition_graph(events: DataFrame, within_domain: bool = False, order: Sequence[str] = ORDER, hot_rows: int = HOT_ROWS) -> DataFrame:
@@ -86,30 +91,106 @@ def numbered_items(items: DataFrame) -> tuple[DataFrame, int]:
     return numbered, numbered.count() + 1
 
 
-def propagate(edges: DataFrame, features: DataFrame, layers: int = 2) -> DataFrame:
+def edge_blocks(edges: DataFrame, blocks: int, chunk_edges: int = CHUNK_EDGES) -> tuple[DataFrame, DataFrame]:
+    """(``(block, chunk, edges)``, ``(block, chunks)``): edges by a hash of their target, written once, in arrays of about ``chunk_edges``.
+
+    The edges of a target that very many nodes point to are spread over the chunks of its block.
+    """
+    dealt = edges.select("src", "dst", F.col("weight").cast("double").alias("weight"), _block("dst", blocks).alias("block"))
+    chunks = written(dealt.groupBy("block").agg(F.ceil(F.count(F.lit(1)) / chunk_edges).cast("int").alias("chunks")), "chunk-counts")
+    chunk = F.pmod(F.xxhash64("src", "dst"), F.col("chunks")).cast("int")
+    packed = dealt.join(bounded(chunks), "block").groupBy("block", chunk.alias("chunk")).agg(F.collect_list(F.struct("src", "dst", "weight")).alias("edges"))
+    return written(packed, "edge-blocks"), chunks
+
+
+def _block(node: str, blocks: int):
+    return F.pmod(F.xxhash64(F.col(node).cast("long")), F.lit(blocks)).cast("int")
+
+
+def propagate(edges: DataFrame, features: DataFrame, layers: int = 2, block_nodes: int = BLOCK_NODES, chunk_edges: int = CHUNK_EDGES) -> DataFrame:
     """Mean over the layers 0…n of the features summed along weighted edges: ``(node, embedding)``.
 
-    Layer 0 is the node's own vector. An edge meets one row with its node's
-    whole vector, which is taken apart only behind the join; the sums per
-    dimension are combined before the shuffle. Edges and every layer are
-    written to the checkpoint folder once.
+    Layer 0 is the node's own vector. Edges are packed into blocks by target once. In every layer a block
+    of vectors is sent to the chunks of its edges, one task multiplies and sums per source, and only one
+    vector per source and chunk leaves it; nothing is taken apart by dimension. Nodes have whole numbers.
     """
-    edges = materialize(edges.select("src", "dst", "weight"))
+    node_type = features.schema["node"].dataType
     now = features.select("node", V.doubles(F.col("embedding")).alias("embedding"))
-    nodes, total = features.select("node"), now
+    n = features.count()
+    blocks = max(1, math.ceil(n / block_nodes), min(features.sparkSession.sparkContext.defaultParallelism, math.ceil(n / 256)))
+    packed, chunks = edge_blocks(edges, blocks, chunk_edges)
+    schema = T_.StructType([T_.StructField("node", node_type), T_.StructField("embedding", T_.ArrayType(T_.DoubleType()))])
+
+    def product(left, right):
+        import numpy as np
+        import pyarrow as pa
+
+        kind = right.schema.field("node").type
+        if not left.num_rows or not right.num_rows:
+            return pa.table([pa.array([], kind), pa.array([], pa.list_(pa.float64()))], names=["node", "embedding"])
+        rows = left["edges"].combine_chunks().flatten()
+        src, dst, weight = (rows.field(i).to_numpy(zero_copy_only=False) for i in range(3))
+        node = right["node"].to_numpy()
+        order = np.argsort(node)
+        vectors = right["embedding"].combine_chunks().flatten().to_numpy().reshape(len(node), -1)[order]
+        at = np.minimum(np.searchsorted(node[order], dst), len(node) - 1)
+        known = node[order][at] == dst  # a target without a vector adds nothing
+        src, at, weight = src[known], at[known], weight[known]
+        by = np.argsort(src, kind="stable")
+        src, at, weight = src[by], at[by], weight[by]
+        return _summed(src, weight[:, None] * vectors[at], kind)
+
+    total = now
     for _ in range(layers):
-        met = keyed_join(edges, now.withColumnRenamed("node", "dst"), ["dst"])
-        parts = met.select(F.col("src").alias("node"), "weight", F.posexplode("embedding").alias("pos", "v"))
-        now = materialize(_packed(parts.groupBy("node", "pos").agg(F.sum(F.col("weight") * F.col("v")).alias("v"))))
+        sent = now.withColumn("block", _block("node", blocks)).join(bounded(chunks), "block")
+        sent = sent.withColumn("chunk", F.explode(F.sequence(F.lit(0), F.col("chunks") - 1))).drop("chunks")
+        parts = packed.groupBy("block", "chunk").cogroup(sent.groupBy("block", "chunk")).applyInArrow(product, schema)
+        now = written(sum_vectors(parts), "layer")
         total = total.unionByName(now)
-    parts = total.join(nodes, "node", "left_semi").select("node", F.posexplode("embedding").alias("pos", "v"))
-    return _packed(parts.groupBy("node", "pos").agg((F.sum("v") / (layers + 1)).alias("v")))
-
-
-def _packed(rows: DataFrame) -> DataFrame:
-    """One vector per node from a row per dimension."""
-    ordered = F.sort_array(F.collect_list(F.struct("pos", "v")))  # as long as one vector
-    return rows.groupBy("node").agg(F.transform(ordered, lambda e: e["v"]).alias("embedding"))
+    mean = sum_vectors(total.join(features.select("node"), "node", "left_semi"))
+    return mean.select("node", F.transform("embedding", lambda v: v / (layers + 1)).alias("embedding"))
+
+
+def _summed(keys, vectors, kind):
+    """A table of one vector per key, for vectors sorted by key."""
+    import numpy as np
+    import pyarrow as pa
+
+    if not len(keys):
+        return pa.table([pa.array([], kind), pa.array([], pa.list_(pa.float64()))], names=["node", "embedding"])
+    start = np.flatnonzero(np.concatenate([[True], keys[1:] != keys[:-1]]))
+    sums = np.add.reduceat(vectors, start, axis=0)
+    offsets = np.arange(0, sums.size + 1, sums.shape[1], dtype=np.int32)
+    return pa.table([pa.array(keys[start], kind), pa.ListArray.from_arrays(pa.array(offsets), pa.array(sums.ravel()))], names=["node", "embedding"])
+
+
+def sum_vectors(parts: DataFrame) -> DataFrame:
+    """One vector per node from any number of ``(node, embedding)`` of equal length; rows move once, as they are."""
+
+    def task(batches):
+        import numpy as np
+        import pyarrow as pa
+
+        held = None  # the sum of the last node so far, which the next batch may go on with
+        kind = None
+        for b in batches:
+            if not b.num_rows:
+                continue
+            kind = b.column(0).type
+            keys = b.column(0).to_numpy()
+            vectors = b.column(1).flatten().to_numpy(zero_copy_only=False).reshape(len(keys), -1)
+            if held is not None:
+                keys, vectors = np.concatenate([held[0], keys]), np.concatenate([held[1], vectors])
+            table = _summed(keys, vectors, kind)
+            node = table["node"].to_numpy()
+            last = table["embedding"].combine_chunks()[-1].values.to_numpy()
+            held = node[-1:], last[None, :]
+            yield from table.slice(0, len(node) - 1).to_batches()
+        if held is not None:
+            yield from _summed(*held, kind).to_batches()
+
+    # by an expression of the node: a plain repartition is dropped behind a join on the node, and that join may then turn into one without any order
+    return parts.repartition(F.xxhash64("node")).sortWithinPartitions("node").mapInArrow(task, parts.schema)
 
 
 def parse_edge_lists(lines: DataFrame, value: str = "value") -> DataFrame:
