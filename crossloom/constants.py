@@ -21,7 +21,6 @@ UHR_CUTOFFS = (1, 3, 5)
 FUZZY_THRESHOLD = 0.5
 COLD_THRESHOLD = 3
 NEGATIVES = 999
-CANDIDATE_LENGTH = 10_000
 PROMPT_WORDS = 512
 TOKEN_LENGTH = 1024
 GENERATION_BATCH = 8

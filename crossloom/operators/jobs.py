@@ -12,7 +12,7 @@ from __future__ import annotations
 
 from collections.abc import Callable
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
@@ -66,7 +66,7 @@ def run_shards(todo: DataFrame, path: str, model: Callable[[list[str]], list[str
             failed = _current(old, commits(spark, path)).filter(F.col("error").isNotNull()).select(key)
             some = some.filter("attempt = 0").unionByName(some.filter("attempt > 0").join(failed, key, "left_semi"))
         cores = spark.sparkContext.defaultParallelism
-        spread = some.repartition(max(cores, len(part)), "shard", key).drop("_part")
+        spread = some.repartition(max(cores, len(part)), "shard", key)
         answered = call_model(spread, model, prompt).select(*schema.names)
         answered.write.mode("overwrite").option("partitionOverwriteMode", "dynamic").option("maxRecordsPerFile", file_rows).partitionBy(
             "shard", "attempt").parquet(f"{path}/rows")
@@ -79,16 +79,10 @@ def run_shards(todo: DataFrame, path: str, model: Callable[[list[str]], list[str
 
 def _current(rows: DataFrame, marks: DataFrame) -> DataFrame:
     """Committed rows; a failed one only from the last attempt of its shard."""
-    known = marks.select("shard", "attempt", F.max("attempt").over(_by_shard()).alias("_last"))
+    known = marks.select("shard", "attempt", F.max("attempt").over(Window.partitionBy("shard")).alias("_last"))
     return rows.join(known, ["shard", "attempt"]).filter(F.col("error").isNull() | (F.col("attempt") == F.col("_last"))).drop("_last")
 
 
-def _by_shard():
-    from pyspark.sql import Window
-
-    return Window.partitionBy("shard")
-
-
 def answers(spark: SparkSession, path: str) -> DataFrame:
     """The answers of all finished shards, one row per key; rows that still fail have their last error."""
     rows = spark.read.parquet(f"{path}/rows").withColumn("shard", F.col("shard").cast("long"))

@@ -179,6 +179,6 @@ def write_matrix(df: DataFrame, path: str, file_rows: int = FILE_ROWS) -> DataFr
             yield done(now, rows)
 
     number = F.floor(F.col("row") / file_rows).cast("long")
-    dealt = df.select(number.alias("_f"), "row", F.col("embedding").cast("array<float>").alias("embedding")).repartition("_f").sortWithinPartitions("_f", "row")
+    dealt = df.select(number.alias("_f"), "row", F.col("embedding").cast("array<float>").alias("embedding")).repartition(F.xxhash64("_f")).sortWithinPartitions("_f", "row")
     files = dealt.select("_f", "embedding").mapInArrow(task, "file string, first bigint, rows bigint").collect()  # a line per file
     return df.sparkSession.createDataFrame(files, "file string, first bigint, rows bigint")
