@@ -195,7 +195,8 @@ def _subtrees(leaves: DataFrame, window: int) -> DataFrame:
         if rows:
             yield done(rows)
 
-    dealt = leaves.select("g", "h", "k", "d", "at", "n", "body").repartition("g").sortWithinPartitions("g")
+    # by an expression of the prefix: a plain repartition is dropped behind a join on the prefix, which may then leave it in several tasks
+    dealt = leaves.select("g", "h", "k", "d", "at", "n", "body").repartition(F.xxhash64("g")).sortWithinPartitions("g")
     return dealt.mapInArrow(task, "g bigint, h bigint, k bigint, d bigint, at int, ranges array<int>")
 
 
