@@ -174,6 +174,19 @@ def accuracy(rows: DataFrame, prediction: str, reference: str, weight: str | Non
     return rows.agg(F.round(F.sum(same) / F.sum(w), 6).alias("accuracy"), F.round(F.sum(same), 6).alias("matches"))
 
 
+def set_precision(guess: DataFrame, truth: DataFrame, key: str, value: str) -> DataFrame:
+    """``(key, precision, recall, f1)`` of the distinct values per key, for keys that both sides have.
+
+    Values are counted, never collected: a key with any number of them is a few counts per task.
+    """
+    side = lambda df, g, t: df.select(key, value, F.lit(g).alias("_g"), F.lit(t).alias("_t"))
+    pairs = side(guess, 1, 0).unionByName(side(truth, 0, 1)).filter(F.col(value).isNotNull()).groupBy(key, value).agg(F.max("_g").alias("_g"), F.max("_t").alias("_t"))
+    n = pairs.groupBy(key).agg(F.sum(F.col("_g") * F.col("_t")).alias("both"), F.sum("_g").alias("guessed"), F.sum("_t").alias("known"))
+    share = lambda of, times=1: F.when(F.col("both") > 0, F.round(F.col("both") * times / of, 6)).otherwise(0.0)
+    return n.filter("guessed > 0 AND known > 0").select(
+        key, share(F.col("guessed")).alias("precision"), share(F.col("known")).alias("recall"), share(F.col("guessed") + F.col("known"), 2).alias("f1"))
+
+
 def next_token_accuracy(rows: DataFrame, predicted: str, labels: str) -> DataFrame:
     """Prediction at a place against the label one place later, over all rows; a part of a longer row has the first label of the next."""
     size = F.greatest(F.size(labels) - 1, F.lit(0))

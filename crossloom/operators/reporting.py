@@ -96,6 +96,18 @@ def pool_with_fill(demo: DataFrame, pool: DataFrame, titles: DataFrame, size: in
     return out.select("user_id", "place", "similar_id", F.round("score", 4).alias("similarity"), (F.col("place") <= selected).alias("selected"))
 
 
+def pool_titles(pool: DataFrame, history: DataFrame, n: int = 3) -> DataFrame:
+    """Pool rows with the first ``n`` titles of the similar user's displayed history (``(user_id, rank, title)``), in order."""
+    first = truncated_titles(history, shown=n, recent=n).select(F.col("user_id").alias("similar_id"), F.col("recent").alias("titles"))
+    return pool.join(first, "similar_id", "left").withColumn("titles", F.coalesce("titles", F.array().cast("array<string>")))
+
+
+def curve_metrics(curve: DataFrame) -> DataFrame:
+    """``(part, metric, value)`` of training curve rows: the losses of every run by step."""
+    return curve.select(F.concat(F.lit("training "), F.col("run").cast("string")).alias("part"),
+                        F.concat(F.lit("loss "), F.col("step").cast("string")).alias("metric"), F.col("loss").alias("value"))
+
+
 def sample_rows(df: DataFrame, key: str, n: int = 100, seed: int = C.SEED) -> DataFrame:
     """All rows of ``n`` reproducibly chosen keys (the display sample of a large matrix)."""
     chosen = df.select(key).distinct().orderBy(draw(F.col(key), F.lit(0), seed, 2**31 - 1), F.col(key)).limit(n)

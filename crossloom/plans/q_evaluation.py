@@ -149,10 +149,7 @@ def _(t):
 SELECT user_id, CASE WHEN tp > 0 THEN round(tp / ng, 6) ELSE 0.0 END AS "precision", CASE WHEN tp > 0 THEN round(tp / nt, 6) ELSE 0.0 END AS recall,
  CASE WHEN tp > 0 THEN round(2 * tp / (ng + nt), 6) ELSE 0.0 END AS f1 FROM c""")
 def _(t):
-    guess = S.collect_ordered(t.preds, ["user_id"], ["rank"], ["item_id"], "g")
-    truth = t.ev.groupBy("user_id").agg(F.collect_set("item_id").alias("t"))  # no longer than the list of items
-    p = guess.join(truth, "user_id").select("user_id", R.set_precision(F.col("t"), F.col("g.item_id")).alias("s"))
-    return p.select("user_id", *[F.round(f"s.{c}", 6).alias(c) for c in ("precision", "recall", "f1")])
+    return E.set_precision(t.preds, t.ev, "user_id", "item_id")
 
 
 @query("recall_and_gain", "M15", """

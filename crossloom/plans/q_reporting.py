@@ -9,7 +9,8 @@ from crossloom.operators import instructions as N
 from crossloom.operators import reporting as R
 from crossloom.operators import sequences as S
 from crossloom.operators.ordering import top_per_key
-from crossloom.plans.q_evaluation import FUZZY, LIST_RANKS, METRICS, OOD, lists
+from crossloom.plans.q_evaluation import CANDS, FUZZY, LIST_RANKS, METRICS, OOD, lists, local_candidates
+from crossloom.plans.q_sources import logs
 from crossloom.plans.registry import query
 
 
@@ -77,6 +78,22 @@ def _(t):
     return out.withColumn("place", F.col("place").cast("long"))
 
 
+@query("display_pool_titles", "T6 P12", POOL.strip().rstrip("@").rstrip() + """,
+ shown_titles AS (SELECT user_id, string_agg(title, '|' ORDER BY pos) AS titles FROM (SELECT user_id, title, pos, row_number() OVER (PARTITION BY user_id ORDER BY pos) AS k
+  FROM ranked JOIN items USING (item_id) WHERE back BETWEEN 2 AND 15) WHERE k <= 3 GROUP BY 1) @
+SELECT p.user_id, p.place, p.similar_id, p.place <= 5 AS selected, coalesce(h.titles, '') AS titles FROM pool p LEFT JOIN shown_titles h ON h.user_id = p.similar_id""")
+def _(t):
+    """The retrieval pool of the demo users with the first titles of every similar user's history."""
+    pool, users = demo(t)
+    recent = S.recent_events(t.ev)
+    named = recent.join(t.items.select("item_id", "title"), "item_id")
+    places = R.pool_with_fill(users, pool, named.select("user_id", F.lower("title").alias("title")))
+    history = named.filter("back >= 2").select("user_id", (-F.col("back")).alias("back"), "title")
+    first = top_per_key(history, ["user_id"], [F.asc("back")], 3).select("user_id", "rank", "title")
+    out = R.pool_titles(places, first)
+    return out.select("user_id", F.col("place").cast("long").alias("place"), "similar_id", "selected", F.concat_ws("|", "titles").alias("titles"))
+
+
 @query("display_titles", "P12 T7", """
 SELECT user_id, string_agg(left(title, 12), '|' ORDER BY pos) FILTER (pos <= 8) AS history, string_agg(title, '|' ORDER BY pos) FILTER (pos <= 3) AS recent
 FROM ranked JOIN items USING (item_id) GROUP BY user_id""")
@@ -122,3 +139,16 @@ def _(t):
     near = R.pool_with_fill(users, pool, titles).filter("selected AND similarity > 0")
     similar = near.groupBy("user_id").agg(F.count(F.lit(1)).alias("n")).agg(F.avg("n").alias("mean_similar_users"))
     return R.dashboard_metrics(R.metric_snapshot(exact, expanded), fuzzy=E.fuzzy_metrics(t.text_preds), out_of_domain=E.out_of_domain_rate(t.text_preds, K.title_index(t.items)), similar=similar)
+
+
+@query("dashboard_baseline", "S13 M8 S9", CANDS.strip().rstrip("@").rstrip() + f""",
+ base AS (SELECT {METRICS} FROM cranks WHERE item_id IN (SELECT s_suppkey FROM supplier)),
+ logs AS (SELECT user_id AS run, event_id AS step, value AS loss FROM ranked_daily WHERE event_type <> 'view' AND value IS NOT NULL) @
+""" + _WIDE.format(part="baseline", cols="hr_1, hr_5, hr_10, hr_20, mrr", rows="base") + """
+ UNION ALL SELECT 'training ' || run, 'loss ' || step, round(loss, 4) FROM logs""")
+def _(t):
+    """The candidate baseline and the training curves, which the dashboard shows beside its metrics."""
+    suppliers = t.table("supplier").select(F.col("s_suppkey").cast("int").alias("item_id"))
+    base = E.baseline_metrics(E.shifted_candidates(local_candidates(t), 50), t.target, suppliers)
+    rows = R.dashboard_metrics(base.select("hr_1", "hr_5", "hr_10", "hr_20", "mrr")).withColumn("part", F.lit("baseline"))
+    return rows.unionByName(R.curve_metrics(R.training_curve(logs(t)[0])))
