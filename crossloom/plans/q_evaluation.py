@@ -6,7 +6,6 @@ from crossloom.functions import ranking as R
 from crossloom.operators import chunks as H
 from crossloom.operators import catalogue as K
 from crossloom.operators import evaluation as E
-from crossloom.operators import sequences as S
 from crossloom.operators.ordering import top_per_key
 from crossloom.plans.registry import query
 

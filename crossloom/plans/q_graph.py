@@ -5,7 +5,6 @@ from pyspark.sql import functions as F
 from crossloom.functions import vectors as V
 from crossloom.operators import chunks as H
 from crossloom.operators import graph as G
-from crossloom.operators import sequences as S
 from crossloom.plans.registry import query
 
 EDGES = """@ tr AS (SELECT lag(item_id) OVER (PARTITION BY user_id ORDER BY ts, event_id) AS src, item_id AS dst FROM ev),

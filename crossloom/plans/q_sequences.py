@@ -2,7 +2,6 @@
 
 from pyspark.sql import functions as F
 
-from crossloom import constants as C
 from crossloom.functions import text as T
 from crossloom.operators import catalogue as K
 from crossloom.operators import chunks as H

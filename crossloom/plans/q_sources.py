@@ -7,7 +7,6 @@ from crossloom.operators import chunks as H
 from crossloom.operators import evaluation as E
 from crossloom.operators import instructions as N
 from crossloom.operators import reporting as R
-from crossloom.operators import sequences as S
 from crossloom.operators.ordering import dense_index
 from crossloom.plans.registry import query
 from crossloom.sources import readers as I
