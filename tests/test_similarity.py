@@ -3,11 +3,15 @@
 import math
 import random
 import re
+import tracemalloc
 from collections import Counter
+from types import SimpleNamespace
 
 import numpy as np
+import pyarrow as pa
 import pytest
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from crossloom.operators import grounding as G
 from crossloom.operators import similarity as M
@@ -311,3 +315,50 @@ def test_all_ways_agree_at_the_rounding_border(spark, rows):
     results = {(strategy, n): rows(M.sparse_topk(left.repartition(n), right.repartition(n), 5, strategy=strategy)) for strategy in ("blocks", "join") for n in (1, 3)}
     first = next(iter(results.values()))
     assert all(r == first for r in results.values()) and len(first) == 300
+
+
+def _task_of(cells, queries, how):
+    """The function that ``Cells`` maps over batches, without a session."""
+
+    class Captured:
+        schema = T.StructType([T.StructField("id", T.LongType())])
+
+        def mapInArrow(self, task, schema):
+            return task
+
+    return cells._map(Captured(), how, "_cells array<int>")(iter([queries]))
+
+
+def test_lists_of_cells_are_bounded_in_memory():
+    """2048 cells that every one of 4000 queries reaches: lists leave in slices and are never Python numbers."""
+    rng = np.random.default_rng(2)
+    groups = {(): (0, rng.normal(size=(2048, 4)), np.full(2048, 100.0), np.ones(2048, np.int64))}
+    cells = M.Cells(None, SimpleNamespace(value=([], "dot", groups)), 2048)
+    floor = pa.array([0.0] * 4000)
+    queries = pa.RecordBatch.from_arrays([pa.array(range(4000)), pa.array(rng.normal(size=(4000, 4)).tolist()), floor], ["id", "embedding", "_floor"])
+    tracemalloc.start()
+    seen, most = 0, 0
+    for b in _task_of(cells, queries, "reaching"):
+        lists = b.column(3)
+        assert lists[0].as_py() == list(range(2048)) and len(lists.flatten()) == 2048 * b.num_rows
+        seen, most = seen + b.num_rows, max(most, len(lists.flatten()))
+    peak = tracemalloc.get_traced_memory()[1]
+    tracemalloc.stop()
+    assert seen == 4000 and most <= M.CELLS and peak < 150 << 20
+
+
+def test_best_with_and_without_a_floor():
+    """Entries that round to the k-th score count as equal; a floor the k best reach does not change the rows."""
+    rng = np.random.default_rng(4)
+    scores = np.round(rng.normal(size=(50, 400)), 2) + rng.normal(size=(50, 400)) * 1e-7
+    scores[3, 5] = np.nan
+    allowed = rng.random(scores.shape) < 0.9
+    allowed[7] = False
+    want = []
+    for i in range(50):
+        cells = [(-(np.round(s, 6) + 0.0), j) for j, s in enumerate(scores[i]) if allowed[i, j] and not np.isnan(s)]
+        want += [(i, j, -s) for s, j in sorted(cells)[:5]]
+    kth = {i: s for i, _, s in want}
+    floor = np.array([kth.get(i, np.nan) if i % 3 else np.nan for i in range(50)])
+    for f in (None, floor):
+        assert list(zip(*(x.tolist() for x in M._best(scores, allowed, 5, f)))) == want
