@@ -2,11 +2,15 @@
 
 from __future__ import annotations
 
+import math
+
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from crossloom.session import materialize
 
+PART_LINKS = 100_000  # links that one task of a round takes at least; every task of a shuffle leaves files, however few its links
+
 
 def forest(a, b, n):
     """Smallest row number reachable from each of ``n`` rows over the pairs (a, b), for use inside a task."""
@@ -43,12 +47,14 @@ def components(edges: DataFrame, max_rounds: int = 100) -> DataFrame:
     for _ in range(max_rounds):
         if not seen[0]:
             break
+        parts = math.ceil(seen[0] / PART_LINKS)
+        now = _packed(now, parts)
         both = now.unionByName(now.select(F.col("v").alias("u"), F.col("u").alias("v")))
         low = both.groupBy("u").agg(F.min("v").alias("_m")).select("u", F.least("u", "_m").alias("_m"))
-        large = both.join(low, "u").filter(v > u).select(v.alias("u"), F.col("_m").alias("v")).distinct()
+        large = _packed(_packed(both.join(low, "u").filter(v > u).select(v.alias("u"), F.col("_m").alias("v")), parts).distinct(), parts)
         low = large.groupBy("u").agg(F.min("v").alias("_m"))
         small = large.join(low, "u").select(F.explode(F.array(F.struct(u, F.col("_m").alias("v")), F.struct(v.alias("u"), F.col("_m").alias("v")))).alias("e"))
-        now = materialize(small.select("e.u", "e.v").filter(u != v).distinct())
+        now = materialize(_packed(_packed(small.select("e.u", "e.v").filter(u != v), parts).distinct(), parts))
         was, seen = seen, _mark(now)
         if was == seen:
             break
@@ -58,6 +64,11 @@ def components(edges: DataFrame, max_rounds: int = 100) -> DataFrame:
     return now.select(u.alias("node"), v.alias("root")).unionByName(tops.select("node", F.col("node").alias("root")))
 
 
+def _packed(df: DataFrame, parts: int) -> DataFrame:
+    """``df`` in at most ``parts`` partitions, if these are fewer than a shuffle makes."""
+    return df.coalesce(parts) if parts < int(df.sparkSession.conf.get("spark.sql.shuffle.partitions")) else df
+
+
 def _mark(edges: DataFrame) -> tuple:
     """Count and checksum; equal marks mean equal sets of links."""
     return tuple(edges.agg(F.count(F.lit(1)), F.bit_xor(F.xxhash64("u", "v")), F.sum(F.xxhash64("v", "u").bitwiseAND(0xFFFFFFFF))).first())

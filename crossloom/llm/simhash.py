@@ -123,14 +123,14 @@ def _block_links(home: DataFrame, probe: DataFrame, max_bits: int, block: int) -
     return h.unionByName(p).groupBy("cell", "i", "j").applyInPandas(task, "u bigint, v bigint")
 
 
-def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", max_bits: int = 2) -> DataFrame:
+def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", max_bits: int = 2, shingle: int = 3) -> DataFrame:
     """(id, fp, component): component is the smallest id reachable over links of at most ``max_bits`` bits.
 
     Equal fingerprints are one node, so copies make no pairs; texts without a
     word share fingerprint 0. NULL ids are members but never name a component
     (a component of NULL ids alone has NULL). Repeated rows stay repeated.
     """
-    rows = materialize(fingerprints(docs, id_col, text_col))
+    rows = materialize(fingerprints(docs, id_col, text_col, shingle))
     nodes = materialize(rows.groupBy("fp").agg(F.min("id").alias("low")))
     found = components(links(nodes.select("fp"), max_bits))
     joined = nodes.join(found, nodes["fp"] == found["node"], "left").select("fp", "low", F.coalesce("root", "fp").alias("root"))

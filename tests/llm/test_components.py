@@ -27,3 +27,18 @@ def test_components_of_chains_stars_and_loops(spark):
 
 def test_no_links(spark):
     assert components(spark.createDataFrame([], "u long, v long")).collect() == []
+
+
+def test_few_links_take_few_tasks(spark, monkeypatch):
+    """A round of few links is one task, whatever the shuffle partitions; many tasks give the same components."""
+    from crossloom.llm import components as module
+
+    edges = [(i, i + 1) for i in range(0, 60) if i % 20 != 19] + [(100 + i, 100) for i in range(30)]
+    table = spark.createDataFrame(edges, "u long, v long").repartition(7)
+    parts, kept = [], module.materialize
+    monkeypatch.setattr(module, "materialize", lambda df: parts.append((out := kept(df)).rdd.getNumPartitions()) or out)
+    few = sorted(map(tuple, components(table).collect()))
+    assert len(parts) > 2 and set(parts[1:]) == {1}
+    monkeypatch.setattr(module, "PART_LINKS", 1)
+    assert sorted(map(tuple, components(table).collect())) == few
+    assert dict(few) == {**{i: i // 20 * 20 for i in range(60)}, **{100 + i: 100 for i in range(30)}}

@@ -2,6 +2,7 @@ import random
 
 import pytest
 from llm_helpers import ODD, doc, roots
+from pyspark.sql import functions as F
 
 import __spark_entry__ as entry
 import corpus_pipeline as pipeline
@@ -127,3 +128,30 @@ def test_rows_are_judged_by_their_text(spark, documents):
             doc(8, "one text"), doc(8, "another one"), doc(9, "another one")]
     got = pipeline.drop_near_copies(spark, documents(rows), "").collect()
     assert sorted(((r.doc_id, r.text) for r in got), key=str) == sorted([(None, "second text of nobody"), (7, "first text of nobody"), (8, "one text"), (8, "another one")], key=str)
+
+
+def test_near_copies_go_through_simhash(spark, documents, monkeypatch):
+    """The classes of SimHash are what the stage starts from; what is not similar in a class stays."""
+    copies = [doc(i, " ".join("new" if j == 40 * i else f"w{j}" for j in range(400))) for i in range(3)]
+    rows = [*copies, doc(10, "some other text"), doc(11, "one more text of its own")]
+    seen, given = [], pipeline.jaccard.components_of
+
+    def classes(docs, **options):
+        seen.append((options, docs.count()))
+        keys = docs.select(options["id_col"]).distinct()
+        low = keys.agg(F.min(options["id_col"]).alias("component"))  # all texts are one class
+        return keys.crossJoin(low).select(F.col(options["id_col"]).alias("id"), F.lit(0).alias("fp"), "component")
+
+    monkeypatch.setattr(pipeline.simhash, "near_duplicates", classes)
+    monkeypatch.setattr(pipeline.jaccard, "components_of", lambda rows, close: seen.append(close.count()) or given(rows, close=close))
+    got = pipeline.drop_near_copies(spark, documents(rows), "").collect()
+    assert sorted(r.doc_id for r in got) == [0, 10, 11]
+    assert seen == [({"id_col": "_d", "shingle": 5}, 5), 4]
+
+
+def test_links_of_another_search_are_checked(spark):
+    texts = {i: " ".join("new" if j == 40 * i else f"w{j}" for j in range(400)) for i in (1, 2)} | {3: "far away"}
+    rows = spark.createDataFrame([(d, t.encode()) for d, t in texts.items()], "d long, _raw binary")
+    close = spark.createDataFrame([(1, 2), (3, 2), (9, 1)], "d long, e long")
+    got = {x.d: x.component for x in pipeline.jaccard.components_of(rows, close=close).collect()}
+    assert got[1] == got[2] != got[3]
