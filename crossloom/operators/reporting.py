@@ -11,6 +11,7 @@ from crossloom import constants as C
 from crossloom.functions import text as X
 from crossloom.operators.ordering import draw, top_per_key
 from crossloom.operators.similarity import set_topk
+from crossloom.session import materialize
 
 
 def dataset_statistics(events: DataFrame) -> DataFrame:
@@ -81,6 +82,7 @@ def pool_with_fill(demo: DataFrame, pool: DataFrame, titles: DataFrame, size: in
     at similarity 0. Both inputs are the report's pool of at most 120 users.
     """
     sets = titles.join(pool.select("user_id"), "user_id", "left_semi").select(F.col("user_id").alias("id"), F.col("title").alias("token"))
+    sets = materialize(sets)  # titles of the pool, read for both sides
     own = sets.join(demo.select(F.col("user_id").alias("id")), "id", "left_semi")
     near = set_topk(own, size, sets)
     places = pool.select(F.col("user_id").alias("similar_id"), "line")

@@ -12,6 +12,7 @@ from crossloom.operators.ordering import top_per_key
 from crossloom.plans.q_evaluation import CANDS, FUZZY, LIST_RANKS, METRICS, OOD, lists, local_candidates
 from crossloom.plans.q_sources import logs
 from crossloom.plans.registry import query
+from crossloom.session import materialize
 
 
 @query("dataset_statistics", "A9 D2", """
@@ -62,7 +63,8 @@ def demo(t):
     prompt = F.concat(F.lit("intro\n=== Interaction History ===\n"), F.coalesce("history", F.lit("")), F.lit("\n\n=== Preference Summary ===\n"))
     rows = t.customers.join(texts, "user_id", "left").join(t.target.select("user_id", "domain"), "user_id", "left")
     rows = rows.select("user_id", "domain", F.col("user_id").alias("line"), prompt.alias("input"))
-    return R.display_pool(R.eligible_users(rows, t.text_preds.select("user_id", "prediction")))
+    # at most 160 rows that are read several times; their prompts join the whole catalogue, which is sent around once that way
+    return R.display_pool(materialize(R.eligible_users(rows, t.text_preds.select("user_id", "prediction"))))
 
 
 @query("display_users", "P11 J5", POOL + "SELECT user_id, domain FROM demo")

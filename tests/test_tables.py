@@ -211,3 +211,22 @@ def test_one_answer_at_ninety_percent(spark, rows):
             (1, "red", 1, 2), (1, "shoe", 1, 2), (2, "blue", 1, 2), (2, "hat", 1, 2), (4, "blue", 1, 3), (4, "of", 1, 3), (4, "shoe", 1, 3)]
     finally:
         spark.conf.set("spark.sql.adaptive.skewJoin.enabled", old)
+
+
+def test_rows_of_the_display_are_computed_once(spark, tmp_path):
+    """Pool and demo users are read from what was written; no later step goes through events and catalogue again."""
+    from crossloom.plans.q_reporting import demo
+    from crossloom.plans.views import Tables
+
+    spark.createDataFrame([(i, f"2024-01-{1 + i % 28:02d} 10:00:00", i % 6, "view", 1.0, f'{{"k": {i * 7 % 90}}}') for i in range(60)],
+                          "event_id long, ts string, user_id long, event_type string, value double, props string").withColumn(
+        "ts", F.col("ts").cast("timestamp")).write.parquet(f"{tmp_path}/events.parquet")
+    spark.createDataFrame([(i,) for i in range(9)], "c_custkey long").write.parquet(f"{tmp_path}/customer.parquet")
+    spark.createDataFrame([(i, f"thing {i}", "b", "t") for i in range(100)], "p_partkey long, p_name string, p_brand string, p_type string").write.parquet(f"{tmp_path}/part.parquet")
+    t = Tables(spark, str(tmp_path))
+    pool, users = demo(t)
+    for df in (pool, users):
+        assert df.count() == 6 and not df.inputFiles()
+    titles = t.ev.join(t.items.select("item_id", "title"), "item_id").select("user_id", "title")
+    out = R.pool_with_fill(users, pool, titles)
+    assert out.count() == 6 * 5 and not any(str(tmp_path) in f for f in out.inputFiles())
