@@ -24,6 +24,8 @@ BLOCK = 2048  # vectors of a cell in one block
 CELL_ROWS = 2048  # wanted per cell
 MAX_AXES = 5
 LEAF = 24  # vectors below which a node is not split
+CENTRES = 256  # rows looked through for centres at once
+PAIRS = 1 << 20  # distances of centres held at once
 SLACK = 1e-9  # for rounding in the bounds; links are decided without it
 
 
@@ -45,18 +47,33 @@ class Tree:
             return center, radius, rows, ()
         while reach / 2 > radius:
             reach /= 2
-        kids, left, own, at = [], rows, far, center
-        while len(left):  # the centre is its own first child; then whatever is not covered yet
-            near = own <= reach / 2
-            near[left == at] = True
-            kids.append((at, left[near]))
-            left = left[~near]
-            if len(left):
-                at = left[0]
-                own = np.sqrt(np.maximum(0, 2 - 2 * (self.x[left] @ self.x[at])))
+        kids = self._covers(rows, reach / 2)
         if len(kids) > LEAF and max(len(r) for _, r in kids) == 1:
             return center, radius, rows, ()  # points apart from each other: nothing to nest
-        return center, radius, rows, tuple(self._node(c, r, reach / 2) for c, r in kids)
+        return center, radius, rows, tuple(self._node(c, r, reach / 2) if len(r) > 1 else (c, 0.0, r, ()) for c, r in kids)
+
+    def _covers(self, rows, radius):
+        """[(center, rows)]: in the order of ``rows`` a row that no earlier centre covers is a centre; a row goes to the first that covers it."""
+        import numpy as np
+
+        kids, left = [], rows
+        while len(left):
+            head = self.x[left[:CENTRES]]
+            near = np.sqrt(np.maximum(0, 2 - 2 * (head @ head.T))) <= radius
+            covered, centres = np.zeros(len(head), bool), []
+            for i in range(len(head)):
+                if not covered[i]:
+                    centres.append(i)
+                    covered |= near[i]
+            near = np.sqrt(np.maximum(0, 2 - 2 * (head[centres] @ self.x[left].T))) <= radius
+            near[np.arange(len(centres)), centres] = True
+            owner = np.where(near.any(axis=0), near.argmax(axis=0), len(centres))
+            owner[centres] = np.arange(len(centres))
+            order = np.argsort(owner, kind="stable")
+            ends = np.searchsorted(owner[order], np.arange(len(centres) + 1))
+            kids += [(left[c], left[order[ends[k] : ends[k + 1]]]) for k, c in enumerate(centres)]
+            left = left[order[ends[-1] :]]
+        return kids
 
 
 def pairs(a: Tree, b: Tree, threshold: float = THRESHOLD):
@@ -71,14 +88,13 @@ def pairs(a: Tree, b: Tree, threshold: float = THRESHOLD):
     while stack:
         p, q = stack.pop()
         if p[3] or q[3]:
-            # split the wider side; within one tree split a node against itself into pairs of its children once
-            if same and p is q:
-                own = p[3]
-                stack += [(own[i], own[j]) for i, j in _close(a, own, b, own, reach) if i <= j]
-            elif q[3] and (not p[3] or q[1] > p[1]):
-                stack += [(p, q[3][j]) for _, j in _close(a, (p,), b, q[3], reach)]
-            else:
-                stack += [(p[3][i], q) for i, _ in _close(a, p[3], b, (q,), reach)]
+            # both sides are split at once; within one tree a node against itself into pairs of its children once
+            own, others = p[3] or (p,), q[3] or (q,)
+            for i, j, linked in _close(a, own, b, others, reach, threshold, same and p is q):
+                stack += [(own[m], others[n]) for m, n in zip(i[~linked].tolist(), j[~linked].tolist())]
+                i, j = (np.array([n[0] for n in nodes], np.int64)[k[linked]] for nodes, k in ((own, i), (others, j)))
+                left.append(np.minimum(i, j) if same else i)
+                right.append(np.maximum(i, j) if same else j)
             continue
         step = max(1, (1 << 22) // len(q[2]))
         for at in range(0, len(p[2]), step):
@@ -94,13 +110,27 @@ def pairs(a: Tree, b: Tree, threshold: float = THRESHOLD):
     return np.concatenate(left), np.concatenate(right)
 
 
-def _close(a, nodes, b, others, reach):
-    """Numbers (i, j) of the nodes whose covering balls come within ``reach`` of each other."""
+def _close(a, nodes, b, others, reach, threshold, once):
+    """(i, j, linked) in slices: numbers of the nodes whose covering balls come within ``reach`` of each other.
+
+    Two single vectors are decided here: they are ``linked`` or left out. ``once``: the nodes are the same on both sides, i <= j.
+    """
     import numpy as np
 
-    d = np.sqrt(np.maximum(0, 2 - 2 * (a.x[[n[0] for n in nodes]] @ b.x[[n[0] for n in others]].T)))
-    bound = np.array([n[1] for n in nodes])[:, None] + np.array([n[1] for n in others])[None] + reach + SLACK
-    return zip(*np.nonzero(d <= bound))
+    left, right = a.x[[n[0] for n in nodes]], b.x[[n[0] for n in others]]
+    radius, wide = np.array([n[1] for n in nodes]), np.array([n[1] for n in others])
+    single, alone = np.array([len(n[2]) == 1 for n in nodes]), np.array([len(n[2]) == 1 for n in others])
+    step = max(1, PAIRS // len(others))
+    for at in range(0, len(nodes), step):
+        part = slice(at, at + step)
+        dots = left[part] @ right.T
+        i, j = np.nonzero(np.sqrt(np.maximum(0, 2 - 2 * dots)) <= radius[part, None] + wide[None] + reach + SLACK)
+        if once:
+            keep = i + at <= j
+            i, j = i[keep], j[keep]
+        two = single[i + at] & alone[j]
+        keep = ~two | ((dots[i, j] >= threshold) & ((i + at < j) | (not once)))
+        yield i[keep] + at, j[keep], two[keep]
 
 
 def directions(dim: int, count: int):
@@ -119,25 +149,25 @@ def _cells(vectors: DataFrame, threshold: float) -> DataFrame:
         import pyarrow as pa
 
         known: dict = {}
+        names = ["label", "dim", "cell", "id", "times", "visits", "unit"]
         for b in batches:
-            out = []
-            for label, dim, axes, vid, times, unit in zip(*(b.column(i).to_pylist() for i in range(6))):
-                x = np.array(unit)
+            dims, counts = (b.column(c).to_numpy() for c in ("dim", "axes"))
+            for dim, axes in sorted(set(zip(dims.tolist(), counts.tolist()))):
                 if (dim, axes) not in known:
                     known[dim, axes] = directions(dim, axes)
-                at = known[dim, axes] @ x
-                own = np.floor(at / reach).astype(int)
-                out.append((label, dim, own.tolist(), vid, times, False, unit))
-                for move in product((-1, 0, 1), repeat=len(own)):
-                    if move <= (0,) * len(own):
+                part = b.take(pa.array(np.flatnonzero((dims == dim) & (counts == axes))))
+                at = part.column("unit").flatten().to_numpy(zero_copy_only=False).reshape(len(part), -1) @ known[dim, axes].T
+                own = np.floor(at / reach).astype(np.int32)
+                for move in product((-1, 0, 1), repeat=axes):
+                    m = np.array(move, np.int32)
+                    if move < (0,) * axes:
                         continue
-                    m = np.array(move)
                     gap = np.where(m > 0, (own + 1) * reach - at, np.where(m < 0, at - own * reach, 0))
-                    if (gap * gap).sum() <= (reach + SLACK) ** 2:
-                        out.append((label, dim, (own + m).tolist(), vid, times, True, unit))
-            kinds = [pa.int64(), pa.int32(), pa.list_(pa.int32()), pa.int64(), pa.int64(), pa.bool_(), pa.list_(pa.float64())]
-            if out:
-                yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(zip(*out), kinds)], ["label", "dim", "cell", "id", "times", "visits", "unit"])
+                    rows = np.flatnonzero((gap * gap).sum(axis=1) <= (reach + SLACK) ** 2)  # all of them in the own cell
+                    cell = pa.ListArray.from_arrays(pa.array(np.arange(len(rows) + 1, dtype=np.int32) * axes), pa.array((own[rows] + m).ravel()))
+                    there = part.take(pa.array(rows))
+                    visits = pa.array(np.full(len(rows), any(move)))
+                    yield pa.RecordBatch.from_arrays([*(there.column(c) for c in ("label", "dim")), cell, *(there.column(c) for c in ("id", "times")), visits, there.column("unit")], names)
 
     rows = vectors.select("label", "dim", "axes", "id", "times", "unit")
     return rows.mapInArrow(task, "label bigint, dim int, cell array<int>, id bigint, times bigint, visits boolean, unit array<double>")
@@ -164,9 +194,11 @@ def near_vectors(vectors: DataFrame, threshold: float = THRESHOLD, id_col: str =
 
     points = real.filter("usable").groupBy("label", "v").agg(F.min("id").alias("id"), F.count(F.lit(1)).alias("times"))
     # scaled by the largest component first, so that no square over- or underflows
-    points = points.withColumn("s", F.transform("v", lambda v: v / F.array_max(F.transform("v", lambda w: F.abs(w)))))
+    # (a divisor is paired with the components: inside a lambda it would be computed again for each of them)
+    shares = lambda x, d: F.zip_with(x, F.array_repeat(d, F.size(x)), lambda v, w: v / w)
+    points = points.withColumn("s", shares(F.col("v"), F.array_max(F.transform("v", lambda w: F.abs(w)))))
     norm = F.sqrt(F.aggregate("s", F.lit(0.0), lambda total, v: total + v * v))
-    points = points.withColumn("norm", norm).select("label", "v", "id", "times", F.size("v").alias("dim"), F.transform("s", lambda v: v / F.col("norm")).alias("unit"))
+    points = points.withColumn("norm", norm).select("label", "v", "id", "times", F.size("v").alias("dim"), shares(F.col("s"), F.col("norm")).alias("unit"))
     points = written(points, "points")
     counts = points.groupBy("label", "dim").agg(F.count(F.lit(1)).alias("n"))
     axes = F.least(F.lit(MAX_AXES), F.ceil(F.log(F.greatest(F.lit(1.0), F.col("n") / cell_rows)) / log(4))).cast("int")

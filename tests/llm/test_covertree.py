@@ -70,6 +70,33 @@ def test_traversal_leaves_no_pair_out():
     assert sorted(zip(i.tolist(), j.tolist())) == sorted(zip(*(a.tolist() for a in np.nonzero(near[:150, 150:]))))
 
 
+def test_separated_points_are_compared_at_once(monkeypatch):
+    r = np.random.default_rng(7)
+    x = r.standard_normal((600, 64))
+    x[::50] = x[1::50] + r.standard_normal((12, 64)) * 0.02
+    x /= np.linalg.norm(x, axis=1, keepdims=True)
+    calls, close = [], covertree._close
+    monkeypatch.setattr(covertree, "_close", lambda *args: calls.append(1) or close(*args))
+    a, b = covertree.Tree(x[::2]), covertree.Tree(x[1::2])
+    i, j = covertree.pairs(a, b)
+    assert sorted(zip(i.tolist(), j.tolist())) == sorted(zip(*(k.tolist() for k in np.nonzero(x[::2] @ x[1::2].T >= 0.98)))) and len(i) == 12
+    assert len(calls) < 10  # not once for each point
+
+
+def test_covers_are_those_of_one_centre_after_the_other(monkeypatch):
+    monkeypatch.setattr(covertree, "CENTRES", 7)
+    r = np.random.default_rng(8)
+    x = r.standard_normal((90, 4))
+    x /= np.linalg.norm(x, axis=1, keepdims=True)
+    tree, rows = covertree.Tree(x), np.arange(3, 90)
+    want, left = [], rows
+    while len(left):
+        near = np.linalg.norm(x[left] - x[left[0]], axis=1) <= 0.7
+        want.append((int(left[0]), left[near].tolist()))
+        left = left[~near]
+    assert [(int(c), k.tolist()) for c, k in tree._covers(rows, 0.7)] == want
+
+
 def test_radii_halve_and_nest():
     r = np.random.default_rng(6)
     x = np.repeat(r.standard_normal((20, 6)), 30, axis=0) + r.standard_normal((600, 6)) * 0.05
