@@ -362,3 +362,35 @@ def test_best_with_and_without_a_floor():
     floor = np.array([kth.get(i, np.nan) if i % 3 else np.nan for i in range(50)])
     for f in (None, floor):
         assert list(zip(*(x.tolist() for x in M._best(scores, allowed, 5, f)))) == want
+
+
+@pytest.mark.parametrize("metric", ["cosine", "dot", "l2", "l2_rows"])
+def test_single_precision_leaves_no_best_entry_out(metric, monkeypatch):
+    """Ties, near copies and long vectors: the entries of ``_best``, although few pairs are scored in double precision."""
+    rng = np.random.default_rng(12)
+    b = rng.normal(size=(3000, 16)) * rng.choice([1e-3, 1.0, 50.0], size=(3000, 1))
+    b[1500:1700] = b[:200]
+    b[1700:1900] = b[:200] + rng.normal(size=(200, 16)) * 1e-7
+    b[5] = 0
+    a = b[:400]
+    left, right = np.arange(400), np.arange(3000) % 2900
+    a, b = M._placed(a, metric), M._placed(b, metric)
+    direct = -np.sqrt(((a[:, None] - b[None]) ** 2).sum(2)) if metric.startswith("l2") else a @ b.T
+    want = M._best(direct, left[:, None] != right, 4, None)
+    scored, pairs = [], M._pair_scores
+    monkeypatch.setattr(M, "_pair_scores", lambda a, b, rows, *rest: scored.append(len(rows)) or pairs(a, b, rows, *rest))
+    kth = np.full(400, np.nan)
+    kth[want[0]] = want[2]
+    for floor in (np.full(400, np.nan), np.where(np.arange(400) % 3, kth, np.nan)):
+        got = M._k_best(a, b, metric, 4, floor, left, right)
+        assert [x.tolist() for x in got] == [x.tolist() for x in want]
+    assert sum(scored) < a.shape[0] * b.shape[0] / 10  # of two runs
+    few = M._k_best(a, b[:3], metric, 4, np.full(400, np.nan), left, right[:3])
+    assert [x.tolist() for x in few] == [x.tolist() for x in M._best(direct[:, :3], left[:, None] != right[:3], 4, None)]
+
+
+def test_dense_topk_of_very_large_and_undefined_components(spark, rows):
+    data = [(1, [1e30, 0.0]), (2, [2e30, 1.0]), (3, [float("nan"), 1.0]), (4, [1.0, 2.0])]
+    df = spark.createDataFrame(data, "id long, embedding array<double>")
+    got = rows(M.dense_topk(df, df, 1, metric="l2", exclude_self=True), "id", "neighbor_id")
+    assert got == [(1, 4), (2, 1), (4, 1)] or got == [(1, 2), (2, 1), (4, 1)]
