@@ -394,3 +394,45 @@ def test_dense_topk_of_very_large_and_undefined_components(spark, rows):
     df = spark.createDataFrame(data, "id long, embedding array<double>")
     got = rows(M.dense_topk(df, df, 1, metric="l2", exclude_self=True), "id", "neighbor_id")
     assert got == [(1, 4), (2, 1), (4, 1)] or got == [(1, 2), (2, 1), (4, 1)]
+
+
+def _jaccard(data, others, k):
+    want = []
+    for a, sa in data.items():
+        sims = sorted((-math.floor(len(sa & sb) / len(sa | sb) * 1e6 + 0.5) / 1e6, b) for b, sb in others.items() if a != b and (sa & sb) - {None})[:k]
+        want += [(a, b, r + 1, -s) for r, (s, b) in enumerate(sims)]
+    return sorted(want)
+
+
+def _set_rows(spark, data):
+    return spark.createDataFrame([(i, t) for i, s in data.items() for t in s], "id long, token int").repartition(3)
+
+
+@pytest.mark.parametrize("query_rows,set_rows", [(8192, 1 << 20), (100, 90)])
+def test_set_matrix(spark, rows, monkeypatch, query_rows, set_rows):
+    """Tokens of several words of bits, copies (ties go to the smaller id) and NULL tokens, over few and many blocks."""
+    monkeypatch.setattr(M, "QUERY_ROWS", query_rows)
+    monkeypatch.setattr(M, "SET_ROWS", set_rows)
+    rnd = random.Random(13)
+    data = {i: {rnd.randrange(150) for _ in range(rnd.randrange(1, 20))} for i in range(500)}
+    data.update({i: data[i - 400] for i in range(500, 560)})
+    data[3] = data[3] - {None} | {0, 63, 64, 127, 128}
+    for i in (600, 601):  # a NULL counts in the size and matches nothing
+        data[i] = {1, 2, i}
+    nulls = _set_rows(spark, {i: s for i, s in data.items()}).unionByName(spark.createDataFrame([(600, None), (700, None), (None, 5)], "id long, token int"))
+    data[600] = {1, 2, 600, None}
+    assert rows(M.set_topk(nulls, 6, strategy="matrix"), "id", "neighbor_id", "rank", "score") == _jaccard(data, data, 6)
+    others = {i: {rnd.randrange(100, 900) for _ in range(30)} for i in range(200)}
+    del data[600]
+    got = M.set_topk(_set_rows(spark, data), 6, _set_rows(spark, others), strategy="matrix")
+    assert rows(got, "id", "neighbor_id", "rank", "score") == _jaccard(data, others, 6)
+
+
+def test_sets_that_all_share_tokens_skip_the_index(spark, rows, monkeypatch):
+    def index(*args, **kwargs):
+        raise AssertionError("an index rules nothing out here")
+
+    monkeypatch.setattr(M, "block_topk", index)
+    rnd = random.Random(14)
+    data = {i: set(rnd.sample(range(30), 8)) for i in range(300)}
+    assert rows(M.set_topk(_set_rows(spark, data), 5, pair_budget=1000), "id", "neighbor_id", "rank", "score") == _jaccard(data, data, 5)
