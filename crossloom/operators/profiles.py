@@ -12,6 +12,8 @@ from crossloom.functions import text as T
 from crossloom.operators.ordering import top_per_key
 from crossloom.operators.sequences import ORDER, collect_ordered, recent_events
 
+WIDE = 128  # dimensions that are summed as columns; longer vectors, or of unlike length, are taken apart
+
 
 def behaviour(events: DataFrame, users: DataFrame | None = None, recent: int = C.RECENT_ITEMS,
               order: Sequence[str] = ORDER) -> DataFrame:
@@ -55,7 +57,12 @@ def preferences(events: DataFrame, values: DataFrame, top: int, keys: Sequence[s
 def user_means(events: DataFrame, vectors: DataFrame) -> DataFrame:
     """Mean vector of the items of a user per domain; repeated items count repeatedly, unknown items are left out."""
     counts = events.groupBy("user_id", "domain", "item_id").agg(F.count(F.lit(1)).alias("_n"))
-    known = counts.join(vectors.select("item_id", "embedding"), "item_id")
+    known = counts.join(vectors.select("item_id", "embedding"), "item_id").filter(F.col("embedding").isNotNull())
+    least, most = vectors.agg(F.min(F.size("embedding")), F.max(F.size("embedding"))).first()
+    if most and least == most and most <= WIDE:  # a sum per dimension: one row per user and domain, not one per dimension
+        group = known.groupBy("user_id", "domain")
+        sums = group.agg(F.sum("_n").alias("_n"), *[F.sum(F.col("_n") * F.col("embedding")[i].cast("double")).alias(f"_{i}") for i in range(most)])
+        return sums.select("user_id", "domain", F.array(*[F.col(f"_{i}") / F.col("_n") for i in range(most)]).alias("embedding"))
     per_dim = known.select("user_id", "domain", "_n", F.posexplode("embedding").alias("pos", "v")).groupBy(
         "user_id", "domain", "pos").agg((F.sum(F.col("_n") * F.col("v").cast("double")) / F.sum("_n")).alias("v"))
     packed = F.sort_array(F.collect_list(F.struct("pos", "v")))  # as long as one vector
