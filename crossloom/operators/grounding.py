@@ -11,15 +11,22 @@ from crossloom.operators.ordering import bounded, exploded, keyed_join, spread,
 from crossloom.operators.similarity import PAIR_BUDGET, sparse_topk
 from crossloom.session import materialize, written
 
+TEXT_PARTS = 4  # tasks that count the tokens of one split of the texts
+
 
 def postings(docs: DataFrame, doc: str = "doc_id", text: str = "text") -> DataFrame:
-    """Inverted index of non-blank texts: ``(doc, token, tf, doc_len)``. Tokens of a text are counted where they are read; only counts are shuffled."""
+    """Inverted index of non-blank texts: ``(doc, token, tf, doc_len)``. Texts are dealt by id and counted there."""
     return _counted(docs, doc, text).filter(F.col("token") != "").drop("head")
 
 
 def _counted(docs: DataFrame, doc: str, text: str) -> DataFrame:
-    """Postings, with a mark (``head``) at one row of each text; a text without a token has one row with the empty token."""
-    rows = spread(docs.select(doc, text), doc).filter(T.strip(F.col(text)) != "").select(doc, T.alnum_tokens(F.col(text)).alias("_t"))
+    """Postings, with a mark (``head``) at one row of each text; a text without a token has one row with the empty token.
+
+    Texts are dealt by their id, which takes less room than their counts; the counts are then complete where they are made.
+    """
+    dealt = docs.select(doc, text)
+    dealt = dealt.repartition(max(docs.sparkSession.sparkContext.defaultParallelism, TEXT_PARTS * dealt.rdd.getNumPartitions()), doc)
+    rows = dealt.filter(T.strip(F.col(text)) != "").select(doc, T.alnum_tokens(F.col(text)).alias("_t"))
     rows = rows.select(doc, F.size("_t").alias("doc_len"), F.posexplode_outer("_t").alias("_p", "token"))
     counts = rows.groupBy(doc, "token", "doc_len").agg(F.count("token").alias("tf"), F.coalesce(F.min("_p"), F.lit(0)).alias("_p"))
     return counts.select(doc, F.coalesce("token", F.lit("")).alias("token"), "tf", "doc_len", (F.col("_p") == 0).alias("head"))
