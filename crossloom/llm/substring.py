@@ -22,6 +22,7 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql.types import BinaryType, StructField, StructType
 
 from crossloom.llm.common import discarded, raw_text, text_batches, written
 
@@ -200,8 +201,8 @@ def _subtrees(leaves: DataFrame, window: int) -> DataFrame:
     return dealt.mapInArrow(task, "g bigint, h bigint, k bigint, d bigint, at int, ranges array<int>")
 
 
-def _prolonged(leaves: DataFrame, window: int) -> DataFrame:
-    """The same for prefixes with too many leaves: each suffix is grouped by all words of its window."""
+def _prolonged(leaves: DataFrame, window: int) -> tuple[DataFrame, DataFrame]:
+    """(table of the suffixes, the same for prefixes with too many leaves): each suffix is grouped by all words of its window."""
 
     def task(batches):
         import pyarrow as pa
@@ -220,15 +221,16 @@ def _prolonged(leaves: DataFrame, window: int) -> DataFrame:
     later = suffixes.join(first, "words").select("g", "h", "place", (F.struct("k", "d", "place") != F.col("first")).alias("later"))
     ranges = later.groupBy("g", "h").agg(F.sort_array(F.collect_list(F.when(F.col("later"), F.col("place")))).alias("p"))
     ranges = ranges.select("g", "h", F.flatten(F.transform("p", lambda x: F.array(x, x))).alias("ranges"))
-    return leaves.select("g", "h", "k", "d", "at").join(ranges, ["g", "h"])
+    return suffixes, leaves.select("g", "h", "k", "d", "at").join(ranges, ["g", "h"])
 
 
 def repeats(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", window: int = WINDOW, gram: int = GRAM,
             leaves_per_prefix: int = LEAVES) -> tuple[DataFrame, DataFrame]:
-    """(texts with a repeated prefix: k, d, _raw; removals: k, d, ranges of window starts).
+    """(texts with a repeated prefix: k, d, _raw; removals: k, d, ranges of window starts), both tables in the shared folder.
 
     ``k`` is the id (NULL ids come last), ``d`` a hash of id and text: rows
     that share an id but not the text are ordered by it, equal rows are one.
+    Tables of the steps between are deleted.
     """
     if window < gram:
         raise ValueError("the window is shorter than the gram")
@@ -243,15 +245,20 @@ def repeats(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", win
     leaves = written(leaves.select("g", "h", "p.k", "p.d", "p.at", "n", "body"), "leaves")
     crowded = leaves.groupBy("g").agg(F.count(F.lit(1)).alias("c")).filter(F.col("c") > leaves_per_prefix).select("g")
     crowded = written(crowded, "crowded")
+    own = [places, leaves, crowded]
     if crowded.isEmpty():
         found = _subtrees(leaves, window)
     else:
-        found = _subtrees(leaves.join(crowded, "g", "left_anti"), window).unionByName(_prolonged(leaves.join(crowded, "g", "left_semi"), window))
+        suffixes, prolonged = _prolonged(leaves.join(crowded, "g", "left_semi"), window)
+        found = _subtrees(leaves.join(crowded, "g", "left_anti"), window).unionByName(prolonged)
+        own.append(suffixes)
     found = found.select("g", "h", F.struct("k", "d", "at").alias("p"), "ranges")
     removed = places.join(found, ["g", "h"]).select(
         "k", "d", F.when(F.struct("k", "d", "at") == F.col("p"), F.col("ranges")).otherwise(F.array("at", F.col("at") + F.col("n") - 1)).alias("r")
     )
-    return flagged, removed.filter(F.size("r") > 0).groupBy("k", "d").agg(F.flatten(F.collect_list("r")).alias("ranges"))
+    removed = written(removed.filter(F.size("r") > 0).groupBy("k", "d").agg(F.flatten(F.collect_list("r")).alias("ranges")), "removed")
+    discarded(*own)
+    return flagged, removed
 
 
 def keyed(docs: DataFrame, id_col: str, text_col: str) -> DataFrame:
@@ -260,24 +267,28 @@ def keyed(docs: DataFrame, id_col: str, text_col: str) -> DataFrame:
     return raw_text(docs, k.alias("k"), text=text_col).select("k", F.xxhash64("k", "_raw").alias("d"), "_raw")
 
 
+def _kept(raw: bytes, ranges, window: int) -> tuple[int, bytes]:
+    """How many words lie in the windows that start in the ranges, and the other words joined by one space."""
+    import numpy as np
+
+    words = raw.split()
+    edge = np.zeros(len(words) + 1, np.int64)
+    r = np.array(ranges).reshape(-1, 2)
+    np.add.at(edge, r[:, 0], 1)
+    np.add.at(edge, r[:, 1] + window, -1)
+    keep = np.cumsum(edge)[:-1] == 0
+    return int((~keep).sum()), b" ".join([words[i] for i in np.flatnonzero(keep)])
+
+
 def cuts(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", window: int = WINDOW, **options) -> DataFrame:
     """(k, d, n_removed, kept) of the texts that lose words; kept has the rest, joined by one space, as bytes."""
     flagged, removed = repeats(docs, id_col, text_col, window, **options)
 
     def task(batches):
-        import numpy as np
         import pyarrow as pa
 
         for b in text_batches(batches):
-            rows = []
-            for k, d, raw, ranges in zip(*(b.column(i).to_pylist() for i in range(4))):
-                words = raw.split()
-                edge = np.zeros(len(words) + 1, np.int64)
-                r = np.array(ranges).reshape(-1, 2)
-                np.add.at(edge, r[:, 0], 1)
-                np.add.at(edge, r[:, 1] + window, -1)
-                keep = np.cumsum(edge)[:-1] == 0
-                rows.append((k, d, int((~keep).sum()), b" ".join([words[i] for i in np.flatnonzero(keep)])))
+            rows = [(k, d, *_kept(raw, ranges, window)) for k, d, raw, ranges in zip(*(b.column(i).to_pylist() for i in range(4)))]
             if rows:
                 kinds = [pa.int64()] * 3 + [pa.binary()]
                 yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(zip(*rows), kinds)], ["k", "d", "n_removed", "kept"])
@@ -286,6 +297,28 @@ def cuts(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", window
     return texts.mapInArrow(task, "k bigint, d bigint, n_removed bigint, kept binary")
 
 
+def without_repeats(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", window: int = WINDOW, **options) -> DataFrame:
+    """The rows of ``docs`` with a column ``kept``: what is left of the text as bytes, words joined by one space; NULL if it loses nothing.
+
+    The places of the removals are brought to the rows, so that a row moves once and no copy of its text is joined to it.
+    """
+    flagged, removed = repeats(docs, id_col, text_col, window, **options)
+    discarded(flagged)
+
+    def task(batches):
+        import pyarrow as pa
+
+        for b in text_batches(batches):
+            kept = [None if ranges is None else _kept(raw, ranges, window)[1] for raw, ranges in zip(*(b.column(i).to_pylist() for i in (1, 2)))]
+            yield pa.RecordBatch.from_arrays([b.column(0), pa.array(kept, pa.binary())], ["row", "kept"])
+
+    row = docs.select(F.struct(*docs.columns).alias("row"))
+    raw = F.coalesce(F.col("row")[text_col].cast("string"), F.lit("")).cast("binary")
+    rows = row.withColumn("k", F.coalesce(F.col("row")[id_col].cast("long"), F.lit((1 << 63) - 1))).withColumn("d", F.xxhash64("k", raw))
+    rows = rows.join(removed, ["k", "d"], "left").select("row", F.when(F.col("ranges").isNotNull(), raw).alias("raw"), "ranges")
+    return rows.mapInArrow(task, StructType([*row.schema.fields, StructField("kept", BinaryType())])).select("row.*", "kept")
+
+
 def digests(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", **options) -> DataFrame:
     """(id, n_words, n_removed, kept_sha256) per row of ``docs``.
 
