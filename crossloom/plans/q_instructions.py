@@ -15,7 +15,7 @@ from crossloom.plans.q_profiles import NEAR_TITLES, PREF, attributes, categories
 from crossloom.plans.q_sequences import _SEQ
 from crossloom.plans.q_similarity import RETRIEVAL, retrieved
 from crossloom.plans.registry import query
-from crossloom.session import materialize
+from crossloom.session import written
 
 
 def fill_sql(template, **parts):
@@ -65,7 +65,7 @@ def profile_table(t, once=True):
     """Profiles of all users; written once, unless the caller's plan drops them unused."""
     near = M.neighbour_items(t.user_vec, t.item_vec, t.items)
     out = P.profiles(t.ev, t.items, attributes(t), categories(t), near)
-    return materialize(out) if once else out
+    return written(out, "profiles") if once else out
 
 
 def test_retrieval(t):
@@ -73,7 +73,7 @@ def test_retrieval(t):
 
 
 def few_shot(t):
-    return materialize(N.few_shot_texts(test_retrieval(t), t.recent, t.items))
+    return written(N.few_shot_texts(test_retrieval(t), t.recent, t.items), "few-shot")
 
 
 @query("few_shot_texts", "L6", f"@ {FEW} @ SELECT user_id, few_shot FROM few")
