@@ -11,6 +11,8 @@ from collections.abc import Sequence
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from crossloom.session import released
+
 BUCKETS = 64
 
 
@@ -47,7 +49,8 @@ def export_table(df: DataFrame, name: str, path: str, key: str = "user_id", orde
     """
     dealt = df.repartition(buckets, key)
     writer = dealt.write.mode("overwrite").format("parquet").bucketBy(buckets, key).sortBy(key, *order).option("path", path)
-    (writer.partitionBy(*by) if by else writer).saveAsTable(name)
+    with released(df.sparkSession):  # the next table has the disk to itself
+        (writer.partitionBy(*by) if by else writer).saveAsTable(name)
     return df.sparkSession.table(name)
 
 
